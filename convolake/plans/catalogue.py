@@ -1,0 +1,9 @@
+"""All queries of the archive engine with their SQL twins."""
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
