@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,6 +17,27 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash,)}
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import token_counts
+
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"))
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import bpe_automaton
+
+    return bpe_automaton.encode(_table(spark, sf_dir, "documents"), keep_ids=False)
+
+
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import token_store
+    from .common import shared_dir
+
+    folder = f"{shared_dir(spark)}/token_store/{uuid.uuid4().hex}"
+    token_store.write(_table(spark, sf_dir, "documents"), folder)
+    return token_store.read(spark, folder, keep_ids=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op4_token_counts, op5_bpe, op6_token_store)}
 
 ORACLE_SQL: dict[str, str] = {}
