@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,23 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, folder, keep_ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_token_counts, op5_bpe, op6_token_store)}
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+    from .common import cut
+
+    said = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digests(cut(chat.windows(rows)))
+
+
+def op9_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import winnow
+
+    out = winnow.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op4_token_counts, op5_bpe, op6_token_store, op8_chat, op9_winnow)}
 
 ORACLE_SQL: dict[str, str] = {}
