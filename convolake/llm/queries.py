@@ -56,6 +56,12 @@ def op9_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_token_counts, op5_bpe, op6_token_store, op8_chat, op9_winnow)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pii
+
+    return pii.replace_pii(_table(spark, sf_dir, "documents")).select("doc_id", "n_entities", "text")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op4_token_counts, op5_bpe, op6_token_store, op8_chat, op9_winnow, op10_pii)}
 
 ORACLE_SQL: dict[str, str] = {}
