@@ -18,6 +18,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_counts
 
@@ -39,6 +45,12 @@ def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, folder, keep_ids=False)
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import embeddings
+
+    return embeddings.near_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import chat
     from .common import cut
@@ -62,6 +74,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(_table(spark, sf_dir, "documents")).select("doc_id", "n_entities", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_token_counts, op5_bpe, op6_token_store, op8_chat, op9_winnow, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op4_token_counts, op5_bpe, op6_token_store, op7_embeddings, op8_chat, op9_winnow, op10_pii)}
 
 ORACLE_SQL: dict[str, str] = {}
