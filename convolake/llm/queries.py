@@ -24,6 +24,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup
+
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), keep_bytes=False)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_counts
 
@@ -74,6 +80,6 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(_table(spark, sf_dir, "documents")).select("doc_id", "n_entities", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op4_token_counts, op5_bpe, op6_token_store, op7_embeddings, op8_chat, op9_winnow, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_suffix_dedup, op4_token_counts, op5_bpe, op6_token_store, op7_embeddings, op8_chat, op9_winnow, op10_pii)}
 
 ORACLE_SQL: dict[str, str] = {}
