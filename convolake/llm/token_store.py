@@ -55,7 +55,9 @@ class LibraryEncoder:
         try:
             return b"".join(map(known.__getitem__, words))
         except KeyError:
-            for w in {*words} - known.keys():
+            for w in set(words):
+                if w in known:
+                    continue
                 known[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
             return b"".join(map(known.__getitem__, words))
 
