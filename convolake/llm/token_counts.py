@@ -81,8 +81,8 @@ class Counter:
             words = [self.split(t) for t in part]
             if len(self.known) > V.REMEMBERED:
                 self.known = {}
-            new = list({w for ws in words for w in ws} - self.known.keys())
-            plain = [w for w in new if w not in self.special]
+            met = {w for ws in words for w in ws}
+            plain = [w for w in met if w not in self.known and w not in self.special]
             self.known.update(zip(plain, self.merger.count([w.encode() for w in plain]).tolist()))
             self.known.update(dict.fromkeys(self.special, 1))
             out += [sum(map(self.known.__getitem__, ws)) for ws in words]
