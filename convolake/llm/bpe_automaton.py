@@ -152,13 +152,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
                 rows["ids_sha256"].append(hashlib.sha256(raw).hexdigest())
                 rows["decoded_sha256"].append(hashlib.sha256(said.encode()).hexdigest())
                 if keep_ids:
-                    rows["ids"].append(ids)
+                    rows["ids"].append(raw)
                 if keep_text:
                     rows["decoded"].append(said)
             cols = [b.column("id"), pa.array(rows["n_tokens"], pa.int64()), pa.array(rows["ids_sha256"], pa.string()), pa.array(rows["decoded_sha256"], pa.string())]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:
-                cols, names = cols + [pa.array(rows["ids"], pa.list_(pa.int32()))], names + ["ids"]
+                cols, names = cols + [pa.ListArray.from_arrays(np.cumsum([0, *rows["n_tokens"]]).astype(np.int32), pa.array(np.frombuffer(b"".join(rows["ids"]), dtype="<i4")))], names + ["ids"]
             if keep_text:
                 cols, names = cols + [pa.array(rows["decoded"], pa.string())], names + ["decoded"]
             yield pa.record_batch(cols, names=names)

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import small_batches
 from .vocab import chunks_of
@@ -191,3 +192,21 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     out = frame.mapInArrow(run, f"id {frame.schema['id'].dataType.simpleString()}, score double")
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
+    """The rows of docs whose text scores 0.5 or more, with all their columns; rows are judged where they are read."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col))
+    frame = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches):
+        model = shared.value
+        for b in batches:
+            scores = [model.scores(part) for part in chunks_of(b.column("text").to_pylist(), 1 << 18)]
+            good = np.concatenate(scores) >= 0.5 if scores else np.zeros(0, dtype=bool)
+            yield pa.record_batch([b.column("row").filter(pa.array(good))], names=["row"])
+
+    schema = StructType([StructField("row", docs.schema)])
+    return frame.mapInArrow(run, schema).select("row.*")

@@ -13,12 +13,13 @@ has no id); columns besides id and text are ignored, so their names cannot clash
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, cut, small_batches
@@ -59,7 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return frame.mapInArrow(run, "id long, fp long, fingerprint string")
 
 
-def beyond(plane, words: int, radius: int) -> np.ndarray:
+def beyond(plane, words: int, radius: int, n_planes: int = 64) -> np.ndarray:
     """Bit masks (uint64 words) of the distances above radius; plane(b, active) gives difference plane b.
 
     Carry-save counters of as many bits as radius + 1 needs, with a sticky overflow word; every
@@ -71,7 +72,7 @@ def beyond(plane, words: int, radius: int) -> np.ndarray:
     bits = (radius + 1).bit_length()
     count = np.zeros((bits, words), dtype=np.uint64)
     over = np.zeros(words, dtype=np.uint64)
-    for b in range(64):
+    for b in range(n_planes):
         carry = plane(b, active)
         for k in range(bits):
             count[k], carry = count[k] ^ carry, count[k] & carry
@@ -86,21 +87,26 @@ def beyond(plane, words: int, radius: int) -> np.ndarray:
                     equal &= ~count[k]
             live = greater != full
             out[active] = greater
-            if b < 63 and not live.all():
+            if b < n_planes - 1 and not live.all():
                 active, count, over = active[live], count[:, live], over[live]
                 if not len(active):
                     break
     return out
 
 
+def _bits(values: np.ndarray) -> np.ndarray:
+    """Bits of rows of uint64 words, least first: one column a bit."""
+    words = np.ascontiguousarray(values, dtype="<u8").reshape(len(values), -1)
+    return np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
+
+
 def _planes(values: np.ndarray) -> np.ndarray:
-    """64 bit planes of n values, each packed to ceil(n / 64) words."""
-    n = len(values)
-    words = -(-n // 64)
-    padded = np.zeros(words * 64, dtype="<u8")
-    padded[:n] = values
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8").reshape(64, words)
+    """Bit planes of n fingerprints, each packed to ceil(n / 64) words."""
+    bits = _bits(values)
+    padded = np.zeros((-(-len(bits) // 64) * 64, bits.shape[1]), dtype=np.uint8)
+    padded[: len(bits)] = bits
+    packed = np.ascontiguousarray(np.packbits(padded.T, axis=1, bitorder="little"))
+    return packed.view("<u8").reshape(bits.shape[1], -1)
 
 
 def _hits(mask: np.ndarray, n: int) -> np.ndarray:
@@ -112,14 +118,14 @@ def near_pairs(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
     if not len(left):
         return np.zeros(0, dtype=np.int64)
     planes = _planes(left ^ right)
-    return _hits(beyond(lambda b, a: planes[b][a], planes.shape[1], radius), len(left))
+    return _hits(beyond(lambda b, a: planes[b][a], planes.shape[1], radius, len(planes)), len(left))
 
 
 def near_rows(queries: np.ndarray, planes: np.ndarray, n: int, radius: int):
     """(query, row) pairs within radius, the rows given as bit planes."""
     words = planes.shape[1]
-    flip = np.where(np.unpackbits(queries.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T == 1, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
-    mask = beyond(lambda b, a: planes[b][a % words] ^ flip[b][a // words], words * len(queries), radius)
+    flip = np.where(_bits(queries).T == 1, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
+    mask = beyond(lambda b, a: planes[b][a % words] ^ flip[b][a // words], words * len(queries), radius, len(planes))
     q, r = np.nonzero(np.unpackbits((~mask).view(np.uint8).reshape(len(queries), -1), axis=1, bitorder="little")[:, :n])
     return q, r
 
@@ -140,32 +146,42 @@ def local_forest(n: int, pairs: list) -> np.ndarray:
     return label
 
 
-def _tile_edges(fp: np.ndarray, rep: np.ndarray, bounds: np.ndarray, radius: int):
-    """Spanning edges of the links inside each run of rows bounds[i]:bounds[i + 1]."""
+def _tile_pairs(fp: np.ndarray, bounds: np.ndarray, radius: int):
+    """Arrays (a, b) of the rows within radius inside each run bounds[i]:bounds[i + 1], block by block."""
     sizes = np.diff(bounds)
-    u, v = [], []
     small = sizes <= 64
     # small buckets: their pairs side by side in one sliced comparison
     for d in range(1, int(sizes[small].max(initial=1))):
-        first = np.concatenate([np.arange(s, e - d) for s, e in zip(bounds[:-1][small & (sizes > d)], bounds[1:][small & (sizes > d)])] or [np.zeros(0, dtype=np.int64)])
-        hit = first[near_pairs(fp[first], fp[first + d], radius)]
-        u.append(rep[hit])
-        v.append(rep[hit + d])
+        some = small & (sizes > d)
+        first = np.concatenate([np.arange(s, e - d) for s, e in zip(bounds[:-1][some], bounds[1:][some])] or [np.zeros(0, dtype=np.int64)])
+        for i in range(0, len(first), 1 << 16):
+            part = first[i : i + (1 << 16)]
+            hit = part[near_pairs(fp[part], fp[part + d], radius)]
+            yield hit, hit + d
     for s, e in zip(bounds[:-1][~small], bounds[1:][~small]):
-        part, planes, pairs = fp[s:e], _planes(fp[s:e]), []
+        part, planes = fp[s:e], _planes(fp[s:e])
         for i in range(0, e - s, 256):
             q, r = near_rows(part[i : i + 256], planes, e - s, radius)
             keep = r < q + i
-            pairs.append((q[keep] + i, r[keep]))
-            if sum(len(p[0]) for p in pairs) > 1 << 21:
-                label = local_forest(e - s, pairs)
-                pairs = [(np.arange(e - s), label)]
-        label = local_forest(e - s, pairs)
-        own = np.flatnonzero(label != np.arange(e - s))
-        u.append(rep[s:e][own])
-        v.append(rep[s:e][label[own]])
-    none = np.zeros(0, dtype=np.int64)
-    return np.concatenate(u or [none]), np.concatenate(v or [none])
+            yield q[keep] + i + s, r[keep] + s
+
+
+def _spanning(n: int, pairs) -> np.ndarray:
+    """local_forest of pairs that come block by block, with at most some millions held."""
+    held, size = [], 0
+    for p in pairs:
+        held.append(p)
+        size += len(p[0])
+        if size > 1 << 21:
+            held, size = [(np.arange(n), local_forest(n, held))], n
+    return local_forest(n, held)
+
+
+def _tile_edges(fp: np.ndarray, rep: np.ndarray, bounds: np.ndarray, radius: int):
+    """Spanning edges of the links inside each run of rows bounds[i]:bounds[i + 1]."""
+    label = _spanning(len(fp), _tile_pairs(fp, bounds, radius))
+    own = np.flatnonzero(label != np.arange(len(fp)))
+    return rep[own], rep[label[own]]
 
 
 def runs(batches, columns: list[str], key: list[str], at_least: int = 1 << 14):
@@ -237,3 +253,171 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     small_batches(docs.sparkSession)
     where = distinct.join(found, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
     return marked.join(where, F.col("fp") == F.col("_fp")).select(F.col("id").alias(id_col), "fingerprint", "component_id")
+
+
+# Documents that share most of their word shingles: longer fingerprints find the pairs, the shingles decide.
+
+#: 64-bit words of the longer fingerprint; bits within which a pair is surely similar, and within
+#: which it may be (for a similarity of 0.8: three deviations below, two above the mean distance).
+WORDS, SURE, MAYBE = 4, 22, 50
+#: Chance to meet for a pair at the similarity; pairs a document that are verified at once.
+FOUND, AT_ONCE = 0.9, 4
+
+
+def _shingles(text: str | None, shingle: int) -> set[bytes]:
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
+
+
+def _long_fingerprint(shingles: set[bytes]) -> list[int]:
+    """WORDS * 64 bits, each set if the mixed hashes of over half the distinct shingles have it."""
+    if not shingles:
+        return [0] * WORDS
+    h = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], dtype=np.uint64)
+    ones = np.zeros(64 * WORDS, dtype=np.int64)
+    for i in range(0, len(h), 1 << 13):
+        x = h[i : i + (1 << 13), None] + np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        ones += _bits(x ^ (x >> np.uint64(31))).sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(h), bitorder="little").view("<i8").tolist()
+
+
+def _bands(n: int, similarity: float) -> tuple[int, int]:
+    """(bits of a band, number of bands) for n distinct documents."""
+    bits = min(24, max(8, math.ceil(math.log2(max(n, 2))) - 1))
+    alike = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** bits
+    return bits, math.ceil(math.log(1 - FOUND) / math.log(1 - alike))
+
+
+def _similar_pairs(distinct: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, d) of distinct documents (rep, s0..s3): spanning edges of sure pairs (d = 0), and pairs that may be similar."""
+    spark = distinct.sparkSession
+    bits, count = _bands(distinct.count(), similarity)
+    rng = np.random.default_rng(11)
+    places = np.stack([rng.permutation(64 * WORDS)[:bits] for _ in range(count)])
+    names = [f"s{i}" for i in range(WORDS)]
+    small_batches(spark, 2000)
+
+    def keyed(batches):
+        for b in batches:
+            fp = np.stack([b.column(c).to_numpy() for c in names], axis=1)
+            on = _bits(fp.view(np.uint64)).astype(np.int64)
+            keys = (on[:, places] << np.arange(bits)).sum(axis=2) | (np.arange(count, dtype=np.int64) << 32)
+            again = pa.array(np.repeat(np.arange(len(fp)), count))
+            yield pa.record_batch([pa.array(keys.ravel()), *[b.column(c).take(again) for c in ("rep", *names)]], names=["key", "rep", *names])
+
+    rows = distinct.where("rep is not null").select("rep", *names).mapInArrow(keyed, "key long, rep long, " + ", ".join(f"{c} long" for c in names))
+    rows = cut(rows)
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    chunks = F.ceil(F.col("size") / TILE).cast("int")
+    rows = rows.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("rep"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    tiles = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", *names)
+    tiles = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    small_batches(spark, 10_000)
+
+    def run(batches):
+        for c, at in runs(batches, ["key", "i", "j", "rep", *names], ["key", "i", "j"]):
+            fp = np.stack([c[x] for x in names], axis=1).view(np.uint64)
+            rep, n = c["rep"], len(fp)
+            node, where = np.unique(rep, return_inverse=True)
+            label, found = np.arange(len(node)), [[], [], []]
+            for a, b in _tile_pairs(fp, at, MAYBE):
+                d = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int64)
+                a, b = where[a], where[b]
+                sure = d <= SURE
+                if sure.any():
+                    label = local_forest(len(node), [(np.arange(len(node)), label), (a[sure], b[sure])])
+                open_ = label[a] != label[b]
+                for held, x in zip(found, (a, b, d)):
+                    held.append(x[open_])
+            none = np.zeros(0, dtype=np.int64)
+            a, b, d = (np.concatenate([none, *x]) for x in found)
+            open_ = label[a] != label[b]
+            own = np.flatnonzero(label != np.arange(len(node)))
+            u, v = np.concatenate([node[own], node[a[open_]]]), np.concatenate([node[label[own]], node[b[open_]]])
+            yield pa.record_batch([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v)), pa.array(np.concatenate([np.zeros(len(own), dtype=np.int64), d[open_] + 1]))], names=["u", "v", "d"])
+
+    return cut(tiles.mapInArrow(run, "u long, v long, d long").groupBy("u", "v").agg(F.min("d").alias("d")))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (u, v) whose texts' shingle sets have at least the similarity."""
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct()
+    mine = cut(texts.join(needed, "rep", "left_semi"))
+    both = pairs.join(mine.select(F.col("rep").alias("u"), F.col("text").alias("a")), "u").join(mine.select(F.col("rep").alias("v"), F.col("text").alias("b")), "v")
+    small_batches(pairs.sparkSession, 64)
+
+    def run(batches):
+        for b in batches:
+            last, left, keep = None, set(), []
+            for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist()):
+                if x != last:
+                    last, left = x, _shingles(x, shingle)
+                right = _shingles(y, shingle)
+                shared = len(left & right)
+                keep.append(shared >= similarity * (len(left) + len(right) - shared))
+            yield pa.record_batch([b.column("u"), b.column("v"), pa.array(keep, pa.bool_())], names=["u", "v", "ok"])
+
+    return cut(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long, ok boolean"))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """One row per document: id, component_id (smallest id reachable over pairs of at least the similarity).
+
+    Copies (equal words) are one document; distinct ones meet in bands of fingerprint bits, are
+    compared bit-sliced, and pairs that are not surely similar are decided by their shingles. Pairs
+    within a component need no decision. Where there are more open pairs than AT_ONCE a document, each
+    component's closest ones are decided first, until every pair is decided or inside a component.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    frame = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    names = [f"s{i}" for i in range(WORDS)]
+
+    def marked(batches):
+        for b in batches:
+            digests, sigs = [], []
+            for t in b.column("text").to_pylist():
+                digests.append(xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())))
+                sigs.append(_long_fingerprint(_shingles(t, shingle)))
+            sigs = np.array(sigs, dtype=np.int64).reshape(-1, WORDS)
+            yield pa.record_batch([b.column("id"), pa.array(digests, pa.binary()), *[pa.array(sigs[:, i]) for i in range(WORDS)]], names=["id", "copy", *names])
+
+    rows = cut(frame.mapInArrow(marked, "id long, copy binary, " + ", ".join(f"{c} long" for c in names)))
+    distinct = cut(rows.groupBy("copy").agg(F.min("id").alias("rep"), *[F.min(c).alias(c) for c in names]))
+    pairs = _similar_pairs(distinct, similarity)
+    sure = pairs.where("d = 0").select("u", "v")
+    comp = cut(components(sure))
+    texts = frame.select(F.col("id").alias("rep"), "text").dropDuplicates(["rep"])
+    open_ = _across(pairs.where("d > 0"), comp)
+    limit, edges = AT_ONCE * distinct.count(), sure
+    while (n := open_.count()) > 0:
+        now = open_.select("u", "v")
+        if n > limit:
+            w = Window.partitionBy("cu").orderBy("d", "u", "v")
+            now = open_.withColumn("place", F.row_number().over(w)).where("place <= 8").select("u", "v")
+        judged = _verified(now, texts, similarity, shingle)
+        edges = cut(edges.unionByName(judged.where("ok").select("u", "v")))
+        comp = cut(components(edges))
+        if n <= limit:
+            break
+        open_ = _across(open_.join(judged.select("u", "v"), ["u", "v"], "left_anti").select("u", "v", "d"), comp)
+    small_batches(spark)
+    where = distinct.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("copy").alias("_copy"), F.coalesce("component", "rep").alias("component_id"))
+    return rows.join(where, F.col("copy") == F.col("_copy")).select(F.col("id").alias(id_col), "component_id")
+
+
+def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Pairs between different components, with u's."""
+    a, b = (comp.select(F.col("node").alias(f"n{x}"), F.col("component").alias(f"c{x}_")) for x in "uv")
+    out = pairs.join(a, F.col("u") == F.col("nu"), "left").join(b, F.col("v") == F.col("nv"), "left")
+    out = out.select("u", "v", "d", F.coalesce("cu_", "u").alias("cu"), F.coalesce("cv_", "v").alias("cv"))
+    return cut(out.where("cu <> cv").drop("cv"))
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Documents that stand for their group (its smallest id; of repeated ids one row). Rows without id stay: nothing names them."""
+    kept = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    stay = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    return stay.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

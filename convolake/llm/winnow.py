@@ -15,13 +15,13 @@ columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .common import cut, small_batches
 from .vocab import chunks_of
@@ -182,17 +182,32 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     A document is contaminated if it has hits and at least a twentieth of its words are hit.
     """
-    spark = docs.sparkSession
+    out = _judged(docs.select(F.col(id_col).alias("id")), docs.select(F.struct(F.col(id_col).alias("id")).alias("row"), F.col(text_col).cast("string").alias("text")), benchmark, item_col, item_text_col)
+    return out.select(F.col("row.id").alias(id_col), "n_words", "n_hit", "items", F.size("items").cast("long").alias("n_items"), "contaminated")
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns."""
+    frame = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    return _judged(docs, frame, benchmark, item_col, item_text_col).where(~F.col("contaminated")).select("row.*")
+
+
+def _judged(rows: DataFrame, frame: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
+    """frame (row, text) read against each block of the benchmark; row comes back beside the counts."""
+    spark = frame.sparkSession
     small_batches(spark)
-    frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    kind = frame.schema["id"].dataType.simpleString()
+    row = StructField("row", rows.schema)
+    counts = [StructField("n_words", LongType()), StructField("n_hit", LongType())]
+    items = StructField("items", ArrayType(StringType()))
+    between = StructType([row, StructField("text", StringType()), StructField("spans", ArrayType(LongType())), items])
+    after = StructType([row, *counts, items])
     blocks = _blocks(benchmark, item_col, item_text_col)
     for number, block in enumerate(blocks):
         first, last, shared = number == 0, number == len(blocks) - 1, spark.sparkContext.broadcast(block)
-        frame = frame.mapInArrow(_scan(shared, first, last), f"id {kind}, n_words long, n_hit long, items array<string>" if last else f"id {kind}, text string, spans array<long>, items array<string>")
+        frame = frame.mapInArrow(_scan(shared, first, last), after if last else between)
         if number % CHAIN == CHAIN - 1 and not last:
             frame = cut(frame)
-    return frame.select(F.col("id").alias(id_col), "n_words", "n_hit", "items", F.size("items").cast("long").alias("n_items"), ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"))
+    return frame.select("row", "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"))
 
 
 def _scan(shared, first: bool, last: bool):
@@ -211,9 +226,9 @@ def _scan(shared, first: bool, last: bool):
                 items = [new | set(old) for new, old in zip(items, b.column("items").to_pylist())]
             names = pa.array([sorted(i) for i in items], pa.list_(pa.string()))
             if last:
-                yield pa.record_batch([b.column("id"), pa.array(counts, pa.int64()), pa.array([_covered(s) for s in spans], pa.int64()), names], names=["id", "n_words", "n_hit", "items"])
+                yield pa.record_batch([b.column("row"), pa.array(counts, pa.int64()), pa.array([_covered(s) for s in spans], pa.int64()), names], names=["row", "n_words", "n_hit", "items"])
             else:
                 flat = pa.array([[x for pair in s for x in pair] for s in spans], pa.list_(pa.int64()))
-                yield pa.record_batch([b.column("id"), b.column("text"), flat, names], names=["id", "text", "spans", "items"])
+                yield pa.record_batch([b.column("row"), b.column("text"), flat, names], names=["row", "text", "spans", "items"])
 
     return run
