@@ -15,7 +15,10 @@ repeated ids keep their rows, in the order of their texts; other columns are ign
 from __future__ import annotations
 
 import hashlib
+import os
+import sys
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -40,6 +43,7 @@ class LibraryEncoder:
     """Ids as the tokenizers library gives them; each pre-token goes to the library once and is remembered."""
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -47,19 +51,25 @@ class LibraryEncoder:
         self.library.no_padding()
         self.split, self.known = V.splitter(V.load(path).special), {}
 
-    def encode(self, text: str | None) -> bytes:
-        words = self.split(text or "")
-        if len(self.known) > V.REMEMBERED:
-            self.known = {}
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, words))
-        except KeyError:
-            for w in set(words):
-                if w in known:
-                    continue
-                known[w] = np.array(self.library.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            return b"".join(map(known.__getitem__, words))
+    def encode(self, texts: list):
+        """The ids of each text as little-endian uint32 bytes, new words of a run of texts in one call."""
+        for part in V.chunks_of(texts):
+            words = [self.split(t) for t in part]
+            if len(self.known) > V.REMEMBERED:
+                self.known = {}
+            known = self.known
+            new = [w for w in {w for ws in words for w in ws} if w not in known]
+            for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
+                known[w] = _bytes(e.ids)
+            for ws in words:
+                yield b"".join(map(known.__getitem__, ws))
+
+
+def _bytes(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
 
 
 @lru_cache(maxsize=1)
@@ -71,7 +81,7 @@ def train(docs: DataFrame, path: str) -> bytes:
     """A zstandard dictionary of the ids of a bounded sample (TRAIN_DOCS, TRAIN_CHARS); empty if there is too little."""
     sample = docs.where(F.length("text").between(1, TRAIN_CHARS)).orderBy(F.xxhash64("id"), "text").limit(TRAIN_DOCS)
     encoder = _encoder(path)
-    arrays = [encoder.encode(r.text) for r in sample.select("text").toLocalIterator()]
+    arrays = list(encoder.encode([r.text for r in sample.select("text").collect()]))
     try:
         return zstandard.train_dictionary(DICT_BYTES, arrays).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -81,7 +91,7 @@ def train(docs: DataFrame, path: str) -> bytes:
 def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 0) -> None:
     """Write the ids of docs, each with end_id appended, in ascending id order."""
     spark = docs.sparkSession
-    small_batches(spark, 64)
+    small_batches(spark)
     path = path or V.default_path()
     frame = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     words = train(frame, path)
@@ -106,8 +116,8 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
             )
 
         for b in batches:
-            for doc, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
-                raw = encoder.encode(text) + end
+            for doc, ids_ in zip(b.column("id").to_pylist(), encoder.encode(b.column("text").to_pylist())):
+                raw = ids_ + end
                 frames.append(squeeze.compress(raw))
                 ids.append(doc)
                 counts.append(len(raw) // 4)
