@@ -28,7 +28,7 @@ from pyspark.sql.types import StructField, StructType
 from .common import small_batches
 from .vocab import chunks_of
 
-TRAIN_DOCS, TRAIN_CHARS, ROUNDS, PENALTY = 3000, 20_000, 100, 1e-3
+TRAIN_DOCS, TRAIN_CHARS, ROUNDS, PENALTY = 2000, 20_000, 100, 1e-3
 
 # byte classes: space, lower, upper, digit, stop, comma, other marks, beyond ASCII
 _CLASS = np.full(256, 6, dtype=np.int64)
@@ -149,15 +149,15 @@ def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS) -> Model:
     y = np.repeat(np.array(labels), np.diff(bound))
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
     mean[-1], scale[-1] = 0, 1
-    x = (x - mean) / scale
+    x = ((x - mean) / scale).astype(np.float32)  # the driver's largest array
     seen = np.zeros((2, 2))
     np.add.at(seen, (np.array(labels), np.array(labels)), np.diff(bound) - 1)
     w, step = np.zeros(d), np.zeros((2, 2))
     params, m, v = np.concatenate([w, step.ravel()]), 0.0, 0.0
     for t in range(1, rounds + 1):
         w, step = params[:d], params[d:].reshape(2, 2)
-        good, moves, _ = marginals(x @ w, step, bound)
-        grad = np.concatenate([x.T @ (good - y), (moves - seen).ravel()]) / len(y) + PENALTY * params
+        good, moves, _ = marginals(x @ w.astype(np.float32), step, bound)
+        grad = np.concatenate([x.T @ (good - y).astype(np.float32), (moves - seen).ravel()]) / len(y) + PENALTY * params
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         params = params - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return Model(params[:d], params[d:].reshape(2, 2), mean, scale)
