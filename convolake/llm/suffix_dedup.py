@@ -275,14 +275,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     code = F.xxhash64("seg")
     groups = found.groupBy("h").agg(F.count("*").alias("n"), F.min(code).alias("a"), F.max(code).alias("b")).where("n > 1").select(F.col("h").alias("_h"), (F.col("a") == F.col("b")).alias("alike"))
-    repeated = cut(found.join(groups, F.col("h") == F.col("_h")).drop("_h"))
+    # written first: a join over the aggregation's own exchange could not be split where one hash is very common
+    repeated = cut(found.join(cut(groups), F.col("h") == F.col("_h")).drop("_h"))
     whole = F.struct((F.col("pos") + F.col("lo")).alias("s"), (F.col("pos") + F.col("hi") + SPAN).alias("e"))
     alike = repeated.where("alike").select("id", "th", whole.alias("span"))
 
     mixed = repeated.where("not alike")
     kinds = mixed.groupBy("h", "seg").agg(F.count("*").alias("times"), F.min(F.struct("id", "th", "pos", "lo", "hi")).alias("one"))
     kinds = cut(kinds.select("h", "seg", "times", "one.*"))
-    sizes = kinds.groupBy(F.col("h").alias("_h")).agg(F.count("*").alias("n"))
+    sizes = cut(kinds.groupBy(F.col("h").alias("_h")).agg(F.count("*").alias("n")))
     one = kinds.join(sizes, F.col("h") == F.col("_h"))
     wanted = one.groupBy("id", "th").agg(F.collect_list(F.struct("h", "seg", "pos", "lo", "hi", "n")).alias("wanted"))
     texts = frame.join(wanted.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "wanted"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).dropDuplicates(["id", "th"])
