@@ -34,10 +34,14 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict:
+    from . import more  # noqa: F401  registers its queries here
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
+    from . import more  # noqa: F401
+
     return dict(_SQL)
 
 
