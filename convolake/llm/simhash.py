@@ -229,7 +229,8 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     block = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
     keys = [F.shiftleft(F.lit(n).cast("long"), 32).bitwiseOR(F.shiftleft(block[i], 16)).bitwiseOR(block[j]) for n, (i, j) in enumerate(combinations(range(4), 2))]
     rows = distinct.where("rep is not null").select("fp", "rep", F.explode(F.array(*keys)).alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    # written first: a join over the aggregation's own exchange could not be split where one key is common
+    sizes = cut(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     chunks = F.ceil(F.col("size") / TILE).cast("int")
     mine = F.pmod(F.xxhash64("fp", F.lit(7)), chunks).cast("int")
     rows = rows.join(sizes, "key").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
@@ -309,7 +310,8 @@ def _similar_pairs(distinct: DataFrame, similarity: float) -> DataFrame:
 
     rows = distinct.where("rep is not null").select("rep", *names).mapInArrow(keyed, "key long, rep long, " + ", ".join(f"{c} long" for c in names))
     rows = cut(rows)
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    # written first: a join over the aggregation's own exchange could not be split where one key is common
+    sizes = cut(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     chunks = F.ceil(F.col("size") / TILE).cast("int")
     rows = rows.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("rep"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     tiles = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", *names)
