@@ -159,7 +159,8 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
                 yield pa.record_batch([part.column("key"), pa.array(list(full), pa.list_(pa.int64()))], names=["key", "buckets"])
 
     buckets = cut(distinct.select("key", "v").mapInArrow(coded, "key string, buckets array<long>").select("key", F.explode("buckets").alias("bucket")))
-    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    # written first: a join over the aggregation's own exchange could not be split where one bucket is common
+    sizes = cut(buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
     chunks = F.ceil(F.col("size") / TILE).cast("int")
     met = buckets.join(sizes, "bucket").withColumn("mine", F.pmod(F.xxhash64("key"), chunks).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
