@@ -44,9 +44,9 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import token_store
-    from .common import shared_dir
+    from .common import scratch
 
-    folder = f"{shared_dir(spark)}/token_store/{uuid.uuid4().hex}"
+    folder = f"{scratch(spark)}/token_store-{uuid.uuid4().hex}"
     token_store.write(_table(spark, sf_dir, "documents"), folder)
     return token_store.read(spark, folder, keep_ids=False)
 
