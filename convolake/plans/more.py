@@ -329,3 +329,77 @@ def _(s, d):
     day = F.to_date("ts")
     back = lambda n: F.count(F.when(day >= F.date_sub(F.lit("2024-01-30").cast("date"), n), 1))
     return A.table(s, d, "events").agg(back(7).alias("week"), back(14).alias("fortnight"))
+
+
+@query("f11_snippets", "SELECT doc_id, CASE WHEN instr(lower(text), 'license') > 0 THEN substr(text, greatest(instr(lower(text), 'license') - 40, 1), 87) END AS snippet FROM documents WHERE contains(lower(text), 'license')")
+def _(s, d):
+    rows = A.table(s, d, "documents").where(T.contains_ascii_ci(F.col("text"), "license"))
+    return rows.select("doc_id", T.snippet(F.col("text"), "license").alias("snippet"))
+
+
+@query("f14_stub_embedding", "WITH t AS (SELECT item_id, list_transform(list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> ''), lambda x: CAST('0x' || substr(sha256(x), 1, 2) AS INTEGER) % 8) AS spots FROM benchmark) SELECT item_id, array_to_string(list_transform(range(8), lambda i: len(list_filter(spots, lambda p: p = i))), ',') AS v FROM t")
+def _(s, d):
+    from convolake.functions import vectors as V
+
+    v = F.transform(V.stub_embedding(F.col("text"), 8), lambda x: x.cast("long").cast("string"))
+    return A.table(s, d, "benchmark").select("item_id", F.array_join(v, ",").alias("v"))
+
+
+@query("f15_entry_text", "SELECT c_custkey, trim(concat_ws(' ', c_name, nullif(c_mktsegment, ''), CAST(c_nationkey AS VARCHAR))) AS text FROM customer")
+def _(s, d):
+    return A.table(s, d, "customer").select("c_custkey", F.trim(F.concat_ws(" ", "c_name", F.nullif("c_mktsegment", F.lit("")), F.col("c_nationkey").cast("string"))).alias("text"))
+
+
+@query("f38_genuine_text", "SELECT doc_id, CASE WHEN length(text) > 80 THEN substr(text, 1, 77) || '...' ELSE text END AS said FROM documents WHERE NOT (starts_with(text, '<') OR starts_with(text, '[') OR trim(text) = '')")
+def _(s, d):
+    t = F.col("text")
+    rows = A.table(s, d, "documents").where(~(t.startswith("<") | t.startswith("[") | (F.trim(t) == "")))
+    return rows.select("doc_id", F.when(F.length(t) > 80, F.concat(F.substring(t, 1, 77), F.lit("..."))).otherwise(t).alias("said"))
+
+
+@query("f41_size_estimate", "SELECT doc_id, greatest(1, n_chars // 500) AS messages FROM documents")
+def _(s, d):
+    return A.table(s, d, "documents").select("doc_id", F.greatest(F.lit(1), F.expr("n_chars div 500")).cast("long").alias("messages"))
+
+
+@query("f42_home_paths", "SELECT page_id, regexp_replace('/home/u' || page_id || '/x', '^/(?:home|Users)/[^/]+', '~') AS path FROM pages")
+def _(s, d):
+    return A.table(s, d, "pages").select("page_id", T.like_path(F.concat(F.lit("/home/u"), F.col("page_id").cast("string"), F.lit("/x"))).alias("path"))
+
+
+@query("p17_entrypoints", "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN event_type = 'click' THEN 'cli' WHEN event_type = 'view' THEN 'ide' END AS kind FROM events) GROUP BY 1")
+def _(s, d):
+    raw = F.when(F.col("event_type") == "click", "CLI").when(F.col("event_type") == "view", "vscode").otherwise(F.col("event_type"))
+    return A.table(s, d, "events").select(T.entrypoint_kind(raw).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("d11_alias_upsert", "SELECT n_name AS project_path, CASE WHEN n_nationkey < 10 THEN 'new' ELSE r_name END AS identity_key FROM nation JOIN region ON r_regionkey = n_regionkey")
+def _(s, d):
+    p = A.projects(s, d)
+    old = p.select(F.col("project_name").alias("project_path"), "identity_key")
+    return ingest.upsert(old, p.where("project_id < 10").select(F.col("project_name").alias("project_path"), F.lit("new").alias("identity_key")), ["project_path"])
+
+
+@query("d17_chunks", """WITH RECURSIVE o AS (SELECT conv_id AS session_id, turn AS id, strlen(text) AS b, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+f AS (SELECT session_id, n, id, 0 AS chunk, 1 AS k, b AS size FROM o WHERE n = 1 UNION ALL SELECT o.session_id, o.n, o.id, CASE WHEN f.k + 1 > 3 OR f.size + o.b > 900 THEN f.chunk + 1 ELSE f.chunk END, CASE WHEN f.k + 1 > 3 OR f.size + o.b > 900 THEN 1 ELSE f.k + 1 END, CASE WHEN f.k + 1 > 3 OR f.size + o.b > 900 THEN o.b ELSE f.size + o.b END FROM f JOIN o ON o.session_id = f.session_id AND o.n = f.n + 1)
+SELECT session_id, id, CAST(chunk AS BIGINT) AS chunk FROM f""")
+def _(s, d):
+    rows = A.turns(s, d).select("session_id", F.col("seq").alias("id"), F.octet_length("text").cast("long").alias("bytes"))
+    return ingest.chunk_by_bytes(rows, 3, 900)
+
+
+@query("d18_replace_nul", "SELECT doc_id, text || chr(65533) AS text FROM documents WHERE doc_id < 50")
+def _(s, d):
+    return A.table(s, d, "documents").where("doc_id < 50").select("doc_id", T.replace_nul(F.concat("text", F.lit("\0"))).alias("text"))
+
+
+@query("q03_message_scan", "SELECT o_orderkey FROM orders WHERE o_custkey = 10 ORDER BY o_orderdate, o_orderkey LIMIT 50")
+def _(s, d):
+    return browse.browse(A.table(s, d, "orders"), [F.asc("o_orderdate"), F.asc("o_orderkey")], 50, o_custkey=10).select("o_orderkey")
+
+
+@query("q10_missing_columns", "SELECT p_partkey, p_size, CAST(NULL AS VARCHAR) AS tier FROM part")
+def _(s, d):
+    p = A.table(s, d, "part")
+    want = {"p_partkey": "long", "p_size": "int", "tier": "string"}
+    return p.select(*[(F.col(c) if c in p.columns else F.lit(None)).cast(t).alias(c) for c, t in want.items()])

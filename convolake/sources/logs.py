@@ -144,3 +144,56 @@ def git_log(spark: SparkSession, path: str) -> DataFrame:
     """Lines of hash|author|seconds|subject."""
     p = F.split("value", r"\|", 4)
     return spark.read.text(path).where(F.size(p) == 4).select(p[0].alias("commit_id"), p[1].alias("author"), F.timestamp_seconds(p[2].try_cast("long")).alias("committed_at"), p[3].alias("subject"))
+
+
+def json_files(spark: SparkSession, path: str) -> DataFrame:
+    """(session_id, data): one JSON document a file, named by it."""
+    return spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+)\.json$", 1).alias("session_id"), F.col("value").alias("data"))
+
+
+def document_turns(documents: DataFrame, provider: str, array_path: str, fields: dict[str, str]) -> DataFrame:
+    """Turns of (session_id, data) documents that hold them in one array; fields as in chat_records.
+
+    Documents without the array have no turns. Serves stores of one file a session and values of
+    SQLite stores alike.
+    """
+    arr = F.from_json(F.get_json_object("data", array_path), "array<string>")
+    rows = documents.select("session_id", F.posexplode(arr).alias("seq", "value"))
+    cols = {k: _j(p) for k, p in fields.items()}
+    if "ts" in cols:
+        millis = F.timestamp_millis(cols["ts"].try_cast("long"))
+        cols["ts"] = F.coalesce(millis, F.try_to_timestamp(cols["ts"]))
+    for c in cols:
+        if c.endswith("tokens"):
+            n = cols[c].try_cast("long")
+            cols[c] = F.when(n < 0, 0).otherwise(n)
+    return _finish(rows.select("session_id", "seq", F.col("value").alias("raw"), *[c.alias(k) for k, c in cols.items()]), provider)
+
+
+# The array of a store's documents, and where its turns keep what.
+DOCUMENTS = {
+    "continue": ("$.history", {"type": "$.message.role", "role": "$.message.role", "content": "$.message.content"}),
+    "cline": ("$.messages", {"ts": "$.ts", "type": "$.role", "role": "$.role", "content": "$.content"}),
+    "opencode": ("$.messages", {"uuid": "$.id", "ts": "$.time.created", "type": "$.role", "role": "$.role", "model": "$.modelID", "content": "$.parts", "input_tokens": "$.tokens.input", "output_tokens": "$.tokens.output", "cache_creation_tokens": "$.tokens.cache.write", "cache_read_tokens": "$.tokens.cache.read"}),
+    "zed": ("$.messages", {"uuid": "$.id", "type": "$.role", "role": "$.role", "content": "$.segments"}),
+    "amazonq": ("$.history", {"type": "$.role", "role": "$.role", "content": "$.content"}),
+    "forgecode": ("$.messages", {"type": "$.role", "role": "$.role", "content": "$.content", "input_tokens": "$.usage.prompt_tokens", "output_tokens": "$.usage.completion_tokens"}),
+    "trae": ("$.messages", {"uuid": "$.id", "ts": "$.timestamp", "type": "$.role", "role": "$.role", "content": "$.content"}),
+}
+# stores that share another's shape
+DOCUMENTS |= {"pearai": DOCUMENTS["continue"], "kiro": DOCUMENTS["amazonq"], "cursor": DOCUMENTS["trae"], "goose": DOCUMENTS["amazonq"], "crush": DOCUMENTS["amazonq"]}
+
+
+def usage_records(spark: SparkSession, path: str) -> DataFrame:
+    """Usage lines (recordType usage): all four counts are always set."""
+    rows = spark.read.text(path).where(_j("$.recordType") == "usage")
+    counts = {c: F.coalesce(_j(f"$.{k}").try_cast("long"), F.lit(0)) for c, k in (("input_tokens", "inputTokens"), ("output_tokens", "outputTokens"), ("cache_creation_tokens", "cacheCreationTokens"), ("cache_read_tokens", "cacheReadTokens"))}
+    return rows.select(_j("$.sessionId").alias("session_id"), _j("$.model").alias("model"), F.try_to_timestamp(_j("$.timestamp")).alias("ts"), *[e.alias(c) for c, e in counts.items()])
+
+
+def union_of(*providers: DataFrame) -> DataFrame:
+    """One frame of several providers' messages; a provider that is not asked for is simply not passed, and never read."""
+    out = providers[0]
+    for p in providers[1:]:
+        out = out.unionByName(p)
+    return out

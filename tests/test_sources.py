@@ -90,3 +90,20 @@ def test_extraction(spark):
     assert [(r.id, r.tool_use_id, r.is_error) for r in extract.tool_results(m).collect()] == [(4, "t1", True)]
     text = {r.id: r.search_text for r in extract.search_text(m, "content").collect()}
     assert text[1] == "hi Skill pdf Agent x" and text[2] == ""
+
+
+def test_documents(spark, tmp_path):
+    (tmp_path / "c1.json").write_text(json.dumps({"history": [{"message": {"role": "user", "content": "hi"}}, {"message": {"role": "assistant", "content": [{"type": "text", "text": "yo"}]}}]}))
+    (tmp_path / "c2.json").write_text("broken")
+    docs = logs.json_files(spark, f"file://{tmp_path}/*.json")
+    got = logs.document_turns(docs, "continue", *logs.DOCUMENTS["continue"]).orderBy("seq").collect()
+    assert [(r.session_id, r.seq, r.role, r.provider) for r in got] == [("c1", 0, "user", "continue"), ("c1", 1, "assistant", "continue")]
+    one = spark.createDataFrame([("o", json.dumps({"messages": [{"id": "a", "role": "assistant", "time": {"created": 1700000000000}, "tokens": {"input": 5, "output": -1}}]}))], "session_id string, data string")
+    r = logs.document_turns(one, "opencode", *logs.DOCUMENTS["opencode"]).first()
+    assert (r.input_tokens, r.output_tokens, str(r.ts)) == (5, 0, "2023-11-14 22:13:20")
+    assert logs.union_of(logs.document_turns(docs, "a", *logs.DOCUMENTS["pearai"]), logs.document_turns(one, "b", *logs.DOCUMENTS["opencode"])).count() == 3
+
+
+def test_usage_records(spark, tmp_path):
+    path = lines(tmp_path / "usage.jsonl", [{"recordType": "usage", "sessionId": "s", "inputTokens": 3}, {"recordType": "other"}])
+    assert [(r.session_id, r.input_tokens, r.output_tokens) for r in logs.usage_records(spark, path).collect()] == [("s", 3, 0)]
