@@ -261,7 +261,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 #: 64-bit words of the longer fingerprint; bits within which a pair is surely similar, and within
 #: which it may be (for a similarity of 0.8: three deviations below, two above the mean distance).
 WORDS, SURE, MAYBE = 4, 22, 50
-#: Chance to meet for a pair at the similarity; pairs a document that are verified at once.
+#: Chance to meet for a pair at the similarity; pairs of a component that are verified at first.
 FOUND, AT_ONCE = 0.9, 4
 
 
@@ -291,8 +291,8 @@ def _bands(n: int, similarity: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - FOUND) / math.log(1 - alike))
 
 
-def _similar_pairs(distinct: DataFrame, similarity: float) -> DataFrame:
-    """(u, v, d) of distinct documents (rep, s0..s3): spanning edges of sure pairs (d = 0), and pairs that may be similar."""
+def _band_rows(distinct: DataFrame, similarity: float) -> DataFrame:
+    """(key, rep, s0..s3): each distinct document once for every band of fingerprint bits."""
     spark = distinct.sparkSession
     bits, count = _bands(distinct.count(), similarity)
     rng = np.random.default_rng(11)
@@ -308,39 +308,77 @@ def _similar_pairs(distinct: DataFrame, similarity: float) -> DataFrame:
             again = pa.array(np.repeat(np.arange(len(fp)), count))
             yield pa.record_batch([pa.array(keys.ravel()), *[b.column(c).take(again) for c in ("rep", *names)]], names=["key", "rep", *names])
 
-    rows = distinct.where("rep is not null").select("rep", *names).mapInArrow(keyed, "key long, rep long, " + ", ".join(f"{c} long" for c in names))
-    rows = cut(rows)
+    return cut(distinct.where("rep is not null").select("rep", *names).mapInArrow(keyed, "key long, rep long, " + ", ".join(f"{c} long" for c in names)))
+
+
+def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the edges (a[i], b[i]), best ones first, join different labels without a circle."""
+    n, chosen = len(label), [np.zeros(0, dtype=np.int64)]
+    open_ = np.flatnonzero(label[a] != label[b])
+    while len(open_):
+        best = np.full(n, len(a))
+        np.minimum.at(best, label[a[open_]], open_)
+        np.minimum.at(best, label[b[open_]], open_)
+        pick = np.unique(best[best < len(a)])
+        chosen.append(pick)
+        label = local_forest(n, [(np.arange(n), label), (a[pick], b[pick])])
+        open_ = open_[label[a[open_]] != label[b[open_]]]
+    return np.concatenate(chosen)
+
+
+def _similar_pairs(rows: DataFrame, forest: bool) -> DataFrame:
+    """(u, v, d) of band rows with a column comp: spanning edges of sure pairs (d = 0), and pairs that may be similar.
+
+    Pairs inside one comp are left out. With forest, a run of tiles gives of its open pairs only the
+    closest ones that span them, so that a group of near copies gives no more pairs than members.
+    """
+    spark, names = rows.sparkSession, [f"s{i}" for i in range(WORDS)]
     # written first: a join over the aggregation's own exchange could not be split where one key is common
     sizes = cut(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     chunks = F.ceil(F.col("size") / TILE).cast("int")
     rows = rows.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("rep"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    tiles = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", *names)
+    tiles = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "comp", *names)
     tiles = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     small_batches(spark, 10_000)
 
     def run(batches):
-        for c, at in runs(batches, ["key", "i", "j", "rep", *names], ["key", "i", "j"]):
+        for c, at in runs(batches, ["key", "i", "j", "rep", "comp", *names], ["key", "i", "j"]):
             fp = np.stack([c[x] for x in names], axis=1).view(np.uint64)
-            rep, n = c["rep"], len(fp)
-            node, where = np.unique(rep, return_inverse=True)
-            label, found = np.arange(len(node)), [[], [], []]
+            node, first, where = np.unique(c["rep"], return_index=True, return_inverse=True)
+            _, head, back = np.unique(c["comp"][first], return_index=True, return_inverse=True)
+            label = head[back]  # members of one comp are linked from the start
+            sure_at, held, size = label.copy(), [], 0
+            out = lambda x, y, d: pa.record_batch([pa.array(np.maximum(node[x], node[y])), pa.array(np.minimum(node[x], node[y])), pa.array(d)], names=["u", "v", "d"])
+
+            def still_open():
+                a, b, d = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (zip(*held) if held else ([], [], [])))
+                keep = np.flatnonzero(label[a] != label[b])
+                if forest:
+                    keep = keep[np.lexsort((np.minimum(a, b)[keep], np.maximum(a, b)[keep], d[keep]))]
+                    keep = keep[_forest(label, a[keep], b[keep])]
+                return a[keep], b[keep], d[keep]
+
             for a, b in _tile_pairs(fp, at, MAYBE):
                 d = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int64)
                 a, b = where[a], where[b]
                 sure = d <= SURE
                 if sure.any():
                     label = local_forest(len(node), [(np.arange(len(node)), label), (a[sure], b[sure])])
-                open_ = label[a] != label[b]
-                for held, x in zip(found, (a, b, d)):
-                    held.append(x[open_])
-            none = np.zeros(0, dtype=np.int64)
-            a, b, d = (np.concatenate([none, *x]) for x in found)
-            open_ = label[a] != label[b]
-            own = np.flatnonzero(label != np.arange(len(node)))
-            u, v = np.concatenate([node[own], node[a[open_]]]), np.concatenate([node[label[own]], node[b[open_]]])
-            yield pa.record_batch([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v)), pa.array(np.concatenate([np.zeros(len(own), dtype=np.int64), d[open_] + 1]))], names=["u", "v", "d"])
-
-    return cut(tiles.mapInArrow(run, "u long, v long, d long").groupBy("u", "v").agg(F.min("d").alias("d")))
+                across = label[a] != label[b]
+                held.append((a[across], b[across], d[across] + 1))
+                size += int(across.sum())
+                if size > 1 << 20:
+                    if forest:
+                        held = [still_open()]
+                        size = len(held[0][0])
+                    else:
+                        yield out(*still_open())
+                        held, size = [], 0
+            own = np.flatnonzero(label != sure_at)
+            yield out(own, label[own], np.zeros(len(own), dtype=np.int64))
+            yield out(*still_open())
+
+    return cut(tiles.mapInArrow(run, "u long, v long, d long").where("u <> v").groupBy("u", "v").agg(F.min("d").alias("d")))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
@@ -369,8 +407,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Copies (equal words) are one document; distinct ones meet in bands of fingerprint bits, are
     compared bit-sliced, and pairs that are not surely similar are decided by their shingles. Pairs
-    within a component need no decision. Where there are more open pairs than AT_ONCE a document, each
-    component's closest ones are decided first, until every pair is decided or inside a component.
+    within a component need no decision: the closest pairs that span a tile are decided first. Where
+    some are refused, the tiles of those components are read again for all pairs between components;
+    each component's AT_ONCE closest are decided, then four times as many, until none is open.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -388,23 +427,28 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     rows = cut(frame.mapInArrow(marked, "id long, copy binary, " + ", ".join(f"{c} long" for c in names)))
     distinct = cut(rows.groupBy("copy").agg(F.min("id").alias("rep"), *[F.min(c).alias(c) for c in names]))
-    pairs = _similar_pairs(distinct, similarity)
-    sure = pairs.where("d = 0").select("u", "v")
-    comp = cut(components(sure))
+    banded = _band_rows(distinct, similarity)
+    pairs = _similar_pairs(banded.withColumn("comp", F.col("rep")), forest=True)
     texts = frame.select(F.col("id").alias("rep"), "text").dropDuplicates(["rep"])
-    open_ = _across(pairs.where("d > 0"), comp)
-    limit, edges = AT_ONCE * distinct.count(), sure
-    while (n := open_.count()) > 0:
-        now = open_.select("u", "v")
-        if n > limit:
+    edges = pairs.where("d = 0").select("u", "v")
+    comp = cut(components(edges))
+    judged = _verified(_across(pairs.where("d > 0"), comp).select("u", "v"), texts, similarity, shingle)
+    edges = cut(edges.unionByName(judged.where("ok").select("u", "v")))
+    comp = cut(components(edges))
+    # a pair between two components met beside a spanning pair that was refused at each of them
+    member = distinct.where("rep is not null").join(comp, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("comp"))
+    refused = judged.where("not ok").select(F.explode(F.array("u", "v")).alias("rep")).join(member, "rep").select("comp").distinct()
+    again = cut(member.join(refused, "comp", "left_semi"))
+    if not again.isEmpty():
+        pairs = _similar_pairs(banded.join(again, "rep"), forest=False)
+        open_, quota = _across(pairs.where("d > 0").join(judged, ["u", "v"], "left_anti"), comp), max(1, AT_ONCE)
+        while not open_.isEmpty():
             w = Window.partitionBy("cu").orderBy("d", "u", "v")
-            now = open_.withColumn("place", F.row_number().over(w)).where("place <= 8").select("u", "v")
-        judged = _verified(now, texts, similarity, shingle)
-        edges = cut(edges.unionByName(judged.where("ok").select("u", "v")))
-        comp = cut(components(edges))
-        if n <= limit:
-            break
-        open_ = _across(open_.join(judged.select("u", "v"), ["u", "v"], "left_anti").select("u", "v", "d"), comp)
+            now = open_.withColumn("place", F.row_number().over(w)).where(F.col("place") <= quota).select("u", "v")
+            judged = _verified(now, texts, similarity, shingle)
+            edges = cut(edges.unionByName(judged.where("ok").select("u", "v")))
+            comp = cut(components(edges))
+            open_, quota = _across(open_.join(judged, ["u", "v"], "left_anti").select("u", "v", "d"), comp), quota * 4
     small_batches(spark)
     where = distinct.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("copy").alias("_copy"), F.coalesce("component", "rep").alias("component_id"))
     return rows.join(where, F.col("copy") == F.col("_copy")).select(F.col("id").alias(id_col), "component_id")
