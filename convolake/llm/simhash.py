@@ -258,9 +258,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 # Documents that share most of their word shingles: longer fingerprints find the pairs, the shingles decide.
 
-#: 64-bit words of the longer fingerprint; bits within which a pair is surely similar, and within
-#: which it may be (for a similarity of 0.8: three deviations below, two above the mean distance).
-WORDS, SURE, MAYBE = 4, 22, 50
+#: 64-bit words of the longer fingerprint; bits within which a pair may be similar (for a similarity
+#: of 0.8: two deviations above the mean distance).
+WORDS, MAYBE = 4, 50
 #: Chance to meet for a pair at the similarity; pairs of a component that are verified at first.
 FOUND, AT_ONCE = 0.9, 4
 
@@ -327,7 +327,7 @@ def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _similar_pairs(rows: DataFrame, forest: bool) -> DataFrame:
-    """(u, v, d) of band rows with a column comp: spanning edges of sure pairs (d = 0), and pairs that may be similar.
+    """(u, v, d) of band rows with a column comp: pairs that may be similar, with their distance. None is taken unread.
 
     Pairs inside one comp are left out. With forest, a run of tiles gives of its open pairs only the
     closest ones that span them, so that a group of near copies gives no more pairs than members.
@@ -347,7 +347,7 @@ def _similar_pairs(rows: DataFrame, forest: bool) -> DataFrame:
             node, first, where = np.unique(c["rep"], return_index=True, return_inverse=True)
             _, head, back = np.unique(c["comp"][first], return_index=True, return_inverse=True)
             label = head[back]  # members of one comp are linked from the start
-            sure_at, held, size = label.copy(), [], 0
+            held, size = [], 0
             out = lambda x, y, d: pa.record_batch([pa.array(np.maximum(node[x], node[y])), pa.array(np.minimum(node[x], node[y])), pa.array(d)], names=["u", "v", "d"])
 
             def still_open():
@@ -361,11 +361,8 @@ def _similar_pairs(rows: DataFrame, forest: bool) -> DataFrame:
             for a, b in _tile_pairs(fp, at, MAYBE):
                 d = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int64)
                 a, b = where[a], where[b]
-                sure = d <= SURE
-                if sure.any():
-                    label = local_forest(len(node), [(np.arange(len(node)), label), (a[sure], b[sure])])
                 across = label[a] != label[b]
-                held.append((a[across], b[across], d[across] + 1))
+                held.append((a[across], b[across], d[across]))
                 size += int(across.sum())
                 if size > 1 << 20:
                     if forest:
@@ -374,8 +371,6 @@ def _similar_pairs(rows: DataFrame, forest: bool) -> DataFrame:
                     else:
                         yield out(*still_open())
                         held, size = [], 0
-            own = np.flatnonzero(label != sure_at)
-            yield out(own, label[own], np.zeros(len(own), dtype=np.int64))
             yield out(*still_open())
 
     return cut(tiles.mapInArrow(run, "u long, v long, d long").where("u <> v").groupBy("u", "v").agg(F.min("d").alias("d")))
@@ -406,7 +401,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: id, component_id (smallest id reachable over pairs of at least the similarity).
 
     Copies (equal words) are one document; distinct ones meet in bands of fingerprint bits, are
-    compared bit-sliced, and pairs that are not surely similar are decided by their shingles. Pairs
+    compared bit-sliced, and every pair that links is decided by its shingles. Pairs
     within a component need no decision: the closest pairs that span a tile are decided first. Where
     some are refused, the tiles of those components are read again for all pairs between components;
     each component's AT_ONCE closest are decided, then four times as many, until none is open.
@@ -430,10 +425,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     banded = _band_rows(distinct, similarity)
     pairs = _similar_pairs(banded.withColumn("comp", F.col("rep")), forest=True)
     texts = frame.select(F.col("id").alias("rep"), "text").dropDuplicates(["rep"])
-    edges = pairs.where("d = 0").select("u", "v")
-    comp = cut(components(edges))
-    judged = _verified(_across(pairs.where("d > 0"), comp).select("u", "v"), texts, similarity, shingle)
-    edges = cut(edges.unionByName(judged.where("ok").select("u", "v")))
+    judged = _verified(pairs.select("u", "v"), texts, similarity, shingle)
+    edges = judged.where("ok").select("u", "v")
     comp = cut(components(edges))
     # a pair between two components met beside a spanning pair that was refused at each of them
     member = distinct.where("rep is not null").join(comp, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("comp"))
@@ -441,7 +434,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = cut(member.join(refused, "comp", "left_semi"))
     if not again.isEmpty():
         pairs = _similar_pairs(banded.join(again, "rep"), forest=False)
-        open_, quota = _across(pairs.where("d > 0").join(judged, ["u", "v"], "left_anti"), comp), max(1, AT_ONCE)
+        open_, quota = _across(pairs.join(judged, ["u", "v"], "left_anti"), comp), max(1, AT_ONCE)
         while not open_.isEmpty():
             w = Window.partitionBy("cu").orderBy("d", "u", "v")
             now = open_.withColumn("place", F.row_number().over(w)).where(F.col("place") <= quota).select("u", "v")
