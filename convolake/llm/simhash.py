@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, small_batches
+from .common import components, cut, drop, small_batches
 
 #: Rows of one comparison tile; larger buckets are cut into tiles of two chunks.
 TILE = 2048
@@ -256,13 +256,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marked.join(where, F.col("fp") == F.col("_fp")).select(F.col("id").alias(id_col), "fingerprint", "component_id")
 
 
-# Documents that share most of their word shingles: longer fingerprints find the pairs, the shingles decide.
+# Documents that share most of their word shingles: common rare shingles find the pairs, the shingle sets decide.
 
-#: 64-bit words of the longer fingerprint; bits within which a pair may be similar (for a similarity
-#: of 0.8: two deviations above the mean distance).
-WORDS, MAYBE = 4, 50
-#: Chance to meet for a pair at the similarity; pairs of a component that are verified at first.
-FOUND, AT_ONCE = 0.9, 4
+#: 64-bit words of a parity bitmap; pairs of a component that are verified at first.
+WORDS, AT_ONCE = 8, 4
+#: Documents whose shingles are counted for the order of shingles, and shingles of which the count is kept.
+#: Any order gives the same pairs; with common shingles last fewer documents meet.
+SAMPLE, COMMON = 4096, 1 << 17
 
 
 def _shingles(text: str | None, shingle: int) -> set[bytes]:
@@ -270,45 +270,91 @@ def _shingles(text: str | None, shingle: int) -> set[bytes]:
     return {b" ".join(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set()
 
 
-def _long_fingerprint(shingles: set[bytes]) -> list[int]:
-    """WORDS * 64 bits, each set if the mixed hashes of over half the distinct shingles have it."""
-    if not shingles:
-        return [0] * WORDS
-    h = np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], dtype=np.uint64)
-    ones = np.zeros(64 * WORDS, dtype=np.int64)
-    for i in range(0, len(h), 1 << 13):
-        x = h[i : i + (1 << 13), None] + np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        ones += _bits(x ^ (x >> np.uint64(31))).sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(h), bitorder="little").view("<i8").tolist()
-
-
-def _bands(n: int, similarity: float) -> tuple[int, int]:
-    """(bits of a band, number of bands) for n distinct documents."""
-    bits = min(24, max(8, math.ceil(math.log2(max(n, 2))) - 1))
-    alike = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** bits
-    return bits, math.ceil(math.log(1 - FOUND) / math.log(1 - alike))
-
-
-def _band_rows(distinct: DataFrame, similarity: float) -> DataFrame:
-    """(key, rep, s0..s3): each distinct document once for every band of fingerprint bits."""
-    spark = distinct.sparkSession
-    bits, count = _bands(distinct.count(), similarity)
-    rng = np.random.default_rng(11)
-    places = np.stack([rng.permutation(64 * WORDS)[:bits] for _ in range(count)])
-    names = [f"s{i}" for i in range(WORDS)]
-    small_batches(spark, 2000)
+def _hashes(shingles: set[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], dtype=np.uint64)
+
+
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    """WORDS words, each bit the parity of the hashes that fall on it: sets that differ in n shingles differ in at most n bits."""
+    odd = np.bincount((hashes % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
 
-    def keyed(batches):
+def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of the most common shingles of some SAMPLE texts."""
+    share = min(1.0, SAMPLE / max(1, texts.count()))
+    small_batches(texts.sparkSession)
+
+    def run(batches):
         for b in batches:
-            fp = np.stack([b.column(c).to_numpy() for c in names], axis=1)
-            on = _bits(fp.view(np.uint64)).astype(np.int64)
-            keys = (on[:, places] << np.arange(bits)).sum(axis=2) | (np.arange(count, dtype=np.int64) << 32)
-            again = pa.array(np.repeat(np.arange(len(fp)), count))
-            yield pa.record_batch([pa.array(keys.ravel()), *[b.column(c).take(again) for c in ("rep", *names)]], names=["key", "rep", *names])
+            for t in b.column("text").to_pylist():
+                yield pa.record_batch([pa.array(_hashes(_shingles(t, shingle)).view(np.int64))], names=["h"])
+
+    some = texts.where(F.col("rep").isNotNull() & (F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
+    top = some.mapInArrow(run, "h long").groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect()
+    h, n = np.array([r[0] for r in top], dtype=np.int64).view(np.uint64), np.array([r[1] for r in top], dtype=np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
 
-    return cut(distinct.where("rep is not null").select("rep", *names).mapInArrow(keyed, "key long, rep long, " + ", ".join(f"{c} long" for c in names)))
+
+def _prefix(hashes: np.ndarray, common: tuple, similarity: float) -> np.ndarray:
+    """The rarest of a document's shingles, so many that it shares one of them with each document of the similarity."""
+    n = len(hashes)
+    if not n:
+        return hashes
+    known, counts = common
+    rank = np.zeros(n, dtype=np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        rank = np.where(known[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, rank))[: n - math.ceil(similarity * n - 1e-6) + 1]]
+
+
+def _prefix_rows(rows: DataFrame, common: tuple, similarity: float, shingle: int) -> DataFrame:
+    """(key, rep): each document (rep, text) once for every shingle of its prefix that another one has in its own."""
+    small_batches(rows.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            keys = [_prefix(_hashes(_shingles(t, shingle)), common, similarity) for t in b.column("text").to_pylist()]
+            rep = b.column("rep").take(pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys])))
+            yield pa.record_batch([pa.array(np.concatenate(keys or [np.zeros(0, dtype=np.uint64)]).view(np.int64)), rep], names=["key", "rep"])
+
+    found = cut(rows.mapInArrow(run, "key long, rep long"))
+    # written first: a join over the aggregation's own exchange could not be split where one key is common
+    sizes = cut(found.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    out = cut(found.join(sizes.select("key"), "key", "left_semi"))
+    drop(found)
+    drop(sizes)
+    return out
+
+
+def _may_be_similar(fp: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float):
+    """Which pairs of rows can have the similarity by their sizes and parity bitmaps, and how many bits of a thousandth these differ in."""
+    ham = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=-1, dtype=np.int64)
+    both, low, high = n[a] + n[b], np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+    may = (ham * (1 + similarity) <= both * (1 - similarity) + 1e-6) & (low + 1e-6 >= similarity * high)
+    return may, ham * 1000 // np.maximum(both, 1)
+
+
+def _run_pairs(fp: np.ndarray, n: np.ndarray, bounds: np.ndarray, similarity: float):
+    """Arrays (a, b, d) of the rows inside each run bounds[i]:bounds[i + 1] that may be similar, block by block."""
+    sizes = np.diff(bounds)
+    small = sizes <= 64
+    for d in range(1, int(sizes[small].max(initial=1))):
+        some = small & (sizes > d)
+        ends = np.cumsum(sizes[some] - d)
+        first = np.repeat(bounds[:-1][some] - ends + sizes[some] - d, sizes[some] - d) + np.arange(ends[-1] if len(ends) else 0)
+        for i in range(0, len(first), 1 << 16):
+            part = first[i : i + (1 << 16)]
+            may, far = _may_be_similar(fp, n, part, part + d, similarity)
+            yield part[may], part[may] + d, far[may]
+    for s, e in zip(bounds[:-1][~small], bounds[1:][~small]):
+        for i in range(s, e, 64):
+            a, b = np.arange(i, min(i + 64, e))[:, None], np.arange(s, min(i + 64, e))[None, :]
+            may, far = _may_be_similar(fp, n, a, b, similarity)
+            q, r = np.nonzero(may & (b < a))
+            yield q + i, r + s, far[q, r]
 
 
 def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -326,8 +372,8 @@ def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate(chosen)
 
 
-def _similar_pairs(rows: DataFrame, forest: bool) -> DataFrame:
-    """(u, v, d) of band rows with a column comp: pairs that may be similar, with their distance. None is taken unread.
+def _similar_pairs(rows: DataFrame, similarity: float, forest: bool) -> DataFrame:
+    """(u, v, d) of prefix rows with columns comp, n and bitmap: pairs that may be similar, with their distance. None is taken unread.
 
     Pairs inside one comp are left out. With forest, a run of tiles gives of its open pairs only the
     closest ones that span them, so that a group of near copies gives no more pairs than members.
@@ -337,12 +383,12 @@ def _similar_pairs(rows: DataFrame, forest: bool) -> DataFrame:
     sizes = cut(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     chunks = F.ceil(F.col("size") / TILE).cast("int")
     rows = rows.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("rep"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    tiles = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "comp", *names)
+    tiles = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "comp", "n", *names)
     tiles = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     small_batches(spark, 10_000)
 
     def run(batches):
-        for c, at in runs(batches, ["key", "i", "j", "rep", "comp", *names], ["key", "i", "j"]):
+        for c, at in runs(batches, ["key", "i", "j", "rep", "comp", "n", *names], ["key", "i", "j"]):
             fp = np.stack([c[x] for x in names], axis=1).view(np.uint64)
             node, first, where = np.unique(c["rep"], return_index=True, return_inverse=True)
             _, head, back = np.unique(c["comp"][first], return_index=True, return_inverse=True)
@@ -358,8 +404,7 @@ def _similar_pairs(rows: DataFrame, forest: bool) -> DataFrame:
                     keep = keep[_forest(label, a[keep], b[keep])]
                 return a[keep], b[keep], d[keep]
 
-            for a, b in _tile_pairs(fp, at, MAYBE):
-                d = np.bitwise_count(fp[a] ^ fp[b]).sum(axis=1, dtype=np.int64)
+            for a, b, d in _run_pairs(fp, c["n"], at, similarity):
                 a, b = where[a], where[b]
                 across = label[a] != label[b]
                 held.append((a[across], b[across], d[across]))
@@ -378,8 +423,8 @@ def _similar_pairs(rows: DataFrame, forest: bool) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """The pairs (u, v) whose texts' shingle sets have at least the similarity."""
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct()
-    mine = cut(texts.join(needed, "rep", "left_semi"))
+    needed = cut(pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct())
+    mine = cut(texts.join(needed, "rep", "left_semi").dropDuplicates(["rep"]))
     both = pairs.join(mine.select(F.col("rep").alias("u"), F.col("text").alias("a")), "u").join(mine.select(F.col("rep").alias("v"), F.col("text").alias("b")), "v")
     small_batches(pairs.sparkSession, 64)
 
@@ -400,8 +445,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: in
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """One row per document: id, component_id (smallest id reachable over pairs of at least the similarity).
 
-    Copies (equal words) are one document; distinct ones meet in bands of fingerprint bits, are
-    compared bit-sliced, and every pair that links is decided by its shingles. Pairs
+    Copies (equal words) are one document. Distinct ones meet where they share one of their rarest
+    shingles (of n all but ceil(similarity * n) - 1, which pairs of the similarity always do), sizes
+    and parity bitmaps leave out pairs that cannot be similar, and every pair that links is decided
+    by its shingles: no pair is lost. Pairs
     within a component need no decision: the closest pairs that span a tile are decided first. Where
     some are refused, the tiles of those components are read again for all pairs between components;
     each component's AT_ONCE closest are decided, then four times as many, until none is open.
@@ -413,18 +460,22 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def marked(batches):
         for b in batches:
-            digests, sigs = [], []
+            digests, sigs, sizes = [], [], []
             for t in b.column("text").to_pylist():
                 digests.append(xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())))
-                sigs.append(_long_fingerprint(_shingles(t, shingle)))
+                h = _hashes(_shingles(t, shingle))
+                sigs.append(_parity(h))
+                sizes.append(len(h))
             sigs = np.array(sigs, dtype=np.int64).reshape(-1, WORDS)
-            yield pa.record_batch([b.column("id"), pa.array(digests, pa.binary()), *[pa.array(sigs[:, i]) for i in range(WORDS)]], names=["id", "copy", *names])
-
-    rows = cut(frame.mapInArrow(marked, "id long, copy binary, " + ", ".join(f"{c} long" for c in names)))
-    distinct = cut(rows.groupBy("copy").agg(F.min("id").alias("rep"), *[F.min(c).alias(c) for c in names]))
-    banded = _band_rows(distinct, similarity)
-    pairs = _similar_pairs(banded.withColumn("comp", F.col("rep")), forest=True)
-    texts = frame.select(F.col("id").alias("rep"), "text").dropDuplicates(["rep"])
+            yield pa.record_batch([b.column("id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), *[pa.array(sigs[:, i]) for i in range(WORDS)]], names=["id", "copy", "n", *names])
+
+    rows = cut(frame.mapInArrow(marked, "id long, copy binary, n long, " + ", ".join(f"{c} long" for c in names)))
+    distinct = cut(rows.groupBy("copy").agg(F.min("id").alias("rep"), *[F.min(c).alias(c) for c in ("n", *names)]))
+    known = distinct.where("rep is not null").select("rep", "n", *names)
+    texts = frame.select(F.col("id").alias("rep"), "text")
+    met = _prefix_rows(texts.join(known.select("rep"), "rep", "left_semi"), _common(texts, shingle), similarity, shingle)
+    banded = met.join(known, "rep")
+    pairs = _similar_pairs(banded.withColumn("comp", F.col("rep")), similarity, forest=True)
     judged = _verified(pairs.select("u", "v"), texts, similarity, shingle)
     edges = judged.where("ok").select("u", "v")
     comp = cut(components(edges))
@@ -433,7 +484,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     refused = judged.where("not ok").select(F.explode(F.array("u", "v")).alias("rep")).join(member, "rep").select("comp").distinct()
     again = cut(member.join(refused, "comp", "left_semi"))
     if not again.isEmpty():
-        pairs = _similar_pairs(banded.join(again, "rep"), forest=False)
+        pairs = _similar_pairs(banded.join(again, "rep"), similarity, forest=False)
         open_, quota = _across(pairs.join(judged, ["u", "v"], "left_anti"), comp), max(1, AT_ONCE)
         while not open_.isEmpty():
             w = Window.partitionBy("cu").orderBy("d", "u", "v")

@@ -24,3 +24,25 @@ def test_near_dedup_links_nothing_unread(spark):
     texts = [" ".join(w), " ".join(w[:-9] + [f"v{rng.randrange(10**6)}" for _ in range(9)])]
     assert 0.79 < similarity(*texts) < 0.8
     assert components_of(spark, texts) == {0: 0, 1: 1}
+
+
+def test_near_dedup_finds_every_pair(spark):
+    # eight words and one more: 4 of 5 shingles; longer texts just at or above 0.8
+    rng = random.Random(8)
+    texts, want = [], {}
+    for size, changed in [(8, 0)] * 60 + [(94, 10)] * 40 + [(184, 20)] * 20:
+        w = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        other = w[: size - changed] + [f"v{rng.randrange(10**6)}" for _ in range(changed or 1)]
+        assert 0.8 <= similarity(" ".join(w), " ".join(other)) < 0.802
+        want |= {len(texts): len(texts), len(texts) + 1: len(texts)}
+        texts += [" ".join(w), " ".join(other)]
+    assert components_of(spark, texts) == want
+
+
+def test_parity_bitmaps_never_exceed_the_difference():
+    rng = np.random.default_rng(4)
+    for size in (1, 5, 100, 3000):
+        a = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+        b = np.concatenate((a[: size // 2], rng.integers(0, 1 << 63, size, dtype=np.uint64)))
+        bits = int(np.bitwise_count((simhash._parity(a) ^ simhash._parity(b)).view(np.uint64)).sum())
+        assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
