@@ -83,8 +83,8 @@ def anchors(pieces: list[bytes]):
     return piece[change], h[p].view(np.int64), p, start[change], start[last], raw
 
 
-def suffix_ranks(data: np.ndarray):
-    """Ranks of all suffixes by their first 8, 16, ... 512 bytes (zeros follow the end)."""
+def suffix_ranks(data: np.ndarray, most: int):
+    """Ranks of all suffixes by their first 8, 16, ... bytes, up to at least most (zeros follow the end)."""
     n = len(data)
     word = np.zeros(n + 8, dtype=np.uint64)
     word[:n] = data
@@ -92,7 +92,7 @@ def suffix_ranks(data: np.ndarray):
         word = (word << np.uint64(8 * shift)) | np.append(word[shift:], np.zeros(shift, dtype=np.uint64))
     rank = np.unique(word[:n], return_inverse=True)[1].astype(np.int64)
     out, length = [rank], 8
-    while length < 512:
+    while length < most:
         after = np.zeros(n, dtype=np.int64)
         after[: n - length] = rank[length:] + 1
         rank = np.unique(rank * (n + 1) + after, return_inverse=True)[1].astype(np.int64)
@@ -120,7 +120,7 @@ def maximal_repeats(data: np.ndarray, starts: np.ndarray, room: np.ndarray, befo
     where its text begins. Returns the sorted suffixes (indices into starts) and intervals (first, last,
     length) in their order: all occurrences of a repeat are the suffixes first..last.
     """
-    ranks = suffix_ranks(data)
+    ranks = suffix_ranks(data, int(room.max(initial=0)))
     order = np.argsort(ranks[-1][starts], kind="stable")
     a, b = starts[order[:-1]], starts[order[1:]]
     lcp = common_prefixes(ranks, data, a, b, np.minimum(room[order[:-1]], room[order[1:]]))
@@ -216,8 +216,8 @@ def _compare(batches):
         rows = len(c["h"])
         texts = c["data"].tolist()
         size = np.array([len(t) for t in texts], dtype=np.int64)
-        begin = np.cumsum(size) - size
-        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        begin = np.cumsum(size + 1) - size - 1
+        data = np.frombuffer(b"\xff".join(texts), dtype=np.uint8)  # no byte of UTF-8: a segment's end differs from what goes on
         many = size - SPAN + 1
         seg = np.repeat(np.arange(rows), many)
         place = np.arange(len(seg)) - np.repeat(np.cumsum(many) - many, many)
