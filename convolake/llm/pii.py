@@ -47,7 +47,7 @@ PATTERNS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text with any entity has; it spares most texts the longer patterns.
-_HINT = r"[0-9@=]|:\s{0,2}[\"']?[A-Za-z0-9+/_-]{8}|[\p{Lu}г]\p{L}{1,15} \p{Lu}\p{Ll}|(?:" + "|".join(MALE_TITLES + FEMALE_TITLES + TITLES) + r")\. \p{Lu}"
+_HINT = r"[0-9@=]|:\s{0,2}[\"']?[A-Za-z0-9+/_-]{8}|[\p{Lu}г]\p{L}{1,15} \p{Lu}\p{Ll}|(?:" + "|".join(MALE_TITLES + FEMALE_TITLES + TITLES) + r")\. \p{Lu}|AKIA|gh[pousr]_|sk-|[a-f]{32}"
 _SECRET_HEAD = r"^(.*?[=:]\s{0,2}[\"']?)([A-Za-z0-9+/_-]+)$"
 #: Draws after which a surrogate is made longer instead of being drawn once more.
 DRAWS = 24
