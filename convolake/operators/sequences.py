@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from convolake.llm.common import cut, drop
+
 
 def break_periods(rows: DataFrame, gap_minutes: int = 120) -> DataFrame:
     """Active minutes of a session: periods end at gaps over gap_minutes; each counts one minute at least."""
@@ -79,17 +81,19 @@ def leader_groups(rows: DataFrame, seconds: float) -> DataFrame:
     return ordered.mapInPandas(run, schema)
 
 
-def tree_depths(edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def tree_depths(edges: DataFrame) -> DataFrame:
     """Depth and root of each node of a forest (node, parent), by doubling the distance looked back.
 
-    Each round joins nodes with the ancestors found so far, so a chain of depth d needs log2(d) rounds;
-    a node that never meets a root (a cycle) is left out.
+    Each round joins nodes with the ancestors found so far, so a chain of depth d needs log2(d) rounds, however
+    deep; a node that never meets a root (a cycle, a missing parent) is left out after log2(number of nodes) rounds.
     """
-    now = edges.select("node", F.coalesce("parent", "node").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"))
-    step = 1
-    while step < max_depth:
-        other = now.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
-        now = now.join(other, "up", "left").select("node", F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-        step *= 2
-    roots = edges.where("parent is null").select(F.col("node").alias("root"))
-    return now.join(roots, F.col("up") == F.col("root")).select("node", "root", "depth")
+    root = F.col("parent").isNull()
+    now = cut(edges.select("node", F.coalesce("parent", "node").alias("up"), F.when(root, 0).otherwise(1).alias("depth"), root.alias("done")))
+    for _ in range(now.count().bit_length() + 1):
+        if now.where("not done").isEmpty():
+            break
+        other = now.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"), F.col("done").alias("done2"))
+        far = now.where("not done").join(other, "up").select("node", F.col("up2").alias("up"), F.try_add("depth", "more").alias("depth"), F.col("done2").alias("done"))
+        last, now = now, cut(far.unionByName(now.where("done")))
+        drop(last)
+    return now.where("done").select("node", F.col("up").alias("root"), "depth")
