@@ -1,10 +1,11 @@
 """Chat formatting in budgeted windows.
 
-Turns of a conversation are laid out in windows of at most `budget` tokens. Prefix sums of turn
-tokens choose turn-aligned spans; every window starts with the conversation's system turn, then
-repeats at most `history` tokens (and HISTORY_TURNS turns) before its span. Only the assistant
-turns of the span itself are targets, so a repeated turn is masked and each target occurs once. A
-turn larger than the budget has a window of its own; nothing is cut.
+Turns of a conversation are laid out in windows of at most `budget` tokens, counted on the turns
+as formatted. Prefix sums of turn tokens choose turn-aligned spans; every window starts with the
+conversation's system turn, then repeats at most `history` tokens (and HISTORY_TURNS turns) before
+its span. Only the assistant turns of the span itself are targets, so a repeated turn is masked and
+each target occurs once. Where a turn doesn't fit beside what is repeated, the oldest history goes
+first and the system turn last; a turn larger than the budget is a window alone; nothing is cut.
 
 Template: ``### role: text</turn>`` and a newline. A backslash precedes each backslash, ``### ``
 and ``</turn>`` of a text (in a role also each colon), which unescaping undoes.
@@ -24,12 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab as V
-from .common import small_batches
 from .token_counts import Counter
 
 BUDGET, HISTORY, HISTORY_TURNS = 512, 128, 8
-#: Tokens that the marks of a turn take.
-MARKS = 8
 
 _CONTROL = re.compile(r"\\|### |</turn>")
 _ROLE_CONTROL = re.compile(r"\\|### |</turn>|:")
@@ -70,13 +68,17 @@ class _Windows:
         self.budget, self.history = budget, history
         self.system, self.past, self.span, self.number = None, [], [], 0
         self.total, self.start = 0, 0  # prefix sum of tokens so far, and where the span started
+        self.alone = False  # the span's first turn leaves no room for the system turn
 
     def add(self, role: str, text: str, tokens: int):
         """A finished window if the turn doesn't fit in the one that is open, else None."""
-        tokens += MARKS
         out = None
         if self.span and self._held() + self.total - self.start + tokens > self.budget:
             out = self.close()
+        if not self.span:
+            while self.past and self._held() + tokens > self.budget:
+                self.past.pop(0)
+            self.alone = self._held() + tokens > self.budget
         if self.system is None and not self.number and not self.span and role == "system":
             self.system = (role, text, tokens)
         self.total += tokens
@@ -84,11 +86,13 @@ class _Windows:
         return out
 
     def _held(self) -> int:
-        repeated = self.system[2] if self.system and self.number else 0
-        return repeated + sum(t[2] for t in self.past)
+        return sum(t[2] for t in self._retained() + self.past)
+
+    def _retained(self) -> list:
+        return [self.system] if self.system and self.number and not self.alone else []
 
     def close(self):
-        retained = [self.system] if self.system and self.number else []
+        retained = self._retained()
         parts, starts, ends, at = [], [], [], 0
         for n, (role, text, *_) in enumerate(retained + self.past + self.span):
             said, a, b = lay_out(role, text)
@@ -102,7 +106,7 @@ class _Windows:
         # the longest run of turns before the next span whose tokens, by prefix sums, stay in the history's budget
         recent = (self.past + self.span[first:])[-HISTORY_TURNS:]
         self.past = [t for t in recent if self.total - t[3] + t[2] <= self.history]
-        self.number, self.span, self.start = self.number + 1, [], self.total
+        self.number, self.span, self.start, self.alone = self.number + 1, [], self.total, False
         return row
 
 
@@ -111,9 +115,8 @@ _WINDOW = "window int, n_repeated int, n_turns int, text string, target_starts a
 
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, path: str | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per window: conversation, window number, repeated and own turns, text, target ranges (code points)."""
-    if history + MARKS > budget:
+    if history >= budget:
         raise ValueError("the history must leave room in the budget")
-    small_batches(conversations.sparkSession, 1000)
     path = path or V.default_path()
     rows = conversations.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["conv"].dataType.simpleString()
@@ -128,8 +131,10 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
             return pa.record_batch([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["conv", "window", "n_repeated", "n_turns", "text", "target_starts", "target_ends"])
 
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for c, role, text, n in zip(b.column("conv").to_pylist(), b.column("role").to_pylist(), texts, counter.count(texts)):
+            roles, texts = b.column("role").to_pylist(), b.column("text").to_pylist()
+            # a turn ends with a newline and the next one starts with a mark, so no token spans two turns
+            sizes = counter.count([lay_out(r, t)[0] for r, t in zip(roles, texts)])
+            for c, role, text, n in zip(b.column("conv").to_pylist(), roles, texts, sizes):
                 if open_ is None or c != conv:
                     if open_:
                         done.append((conv, *open_.close()))

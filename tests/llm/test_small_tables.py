@@ -322,11 +322,15 @@ def test_chat(spark):
         r = got[conv]
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
     counter = token_counts.Counter(vocab.default_path())
-    for w in formatted.where("conv_id = 3").collect():
-        sizes = [counter.count([x])[0] + chat.MARKS for _, x in chat.parse(w.text)]
-        assert sum(sizes) <= 200 or w.n_turns == 1
+    for w in formatted.collect():
+        assert counter.count([w.text])[0] <= 200 or (w.n_turns == 1 and w.n_repeated == 0)
     first = [r for r in formatted.where("conv_id = 1").orderBy("window").collect()]
     assert all(chat.parse(r.text)[0] == ("system", "be kind") for r in first)
+    tight = [(1, 0, "system", "s " * 40), *[(1, n, "assistant", "w " * k) for n, k in enumerate((130, 60, 50, 400, 30, 470, 20), 1)]]
+    laid = chat.windows(spark.createDataFrame(tight, "conv_id long, turn long, role string, text string")).orderBy("window").collect()
+    assert all(counter.count([w.text])[0] <= chat.BUDGET for w in laid) and any(w.n_repeated > 1 for w in laid)
+    assert [w.window for w in laid if not chat.parse(w.text)[0][0] == "system"] == [w.window for w in laid if "w " * 470 in w.text]
+    assert sum(w.n_turns for w in laid) == len(tight)
     assert chat.digests(chat.windows(frame.limit(0))).count() == 0
     with pytest.raises(ValueError):
         chat.parse("no turn")
