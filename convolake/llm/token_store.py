@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vocab as V
-from .common import small_batches
 
 #: Documents of one block, and bytes of payload after which a block ends.
 BLOCK, BLOCK_BYTES = 512, 1 << 20
@@ -49,18 +48,16 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.split, self.known = V.splitter(V.load(path).special), {}
+        self.split, self.known = V.splitter(V.load(path).special), V.Memory()
 
     def encode(self, texts: list):
         """The ids of each text as little-endian uint32 bytes, new words of a run of texts in one call."""
         for part in V.chunks_of(texts):
             words = [self.split(t) for t in part]
-            if len(self.known) > V.REMEMBERED:
-                self.known = {}
             known = self.known
+            known.make_room()
             new = [w for w in {w for ws in words for w in ws} if w not in known]
-            for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = _bytes(e.ids)
+            known.keep((w, _bytes(e.ids)) for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)))
             for ws in words:
                 yield b"".join(map(known.__getitem__, ws))
 
@@ -78,8 +75,14 @@ def _encoder(path: str) -> LibraryEncoder:
 
 
 def train(docs: DataFrame, path: str) -> bytes:
-    """A zstandard dictionary of the ids of a bounded sample (TRAIN_DOCS, TRAIN_CHARS); empty if there is too little."""
-    sample = docs.where(F.length("text").between(1, TRAIN_CHARS)).orderBy(F.xxhash64("id"), "text").limit(TRAIN_DOCS)
+    """A zstandard dictionary of the ids of a bounded sample (TRAIN_DOCS, TRAIN_CHARS); empty if there is too little.
+
+    Ids are picked first, by a hash; texts are read for these alone.
+    """
+    usable = docs.where(F.length("text").between(1, TRAIN_CHARS))
+    picked = usable.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCS)
+    # repeated ids give one text; the picked ids are few by TRAIN_DOCS, so they may be broadcast
+    sample = usable.join(F.broadcast(picked), "id").groupBy("id").agg(F.min("text").alias("text")).orderBy(F.xxhash64("id"), "id")
     encoder = _encoder(path)
     arrays = list(encoder.encode([r.text for r in sample.select("text").collect()]))
     try:
@@ -91,7 +94,6 @@ def train(docs: DataFrame, path: str) -> bytes:
 def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = 0) -> None:
     """Write the ids of docs, each with end_id appended, in ascending id order."""
     spark = docs.sparkSession
-    small_batches(spark)
     path = path or V.default_path()
     frame = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     words = train(frame, path)
@@ -161,5 +163,4 @@ def read(spark: SparkSession, folder: str, keep_ids: bool = True) -> DataFrame:
                     cols, names = cols + [pa.array([np.frombuffer(x, "<u4") for x in raws], pa.list_(pa.int64()))], names + ["ids"]
                 yield pa.record_batch(cols, names=names)
 
-    small_batches(spark, 8)
     return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * keep_ids)
