@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab as V
-from .common import small_batches
 
 _START = -1
 
@@ -105,7 +104,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.machine = automaton(path)
-        self.split, self.known = V.splitter(self.machine.special), {}
+        self.split, self.known = V.splitter(self.machine.special), V.Memory()
 
     def _word(self, word: str) -> bytes:
         special = self.machine.special.get(word)
@@ -114,15 +113,12 @@ class Encoder:
 
     def encode(self, text: str | None) -> bytes:
         words = self.split(text or "")
-        if len(self.known) > V.REMEMBERED:
-            self.known = {}
         known = self.known
+        known.make_room()
         try:
             return b"".join(map(known.__getitem__, words))
         except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = self._word(w)
+            known.keep([(w, self._word(w)) for w in dict.fromkeys(words) if w not in known])
             return b"".join(map(known.__getitem__, words))
 
 
@@ -133,7 +129,6 @@ def _encoder(path: str) -> Encoder:
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, keep_ids: bool = True, keep_text: bool = False) -> DataFrame:
     """One row per document: id, n_tokens, ids (if asked), digests of the ids and of the decoded text, decoded (if asked)."""
-    small_batches(docs.sparkSession)
     path = path or V.default_path()
     frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = frame.schema["id"].dataType.simpleString()

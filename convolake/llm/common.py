@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; only where it is unset (local tests) a folder of our own."""
+    """The cluster's spark.checkpoint.dir; only where it is unset, in local mode, a folder of our own."""
     sc = spark.sparkContext
     if not (path := sc.getConf().get("spark.checkpoint.dir")):
         if not (path := sc.getCheckpointDir()):
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="convolake-"))
             path = sc.getCheckpointDir()
     return path.rstrip("/")
@@ -40,11 +42,6 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Texts can be megabytes long: hand Python few rows at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over undirected edges (u, v).
 

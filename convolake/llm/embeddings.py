@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, small_batches
+from .common import components, cut
 from .simhash import local_forest, runs
 
 #: Chance to meet for a pair at the threshold; rows of a tile; standard deviations of the confidence bound.
@@ -145,7 +145,6 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     distinct = cut(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("times"), F.any_value("v").alias("v")))
     n = distinct.count()
     bits, count = bands(n, threshold)
-    small_batches(spark, 2000)
 
     def coded(batches):
         for b in batches:
@@ -185,7 +184,6 @@ def near_dedup(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
                 a, b, s = np.concatenate([nodes[has], rep[u]]), np.concatenate([nodes[has], rep[v]]), np.concatenate([sums[has], np.zeros(len(u), dtype=np.int64)])
                 yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(s, pa.int64())], names=["u", "v", "n"])
 
-    small_batches(spark, 4096)
     found = cut(tiles.mapInArrow(linked, "u long, v long, n long"))
     links = found.groupBy("u").agg(F.sum("n").alias("n"))
     comp = components(found.where("u <> v").select("u", "v"))

@@ -25,7 +25,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import small_batches
 from .vocab import chunks_of
 
 TRAIN_DOCS, TRAIN_CHARS, ROUNDS, PENALTY = 2000, 20_000, 100, 1e-3
@@ -180,7 +179,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """One row per document: id, held_out, score (0 to 1), predicted (1 if score >= 0.5)."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col))
     frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -197,7 +195,6 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """The rows of docs whose text scores 0.5 or more, with all their columns; rows are judged where they are read."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col))
     frame = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
 

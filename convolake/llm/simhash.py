@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop, small_batches
+from .common import components, cut, drop
 
 #: Rows of one comparison tile; larger buckets are cut into tiles of two chunks.
 TILE = 2048
@@ -48,7 +48,6 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """(id, fp long, fingerprint 16 hex digits), one row per document."""
-    small_batches(docs.sparkSession)
     frame = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
@@ -249,9 +248,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: id, fingerprint, component_id (smallest id reachable over links)."""
     marked = cut(fingerprints(docs, id_col, text_col, shingle))
     distinct = cut(marked.groupBy("fp").agg(F.min("id").alias("rep")))
-    small_batches(docs.sparkSession, 10_000)
     found = components(links(distinct, radius))
-    small_batches(docs.sparkSession)
     where = distinct.join(found, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
     return marked.join(where, F.col("fp") == F.col("_fp")).select(F.col("id").alias(id_col), "fingerprint", "component_id")
 
@@ -283,7 +280,6 @@ def _parity(hashes: np.ndarray) -> np.ndarray:
 def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (sorted) and counts of the most common shingles of some SAMPLE texts."""
     share = min(1.0, SAMPLE / max(1, texts.count()))
-    small_batches(texts.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -312,7 +308,6 @@ def _prefix(hashes: np.ndarray, common: tuple, similarity: float) -> np.ndarray:
 
 def _prefix_rows(rows: DataFrame, common: tuple, similarity: float, shingle: int) -> DataFrame:
     """(key, rep): each document (rep, text) once for every shingle of its prefix that another one has in its own."""
-    small_batches(rows.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -385,7 +380,6 @@ def _similar_pairs(rows: DataFrame, similarity: float, forest: bool) -> DataFram
     rows = rows.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("rep"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     tiles = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "comp", "n", *names)
     tiles = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    small_batches(spark, 10_000)
 
     def run(batches):
         for c, at in runs(batches, ["key", "i", "j", "rep", "comp", "n", *names], ["key", "i", "j"]):
@@ -426,7 +420,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: in
     needed = cut(pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct())
     mine = cut(texts.join(needed, "rep", "left_semi").dropDuplicates(["rep"]))
     both = pairs.join(mine.select(F.col("rep").alias("u"), F.col("text").alias("a")), "u").join(mine.select(F.col("rep").alias("v"), F.col("text").alias("b")), "v")
-    small_batches(pairs.sparkSession, 64)
 
     def run(batches):
         for b in batches:
@@ -454,7 +447,6 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     each component's AT_ONCE closest are decided, then four times as many, until none is open.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     frame = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     names = [f"s{i}" for i in range(WORDS)]
 
@@ -493,7 +485,6 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             edges = cut(edges.unionByName(judged.where("ok").select("u", "v")))
             comp = cut(components(edges))
             open_, quota = _across(open_.join(judged, ["u", "v"], "left_anti").select("u", "v", "d"), comp), quota * 4
-    small_batches(spark)
     where = distinct.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("copy").alias("_copy"), F.coalesce("component", "rep").alias("component_id"))
     return rows.join(where, F.col("copy") == F.col("_copy")).select(F.col("id").alias(id_col), "component_id")
 

@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab as V
-from .common import small_batches
 
 _NONE = np.int64(1 << 40)
 
@@ -73,17 +72,16 @@ class Counter:
 
     def __init__(self, path: str):
         self.merger, special = _merger(path), V.load(path).special
-        self.split, self.special, self.known = V.splitter(special), special, {}
+        self.split, self.special, self.known = V.splitter(special), special, V.Memory()
 
     def count(self, texts: list) -> list[int]:
         out = []
         for part in V.chunks_of(texts):
             words = [self.split(t) for t in part]
-            if len(self.known) > V.REMEMBERED:
-                self.known = {}
+            self.known.make_room()
             met = {w for ws in words for w in ws}
             plain = [w for w in met if w not in self.known and w not in self.special]
-            self.known.update(zip(plain, self.merger.count([w.encode() for w in plain]).tolist()))
+            self.known.keep(zip(plain, self.merger.count([w.encode() for w in plain]).tolist()))
             self.known.update(dict.fromkeys(self.special, 1))
             out += [sum(map(self.known.__getitem__, ws)) for ws in words]
         return out
@@ -96,7 +94,6 @@ def _counter(path: str) -> Counter:
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, limit: int = 512) -> DataFrame:
     """One row per document: id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
-    small_batches(docs.sparkSession)
     path = path or V.default_path()
     frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 

@@ -16,8 +16,24 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _LATIN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
 _NOT_LATIN = re.compile("[\x1c-\x1f\x80-\xbf\u0250-\U0010ffff]").search
 
-#: Words that a worker remembers; beyond it the memory is emptied, so it stays bounded.
-REMEMBERED = 500_000
+#: Words, and characters of words, that a worker remembers; beyond either the memory is emptied, so it stays bounded.
+REMEMBERED, REMEMBERED_CHARS = 500_000, 1 << 23
+
+
+class Memory(dict):
+    """Words a worker has met, with a bound on their number and on their characters."""
+
+    chars = 0
+
+    def keep(self, pairs) -> None:
+        for word, value in pairs:
+            self[word] = value
+            self.chars += len(word)
+
+    def make_room(self) -> None:
+        if len(self) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+            self.clear()
+            self.chars = 0
 
 
 def default_path() -> str:
