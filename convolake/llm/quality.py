@@ -5,9 +5,13 @@ size, how it repeats, and the same features of the lines before and after; trans
 neighbours. Forward-backward gives each line's marginal probability to be good, and a document's
 score is their mean weighted by line length.
 
+Features are computed for blocks of lines and reduced to a line's three products with the weights
+(as itself, as the line before, as the line after) at once, so that a text of a million lines takes
+some hundred bytes a line. A single line is handled whole.
+
 Training lines carry the label of their document. The fit uses a bounded sample: at most
-TRAIN_DOCS labelled documents of at most TRAIN_CHARS characters, in the order of a hash of their
-ids, and never a document whose crc32(id) mod 3 is 1.
+TRAIN_DOCS labelled documents in the order of a hash of their ids, of each at most TRAIN_CHARS
+characters (a window at a place drawn by the hash), and never a document whose crc32(id) mod 3 is 1.
 
 Defined results: null and empty texts are one empty line and get a score; null labels and labels
 of unknown documents teach nothing, several labels of one document count by their mean; without
@@ -28,6 +32,8 @@ from pyspark.sql.types import StructField, StructType
 from .vocab import chunks_of
 
 TRAIN_DOCS, TRAIN_CHARS, ROUNDS, PENALTY = 2000, 20_000, 100, 1e-3
+#: Bytes and lines of a block of lines whose features are held at once.
+BLOCK_BYTES, BLOCK_LINES = 1 << 18, 1 << 13
 
 # byte classes: space, lower, upper, digit, stop, comma, other marks, beyond ASCII
 _CLASS = np.full(256, 6, dtype=np.int64)
@@ -35,6 +41,7 @@ for _n, _bytes in enumerate((b" \t\r\x0b\x0c", bytes(range(97, 123)), bytes(rang
     _CLASS[list(_bytes)] = _n
 _CLASS[128:] = 7
 _OWN = 64 + 8 + 6
+#: Weights of a line's own features, of the line before, of the line after, and the constant.
 N_FEATURES = 3 * _OWN + 1
 
 
@@ -48,70 +55,103 @@ def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return (total[ends] - total[starts]) * np.multiply.accumulate(down)[starts]
 
 
-def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of all lines, their lengths in bytes, and where each text's lines start."""
-    raw = [t.encode() for t in texts]
-    data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
-    ends = np.flatnonzero(data == 10)
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    size = ends - starts
-    bound = np.concatenate(([0], np.searchsorted(ends, np.cumsum([len(r) + 1 for r in raw]))))
-    n = len(ends)
-    line = np.repeat(np.arange(n), size + 1)
-    kind = _CLASS[data]
-    inner = data != 10
-    follows = inner[1:] & inner[:-1]
-    pairs = np.bincount(line[1:][follows] * 64 + kind[:-1][follows] * 8 + kind[1:][follows], minlength=n * 64).reshape(n, 64)
-    single = np.bincount(line[inner] * 8 + kind[inner], minlength=n * 8).reshape(n, 8)
-    long = np.maximum(size, 1)[:, None]
-    # words that repeat the one before them, and lines of one text that say the same, by hashes of their bytes
-    gap = kind == 0
-    gap[ends] = True
-    opens = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))
-    words = np.bincount(line[opens], minlength=n)
-    said = _hashes(data, opens, np.flatnonzero(gap & np.concatenate(([False], ~gap[:-1]))))
-    echo = np.bincount(line[opens[1:]][(said[1:] == said[:-1]) & (line[opens[1:]] == line[opens[:-1]])], minlength=n)
-    digest = _hashes(data, starts, ends)
-    text = np.repeat(np.arange(len(texts)), np.diff(bound))
-    order = np.lexsort((digest, text))
-    same = (digest[order][1:] == digest[order][:-1]) & (text[order][1:] == text[order][:-1])
-    again = np.zeros(n, dtype=bool)
-    again[order[1:][same]] = True
-    extra = np.stack([np.log1p(size) / 5, size == 0, words / long[:, 0], echo / np.maximum(words, 1) * 2, again & (size > 0), np.log1p(np.diff(bound))[text] / 5], axis=1)
-    own = np.concatenate([pairs / long * 4, single / long, extra], axis=1)
-    before, after = np.zeros_like(own), np.zeros_like(own)
-    linked = text[1:] == text[:-1]
-    before[1:][linked], after[:-1][linked] = own[:-1][linked], own[1:][linked]
-    return np.concatenate([own, before, after, np.ones((n, 1))], axis=1), size, bound
-
-
-def _lattice(bound: np.ndarray):
-    """Rows of lines by place in their text: for place t, the texts (longest first) with more than t lines."""
-    count = np.diff(bound)
-    order = np.argsort(-count, kind="stable")
-    left = np.searchsorted(-count[order], -np.arange(1, int(count.max(initial=0)) + 1), side="right")
-    return [bound[:-1][order[:k]] + t for t, k in enumerate(left)]
-
-
-def marginals(emit: np.ndarray, step: np.ndarray, bound: np.ndarray):
-    """(P(good) of each line, expected transitions 2 x 2, log partition) for log odds emit and log transitions step."""
-    rows = _lattice(bound)
-    n = len(emit)
+class Lines:
+    """The lines of some texts: sizes in bytes, the range of each text's lines, and features block by block."""
+
+    def __init__(self, texts: list[str]):
+        raw = [t.encode() for t in texts]
+        self.data = np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)
+        self.ends = np.flatnonzero(self.data == 10)
+        self.starts = np.concatenate(([0], self.ends[:-1] + 1))
+        self.size = self.ends - self.starts
+        self.bound = np.concatenate(([0], np.searchsorted(self.ends, np.cumsum([len(r) + 1 for r in raw]))))
+        self.text = np.repeat(np.arange(len(texts)), np.diff(self.bound))
+        digest = np.concatenate([_hashes(self.data[self.starts[i] : self.ends[j - 1] + 1], self.starts[i:j] - self.starts[i], self.ends[i:j] - self.starts[i]) for i, j in self._blocks()])
+        # lines that say what an earlier one of their text said
+        order = np.lexsort((digest, self.text))
+        same = (digest[order][1:] == digest[order][:-1]) & (self.text[order][1:] == self.text[order][:-1])
+        self.again = np.zeros(len(self.ends), dtype=bool)
+        self.again[order[1:][same]] = True
+        #: has the line one before it, one after it, in its text?
+        self.linked = self.text[1:] == self.text[:-1]
+
+    def _blocks(self):
+        i = 0
+        while i < len(self.ends):
+            j = int(np.searchsorted(self.ends, self.starts[i] + BLOCK_BYTES))
+            j = max(i + 1, min(j, i + BLOCK_LINES))
+            yield i, j
+            i = j
+
+    def own(self):
+        """(i, j, features of lines i:j) for all blocks of lines."""
+        many = np.log1p(np.diff(self.bound))
+        for i, j in self._blocks():
+            data = self.data[self.starts[i] : self.ends[j - 1] + 1]
+            ends, size, n = self.ends[i:j] - self.starts[i], self.size[i:j], j - i
+            line = np.repeat(np.arange(n), size + 1)
+            kind = _CLASS[data]
+            inner = data != 10
+            follows = inner[1:] & inner[:-1]
+            pairs = np.bincount(line[1:][follows] * 64 + kind[:-1][follows] * 8 + kind[1:][follows], minlength=n * 64).reshape(n, 64)
+            single = np.bincount(line[inner] * 8 + kind[inner], minlength=n * 8).reshape(n, 8)
+            long = np.maximum(size, 1)[:, None]
+            # words that repeat the one before them, by hashes of their bytes
+            gap = kind == 0
+            gap[ends] = True
+            opens = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))
+            words = np.bincount(line[opens], minlength=n)
+            said = _hashes(data, opens, np.flatnonzero(gap & np.concatenate(([False], ~gap[:-1]))))
+            echo = np.bincount(line[opens[1:]][(said[1:] == said[:-1]) & (line[opens[1:]] == line[opens[:-1]])], minlength=n)
+            extra = np.stack([np.log1p(size) / 5, size == 0, words / long[:, 0], echo / np.maximum(words, 1) * 2, self.again[i:j] & (size > 0), many[self.text[i:j]] / 5], axis=1)
+            yield i, j, np.concatenate([pairs / long * 4, single / long, extra], axis=1).astype(np.float32)
+
+    def odds(self, own, weights: np.ndarray) -> np.ndarray:
+        """Log odds of all lines to be good, from blocks (i, j, features) and the weights."""
+        parts = weights[:-1].reshape(3, _OWN).T
+        product = np.concatenate([x @ parts for _, _, x in own])
+        out = product[:, 0] + weights[-1]
+        out[1:] += np.where(self.linked, product[:-1, 1], 0)
+        out[:-1] += np.where(self.linked, product[1:, 2], 0)
+        return out
+
+
+class _Lattice:
+    """Rows of lines by place in their text: at place t, the texts (longest first) with more than t lines."""
+
+    def __init__(self, bound: np.ndarray):
+        count = np.diff(bound)
+        order = np.argsort(-count, kind="stable")
+        self.first, self.places = bound[:-1][order], int(count.max(initial=0))
+        self.many = np.searchsorted(-count[order], -np.arange(1, self.places + 1), side="right")
+
+    def at(self, t: int) -> np.ndarray:
+        return self.first[: self.many[t]] + t
+
+
+def marginals(emit: np.ndarray, step: np.ndarray, bound: np.ndarray, gradient: bool = True):
+    """(P(good) of each line, expected transitions 2 x 2, log partition) for log odds emit and log transitions step.
+
+    Messages go forward and back through all texts side by side; without gradient the last two are None.
+    """
+    lattice, n = _Lattice(bound), len(emit)
     score = np.stack([np.zeros(n), emit], axis=1)
     ahead, back = np.zeros((n, 2)), np.zeros((n, 2))
-    for t, at in enumerate(rows):
+    for t in range(lattice.places):
+        at = lattice.at(t)
+        ahead[at] = score[at]
         if t:
-            prev = rows[t - 1][: len(at)]
-            ahead[at] = score[at] + np.logaddexp(ahead[prev, 0][:, None] + step[0], ahead[prev, 1][:, None] + step[1])
-        else:
-            ahead[at] = score[at]
-    for t in range(len(rows) - 1, 0, -1):
-        at = rows[t]
-        prev, v = rows[t - 1][: len(at)], back[at] + score[at]
-        back[prev] = np.logaddexp(v[:, 0][:, None] + step[:, 0], v[:, 1][:, None] + step[:, 1])
+            prev = at - 1
+            ahead[at] += np.logaddexp(ahead[prev, 0][:, None] + step[0], ahead[prev, 1][:, None] + step[1])
+    for t in range(lattice.places - 1, 0, -1):
+        at = lattice.at(t)
+        v = back[at] + score[at]
+        back[at - 1] = np.logaddexp(v[:, 0][:, None] + step[:, 0], v[:, 1][:, None] + step[:, 1])
     both = ahead + back
     z = np.logaddexp(both[:, 0], both[:, 1])
     good = np.exp(both[:, 1] - z)
+    if not gradient:
+        return good, None, None
     linked = np.ones(n, dtype=bool)
     linked[bound[:-1]] = False
     at = np.flatnonzero(linked)
@@ -132,31 +172,36 @@ class Model:
         """Length-weighted mean of the lines' marginals, for each text."""
         if self.flat or not texts:
             return np.full(len(texts), 0.5)
-        x, size, bound = line_features(texts)
-        good, _, _ = marginals((x - self.mean) / self.scale @ self.weights, self.step, bound)
-        weight = size + 1e-9
-        total = np.add.reduceat(good * weight, bound[:-1])
-        return np.clip(total / np.add.reduceat(weight, bound[:-1]), 0.0, 1.0)
+        lines = Lines(texts)
+        own = ((i, j, (x - self.mean) / self.scale) for i, j, x in lines.own())
+        good, _, _ = marginals(lines.odds(own, self.weights), self.step, lines.bound, gradient=False)
+        weight = lines.size + 1e-9
+        total = np.add.reduceat(good * weight, lines.bound[:-1])
+        return np.clip(total / np.add.reduceat(weight, lines.bound[:-1]), 0.0, 1.0)
 
 
 def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS) -> Model:
     """Maximum likelihood by Adam over all given documents, with an L2 penalty."""
-    d = N_FEATURES
     if not texts or len(set(labels)) < 2:
-        return Model(np.zeros(d), np.zeros((2, 2)), np.zeros(d), np.ones(d), flat=True)
-    x, _, bound = line_features(texts)
-    y = np.repeat(np.array(labels), np.diff(bound))
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    mean[-1], scale[-1] = 0, 1
-    x = ((x - mean) / scale).astype(np.float32)  # the driver's largest array
+        return Model(np.zeros(N_FEATURES), np.zeros((2, 2)), np.zeros(_OWN), np.ones(_OWN), flat=True)
+    lines = Lines(texts)
+    x = np.empty((len(lines.size), _OWN), dtype=np.float32)  # the driver's largest array
+    for i, j, own in lines.own():
+        x[i:j] = own
+    y = np.repeat(np.array(labels), np.diff(lines.bound))
+    mean, scale = x.mean(axis=0, dtype=np.float64), x.std(axis=0, dtype=np.float64) + 1e-3
+    x -= mean.astype(np.float32)
+    x /= scale.astype(np.float32)
     seen = np.zeros((2, 2))
-    np.add.at(seen, (np.array(labels), np.array(labels)), np.diff(bound) - 1)
-    w, step = np.zeros(d), np.zeros((2, 2))
-    params, m, v = np.concatenate([w, step.ravel()]), 0.0, 0.0
+    np.add.at(seen, (np.array(labels), np.array(labels)), np.diff(lines.bound) - 1)
+    d, params, m, v = N_FEATURES, np.zeros(N_FEATURES + 4), 0.0, 0.0
     for t in range(1, rounds + 1):
         w, step = params[:d], params[d:].reshape(2, 2)
-        good, moves, _ = marginals(x @ w.astype(np.float32), step, bound)
-        grad = np.concatenate([x.T @ (good - y).astype(np.float32), (moves - seen).ravel()]) / len(y) + PENALTY * params
+        good, moves, _ = marginals(lines.odds([(0, len(x), x)], w.astype(np.float32)).astype(np.float64), step, lines.bound)
+        miss = (good - y).astype(np.float32)
+        # a line's error falls on itself, and on the lines before and after it by their own features
+        sides = np.stack([miss, np.append(np.where(lines.linked, miss[1:], 0), 0), np.append(0, np.where(lines.linked, miss[:-1], 0))])
+        grad = np.concatenate([(sides.astype(np.float32) @ x).ravel(), [miss.sum(dtype=np.float64)], (moves - seen).ravel()]) / len(y) + PENALTY * params
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         params = params - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return Model(params[:d], params[d:].reshape(2, 2), mean, scale)
@@ -169,10 +214,13 @@ def held_out(id_: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     taught = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     taught = taught.groupBy(F.col(id_col).alias("id")).agg((F.avg(F.col(label_col)) >= 0.5).cast("int").alias("y"))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.length("text").between(1, TRAIN_CHARS))
-    # twice the sample, as some labels have no text of allowed length; its size is fixed, so it may be broadcast
-    picked = taught.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(2 * TRAIN_DOCS)
-    sample = texts.join(F.broadcast(picked), "id").orderBy(F.xxhash64(F.col("id").cast("string")), "id", "text").limit(TRAIN_DOCS).collect()
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # the sample's size is fixed, so it may be broadcast
+    picked = taught.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(TRAIN_DOCS)
+    place = F.when(F.length("text") > TRAIN_CHARS, F.pmod(F.xxhash64("id"), F.length("text") - TRAIN_CHARS)).otherwise(0) + 1
+    window = F.substring("text", place.cast("int"), F.lit(TRAIN_CHARS))
+    # of rows that share an id one teaches, so that no id can flood the driver
+    sample = texts.join(F.broadcast(picked), "id").groupBy("id").agg(F.min(F.struct(window.alias("text"), "y")).alias("s")).orderBy("id").select("s.*").collect()
     return fit([r.text for r in sample], [r.y for r in sample])
 
 
