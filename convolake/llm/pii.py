@@ -2,9 +2,14 @@
 
 Detected entities get keyed replacements of their own type: digits for digits, letters for letters
 in their case, hex for hex, valid addresses and check digits, names of the same gender and script.
-An entity is known by its canonical form (case of addresses, separators of numbers and titles of
-names don't count), so that equal entities agree in all documents. Surrogates of all entities of the
-corpus are checked: where two agree, or one is a real entity, the later one is drawn again.
+An entity is known by its canonical form (case of addresses, separators of numbers, titles and middle
+initials of names don't count), so that equal entities agree in all documents; a surname that a text
+repeats alone is replaced as in the full name. Surrogates of all entities of the corpus are checked:
+where two agree, or one is a real entity, the later one is drawn again.
+
+Names are found by a title, a listed first or family name, or a phrase before them ("my name is");
+a name without any of these stays, as do street addresses outside the English order. No pattern
+recurses on its input, so texts of any length are safe.
 
 Defined results: null texts stay null and have no entities; empty texts stay empty; texts are taken
 whole; repeated rows come back as often as given; other columns are kept, whatever their names.
@@ -23,34 +28,71 @@ FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Señora
 TITLES = ["Dr", "Prof"]
 MALE = ["James", "John", "Robert", "Michael", "William", "David", "Richard", "Thomas", "Daniel", "Paul", "Peter", "Hans", "Jürgen", "Pierre", "Jean", "Carlos", "José", "Antonio"]
 FEMALE = ["Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Barbara", "Susan", "Sarah", "Anna", "Maria", "Laura", "Ursula", "Monika", "Claire", "Sophie", "Carmen", "Lucía", "Elena"]
+MORE_MALE = ["Ahmed", "Ali", "Arjun", "Charles", "Christopher", "Edward", "Francesco", "George", "Hiroshi", "Ibrahim", "Joseph", "Kenji", "Klaus", "Luca", "Luis", "Marco", "Mark", "Matthew", "Mohammed", "Omar", "Pablo", "Rahul", "Rajesh", "Stefan", "Stephen", "Steven", "Takashi", "Wolfgang"]
+MORE_FEMALE = ["Aisha", "Ana", "Emily", "Emma", "Fatima", "Giulia", "Hannah", "Ingrid", "Isabel", "Jessica", "Julia", "Karen", "Lisa", "Margaret", "Marie", "Nancy", "Olga", "Priya", "Rosa", "Sakura", "Sandra", "Sofia", "Sunita", "Yuki"]
 MALE_CYRILLIC = ["Иван", "Пётр", "Сергей", "Алексей", "Дмитрий", "Николай", "Андрей", "Михаил"]
 FEMALE_CYRILLIC = ["Анна", "Мария", "Елена", "Ольга", "Наталья", "Татьяна", "Ирина", "Светлана"]
+FAMILY_FIRST = ["Chen", "Huang", "Kim", "Liu", "Nguyen", "Tran", "Wang", "Yang", "Zhang", "Zhao", "Zhou"]
+#: Phrases before a name of one or two words, before one of two words, before a Han name, before a date of birth.
+NAME_PHRASES = ["name is", "Name:", "igned by", "ich heiße", "me llamo", "m'appelle", "меня зовут"]
+FULL_NAME_PHRASES = ["Dear", "Author:", "Contact:"]
+HAN_PHRASES = ["姓名:", "姓名：", "我叫", "名叫"]
+BIRTH_PHRASES = ["born on", "Born on", "born", "DOB:", "DOB", "of birth:", "of birth", "geboren am", "née le", "né le", "nacido el", "nacida el"]
+STREETS = ["Street", "Avenue", "Road", "Lane", "Drive", "Boulevard", "Court", "Square"]
 SYLLABLES = ["ba", "den", "for", "gar", "hal", "ker", "lin", "mor", "nel", "per", "ros", "sel", "tan", "ver", "wick", "zim"]
 SYLLABLES_CYRILLIC = ["ба", "вен", "гор", "дар", "жел", "зим", "кар", "лов", "мир", "нел", "пет", "рос", "сел", "тов", "фед", "шил"]
+SURNAMES_HAN = ["王", "李", "张", "刘", "陈", "杨", "赵", "黄", "周", "吴", "徐", "孙", "朱", "马", "胡", "郭"]
+GIVEN_HAN = ["伟", "芳", "娜", "敏", "静", "丽", "强", "磊", "军", "洋", "勇", "艳", "杰", "娟", "涛", "明"]
+
+
+def _any(words: list[str]) -> str:
+    """A pattern for any of the words, by their first letters, so that few alternatives are tried."""
+    heads = sorted({w[0] for w in words})
+    return "|".join(h + "(?:" + "|".join(sorted((w[1:] for w in words if w[0] == h), key=len, reverse=True)) + ")" for h in heads)
 
-_FIRST = "|".join(MALE + FEMALE + MALE_CYRILLIC + FEMALE_CYRILLIC)
+
+_FIRST = _any(MALE + MORE_MALE + FEMALE + MORE_FEMALE + MALE_CYRILLIC + FEMALE_CYRILLIC + FAMILY_FIRST)
 _TITLE = "|".join(MALE_TITLES + FEMALE_TITLES + TITLES)
 _WORD = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_HEX = r"[0-9A-Fa-f]{1,4}"
+_DATE = r"(?:\d{4}[-./]\d{2}[-./]\d{2}|\d{2}[-./]\d{2}[-./]\d{4})"
+
+
+def _after(phrases: list[str], gap: str = " ") -> str:
+    return "(?<=" + "|".join(p + gap for p in phrases) + ")"
 
-#: Kinds in the order in which they are tried; each pattern matches one entity.
+
+#: Kinds in the order in which they are tried; each pattern matches one entity. Loops over groups are possessive or short, so that none recurses.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*+@(?:[A-Za-z0-9-]++\.(?=[A-Za-z]{2}|[A-Za-z0-9-]++\.))++[A-Za-z]{2,}+",
     "secret": r"(?=[PpSsTtAa])(?<![A-Za-z])(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9+/_-]{8,}",
     "key": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{32,128})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9.]){_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}(?![0-9]|\.[0-9])",
+    "ipv6": rf"(?=[0-9A-Fa-f])(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]{{0,4}}:[0-9A-Fa-f:]{{0,35}}\d|[0-9A-Fa-f]{{0,3}}\d[0-9A-Fa-f]{{0,3}}:)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![0-9A-Za-z:])",
     "phone": r"(?<![0-9+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![0-9])",
     "ssn": r"(?<![0-9-])\d{3}-\d{2}-\d{4}(?![0-9-])",
     "card": r"(?<![0-9])[3-6]\d{3}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![0-9])",
-    "name": rf"(?=[\p{{Lu}}г])(?<!\p{{L}})(?:(?:{_TITLE})\.? {_WORD}(?: {_WORD})?|(?:{_FIRST}) {_WORD})(?!\p{{L}})",
+    "birth": rf"(?=\d){_after(BIRTH_PHRASES)}{_DATE}(?!\d)",
+    "street": rf"(?=\d)(?<![0-9A-Za-z])\d{{1,5}} (?:\p{{Lu}}\p{{Ll}}+ ){{1,3}}(?:{'|'.join(STREETS)})(?!\p{{L}})",
+    "name": rf"(?=[\p{{Lu}}г])(?<!\p{{L}})(?:(?:{_TITLE})\.? {_WORD}(?: (?:\p{{Lu}}\. )?{_WORD})?|(?:{_FIRST}) (?:\p{{Lu}}\. )?{_WORD}|{_after(NAME_PHRASES)}{_WORD}(?: {_WORD})?|{_after(FULL_NAME_PHRASES)}{_WORD} {_WORD})(?!\p{{L}})",
+    "han": rf"(?=\p{{IsHan}}){_after(HAN_PHRASES, '')}(?:{'|'.join(SURNAMES_HAN)})\p{{IsHan}}{{1,2}}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text with any entity has; it spares most texts the longer patterns.
-_HINT = r"[0-9@=]|:\s{0,2}[\"']?[A-Za-z0-9+/_-]{8}|[\p{Lu}г]\p{L}{1,15} \p{Lu}\p{Ll}|(?:" + "|".join(MALE_TITLES + FEMALE_TITLES + TITLES) + r")\. \p{Lu}|AKIA|gh[pousr]_|sk-|[a-f]{32}"
+_HINT = (
+    r"[0-9@=]|:\s{0,2}[\"']?[A-Za-z0-9+/_-]{8}|[\p{Lu}г]\p{L}{1,15} (?:\p{Lu}\. )?\p{Lu}\p{Ll}|(?:"
+    + "|".join(MALE_TITLES + FEMALE_TITLES + TITLES)
+    + r")\. \p{Lu}|AKIA|gh[pousr]_|sk-|[a-f]{32}|(?:"
+    + "|".join(NAME_PHRASES + FULL_NAME_PHRASES)
+    + r") \p{Lu}|"
+    + "|".join(HAN_PHRASES)
+)
 _SECRET_HEAD = r"^(.*?[=:]\s{0,2}[\"']?)([A-Za-z0-9+/_-]+)$"
-#: Draws after which a surrogate is made longer instead of being drawn once more.
+#: Draws after which a surrogate of free format is made longer; of a fixed format it is drawn on.
 DRAWS = 24
+FREE = ["email", "secret", "name", "street"]
 
 
 def _sql(s: str) -> str:
@@ -60,32 +102,50 @@ def _sql(s: str) -> str:
 def kind(entity: Column) -> Column:
     out = F
     for name, p in PATTERNS.items():
-        out = out.when(entity.rlike(f"^(?:{p})$"), name)
-    return out
+        if name not in ("birth", "han"):
+            out = out.when(entity.rlike(f"^(?:{p})$"), name)
+    # what a phrase before it has told shows by its form
+    return out.when(entity.rlike(r"^\d"), "birth").when(entity.rlike(r"^\p{IsHan}"), "han").otherwise("name")
+
+
+def person(entity: Column) -> Column:
+    """A name without title and middle initial."""
+    return F.regexp_replace(F.regexp_replace(entity, rf"^(?:{_TITLE})\.? ", ""), r" \p{Lu}\. ", " ")
 
 
 def canonical(kind_: Column, entity: Column) -> Column:
     """What of an entity counts for its identity."""
-    name = F.regexp_replace(entity, rf"^(?:{_TITLE})\.? ", "")
     return (
         F.when(kind_ == "email", F.lower(entity))
         .when(kind_ == "secret", F.regexp_extract(entity, _SECRET_HEAD, 2))
         .when(kind_.isin("phone", "ssn", "card", "iban"), F.regexp_replace(entity, "[^0-9A-Z+]", ""))
-        .when(kind_ == "name", F.concat_ws("|", _gender(entity), name))
+        .when(kind_ == "ipv6", F.lower(entity))
+        .when(kind_ == "name", F.concat_ws("|", _gender(entity), person(entity)))
         .otherwise(entity)
     )
 
 
 def _gender(entity: Column) -> Column:
+    """f, m, or n where neither title nor first name tells; a lone surname has none."""
     head = F.regexp_replace(entity, r"[. ].*$", "")
-    first = F.regexp_extract(entity, rf"^(?:(?:{_TITLE})\.? )?({_WORD}) {_WORD}$", 1)
+    first = F.substring_index(person(entity), " ", 1)
     return (
-        F.when(first.isin(FEMALE + FEMALE_CYRILLIC) | head.isin(FEMALE_TITLES), "f")
-        .when(first.isin(MALE + MALE_CYRILLIC) | head.isin(MALE_TITLES), "m")
-        .otherwise(F.when(F.ascii(F.md5(entity)) % 2 == 0, "f").otherwise("m"))
+        F.when(~person(entity).contains(" "), "n")
+        .when(first.isin(FEMALE + MORE_FEMALE + FEMALE_CYRILLIC) | head.isin(FEMALE_TITLES), "f")
+        .when(first.isin(MALE + MORE_MALE + MALE_CYRILLIC) | head.isin(MALE_TITLES), "m")
+        .otherwise("n")
     )
 
 
+def _same_gender(found: DataFrame) -> DataFrame:
+    """found, persons of unknown gender with that of the same name elsewhere, where it is one alone."""
+    known = found.where((F.col("kind") == "name") & (F.substring("canon", 1, 1) != "n")).select(F.expr("substr(canon, 3)").alias("_who"), F.substring("canon", 1, 1).alias("g"))
+    known = known.groupBy("_who").agg(F.min("g").alias("_g"), F.max("g").alias("_other")).where("_g = _other")
+    unknown = (F.col("kind") == "name") & (F.substring("canon", 1, 1) == "n")
+    told = found.join(known, unknown & (F.expr("substr(canon, 3)") == F.col("_who")), "left")
+    return told.withColumn("canon", F.when(F.col("_g").isNotNull(), F.concat_ws("|", "_g", "_who")).otherwise(F.col("canon"))).select(found.columns)
+
+
 def _draw(of: str, place: str, below: int, key: str) -> str:
     """SQL for a number under `below`, keyed by kind, attempt, a string and a place in it."""
     return f"pmod(cast(conv(substr(sha2(concat_ws('|', {_sql(key)}, kind, attempt, {of}, {place}), 256), 1, 12), 16, 10) as bigint), {below})"
@@ -99,9 +159,9 @@ def _alike(value: str, of: str, key: str, keep: int = 0) -> str:
     """SQL for value with letters and digits drawn anew after the first `keep` characters."""
     c = f"substr({value}, i, 1)"
     drawn = f"""case when i <= {keep} then {c}
-        when {c} between '0' and '9' and kind in ('key', 'secret') and {value} rlike '^[0-9a-f]+$' then substr('0123456789abcdef', cast({_draw(of, 'i', 16, key)} + 1 as int), 1)
+        when {c} between '0' and '9' and kind in ('key', 'secret', 'ipv6') and {value} rlike '^[0-9a-f]+$' then substr('0123456789abcdef', cast({_draw(of, 'i', 16, key)} + 1 as int), 1)
         when {c} between '0' and 'F' and kind in ('key', 'secret') and {value} rlike '^[0-9A-F]+$' then substr('0123456789ABCDEF', cast({_draw(of, 'i', 16, key)} + 1 as int), 1)
-        when {c} between 'a' and 'f' and kind in ('key', 'secret') and {value} rlike '^[0-9a-f]+$' then substr('0123456789abcdef', cast({_draw(of, 'i', 16, key)} + 1 as int), 1)
+        when {c} between 'a' and 'f' and kind in ('key', 'secret', 'ipv6') and {value} rlike '^[0-9a-f]+$' then substr('0123456789abcdef', cast({_draw(of, 'i', 16, key)} + 1 as int), 1)
         when {c} between '0' and '9' then cast({_draw(of, 'i', 10, key)} as string)
         when {c} between 'a' and 'z' then chr(97 + {_draw(of, 'i', 26, key)})
         when {c} between 'A' and 'Z' then chr(65 + {_draw(of, 'i', 26, key)})
@@ -120,17 +180,26 @@ def _surrogates(keys: DataFrame, key: str) -> DataFrame:
     rows = keys.withColumn("domain", F.expr("case when kind = 'email' then substring_index(canon, '@', -1) end"))
     tail = F.expr("substring_index(domain, '.', -1)")
     rows = rows.withColumn("tld", tail).withColumn("host", F.expr("substr(domain, 1, length(domain) - length(tld) - 1)")).withColumn("local", F.expr("substr(canon, 1, length(canon) - length(domain) - 1)"))
-    rows = rows.withColumn("gender", F.expr("substr(canon, 1, 1)")).withColumn("person", F.expr("substr(canon, 3)")).withColumn("last", F.expr("substring_index(person, ' ', -1)"))
+    rows = rows.withColumn("gender", F.expr("substr(canon, 1, 1)")).withColumn("person", F.expr("substr(canon, 3)"))
+    rows = rows.withColumn("last", F.expr("case when kind = 'street' then canon else substring_index(person, ' ', -1) end"))
     rows = rows.withColumn("cyrillic", F.col("last").rlike(r"\p{IsCyrillic}"))
     card = _alike("canon", "canon", key, 1)
     octets = ", ".join(f"1 + {_draw('canon', str(n), 254, key)}" for n in range(4))
-    firsts = "case " + " ".join(f"when cyrillic = {c} and gender = '{g}' then {_pick(v, _sql('first') + ', person', '0', key)}" for c, g, v in (("true", "m", MALE_CYRILLIC), ("true", "f", FEMALE_CYRILLIC), ("false", "m", MALE), ("false", "f", FEMALE))) + " end"
+    by_gender = (("true", "m", MALE_CYRILLIC), ("true", "f", FEMALE_CYRILLIC), ("true", "n", MALE_CYRILLIC + FEMALE_CYRILLIC), ("false", "m", MALE), ("false", "f", FEMALE), ("false", "n", MALE + FEMALE))
+    firsts = "case " + " ".join(f"when cyrillic = {c} and gender = '{g}' then {_pick(v, _sql('first') + ', person', '0', key)}" for c, g, v in by_gender) + " end"
     # a surname depends on the surname alone, so that "Mr. Orr" and "Paul Orr" stay one person; later draws are longer
     lasts = "initcap(array_join(transform(sequence(1, 3 + cast(attempt / 4 as int)), i -> case when cyrillic then " + _pick(SYLLABLES_CYRILLIC, "last", "i", key) + " else " + _pick(SYLLABLES, "last", "i", key) + " end), ''))"
+    month, day = (f"lpad(cast(1 + {_draw('canon', _sql(n), most, key)} as string), 2, '0')" for n, most in (("month", 12), ("day", 28)))
+    number = _alike("substring_index(canon, ' ', 1)", "canon", key)
     rows = rows.withColumn("drawn", F.expr(f"case when kind = 'card' then {card} end"))
     made = f"""case kind
         when 'email' then concat({_alike('local', 'canon', key)}, '@', {_alike('host', 'domain', key)}, '.', tld)
         when 'ip' then concat_ws('.', {octets})
+        when 'birth' then case when canon rlike '^[0-9]{{4}}' then concat(substr(canon, 1, 3), {_draw('canon', '0', 10, key)}, substr(canon, 5, 1), {month}, substr(canon, 8, 1), {day})
+            else concat({day}, substr(canon, 3, 1), {month}, substr(canon, 6, 4), {_draw('canon', '0', 10, key)}) end
+        when 'street' then concat(1 + {_draw('canon', _sql('number'), 9, key)}, substr({number}, 2), ' ', {lasts}, ' ', substring_index(canon, ' ', -1))
+        when 'han' then concat({_pick(SURNAMES_HAN, 'canon', '0', key)}, array_join(transform(sequence(2, length(canon)), i -> {_pick(GIVEN_HAN, 'canon', 'i', key)}), ''))
+        when 'ipv6' then array_join(transform(split(canon, ':'), (g, n) -> case when g = '' then '' else {_alike('g', 'concat(canon, n)', key)} end), ':')
         when 'name' then concat(case when person like '% %' then concat({firsts}, ' ') else '' end, {lasts})
         when 'card' then case when ({_luhn('canon', 'length(canon) - 1')} + cast(right(canon, 1) as int)) % 10 = 0
             then concat(left(drawn, length(drawn) - 1), cast((10 - {_luhn('drawn', 'length(drawn) - 1')} % 10) % 10 as string)) else drawn end
@@ -138,7 +207,7 @@ def _surrogates(keys: DataFrame, key: str) -> DataFrame:
         when 'iban' then {_alike('canon', 'canon', key, 2)}
         when 'key' then case when canon like 'AKIA%' then {_alike('canon', 'canon', key, 4)} when canon like 'gh%' then {_alike('canon', 'canon', key, 4)} when canon like 'sk-%' then {_alike('canon', 'canon', key, 3)} else {_alike('canon', 'canon', key)} end
         else {_alike('canon', 'canon', key)} end"""
-    longer = F.when(F.col("attempt") >= DRAWS, F.concat(F.col("made"), F.col("attempt").cast("string"))).otherwise(F.col("made"))
+    longer = F.when((F.col("attempt") >= DRAWS) & F.col("kind").isin(FREE), F.concat(F.col("made"), F.col("attempt").cast("string"))).otherwise(F.col("made"))
     return rows.withColumn("made", F.expr(made)).select("kind", "canon", "attempt", longer.alias("surrogate"))
 
 
@@ -147,7 +216,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 
     Entities that share a surrogate, or whose surrogate is a real entity, are drawn again (all but
     the smallest of a group) until none is left; every round is a partial aggregation and an anti
-    join over what is still open.
+    join over what is still open. A fixed format whose strings are all real entities is an error.
     """
     real = entities.select(F.col("kind").alias("_kind"), F.expr("case when kind = 'name' then substr(canon, 3) else canon end").alias("_canon"))
     settled, open_, written = None, entities.withColumn("attempt", F.lit(0)), []
@@ -165,6 +234,8 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
             for w in written[:-1]:
                 drop(w)
             return settled.drop("attempt")
+        if judged.where(f"not ok and attempt > {40 * DRAWS}").limit(1).count():
+            raise ValueError("a format has too few strings for its entities to have distinct surrogates")
         open_ = judged.where("not ok").select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
 
 
@@ -175,17 +246,19 @@ def _render(kind_: str, entity: str, surrogate: str) -> Column:
         (a, i) -> case when substr({entity}, i, 1) rlike '[0-9A-Z+]' then named_struct('s', concat(a.s, substr({surrogate}, a.n + 1, 1)), 'n', a.n + 1)
                        else named_struct('s', concat(a.s, substr({entity}, i, 1)), 'n', a.n) end,
         a -> concat(a.s, substr({surrogate}, a.n + 1)))"""
-    title = _sql(rf"^((?:{_TITLE})\.? )?.*$")
+    title, initial = _sql(rf"^((?:{_TITLE})\.? )?.*$"), _sql(r" \p{Lu}\. ")
     return F.expr(f"""case when {kind_} = 'email' then concat({by_case}, substr({surrogate}, length({entity}) + 1))
         when {kind_} in ('phone', 'ssn', 'card', 'iban') then {apart}
+        when {kind_} = 'ipv6' and {entity} rlike '[A-F]' then upper({surrogate})
         when {kind_} = 'secret' then concat(regexp_extract({entity}, {_sql(_SECRET_HEAD)}, 1), {surrogate})
-        when {kind_} = 'name' then concat(regexp_extract({entity}, {title}, 1), {surrogate})
+        when {kind_} = 'name' then concat(regexp_extract({entity}, {title}, 1), case when {entity} rlike {initial}
+            then concat(substring_index({surrogate}, ' ', 1), ' ', left(substring_index({surrogate}, ' ', -1), 1), '. ', substring_index({surrogate}, ' ', -1)) else {surrogate} end)
         else {surrogate} end""")
 
 
-def matches_of(text: Column) -> Column:
+def matches_of(text: Column, pattern: Column | None = None) -> Column:
     """All that looks like an entity, in order; numbers that only look like cards are among it."""
-    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(PATTERN) if pattern is None else pattern, F.lit(0))
 
 
 def _real(found: DataFrame) -> DataFrame:
@@ -194,30 +267,38 @@ def _real(found: DataFrame) -> DataFrame:
     return found.where((F.col("kind") != "card") | F.when(F.col("kind") == "card", check))
 
 
-def replace_pii(docs: DataFrame, key: str = "surrogate-key", text_col: str = "text", count_col: str | None = "n_entities") -> DataFrame:
-    """docs with the entities of text_col replaced; count_col (if named) tells how many there were.
+def replace_pii(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = "n_entities") -> DataFrame:
+    """docs with the entities of text_col replaced by surrogates drawn with the secret key; count_col (if named) tells how many there were.
 
     Only texts that may have entities go through a join; each is keyed by its digest, so that copies share one row of replacements.
     """
+    if not key:
+        raise ValueError("surrogates need a key")
     text = F.col(text_col)
     may = F.coalesce(text.rlike(_HINT), F.lit(False))
     seen = docs.where(may).select(F.sha2(text, 256).alias("h"), F.array_distinct(matches_of(text)).alias("entities")).where(F.size("entities") > 0)
     found = seen.select("h", F.explode("entities").alias("entity")).distinct()
     found = found.withColumn("kind", kind(F.col("entity")))
-    found = cut(_real(found.withColumn("canon", canonical(F.col("kind"), F.col("entity")))))
+    found = cut(_same_gender(_real(found.withColumn("canon", canonical(F.col("kind"), F.col("entity"))))))
     table = surrogates(found.select("kind", "canon").distinct(), key)
-    pairs = found.join(table, ["kind", "canon"]).select("h", "entity", _render("kind", "entity", "surrogate").alias("said"))
-    names = [f"{n}_of_pii" for n in ("_h", "_map", "_text")]
+    pairs = found.join(table, ["kind", "canon"]).select("h", "kind", "entity", _render("kind", "entity", "surrogate").alias("said"))
+    last = lambda c: F.substring_index(c, " ", -1)
+    alone = pairs.where("kind = 'name'").select("h", last("entity").alias("entity"), last("said").alias("said"), F.lit(True).alias("alone"))
+    pairs = pairs.select("h", "entity", "said", F.lit(False).alias("alone")).unionByName(alone).groupBy("h", "entity").agg(F.min("said").alias("said"), F.max("alone").alias("alone"))
+    names = [f"{n}_of_pii" for n in ("_h", "_map", "_pattern")]
     while set(names) & set(docs.columns):
         names = ["_" + n for n in names]
-    h, m, t = names
+    h, m, p = names
     # written first: a join over the aggregation's own exchange could not be split where a third of the texts are one text
-    maps = cut(pairs.groupBy(F.col("h").alias(h)).agg(F.map_from_entries(F.collect_list(F.struct("entity", "said"))).alias(m)))
-    said = F.transform(matches_of(text), lambda e: F.coalesce(F.element_at(F.col(m), e), e))
-    pieces = F.split(text, PATTERN, -1)
-    whole = F.array_join(F.flatten(F.zip_with(pieces, said, lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
+    surnames = F.array_join(F.sort_array(F.collect_list(F.when(F.col("alone"), F.col("entity"))), asc=False), "|")
+    pattern = F.when(surnames == "", F.lit(PATTERN)).otherwise(F.concat(F.lit(PATTERN + r"|(?<!\p{L})(?:"), surnames, F.lit(r")(?!\p{L})")))
+    maps = cut(pairs.groupBy(F.col("h").alias(h)).agg(F.map_from_entries(F.collect_list(F.struct("entity", "said"))).alias(m), pattern.alias(p)))
+    matches = matches_of(text, F.col(p))
+    said = F.transform(matches, lambda e: F.coalesce(F.element_at(F.col(m), e), e))
+    pieces = F.split(text, F.col(p), -1)
+    whole = F.array_join(F.flatten(F.zip_with(pieces, said, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
     # rebuilt from the frame's own columns by position, so that none of theirs can clash
-    number = F.size(F.filter(matches_of(text), lambda e: F.element_at(F.col(m), e).isNotNull()))
+    number = F.size(F.filter(matches, lambda e: F.element_at(F.col(m), e).isNotNull()))
     count = [F.when(F.col(m).isNull(), 0).otherwise(number).cast("long").alias(count_col)] if count_col else []
     none = [F.lit(0).cast("long").alias(count_col)] if count_col else []
     mine = docs.where(may).withColumn(h, F.sha2(text, 256)).join(maps, h, "left")

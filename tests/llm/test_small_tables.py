@@ -387,7 +387,7 @@ PRIVATE = [
 
 def test_pii(spark, docs, none):
     frame = spark.createDataFrame(PRIVATE, "doc_id long, text string").withColumn("entity", F.lit("e")).withColumn("h", F.lit(1))
-    out = pii.replace_pii(frame)
+    out = pii.replace_pii(frame, "k")
     got = rows_of(out)
     said = {i: r[0].text for i, r in got.items()}
     assert out.columns == [*frame.columns, "n_entities"] and sum(map(len, got.values())) == len(PRIVATE)
@@ -405,8 +405,8 @@ def test_pii(spark, docs, none):
     digits = re.search(r"\d{4} \d{4} \d{4} \d{4}", said[2])[0].replace(" ", "")
     assert sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(digits))) % 10 == 0
     assert re.search(r'password=[0-9a-f]{18} token = "[0-9a-f]{40}" AKIA[0-9A-Z]{16} ', said[2])
-    assert pii.replace_pii(none).count() == 0
-    assert pii.replace_pii(docs, count_col=None).columns == docs.columns
+    assert pii.replace_pii(none, "k").count() == 0
+    assert pii.replace_pii(docs, "k", count_col=None).columns == docs.columns
     other = rows_of(pii.replace_pii(frame, key="other"))
     assert other[8][0].text != said[8]
 
@@ -420,5 +420,5 @@ def test_pii_collisions_are_drawn_again(spark, monkeypatch):
 
 def test_pii_plan_has_no_python(spark):
     frame = spark.createDataFrame(PRIVATE, "doc_id long, text string")
-    plan = pii.replace_pii(frame)._jdf.queryExecution().executedPlan().toString()
+    plan = pii.replace_pii(frame, "k")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
