@@ -1,12 +1,15 @@
 """Benchmark decontamination by winnowing.
 
-Both sides keep the minimum K-gram hash of every window of SPAN - K + 1 consecutive word K-grams,
-so that every shared run of SPAN words shares a fingerprint. Fingerprints are joined, and each hit
-is extended to the whole run of equal words; runs of SPAN words or more count. An item shorter than
-SPAN words is one window and is found by a hash of all its words.
+Both sides keep the minimum K-gram hash (of equal ones the last) of every window of SPAN - K + 1
+consecutive word K-grams, so that every shared run of SPAN words shares a fingerprint. An item of
+fewer than SPAN words is one window, and the hash of all its words is its fingerprint.
 
-The benchmark is the stated query set: it goes to the workers in blocks of at most BLOCK_BYTES of
-text, as many blocks as its measured size asks for, and every document is read against each.
+1. A text's fingerprints that pass a bit table of the benchmark's fingerprints (of TABLE words, whatever
+   the size of the benchmark) are kept; texts with none are clean.
+2. They are joined with the benchmark's fingerprints. Texts alike are one text here, so that copies
+   neither repeat work nor make a hot key.
+3. Hits are extended: the SPAN-word windows around a hit are joined with the benchmark's windows by a
+   128-bit digest of their words. Windows that agree are hit words, and name the items.
 
 Defined results: null or wordless texts have no words and no hits; null or wordless items never
 occur; an item without id is reported as "null"; repeated rows come back as often as given; other
@@ -15,21 +18,18 @@ columns are ignored.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .common import cut
 from .vocab import chunks_of
 
 SPAN, K = 13, 5
-BLOCK_BYTES = 8 << 20
-#: Blocks of one chain of maps, before the rows are written to the shared folder.
-CHAIN = 4
+#: 64-bit words of the bit table that spares texts without a common fingerprint the join.
+TABLE = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -86,95 +86,155 @@ class Words:
         return _mix(h), self.text[:size] == self.text[n - 1 :]
 
     def winnowed(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions that are the minimum of some window, and their hashes."""
+        """Positions that are the last minimum of some window, and their hashes."""
         h, _ = self.grams(K)
         width = SPAN - K + 1
         size = len(h) - width + 1
         if size <= 0:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-        low = h[:size].copy()
+        low, place = h[:size].copy(), np.arange(size)
         for j in range(1, width):
-            np.minimum(low, h[j : size + j], out=low)
-        low_here = self.text[:size] == self.text[SPAN - 1 : size + SPAN - 1]
-        kept = np.zeros(len(h), dtype=bool)
-        for j in range(width):
-            kept[j : size + j] |= (h[j : size + j] == low) & low_here
-        at = np.flatnonzero(kept)
+            here = h[j : size + j]
+            place[here <= low] = np.flatnonzero(here <= low) + j
+            np.minimum(low, here, out=low)
+        at = np.unique(place[self.text[:size] == self.text[SPAN - 1 : size + SPAN - 1]])
         return at, h[at]
 
-    def said(self, a: int, b: int) -> list[bytes]:
-        return [self.data[s:e].tobytes() for s, e in zip(self.start[a:b], self.end[a:b])]
-
-
-class Index:
-    """Fingerprints of a block of benchmark items."""
-
-    def __init__(self, items: list[tuple[str, str]]):
-        self.ids = [i for i, _ in items]
-        self.words = Words([t for _, t in items])
-        sizes = np.diff(self.words.bound)
-        at, fp = self.words.winnowed()
-        order = np.argsort(fp, kind="stable")
-        self.at, self.fp = at[order], fp[order]
-        self.short = {}
-        for n in range(1, SPAN):
-            if len(which := np.flatnonzero(sizes == n)):
-                first = self.words.bound[which]
-                h = self.words.grams(n)[0][first]
-                order = np.argsort(h, kind="stable")
-                self.short[n] = h[order], which[order]
-
-    def hits(self, docs: Words) -> tuple[list[list], list[set]]:
-        """For each text the hit word ranges, and the items that occur."""
-        n = len(docs.bound) - 1
-        spans, items = [[] for _ in range(n)], [set() for _ in range(n)]
-        mine, theirs = docs.hash, self.words.hash
-        at, fp = docs.winnowed()
-        left, right = np.searchsorted(self.fp, fp), np.searchsorted(self.fp, fp, side="right")
-        done = {}
-        for k in np.flatnonzero(right > left):
-            p, doc = int(at[k]), int(docs.text[at[k]])
-            d0, d1 = int(docs.bound[doc]), int(docs.bound[doc + 1])
-            for q in self.at[left[k] : right[k]].tolist():
-                item = int(self.words.text[q])
-                if done.get((doc, item, p - q), -1) > p:
-                    continue
-                i0, i1 = int(self.words.bound[item]), int(self.words.bound[item + 1])
-                back, ahead = min(p - d0, q - i0), min(d1 - p, i1 - q)
-                differ = np.flatnonzero(mine[p : p + ahead] != theirs[q : q + ahead])
-                b = p + (int(differ[0]) if len(differ) else ahead)
-                differ = np.flatnonzero(mine[p - back : p] != theirs[q - back : q])
-                a = p - back + (int(differ[-1]) + 1 if len(differ) else 0)
-                done[doc, item, p - q] = b
-                if b - a >= SPAN and docs.said(a, b) == self.words.said(a - p + q, b - p + q):
-                    spans[doc].append((a - d0, b - d0))
-                    items[doc].add(self.ids[item])
-        for size, (h, which) in self.short.items():
-            grams, whole = docs.grams(size)
-            left, right = np.searchsorted(h, grams), np.searchsorted(h, grams, side="right")
-            for p in np.flatnonzero((right > left) & whole).tolist():
-                doc = int(docs.text[p])
-                for item in which[left[p] : right[p]].tolist():
-                    first = int(self.words.bound[item])
-                    if docs.said(p, p + size) == self.words.said(first, first + size):
-                        spans[doc].append((p - int(docs.bound[doc]), p + size - int(docs.bound[doc])))
-                        items[doc].add(self.ids[item])
-        return spans, items
-
-
-def _covered(spans: list) -> int:
-    total, end = 0, 0
-    for a, b in sorted(spans):
-        total += max(0, b - max(a, end))
-        end = max(end, b)
-    return total
-
-
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[list[tuple[str, str]]]:
-    rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(size / BLOCK_BYTES))
-    return [[(r.id, r.text) for r in rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i).toLocalIterator()] for i in range(n)]
+    def fingerprints(self, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions and hashes of the winnowed K-grams (size 0) and of all runs of `sizes` words (short items)."""
+        at, h = self.winnowed()
+        out = [(at, h, np.zeros(len(at), dtype=np.int64))]
+        for n in sizes:
+            h, whole = self.grams(n)
+            at = np.flatnonzero(whole)
+            out.append((at, _mix(h[at] + np.uint64(n)), np.full(len(at), n)))
+        return tuple(map(np.concatenate, zip(*out)))
+
+    def digests(self, at: np.ndarray, n: int) -> list[bytes]:
+        """128-bit digests of the n words from each position, joined by spaces."""
+        said, start, end = self.data, self.start, self.end
+        words = {}
+
+        def word(i: int) -> bytes:
+            if i not in words:
+                words[i] = said[start[i] : end[i]].tobytes()
+            return words[i]
+
+        return [xxhash.xxh3_128_digest(b" ".join([word(i) for i in range(p, p + n)])) for p in at.tolist()]
+
+
+def _bit(h: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word and bit of a table of so many words for each fingerprint."""
+    return (h >> np.uint64(6)) % np.uint64(words), h & np.uint64(63)
+
+
+def _benchmark(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The benchmark's fingerprints (fp, size: words of a short item, else 0), its windows (window, text digest), and items (digest, item)."""
+    rows = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    texts = cut(rows.select(F.md5("text").alias("th"), "text").groupBy("th").agg(F.any_value("text").alias("text")))
+
+    def marks(batches):
+        for b in batches:
+            for part in chunks_of(b.column("text").to_pylist(), 1 << 19):
+                words = Words(part)
+                sizes = np.diff(words.bound)
+                _, fp = words.winnowed()
+                yield pa.record_batch([pa.array(fp.view(np.int64)), pa.array(np.zeros(len(fp), dtype=np.int32))], names=["fp", "size"])
+                for n in range(1, SPAN):
+                    if len(which := np.flatnonzero(sizes == n)):
+                        h = _mix(words.grams(n)[0][words.bound[which]] + np.uint64(n))
+                        yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(np.full(len(h), n, dtype=np.int32))], names=["fp", "size"])
+
+    def windows(batches):
+        for b in batches:
+            for th, text in zip(b.column("th").to_pylist(), b.column("text").to_pylist()):
+                words = Words([text])
+                n = min(SPAN, len(words.hash))
+                said = list(dict.fromkeys(words.digests(np.arange(len(words.hash) - n + 1), n))) if n else []
+                yield pa.record_batch([pa.array([th] * len(said), pa.string()), pa.array(said, pa.binary())], names=["th", "window"])
+
+    known = cut(texts.mapInArrow(marks, "fp long, size int").distinct())
+    items = rows.select("item", F.md5("text").alias("th")).distinct()
+    return known, cut(texts.mapInArrow(windows, "th string, window binary").select("window", F.col("th").alias("said"))), items.select(F.col("th").alias("said"), "item")
+
+
+def _table(known: DataFrame) -> np.ndarray:
+    """The bit table of fingerprints: at most TABLE rows come to the driver."""
+    h = F.col("fp")
+    word = F.pmod(F.shiftrightunsigned(h, 6), F.lit(TABLE))
+    rows = known.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(fp & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(TABLE, dtype=np.uint64)
+    out[rows.column("w").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _judged(frame: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Of frame (id, th, text): a written table (id, th, n_words), and the hits (th, n_hit, items, contaminated) of texts that have some."""
+    spark = frame.sparkSession
+    known, windows, items = _benchmark(benchmark, item_col, item_text_col)
+    sizes = sorted(r.size for r in known.where("size > 0").select("size").distinct().collect())
+    table = spark.sparkContext.broadcast(_table(known))
+
+    def marks(batches):
+        bits = table.value
+        for b in batches:
+            done = 0
+            for part in chunks_of(b.column("text").to_pylist(), 1 << 19):
+                words = Words(part)
+                at, fp, _ = words.fingerprints(sizes)
+                word, bit = _bit(fp, len(bits))
+                hit = np.flatnonzero(bits[word] >> bit & np.uint64(1))
+                text = words.text[at[hit]]
+                order = np.lexsort((fp[hit], text))
+                text, fp = text[order], fp[hit][order]
+                new = np.ones(len(fp), dtype=bool)
+                new[1:] = (fp[1:] != fp[:-1]) | (text[1:] != text[:-1])
+                text, fp = text[new], fp[new]
+                found = pa.ListArray.from_arrays(np.searchsorted(text, np.arange(len(part) + 1)).astype(np.int32), pa.array(fp.view(np.int64)))
+                # only texts with such fingerprints are written with the row
+                said = pa.array([t if n else None for t, n in zip(part, np.diff(found.offsets.to_numpy()))], pa.string())
+                here = b.slice(done, len(part))
+                done += len(part)
+                yield pa.record_batch([here.column("id"), here.column("th"), pa.array(np.diff(words.bound), pa.int64()), said, found], names=["id", "th", "n_words", "text", "fps"])
+
+    kind = frame.schema["id"].dataType.simpleString()
+    marked = cut(frame.mapInArrow(marks, f"id {kind}, th string, n_words long, text string, fps array<long>"))
+    # one row for each text with a fingerprint that may be the benchmark's
+    some = cut(marked.where("text is not null").groupBy("th").agg(F.any_value("text").alias("text"), F.any_value("fps").alias("fps"), F.any_value("n_words").alias("n_words")))
+    met = some.select("th", F.explode("fps").alias("fp")).join(known.select("fp").distinct(), "fp").groupBy("th").agg(F.collect_list("fp").alias("met"))
+    near = some.select("th", "text").join(met, "th")
+
+    def extended(batches):
+        for b in batches:
+            for th, text, hits in zip(b.column("th").to_pylist(), b.column("text").to_pylist(), b.column("met").to_pylist()):
+                words = Words([text])
+                at, fp, size = words.fingerprints(sizes)
+                here = np.isin(fp, np.array(hits, dtype=np.int64).view(np.uint64))
+                plans = [(n, at[here & (size == n)]) for n in sizes]
+                if (whole := len(words.hash) - SPAN + 1) > 0:  # all windows that hold a hit K-gram
+                    spots, held = at[here & (size == 0)], np.zeros(whole + 1, dtype=np.int64)
+                    np.add.at(held, np.clip(spots - SPAN + K, 0, whole), 1)
+                    np.add.at(held, np.clip(spots + 1, 0, whole), -1)
+                    plans.append((SPAN, np.flatnonzero(np.cumsum(held)[:-1] > 0)))
+                for n, where in plans:
+                    for i in range(0, len(where), 1 << 14):
+                        part = where[i : i + (1 << 14)]
+                        yield pa.record_batch([pa.array([th] * len(part), pa.string()), pa.array(words.digests(part, n), pa.binary()), pa.array(part, pa.int64()), pa.array(np.full(len(part), n), pa.int32())], names=["th", "window", "at", "n"])
+
+    spots = cut(near.select("th", "text", "met").mapInArrow(extended, "th string, window binary, at long, n int"))
+    # written first: a join over an aggregation's own exchange could not be split where one window is common
+    shared = cut(windows.select("window").distinct())
+    hit = spots.join(shared, "window").groupBy("th").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("spans"))
+    covered = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("end")), lambda a, s: F.struct((a["total"] + F.greatest(s["at"] + s["n"] - F.greatest(s["at"], a["end"]), F.lit(0))).alias("total"), F.greatest(a["end"], s["at"] + s["n"]).alias("end")), lambda a: a["total"])
+    named = spots.select("th", "window").distinct().join(windows, "window").select("th", "said").distinct().join(items, "said")
+    named = named.groupBy("th").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    out = hit.select("th", covered.alias("n_hit")).join(named, "th").join(some.select("th", "n_words"), "th")
+    return marked, cut(out.select("th", "n_hit", "items", (F.col("n_hit") * 20 >= F.col("n_words")).alias("contaminated")))
+
+
+def _keyed(docs: DataFrame, id_: Column, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(id_.alias("id"), F.md5(text).alias("th"), text.alias("text"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -182,52 +242,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     A document is contaminated if it has hits and at least a twentieth of its words are hit.
     """
-    out = _judged(docs.select(F.col(id_col).alias("id")), docs.select(F.struct(F.col(id_col).alias("id")).alias("row"), F.col(text_col).cast("string").alias("text")), benchmark, item_col, item_text_col)
-    return out.select(F.col("row.id").alias(id_col), "n_words", "n_hit", "items", F.size("items").cast("long").alias("n_items"), "contaminated")
+    marked, hits = _judged(_keyed(docs, F.col(id_col), text_col), benchmark, item_col, item_text_col)
+    out = marked.select("id", "th", "n_words").join(hits, "th", "left")
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), items.alias("items"), F.size(items).cast("long").alias("n_items"), F.coalesce("contaminated", F.lit(False)).alias("contaminated"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
-    frame = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
-    return _judged(docs, frame, benchmark, item_col, item_text_col).where(~F.col("contaminated")).select("row.*")
-
-
-def _judged(rows: DataFrame, frame: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
-    """frame (row, text) read against each block of the benchmark; row comes back beside the counts."""
-    spark = frame.sparkSession
-    row = StructField("row", rows.schema)
-    counts = [StructField("n_words", LongType()), StructField("n_hit", LongType())]
-    items = StructField("items", ArrayType(StringType()))
-    between = StructType([row, StructField("text", StringType()), StructField("spans", ArrayType(LongType())), items])
-    after = StructType([row, *counts, items])
-    blocks = _blocks(benchmark, item_col, item_text_col)
-    for number, block in enumerate(blocks):
-        first, last, shared = number == 0, number == len(blocks) - 1, spark.sparkContext.broadcast(block)
-        frame = frame.mapInArrow(_scan(shared, first, last), after if last else between)
-        if number % CHAIN == CHAIN - 1 and not last:
-            frame = cut(frame)
-    return frame.select("row", "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))).alias("contaminated"))
-
-
-def _scan(shared, first: bool, last: bool):
-    def run(batches):
-        index = Index(shared.value)
-        for b in batches:
-            texts, spans, items, counts = b.column("text").to_pylist(), [], [], []
-            for part in chunks_of(texts, 1 << 19):
-                words = Words(part)
-                s, i = index.hits(words)
-                spans += s
-                items += i
-                counts += np.diff(words.bound).tolist()
-            if not first:
-                spans = [new + list(zip(old[::2], old[1::2])) for new, old in zip(spans, b.column("spans").to_pylist())]
-                items = [new | set(old) for new, old in zip(items, b.column("items").to_pylist())]
-            names = pa.array([sorted(i) for i in items], pa.list_(pa.string()))
-            if last:
-                yield pa.record_batch([b.column("row"), pa.array(counts, pa.int64()), pa.array([_covered(s) for s in spans], pa.int64()), names], names=["row", "n_words", "n_hit", "items"])
-            else:
-                flat = pa.array([[x for pair in s for x in pair] for s in spans], pa.list_(pa.int64()))
-                yield pa.record_batch([b.column("row"), b.column("text"), flat, names], names=["row", "text", "spans", "items"])
-
-    return run
+    _, hits = _judged(_keyed(docs, F.lit(0), text_col), benchmark, item_col, item_text_col)
+    name = "_bad"
+    while name in docs.columns:
+        name = "_" + name
+    bad = cut(hits.where("contaminated").select(F.col("th").alias(name)))
+    return docs.join(bad, F.md5(F.col(text_col).cast("string")) == F.col(name), "left_anti")

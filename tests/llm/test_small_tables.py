@@ -342,7 +342,7 @@ def brute_windows(texts, items):
     for i, t in items:
         w = words(t)
         for j in range(max(1, len(w) - 12)) if w else []:
-            known[tuple(w[j : j + 13])].add(str(i))
+            known[tuple(w[j : j + 13])].add("null" if i is None else str(i))
     for t in texts:
         w, hit, found = words(t), set(), set()
         for n in {len(k) for k in known}:
@@ -353,9 +353,9 @@ def brute_windows(texts, items):
         yield len(w), len(hit), sorted(found), bool(hit) and 20 * len(hit) >= len(w)
 
 
-@pytest.mark.parametrize("block", [8 << 20, 300])
-def test_winnow(spark, docs, none, monkeypatch, block):
-    monkeypatch.setattr(winnow, "BLOCK_BYTES", block)
+@pytest.mark.parametrize("table", [1 << 20, 1])
+def test_winnow(spark, docs, none, monkeypatch, table):
+    monkeypatch.setattr(winnow, "TABLE", table)
     rng = random.Random(6)
     word = lambda: rng.choice(["red", "Blue", "green", "one2", "naïve", "中"])
     items = [(i, " ".join(word() for _ in range(rng.choice([1, 3, 7, 12, 13, 14, 30, 60])))) for i in range(40)] + [(41, None), (42, "?!"), (43, "red")]
@@ -364,7 +364,8 @@ def test_winnow(spark, docs, none, monkeypatch, block):
         w = [word() for _ in range(rng.randrange(80))]
         part = rng.choice(items)[1] or ""
         texts.append(", ".join(w[:40]) + " " + part.upper() + " - " + " ".join(w[40:]))
-    texts += TEXTS
+    texts += [*TEXTS, "red " * 3000, texts[0], "green blue " * 500]
+    items += [(44, "red " * 200), (45, "red " * 200), (46, items[5][1]), (None, items[6][1])]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("item_id", F.lit(3))
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {r.doc_id: r for r in winnow.decontaminate(frame, bench).collect()}
