@@ -27,7 +27,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import suffix_dedup
 
-    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), keep_bytes=False)
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), keep_bytes=False, passages=True)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

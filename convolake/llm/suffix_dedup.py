@@ -12,6 +12,10 @@ their anchor's hash, and nowhere else. An anchor's segment is the run of all str
 * Groups of more than GROUP different segments are never gathered: their strings are counted
   one by one by digest, which is exact as well.
 
+Passages of PASSAGE words or more that another document shares may be shorter than SPAN; they are only
+counted, by windows of words: windows meet at the least of their word GRAMS, runs of windows that are
+alike as a whole are shared, of others each window is compared.
+
 Defined results: null texts are empty; texts under SPAN bytes lose nothing; texts are taken whole;
 rows alike in id and text are documents of their own and repeat each other; other columns are ignored.
 """
@@ -28,8 +32,12 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .simhash import runs
+from .vocab import chunks_of
+from .winnow import Words
 
 SPAN, GRAM, GROUP = 400, 64, 4096
+#: Words of a shared passage ("over 50"), and of the grams at which its windows meet.
+PASSAGE, GRAMS = 51, 8
 #: A longer text is anchored in pieces of so many strings each.
 PIECE = 4 << 20
 _PLACE = np.uint64((1 << 24) - 1)
@@ -260,11 +268,73 @@ def _removed(batches):
             for name, x in (("n_bytes", len(raw)), ("n_removed", sum(e - s for s, e in gone)), ("n_spans", len(gone)), ("kept", b"".join(kept))):
                 out[name].append(x)
         sha = pa.array([hashlib.sha256(k).hexdigest() for k in out["kept"]], pa.string())
-        yield pa.record_batch([b.column("id"), *[pa.array(out[n], pa.int64()) for n in ("n_bytes", "n_removed", "n_spans")], sha, pa.array(out["kept"], pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        yield pa.record_batch([b.column("id"), b.column("th"), *[pa.array(out[n], pa.int64()) for n in ("n_bytes", "n_removed", "n_spans")], sha, pa.array(out["kept"], pa.binary())], names=["id", "th", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+
+
+class _Spaced(Words):
+    """Words between white space, as they are written."""
+
+    folded = np.arange(256, dtype=np.uint8)
+    inside = ~np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True) -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256, and the kept bytes if asked for."""
+def _window_runs(batches):
+    """(th, h, seg, first, n): runs of n windows from word `first` on that meet at the gram h, and a hash of the run's words."""
+    for b in batches:
+        done = 0
+        for part in chunks_of(b.column("text").to_pylist(), 1 << 19):
+            th = b.column("th").slice(done, len(part))
+            done += len(part)
+            words = _Spaced(part)
+            place, whole, h = words.anchors(GRAMS, PASSAGE)
+            at = np.flatnonzero(whole)
+            if not len(at):
+                continue
+            new = np.flatnonzero(np.concatenate(([True], (place[at][1:] != place[at][:-1]) | (words.text[at][1:] != words.text[at][:-1]))))
+            first, last = at[new], at[np.append(new[1:] - 1, len(at) - 1)]
+            up, down = _powers(len(words.hash) + 1)
+            total = np.zeros(len(words.hash) + 1, dtype=np.uint64)
+            np.cumsum(words.hash * up[:-1], out=total[1:])
+            seg = (total[last + PASSAGE] - total[first]) * down[first] + (last - first).astype(np.uint64) * np.uint64(_M) + (place[first] - first).astype(np.uint64)
+            text = words.text[first]
+            cols = [h[place[first]].view(np.int64), seg.view(np.int64), first - words.bound[text], last - first + 1]
+            yield pa.record_batch([th.take(pa.array(text)), *map(pa.array, cols)], names=["th", "h", "seg", "first", "n"])
+
+
+def _windows(batches):
+    """(th, window): hashes of the windows of wanted runs."""
+    for b in batches:
+        for th, text, wanted in zip(b.column("th").to_pylist(), b.column("text").to_pylist(), b.column("wanted").to_pylist()):
+            h, _ = _Spaced([text]).grams(PASSAGE)
+            out = np.concatenate([h[w["first"] : w["first"] + w["n"]] for w in wanted])
+            settled = np.repeat([w["settled"] for w in wanted], [w["n"] for w in wanted])
+            yield pa.record_batch([pa.array(np.full(len(out), th)), pa.array(out.view(np.int64)), pa.array(settled)], names=["th", "window", "settled"])
+
+
+def shared_windows(frame: DataFrame) -> DataFrame:
+    """(th, n) for the texts of frame (th, text) that share windows of PASSAGE words with another document: how many windows do so."""
+    texts = frame.where("text is not null").select("th", "text")
+    copies = cut(texts.groupBy("th").agg(F.count("*").alias("times")))
+    found = cut(texts.dropDuplicates(["th"]).mapInArrow(_window_runs, "th long, h long, seg long, first long, n long"))
+    kinds = found.groupBy("h", "seg").agg(F.min("th").alias("a"), F.max("th").alias("b"))
+    gram = kinds.groupBy(F.col("h").alias("_h")).agg(F.min("a").alias("low"), F.max("b").alias("high"), F.bool_or(F.col("a") == F.col("b")).alias("mixed")).where("low <> high")
+    # written first: a join over the aggregation's own exchange could not be split where one gram is common
+    kinds = cut(kinds.join(gram, F.col("h") == F.col("_h")).select(F.col("h").alias("_h"), F.col("seg").alias("_seg"), (F.col("a") != F.col("b")).alias("settled"), F.when(F.col("mixed"), F.col("a")).alias("one")))
+    met = cut(found.join(kinds, (F.col("h") == F.col("_h")) & (F.col("seg") == F.col("_seg"))).select("th", "first", "n", "settled", (F.col("settled") & (F.col("th") == F.col("one"))).alias("model")))
+    # runs that no other document has as a whole, and one of each shared run that they may have windows of
+    wanted = met.where("not settled or model").groupBy(F.col("th").alias("_th")).agg(F.collect_list(F.struct("first", "n", "settled")).alias("wanted"))
+    single = cut(texts.join(wanted, F.col("th") == F.col("_th")).dropDuplicates(["th"]).select("th", "text", "wanted").mapInArrow(_windows, "th long, window long, settled boolean"))
+    twice = cut(single.groupBy(F.col("window").alias("_window")).agg(F.min("th").alias("a"), F.max("th").alias("b"), F.bool_or("settled").alias("settled")).where("a <> b or settled").select("_window"))
+    within = met.where("settled").select("th", "n").unionByName(single.where("not settled").join(twice, F.col("window") == F.col("_window"), "left_semi").select("th", F.lit(1).cast("long").alias("n")))
+    whole = found.groupBy("th").agg(F.sum("n").alias("n")).join(copies.where("times > 1").select("th"), "th")
+    return within.groupBy("th").agg(F.sum("n").alias("n")).unionByName(whole).groupBy("th").agg(F.max("n").alias("n"))
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True, passages: bool = False) -> DataFrame:
+    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256; if asked for the kept bytes, and n_shared.
+
+    n_shared counts the windows of PASSAGE words that another document has as well.
+    """
     spark = docs.sparkSession
     frame = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # a document is known by its id and a hash of its text; rows alike in both share their spans
@@ -300,6 +370,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     spans = alike.unionByName(in_mixed).unionByName(as_whole)
     spans = cut(spans.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.flatten(F.collect_list(F.array("span.s", "span.e"))).alias("spans")))
-    last = frame.join(spans, F.col("id").eqNullSafe(F.col("_id")) & F.col("th").eqNullSafe(F.col("_th")), "left").select("id", "text", "spans")
-    out = last.mapInArrow(_removed, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_bytes)
+    last = frame.join(spans, F.col("id").eqNullSafe(F.col("_id")) & F.col("th").eqNullSafe(F.col("_th")), "left").select("id", "th", "text", "spans")
+    out = last.mapInArrow(_removed, f"id {kind}, th long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    if passages:
+        shared = cut(shared_windows(frame).select(F.col("th").alias("_th"), "n"))
+        out = out.select("id", "th", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_bytes).join(shared, F.col("th") == F.col("_th"), "left")
+    count = [F.coalesce("n", F.lit(0)).cast("long").alias("n_shared")] if passages else []
+    return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_bytes, *count)

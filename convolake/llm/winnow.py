@@ -60,11 +60,13 @@ def _mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """The words of texts side by side: their hashes, bytes, and the range of each text's words."""
 
+    folded, inside = _LOWER, _WORD
+
     def __init__(self, texts: list[str]):
         raw = [t.encode() for t in texts]
         ends = np.cumsum([len(r) + 1 for r in raw])
-        self.data = _LOWER[np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)]
-        word = _WORD[self.data]
+        self.data = self.folded[np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)]
+        word = self.inside[self.data]
         edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=0))
         self.start, self.end = edge[::2], edge[1::2]
         n = len(self.data)
@@ -85,19 +87,23 @@ class Words:
             h = h * _M + self.hash[j : size + j]
         return _mix(h), self.text[:size] == self.text[n - 1 :]
 
-    def winnowed(self) -> tuple[np.ndarray, np.ndarray]:
-        """Positions that are the last minimum of some window, and their hashes."""
-        h, _ = self.grams(K)
-        width = SPAN - K + 1
-        size = len(h) - width + 1
-        if size <= 0:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+    def anchors(self, k: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each window of span words the place of its least k-gram (of equal ones the last), whether it lies in one text, and all k-grams."""
+        h, _ = self.grams(k)
+        width = span - k + 1
+        size = max(len(h) - width + 1, 0)
         low, place = h[:size].copy(), np.arange(size)
-        for j in range(1, width):
+        for j in range(1, width if size else 1):
             here = h[j : size + j]
-            place[here <= low] = np.flatnonzero(here <= low) + j
+            less = here <= low
+            place[less] = np.flatnonzero(less) + j
             np.minimum(low, here, out=low)
-        at = np.unique(place[self.text[:size] == self.text[SPAN - 1 : size + SPAN - 1]])
+        return place, self.text[:size] == self.text[span - 1 : size + span - 1] if size else np.zeros(0, dtype=bool), h
+
+    def winnowed(self) -> tuple[np.ndarray, np.ndarray]:
+        """Positions that are the last minimum of some window, and their hashes."""
+        place, whole, h = self.anchors(K, SPAN)
+        at = np.unique(place[whole])
         return at, h[at]
 
     def fingerprints(self, sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
