@@ -34,7 +34,7 @@ MALE_CYRILLIC = ["Иван", "Пётр", "Сергей", "Алексей", "Дм
 FEMALE_CYRILLIC = ["Анна", "Мария", "Елена", "Ольга", "Наталья", "Татьяна", "Ирина", "Светлана"]
 FAMILY_FIRST = ["Chen", "Huang", "Kim", "Liu", "Nguyen", "Tran", "Wang", "Yang", "Zhang", "Zhao", "Zhou"]
 #: Phrases before a name of one or two words, before one of two words, before a Han name, before a date of birth.
-NAME_PHRASES = ["name is", "Name:", "igned by", "ich heiße", "me llamo", "m'appelle", "меня зовут"]
+NAME_PHRASES = ["name is", "Name:", "signed by", "Signed by", "ich heiße", "me llamo", "m'appelle", "меня зовут"]
 FULL_NAME_PHRASES = ["Dear", "Author:", "Contact:"]
 HAN_PHRASES = ["姓名:", "姓名：", "我叫", "名叫"]
 BIRTH_PHRASES = ["born on", "Born on", "born", "DOB:", "DOB", "of birth:", "of birth", "geboren am", "née le", "né le", "nacido el", "nacida el"]
@@ -56,13 +56,10 @@ _TITLE = "|".join(MALE_TITLES + FEMALE_TITLES + TITLES)
 _WORD = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _HEX = r"[0-9A-Fa-f]{1,4}"
+_LEAD = "|".join(NAME_PHRASES + FULL_NAME_PHRASES)
 _DATE = r"(?:\d{4}[-./]\d{2}[-./]\d{2}|\d{2}[-./]\d{2}[-./]\d{4})"
 
 
-def _after(phrases: list[str], gap: str = " ") -> str:
-    return "(?<=" + "|".join(p + gap for p in phrases) + ")"
-
-
 #: Kinds in the order in which they are tried; each pattern matches one entity. Loops over groups are possessive or short, so that none recurses.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:\.[A-Za-z0-9_%+-]++)*+@(?:[A-Za-z0-9-]++\.(?=[A-Za-z]{2}|[A-Za-z0-9-]++\.))++[A-Za-z]{2,}+",
@@ -74,20 +71,19 @@ PATTERNS = {
     "phone": r"(?<![0-9+])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![0-9])",
     "ssn": r"(?<![0-9-])\d{3}-\d{2}-\d{4}(?![0-9-])",
     "card": r"(?<![0-9])[3-6]\d{3}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![0-9])",
-    "birth": rf"(?=\d){_after(BIRTH_PHRASES)}{_DATE}(?!\d)",
+    "birth": rf"(?=[bBDogn])(?<!\p{{L}})(?:{'|'.join(BIRTH_PHRASES)}) {_DATE}(?!\d)",
     "street": rf"(?=\d)(?<![0-9A-Za-z])\d{{1,5}} (?:\p{{Lu}}\p{{Ll}}+ ){{1,3}}(?:{'|'.join(STREETS)})(?!\p{{L}})",
-    "name": rf"(?=[\p{{Lu}}г])(?<!\p{{L}})(?:(?:{_TITLE})\.? {_WORD}(?: (?:\p{{Lu}}\. )?{_WORD})?|(?:{_FIRST}) (?:\p{{Lu}}\. )?{_WORD}|{_after(NAME_PHRASES)}{_WORD}(?: {_WORD})?|{_after(FULL_NAME_PHRASES)}{_WORD} {_WORD})(?!\p{{L}})",
-    "han": rf"(?=\p{{IsHan}}){_after(HAN_PHRASES, '')}(?:{'|'.join(SURNAMES_HAN)})\p{{IsHan}}{{1,2}}",
+    "name": rf"(?=[\p{{Lu}}гnimsм])(?<!\p{{L}})(?:(?:{_TITLE})\.? {_WORD}(?: (?:\p{{Lu}}\. )?{_WORD})?|(?:{_FIRST}) (?:\p{{Lu}}\. )?{_WORD}|(?:{'|'.join(NAME_PHRASES)}) {_WORD}(?: {_WORD})?|(?:{'|'.join(FULL_NAME_PHRASES)}) {_WORD} {_WORD})(?!\p{{L}})",
+    "han": rf"(?=[姓我名])(?:{'|'.join(HAN_PHRASES)})(?:{'|'.join(SURNAMES_HAN)})\p{{IsHan}}{{1,2}}",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What a text with any entity has; it spares most texts the longer patterns.
+#: What most texts with an entity have: a mark, two capitalised words in a row, or a title with a stop.
 _HINT = (
-    r"[0-9@=]|:\s{0,2}[\"']?[A-Za-z0-9+/_-]{8}|[\p{Lu}г]\p{L}{1,15} (?:\p{Lu}\. )?\p{Lu}\p{Ll}|(?:"
-    + "|".join(MALE_TITLES + FEMALE_TITLES + TITLES)
-    + r")\. \p{Lu}|AKIA|gh[pousr]_|sk-|[a-f]{32}|(?:"
-    + "|".join(NAME_PHRASES + FULL_NAME_PHRASES)
-    + r") \p{Lu}|"
-    + "|".join(HAN_PHRASES)
+    r"[0-9@=]|[\p{Lu}г]\p{L}{1,15}(?::| by|) (?:\p{Lu}\. )?\p{Lu}\p{Ll}|["
+    + "".join(sorted({t[0] for t in MALE_TITLES + FEMALE_TITLES + TITLES}))
+    + "](?:"
+    + "|".join(sorted({t[1:] for t in MALE_TITLES + FEMALE_TITLES + TITLES}))
+    + r")\. \p{Lu}"
 )
 _SECRET_HEAD = r"^(.*?[=:]\s{0,2}[\"']?)([A-Za-z0-9+/_-]+)$"
 #: Draws after which a surrogate of free format is made longer; of a fixed format it is drawn on.
@@ -102,15 +98,13 @@ def _sql(s: str) -> str:
 def kind(entity: Column) -> Column:
     out = F
     for name, p in PATTERNS.items():
-        if name not in ("birth", "han"):
-            out = out.when(entity.rlike(f"^(?:{p})$"), name)
-    # what a phrase before it has told shows by its form
-    return out.when(entity.rlike(r"^\d"), "birth").when(entity.rlike(r"^\p{IsHan}"), "han").otherwise("name")
+        out = out.when(entity.rlike(f"^(?:{p})$"), name)
+    return out
 
 
 def person(entity: Column) -> Column:
-    """A name without title and middle initial."""
-    return F.regexp_replace(F.regexp_replace(entity, rf"^(?:{_TITLE})\.? ", ""), r" \p{Lu}\. ", " ")
+    """A name without title, phrase and middle initial."""
+    return F.regexp_replace(F.regexp_replace(entity, rf"^(?:(?:{_TITLE})\.?|{_LEAD}) ", ""), r" \p{Lu}\. ", " ")
 
 
 def canonical(kind_: Column, entity: Column) -> Column:
@@ -120,6 +114,8 @@ def canonical(kind_: Column, entity: Column) -> Column:
         .when(kind_ == "secret", F.regexp_extract(entity, _SECRET_HEAD, 2))
         .when(kind_.isin("phone", "ssn", "card", "iban"), F.regexp_replace(entity, "[^0-9A-Z+]", ""))
         .when(kind_ == "ipv6", F.lower(entity))
+        .when(kind_ == "birth", F.regexp_extract(entity, _DATE, 0))
+        .when(kind_ == "han", F.regexp_replace(entity, "^(?:" + "|".join(HAN_PHRASES) + ")", ""))
         .when(kind_ == "name", F.concat_ws("|", _gender(entity), person(entity)))
         .otherwise(entity)
     )
@@ -246,16 +242,27 @@ def _render(kind_: str, entity: str, surrogate: str) -> Column:
         (a, i) -> case when substr({entity}, i, 1) rlike '[0-9A-Z+]' then named_struct('s', concat(a.s, substr({surrogate}, a.n + 1, 1)), 'n', a.n + 1)
                        else named_struct('s', concat(a.s, substr({entity}, i, 1)), 'n', a.n) end,
         a -> concat(a.s, substr({surrogate}, a.n + 1)))"""
-    title, initial = _sql(rf"^((?:{_TITLE})\.? )?.*$"), _sql(r" \p{Lu}\. ")
+    title, initial = _sql(rf"^((?:(?:{_TITLE})\.?|{_LEAD}) )?.*$"), _sql(r" \p{Lu}\. ")
     return F.expr(f"""case when {kind_} = 'email' then concat({by_case}, substr({surrogate}, length({entity}) + 1))
         when {kind_} in ('phone', 'ssn', 'card', 'iban') then {apart}
         when {kind_} = 'ipv6' and {entity} rlike '[A-F]' then upper({surrogate})
+        when {kind_} = 'birth' then concat(regexp_extract({entity}, '^[^0-9]*', 0), {surrogate})
+        when {kind_} = 'han' then concat(left({entity}, length({entity}) - length({surrogate})), {surrogate})
         when {kind_} = 'secret' then concat(regexp_extract({entity}, {_sql(_SECRET_HEAD)}, 1), {surrogate})
         when {kind_} = 'name' then concat(regexp_extract({entity}, {title}, 1), case when {entity} rlike {initial}
             then concat(substring_index({surrogate}, ' ', 1), ' ', left(substring_index({surrogate}, ' ', -1), 1), '. ', substring_index({surrogate}, ' ', -1)) else {surrogate} end)
         else {surrogate} end""")
 
 
+def may_match(text: Column) -> Column:
+    """False only for texts without any entity; plain searches and short patterns spare most texts the long one."""
+    phrases = [p + " " for p in NAME_PHRASES if p[0].islower()] + HAN_PHRASES + ["AKIA", "sk-"]
+    out = text.rlike(_HINT) | (text.contains(":") & text.rlike(r":\s{0,2}[\"']?[A-Za-z0-9+/_-]{8}")) | (text.contains("_") & text.rlike("gh[pousr]_")) | text.rlike("[a-f]{32}")
+    for p in phrases:
+        out = out | text.contains(p)
+    return F.coalesce(out, F.lit(False))
+
+
 def matches_of(text: Column, pattern: Column | None = None) -> Column:
     """All that looks like an entity, in order; numbers that only look like cards are among it."""
     return F.regexp_extract_all(text, F.lit(PATTERN) if pattern is None else pattern, F.lit(0))
@@ -275,7 +282,7 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text", count_col: st
     if not key:
         raise ValueError("surrogates need a key")
     text = F.col(text_col)
-    may = F.coalesce(text.rlike(_HINT), F.lit(False))
+    may = may_match(text)
     seen = docs.where(may).select(F.sha2(text, 256).alias("h"), F.array_distinct(matches_of(text)).alias("entities")).where(F.size("entities") > 0)
     found = seen.select("h", F.explode("entities").alias("entity")).distinct()
     found = found.withColumn("kind", kind(F.col("entity")))

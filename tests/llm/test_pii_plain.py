@@ -45,7 +45,7 @@ def test_plain_reading(spark):
 @pytest.mark.parametrize("text", ["x@" + "a." * 100_000 + "com", "a." * 100_000 + "x@y.org", "1" * 1_000_000, "A" * 1_000_000, "a" * 1_000_000, "Ab " * 100_000, "John " * 100_000, "1.2.3." * 100_000, "password=" + "x" * 100_000, "2001:" * 100_000, "+1 " * 100_000, "DE12 " + "ABCD " * 100_000, "1 " + "Ab " * 100_000 + "Street", "王" * 500_000, "-" * 500_000, "Mr. A" + "b-B" * 100_000, "0f" * 500_000])
 def test_long_texts_do_not_recurse(spark, text):
     rows = spark.createDataFrame([(text,)], "text string")
-    size = rows.select(F.size(pii.matches_of(F.col("text"))), F.col("text").rlike(pii._HINT), F.size(F.split("text", pii.PATTERN, -1))).first()
+    size = rows.select(F.size(pii.matches_of(F.col("text"))), pii.may_match(F.col("text")), F.size(F.split("text", pii.PATTERN, -1))).first()
     assert size[2] == size[0] + 1
 
 
