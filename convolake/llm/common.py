@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,12 +26,16 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/convolake-{spark.sparkContext.applicationId}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lost executors redo no work before it."""
+def cut(df: DataFrame, *watched: Column) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lost executors redo no work before it.
+
+    The frame's `saw` has the aggregates `watched` of what was written.
+    """
     path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation() if watched else None
+    (df.observe(seen, *watched) if watched else df).write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.written_to = path
+    out.written_to, out.saw = path, seen.get if watched else {}
     return out
 
 
@@ -49,10 +53,9 @@ def components(edges: DataFrame) -> DataFrame:
     map-side partial minima and two joins, so that a hub of many links is never gathered
     in one task. Rounds end when a round leaves the edge set as it was.
     """
-    spark = edges.sparkSession
-    now = cut(_distinct(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))))
-    mark = _mark(now)
-    while mark[0]:
+    mark = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")]
+    now = cut(_distinct(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))), *mark)
+    while now.saw["n"]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -61,11 +64,11 @@ def components(edges: DataFrame) -> DataFrame:
         big = cut(_distinct(large.unionByName(kept)))
         low = big.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("n"), "m")
         small = big.join(low, F.col("u") == F.col("n")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        new = cut(_distinct(small.unionByName(low.select(F.col("n").alias("u"), F.col("m").alias("v")))))
+        new = cut(_distinct(small.unionByName(low.select(F.col("n").alias("u"), F.col("m").alias("v")))), *mark)
         drop(big)
         drop(now)
-        now, last, mark = new, mark, _mark(new)
-        if mark == last:
+        now, last = new, now.saw
+        if now.saw == last:
             break
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
@@ -73,8 +76,3 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _distinct(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").distinct()
-
-
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-    return tuple(row)

@@ -256,7 +256,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 # Documents that share most of their word shingles: common rare shingles find the pairs, the shingle sets decide.
 
 #: 64-bit words of a parity bitmap; pairs of a component that are verified at first.
-WORDS, AT_ONCE = 8, 4
+WORDS, AT_ONCE = 8, 64
 #: Documents whose shingles are counted for the order of shingles, and shingles of which the count is kept.
 #: Any order gives the same pairs; with common shingles last fewer documents meet.
 SAMPLE, COMMON = 4096, 1 << 17
@@ -286,9 +286,9 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
             for t in b.column("text").to_pylist():
                 yield pa.record_batch([pa.array(_hashes(_shingles(t, shingle)).view(np.int64))], names=["h"])
 
-    some = texts.where(F.col("rep").isNotNull() & (F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
-    top = some.mapInArrow(run, "h long").groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect()
-    h, n = np.array([r[0] for r in top], dtype=np.int64).view(np.uint64), np.array([r[1] for r in top], dtype=np.int64)
+    some = texts.where(F.pmod(F.xxhash64("th"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    top = some.mapInArrow(run, "h long").groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
+    h, n = top.column("h").to_numpy().view(np.uint64), top.column("count").to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
 
@@ -306,19 +306,12 @@ def _prefix(hashes: np.ndarray, common: tuple, similarity: float) -> np.ndarray:
     return hashes[np.lexsort((hashes, rank))[: n - math.ceil(similarity * n - 1e-6) + 1]]
 
 
-def _prefix_rows(rows: DataFrame, common: tuple, similarity: float, shingle: int) -> DataFrame:
-    """(key, rep): each document (rep, text) once for every shingle of its prefix that another one has in its own."""
-
-    def run(batches):
-        for b in batches:
-            keys = [_prefix(_hashes(_shingles(t, shingle)), common, similarity) for t in b.column("text").to_pylist()]
-            rep = b.column("rep").take(pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys])))
-            yield pa.record_batch([pa.array(np.concatenate(keys or [np.zeros(0, dtype=np.uint64)]).view(np.int64)), rep], names=["key", "rep"])
-
-    found = cut(rows.mapInArrow(run, "key long, rep long"))
+def _shared(found: DataFrame) -> DataFrame:
+    """(key, size, rep): rows (key, rep) whose key another document has as well; size of them have it."""
+    found = cut(found)
     # written first: a join over the aggregation's own exchange could not be split where one key is common
     sizes = cut(found.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
-    out = cut(found.join(sizes.select("key"), "key", "left_semi"))
+    out = cut(found.join(sizes, "key"))
     drop(found)
     drop(sizes)
     return out
@@ -368,16 +361,14 @@ def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _similar_pairs(rows: DataFrame, similarity: float, forest: bool) -> DataFrame:
-    """(u, v, d) of prefix rows with columns comp, n and bitmap: pairs that may be similar, with their distance. None is taken unread.
+    """(u, v, d) of prefix rows (key, size, rep) with columns comp, n and bitmap: pairs that may be similar, with their distance. None is taken unread.
 
     Pairs inside one comp are left out. With forest, a run of tiles gives of its open pairs only the
     closest ones that span them, so that a group of near copies gives no more pairs than members.
     """
-    spark, names = rows.sparkSession, [f"s{i}" for i in range(WORDS)]
-    # written first: a join over the aggregation's own exchange could not be split where one key is common
-    sizes = cut(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    names = [f"s{i}" for i in range(WORDS)]
     chunks = F.ceil(F.col("size") / TILE).cast("int")
-    rows = rows.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("rep"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("rep"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     tiles = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "comp", "n", *names)
     tiles = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
@@ -415,10 +406,10 @@ def _similar_pairs(rows: DataFrame, similarity: float, forest: bool) -> DataFram
     return cut(tiles.mapInArrow(run, "u long, v long, d long").where("u <> v").groupBy("u", "v").agg(F.min("d").alias("d")))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs (u, v) whose texts' shingle sets have at least the similarity."""
-    needed = cut(pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct())
-    mine = cut(texts.join(needed, "rep", "left_semi").dropDuplicates(["rep"]))
+def _verified(pairs: DataFrame, texts_of, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (u, v) with ok: do their texts' shingle sets have at least the similarity? texts_of: from (rep) to (rep, text)."""
+    pairs = cut(pairs)
+    mine = cut(texts_of(pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct()))
     both = pairs.join(mine.select(F.col("rep").alias("u"), F.col("text").alias("a")), "u").join(mine.select(F.col("rep").alias("v"), F.col("text").alias("b")), "v")
 
     def run(batches):
@@ -436,7 +427,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float, shingle: in
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """One row per document: id, component_id (smallest id reachable over pairs of at least the similarity).
+    """One row per document: id, component_id (smallest id reachable over pairs of at least the similarity), th, stands, times.
+
+    th is the MD5 of the text; stands marks the rows that stand for their group (of its smallest id, the
+    smallest th); times is the number of rows that share id and text.
 
     Copies (equal words) are one document. Distinct ones meet where they share one of their rarest
     shingles (of n all but ceil(similarity * n) - 1, which pairs of the similarity always do), sizes
@@ -444,31 +438,44 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     by its shingles: no pair is lost. Pairs
     within a component need no decision: the closest pairs that span a tile are decided first. Where
     some are refused, the tiles of those components are read again for all pairs between components;
-    each component's AT_ONCE closest are decided, then four times as many, until none is open.
+    each component's AT_ONCE closest are decided, then sixteen times as many, until none is open.
     """
-    spark = docs.sparkSession
-    frame = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    frame = docs.select(F.col(id_col).cast("long").alias("id"), F.md5(text).alias("th"), text.alias("text"))
     names = [f"s{i}" for i in range(WORDS)]
+    common = docs.sparkSession.sparkContext.broadcast(_common(frame, shingle))
 
     def marked(batches):
         for b in batches:
-            digests, sigs, sizes = [], [], []
+            digests, sigs, sizes, keys = [], [], [], []
             for t in b.column("text").to_pylist():
                 digests.append(xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())))
                 h = _hashes(_shingles(t, shingle))
                 sigs.append(_parity(h))
                 sizes.append(len(h))
+                keys.append(_prefix(h, common.value, similarity).view(np.int64))
             sigs = np.array(sigs, dtype=np.int64).reshape(-1, WORDS)
-            yield pa.record_batch([b.column("id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), *[pa.array(sigs[:, i]) for i in range(WORDS)]], names=["id", "copy", "n", *names])
-
-    rows = cut(frame.mapInArrow(marked, "id long, copy binary, n long, " + ", ".join(f"{c} long" for c in names)))
-    distinct = cut(rows.groupBy("copy").agg(F.min("id").alias("rep"), *[F.min(c).alias(c) for c in ("n", *names)]))
+            yield pa.record_batch([b.column("id"), b.column("th"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), *[pa.array(sigs[:, i]) for i in range(WORDS)], pa.array(keys, pa.list_(pa.int64()))], names=["id", "th", "copy", "n", *names, "keys"])
+
+    rows = cut(frame.mapInArrow(marked, "id long, th string, copy binary, n long, " + ", ".join(f"{c} long" for c in names) + ", keys array<long>"))
+    distinct = cut(rows.groupBy("copy").agg(F.min("id").alias("rep"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "th"))).alias("one"), *[F.any_value(c).alias(c) for c in ("n", *names, "keys")]))
+    # ids of several texts: all but one of the texts are nodes by their digest
+    own = cut(distinct.groupBy(F.col("rep").alias("_rep")).agg(F.min("copy").alias("_copy"), F.count("*").alias("texts")).where("texts > 1"))
+    distinct = distinct.join(own, F.col("rep") == F.col("_rep"), "left")
+    node = F.when(F.col("_rep").isNotNull() & (F.col("copy") != F.col("_copy")), F.xxhash64("copy")).otherwise(F.col("rep"))
+    distinct = cut(distinct.select("copy", node.alias("rep"), "one", "n", *names, "keys"))
     known = distinct.where("rep is not null").select("rep", "n", *names)
-    texts = frame.select(F.col("id").alias("rep"), "text")
-    met = _prefix_rows(texts.join(known.select("rep"), "rep", "left_semi"), _common(texts, shingle), similarity, shingle)
+    place = distinct.select("rep", F.col("one.id").alias("_id"), F.col("one.th").alias("_th"))
+
+    def texts_of(reps):
+        where = cut(place.join(reps, "rep", "left_semi"))
+        same = (F.col("id") == F.col("_id")) & F.col("th").eqNullSafe(F.col("_th"))
+        return frame.join(where, same).select("rep", "text").dropDuplicates(["rep"])
+
+    met = _shared(distinct.where("rep is not null").select(F.explode("keys").alias("key"), "rep"))
     banded = met.join(known, "rep")
     pairs = _similar_pairs(banded.withColumn("comp", F.col("rep")), similarity, forest=True)
-    judged = _verified(pairs.select("u", "v"), texts, similarity, shingle)
+    judged = _verified(pairs.select("u", "v"), texts_of, similarity, shingle)
     edges = judged.where("ok").select("u", "v")
     comp = cut(components(edges))
     # a pair between two components met beside a spanning pair that was refused at each of them
@@ -477,16 +484,23 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = cut(member.join(refused, "comp", "left_semi"))
     if not again.isEmpty():
         pairs = _similar_pairs(banded.join(again, "rep"), similarity, forest=False)
-        open_, quota = _across(pairs.join(judged, ["u", "v"], "left_anti"), comp), max(1, AT_ONCE)
+        open_, quota = _across(pairs.join(judged, ["u", "v"], "left_anti"), comp), AT_ONCE
         while not open_.isEmpty():
             w = Window.partitionBy("cu").orderBy("d", "u", "v")
             now = open_.withColumn("place", F.row_number().over(w)).where(F.col("place") <= quota).select("u", "v")
-            judged = _verified(now, texts, similarity, shingle)
-            edges = cut(edges.unionByName(judged.where("ok").select("u", "v")))
-            comp = cut(components(edges))
-            open_, quota = _across(open_.join(judged, ["u", "v"], "left_anti").select("u", "v", "d"), comp), quota * 4
-    where = distinct.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("copy").alias("_copy"), F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(where, F.col("copy") == F.col("_copy")).select(F.col("id").alias(id_col), "component_id")
+            judged = _verified(now, texts_of, similarity, shingle)
+            open_, quota = open_.join(judged, ["u", "v"], "left_anti").select("u", "v", "d"), quota * 16
+            if not judged.where("ok").isEmpty():
+                edges = cut(edges.unionByName(judged.where("ok").select("u", "v")))
+                comp = cut(components(edges))
+            open_ = _across(open_, comp)
+    where = distinct.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("copy").alias("_copy"), F.coalesce("component", "rep").alias("_comp"), "one")
+    first = where.groupBy("_comp").agg(F.min("one").alias("first"))
+    where = cut(where.join(first.withColumnRenamed("_comp", "_c"), F.col("_comp") == F.col("_c"), "left").select("_copy", "first"))
+    times = cut(rows.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.count("*").alias("times")).where("times > 1"))
+    out = rows.join(where, F.col("copy") == F.col("_copy")).join(times, F.col("id").eqNullSafe(F.col("_id")) & F.col("th").eqNullSafe(F.col("_th")), "left")
+    stands = F.coalesce((F.col("id") == F.col("first.id")) & F.col("th").eqNullSafe(F.col("first.th")), F.lit(False))
+    return out.select(F.col("id").alias(id_col), F.col("first.id").alias("component_id"), "th", stands.alias("stands"), F.coalesce("times", F.lit(1)).alias("times"))
 
 
 def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
@@ -497,8 +511,14 @@ def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return cut(out.where("cu <> cv").drop("cv"))
 
 
-def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Documents that stand for their group (its smallest id; of repeated ids one row). Rows without id stay: nothing names them."""
-    kept = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    stay = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return stay.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents that stand for their group, rows alike in id and text once. Rows without id stay: nothing names them."""
+    names = ["_id_of_group", "_th_of_group"]
+    while set(names) & set(docs.columns):
+        names = ["_" + n for n in names]
+    i, h = names
+    same = (F.col(id_col).cast("long") == F.col(i)) & F.md5(F.col(text_col).cast("string")).eqNullSafe(F.col(h))
+    stand = cut(groups.where("stands").select(F.col(id_col).alias(i), F.col("th").alias(h), (F.col("times") == 1).alias("single")).distinct())
+    once = docs.join(stand.where("single"), same, "left_semi")
+    more = docs.join(stand.where("not single"), same, "left_semi").dropDuplicates([id_col])
+    return once.unionByName(more).unionByName(docs.where(F.col(id_col).isNull()))
