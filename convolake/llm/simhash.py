@@ -458,12 +458,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.record_batch([b.column("id"), b.column("th"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), *[pa.array(sigs[:, i]) for i in range(WORDS)], pa.array(keys, pa.list_(pa.int64()))], names=["id", "th", "copy", "n", *names, "keys"])
 
     rows = cut(frame.mapInArrow(marked, "id long, th string, copy binary, n long, " + ", ".join(f"{c} long" for c in names) + ", keys array<long>"))
-    distinct = cut(rows.groupBy("copy").agg(F.min("id").alias("rep"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "th"))).alias("one"), *[F.any_value(c).alias(c) for c in ("n", *names, "keys")]))
+    keyed = cut(rows.groupBy("copy").agg(F.min("id").alias("rep"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "th"))).alias("one"), *[F.any_value(c).alias(c) for c in ("n", *names, "keys")]))
     # ids of several texts: all but one of the texts are nodes by their digest
-    own = cut(distinct.groupBy(F.col("rep").alias("_rep")).agg(F.min("copy").alias("_copy"), F.count("*").alias("texts")).where("texts > 1"))
-    distinct = distinct.join(own, F.col("rep") == F.col("_rep"), "left")
+    own = cut(keyed.groupBy(F.col("rep").alias("_rep")).agg(F.min("copy").alias("_copy"), F.count("*").alias("texts")).where("texts > 1"))
+    named = keyed.join(own, F.col("rep") == F.col("_rep"), "left")
     node = F.when(F.col("_rep").isNotNull() & (F.col("copy") != F.col("_copy")), F.xxhash64("copy")).otherwise(F.col("rep"))
-    distinct = cut(distinct.select("copy", node.alias("rep"), "one", "n", *names, "keys"))
+    distinct = cut(named.select("copy", node.alias("rep"), "one", "n", *names))
+    met = _shared(named.where("rep is not null").select(F.explode("keys").alias("key"), node.alias("rep")))
+    # the prefixes are the largest part of both tables
+    wide, rows = rows, cut(rows.select("id", "th", "copy"))
+    drop(wide)
+    drop(keyed)
     known = distinct.where("rep is not null").select("rep", "n", *names)
     place = distinct.select("rep", F.col("one.id").alias("_id"), F.col("one.th").alias("_th"))
 
@@ -472,7 +477,6 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         same = (F.col("id") == F.col("_id")) & F.col("th").eqNullSafe(F.col("_th"))
         return frame.join(where, same).select("rep", "text").dropDuplicates(["rep"])
 
-    met = _shared(distinct.where("rep is not null").select(F.explode("keys").alias("key"), "rep"))
     banded = met.join(known, "rep")
     pairs = _similar_pairs(banded.withColumn("comp", F.col("rep")), similarity, forest=True)
     judged = _verified(pairs.select("u", "v"), texts_of, similarity, shingle)
