@@ -57,11 +57,28 @@ def tool_results(messages: DataFrame) -> DataFrame:
     return rows.select("id", "session_id", "seq", F.col("b.tool_use_id").alias("tool_use_id"), F.coalesce("b.is_error", F.lit(False)).alias("is_error"))
 
 
+# Names of the token counts in the logs.
+USAGE_KEYS = {"input_tokens": "input_tokens", "output_tokens": "output_tokens", "cache_creation_tokens": "cache_creation_input_tokens", "cache_read_tokens": "cache_read_input_tokens"}
+
+
 def usage(raw: Column) -> dict[str, Column]:
-    """The four token counts: of the message, else of its content, else of its tool's result."""
+    """The four token counts of a message.
+
+    A usage object of the message itself counts whole, whatever it leaves out. Else each count is that of the
+    tool's result, or of the content; where both input and output are unknown, the tool result's totalTokens is
+    the output of an assistant's message and the input of another.
+    """
+    at = lambda path: F.get_json_object(raw, f"$.{path}")
+    count = lambda path: F.when(at(path).try_cast("long") >= 0, at(path).try_cast("long"))
+    own = F.when(at("message.usage").startswith("{"), "message").when(at("usage").startswith("{"), "top")
     out = {}
-    for name, key in (("input_tokens", "input_tokens"), ("output_tokens", "output_tokens"), ("cache_creation_tokens", "cache_creation_input_tokens"), ("cache_read_tokens", "cache_read_input_tokens")):
-        out[name] = F.coalesce(*[F.get_json_object(raw, f"$.{at}.{key}").try_cast("long") for at in ("message.usage", "usage", "content.usage", "toolUseResult.usage")])
+    for name, key in USAGE_KEYS.items():
+        whole = F.when(own == "message", count(f"message.usage.{key}")).otherwise(count(f"usage.{key}"))
+        out[name] = F.when(own.isNotNull(), whole).otherwise(F.coalesce(count(f"toolUseResult.usage.{key}"), count(f"content.usage.{key}")))
+    total = F.when(own.isNull() & out["input_tokens"].isNull() & out["output_tokens"].isNull(), count("toolUseResult.totalTokens"))
+    assistant = F.coalesce(at("type") == "assistant", F.lit(False))
+    out["output_tokens"] = F.coalesce(out["output_tokens"], F.when(assistant, total))
+    out["input_tokens"] = F.coalesce(out["input_tokens"], F.when(~assistant, total))
     return out
 
 

@@ -118,7 +118,9 @@ def clamp_bytes(c: Column, limit: int = 65_536) -> Column:
 
 
 def replace_nul(c: Column) -> Column:
-    return F.replace(c, F.lit("\0"), F.lit("�"))
+    """U+0000 as U+FFFD, also where JSON escapes it, in keys and values of any depth."""
+    plain = F.replace(c, F.lit("\0"), F.lit("�"))
+    return F.regexp_replace(plain, r"(?<!\\)((?:\\\\)*+)\\u0000", "$1�")
 
 
 def like_path(path: Column) -> Column:
@@ -126,7 +128,15 @@ def like_path(path: Column) -> Column:
     return F.regexp_replace(path, r"^/(?:home|Users)/[^/]+", "~")
 
 
+# Raw entry points and their kinds.
+ENTRYPOINTS = {"cli": "cli", "copilot-cli": "cli", "claude-vscode": "vscode", "copilot-vscode": "vscode", "claude-desktop": "desktop", "copilot-desktop": "desktop"}
+
+
 def entrypoint_kind(c: Column) -> Column:
-    """Six raw entry points in three kinds; others are null."""
-    low = F.lower(c)
-    return F.when(low.isin("cli", "terminal"), "cli").when(low.isin("vscode", "ide"), "ide").when(low.isin("sdk", "api"), "sdk")
+    """Kind of a raw entry point, as it is written; others are null."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in ENTRYPOINTS.items() for x in pair]), c)
+
+
+def entrypoint_matches(c: Column, wanted: str) -> Column:
+    """Whether a raw entry point passes the filter: all, or one kind."""
+    return F.lit(True) if wanted == "all" else F.coalesce(entrypoint_kind(c) == wanted, F.lit(False))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from convolake.tables import cut
+
 
 def calendar(days: DataFrame, value: str) -> DataFrame:
     """Every day from the first to the last with its value, zero where there was none."""
@@ -45,13 +47,24 @@ def coverage(costed: DataFrame) -> DataFrame:
     return costed.agg(F.round(F.sum("cost"), 6).alias("cost"), F.round(priced / F.greatest(F.coalesce(F.sum("total_tokens"), F.lit(0)), F.lit(1)), 6).alias("coverage"))
 
 
-def stats_mode(mode: str) -> Column:
-    """Which rows count: billing_total, or conversation_only (user and assistant)."""
-    if mode == "billing_total":
-        return F.col("provider") != "summary"
+# Kinds of messages, in the words of the logs.
+CORE_KINDS, CONVERSATION_KINDS = ("user", "assistant", "system"), ("user", "assistant")
+
+
+def stats_mode(mode: str | None, kind: str = "kind") -> Column:
+    """Which messages (kind, provider, is_sidechain, has_usage) a mode of statistics counts.
+
+    conversation_only: turns of user and assistant outside sidechains. billing_total, also where the mode
+    is unknown: core messages, and others if they carry usage. Summaries never count, nor do prompts that
+    antigravity makes up (a user's, without usage).
+    """
+    k, usage = F.col(kind), F.coalesce("has_usage", F.lit(False))
+    made_up = F.coalesce(F.col("provider") == "antigravity", F.lit(False)) & (k == "user") & ~usage
     if mode == "conversation_only":
-        return F.col("role").isin("user", "assistant")
-    raise ValueError(f"unknown mode {mode!r}")
+        counts = k.isin(*CONVERSATION_KINDS) & ~F.coalesce("is_sidechain", F.lit(False))
+    else:
+        counts = (k != "summary") & (k.isin(*CORE_KINDS) | usage)
+    return counts & ~made_up
 
 
 def desktop_daily(scope: DataFrame) -> DataFrame:
@@ -70,14 +83,36 @@ def desktop_tools(uses: DataFrame) -> DataFrame:
     return uses.where("tool_name is not null").groupBy("tool_name").agg(F.count("*").alias("uses"), F.round(ok * 100.0 / F.count("*"), 6).alias("success_rate"))
 
 
+# Kinds of tools by their exact names, then by words in their names.
+TOOL_KINDS = {
+    "Read": "code", "Write": "code", "Edit": "code", "MultiEdit": "code", "NotebookEdit": "code", "LSP": "code",
+    "Glob": "file", "LS": "file", "Grep": "search", "WebSearch": "web", "WebFetch": "web", "web_search": "web",
+    "Task": "task", "TodoWrite": "task", "TodoRead": "task", "Bash": "terminal", "KillShell": "terminal",
+    "git": "git", "mcp": "mcp", "default": "info",
+}
+TOOL_WORDS = [
+    ("code", ["read", "write", "edit", "lsp", "notebook", "replace"]),
+    ("search", ["grep", "search"]),
+    ("file", ["glob", "ls", "create"]),
+    ("task", ["task", "todo", "agent"]),
+    ("terminal", ["bash", "command", "shell", "kill"]),
+    ("git", ["git"]),
+    ("web", ["web", "fetch", "http"]),
+    ("mcp", ["mcp", "server"]),
+    ("document", ["document", "pdf"]),
+]
+
+
 def tool_kind(name: str = "tool_name") -> Column:
-    """Kind of a tool by its name; the first rule that holds."""
-    low = F.lower(F.col(name))
-    rules = [("mcp", "^mcp__"), ("shell", "bash|shell|terminal|exec"), ("edit", "edit|write|patch|replace"), ("read", "read|cat|view"), ("search", "grep|glob|search|find"), ("web", "web|fetch|http"), ("git", "git"), ("task", "task|agent|todo")]
-    out = F
-    for kind, rule in rules:
-        out = out.when(low.rlike(rule), kind)
-    return out.otherwise("other")
+    """Kind of a tool: by its exact name, else by the first rule with a word at its start, after a letter or between underscores."""
+    c = F.col(name)
+    exact = F.create_map(*[F.lit(x) for pair in TOOL_KINDS.items() for x in pair])
+    out = F.when(F.map_contains_key(exact, c), F.element_at(exact, c))
+    for kind, words in TOOL_WORDS:
+        any_ = "|".join(words)
+        hit = c.rlike(f"(?i)(?:^|_)(?:{any_})(?:$|_)|(?:^|[a-z])(?:{any_})")
+        out = out.when(hit | (F.lower(c) == "file") if kind == "file" else hit, kind)
+    return out.otherwise("neutral")
 
 
 def board_counters(uses: DataFrame, kind: Column) -> DataFrame:
@@ -86,12 +121,18 @@ def board_counters(uses: DataFrame, kind: Column) -> DataFrame:
     return rows.groupBy("session_id").agg(F.count("*").alias("uses"), F.count(F.when(F.col("is_error"), 1)).alias("errors"), F.countDistinct("tool_name").alias("tools"), F.countDistinct("kind").alias("kinds"))
 
 
-def relevance(messages: Column, tools: Column, commits: Column) -> Column:
-    """0.2 for under three messages; else 0.5 and bonuses, 1 at most."""
-    score = F.lit(0.5) + F.when(messages > 15, 0.2).otherwise(0.0) + F.when(tools > 5, 0.2).otherwise(0.0) + F.when(commits > 0, 0.2).otherwise(0.0)
+def relevance(messages: Column, tools: Column, errors: Column, documents: Column, commits: Column) -> Column:
+    """0.2 for under three messages; else 0.5 and bonuses for over five tool uses, errors, work on .md files, and commits; 1 at most."""
+    bonus = lambda holds, n: F.when(holds, n).otherwise(0.0)
+    score = F.lit(0.5) + bonus(tools > 5, 0.3) + bonus(errors > 0, 0.2) + bonus(documents, 0.2) + bonus(commits > 0, 0.3)
     return F.when(messages < 3, 0.2).otherwise(F.round(F.least(score, F.lit(1.0)), 6))
 
 
+def depth(messages: Column, tools: Column) -> Column:
+    """deep with over 15 messages or over five tool uses, else shallow."""
+    return F.when((messages > 15) | (tools > 5), "deep").otherwise("shallow")
+
+
 def near_commits(sessions: DataFrame, commits: DataFrame, buffer_minutes: int = 5) -> DataFrame:
     """Commits inside a session's span, widened by the buffer at both ends.
 
@@ -105,6 +146,20 @@ def near_commits(sessions: DataFrame, commits: DataFrame, buffer_minutes: int =
     return spans.join(c, ["project_id", "day"]).where("committed_at between lo and hi").select("session_id", "commit_id")
 
 
+def token_ranks(usage: DataFrame) -> DataFrame:
+    """usage (session_id, tokens, ...) with its place by tokens (the most first) and the number of sessions.
+
+    Rows are dealt by ranges, each range is numbered by itself, and the sizes of the ranges before it
+    (one row a range) are added: no task sees all rows.
+    """
+    order = [F.desc("tokens"), F.asc("session_id")]
+    dealt = cut(usage.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy(F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_r", (F.sum("_n").over(Window.orderBy("_r")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("total"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn("place", place).join(F.broadcast(before), F.col("_range") == F.col("_r")).withColumn("place", F.col("place") + F.col("_before")).drop("_range", "_r", "_before")
+
+
 def latest_per_file(edits: DataFrame) -> DataFrame:
     """Newest edit of each file with how many there were."""
     return edits.groupBy("file_path").agg(F.max_by("edit_id", F.struct("ts", "edit_id")).alias("edit_id"), F.max("ts").alias("ts"), F.count("*").alias("edits"))

@@ -34,10 +34,17 @@ def by_postings(index: DataFrame, words: list[str], limit: int = 50) -> DataFram
     return ranked.orderBy(F.desc("rank"), F.desc("id")).limit(limit)
 
 
+def cosines(vectors: DataFrame, query: DataFrame) -> DataFrame:
+    """Cosine of every vector with the one-row query(q), which is normalised once; null where a vector has no direction."""
+    q = F.broadcast(query.limit(1).select(V.normalize(F.col("q")).alias("q")))
+    length = F.sqrt(V.dot(F.col("embedding"), F.col("embedding")))
+    sim = F.when(length > 0, V.dot(F.col("embedding"), F.col("q")) / length)
+    return vectors.crossJoin(q).select("id", F.round(sim, 6).alias("similarity")).where("similarity is not null")
+
+
 def semantic(vectors: DataFrame, query: DataFrame, limit: int = 50, threshold: float | None = None) -> DataFrame:
     """Vectors by cosine with the one-row query(q); of equal ones the higher id first."""
-    sim = V.dot(V.normalize(F.col("embedding")), V.normalize(F.col("q")))
-    rows = vectors.crossJoin(F.broadcast(query.limit(1))).select("id", F.round(sim, 6).alias("similarity")).where("similarity is not null")
+    rows = cosines(vectors, query)
     if threshold is not None:
         rows = rows.where(F.col("similarity") >= threshold)
     return rows.orderBy(F.desc("similarity"), F.desc("id")).limit(limit)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convolake.llm.common import cut, drop
+from convolake.tables import cut, drop
 
 
 def break_periods(rows: DataFrame, gap_minutes: int = 120) -> DataFrame:

@@ -308,11 +308,11 @@ def _(s, d):
     return sequences.streaks(A.table(s, d, "events").select("user_id", F.to_date("ts").alias("day")), "user_id")
 
 
-_PER_DAY = "WITH days AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'purchase' AND user_id % 37 = 0 GROUP BY 1), cal AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM days), filled AS (SELECT day, coalesce(n, 0) AS n FROM cal LEFT JOIN days USING (day)) "
+_PER_DAY = "WITH days AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1), cal AS (SELECT CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM days), filled AS (SELECT day, coalesce(n, 0) AS n FROM cal LEFT JOIN days USING (day)) "
 
 
 def _filled(s, d):
-    rows = A.table(s, d, "events").where((F.col("event_type") == "purchase") & (F.col("user_id") % 37 == 0))
+    rows = A.table(s, d, "events").where(F.col("event_type") == "purchase")
     return board.calendar(rows.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n")), "n")
 
 
@@ -347,12 +347,9 @@ def _(s, d):
 
 @query("a32_session_metrics", _WITH + ", x AS (SELECT session_id, CAST(sum(tokens) AS BIGINT) AS tokens, count(*) AS n, epoch_us(max(ts)) - epoch_us(min(ts)) AS span FROM scope WHERE usage_row GROUP BY 1) SELECT session_id, CAST(round(tokens / n) AS BIGINT) AS tokens_per_message, span // 60000000 AS minutes, CAST(round(100 - row_number() OVER (ORDER BY tokens DESC, session_id) * 100.0 / count(*) OVER ()) AS BIGINT) AS percentile FROM x")
 def _(s, d):
-    from pyspark.sql import Window
-
     x = scoped(s, d).where("usage_row").groupBy("session_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"), (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))).alias("span"))
-    place = F.row_number().over(Window.orderBy(F.desc("tokens"), "session_id"))
-    percentile = F.round(100 - place * 100.0 / F.count("*").over(Window.partitionBy())).cast("long")
-    return x.select("session_id", F.round(F.col("tokens") / F.col("n")).cast("long").alias("tokens_per_message"), F.expr("span div 60000000").alias("minutes"), percentile.alias("percentile"))
+    percentile = F.round(100 - F.col("place") * 100.0 / F.col("total")).cast("long")
+    return board.token_ranks(x).select("session_id", F.round(F.col("tokens") / F.col("n")).cast("long").alias("tokens_per_message"), F.expr("span div 60000000").alias("minutes"), percentile.alias("percentile"))
 
 
 @query("a34_directories", f"WITH {A.PROJECTS} SELECT regexp_replace(project_path, '/[^/]*$', '') AS directory, count(*) AS projects, min(project_name) AS first_project FROM projects GROUP BY 1")
@@ -546,10 +543,12 @@ def _(s, d):
     return journal.since_day(A.messages(s, d), "2024-01-20").agg(F.count("*").alias("n"))
 
 
-@query("p09_stats_mode", f"WITH {A.MESSAGES} SELECT count(*) FILTER (WHERE role IN ('user', 'assistant')) AS conversation, count(*) AS billing FROM messages")
+@query("p09_stats_mode", "SELECT provider, count(*) FILTER (WHERE kind IN ('user', 'assistant') AND NOT side AND NOT made_up) AS conversation, count(*) FILTER (WHERE CASE WHEN made_up OR kind = 'summary' THEN false WHEN kind IN ('user', 'assistant', 'system') THEN true ELSE used END) AS billing FROM (SELECT *, provider = 'antigravity' AND kind = 'user' AND NOT used AS made_up FROM (SELECT list_extract(['user', 'assistant', 'system', 'summary', 'progress', 'queue-operation', 'other'], CAST(event_id % 7 AS INTEGER) + 1) AS kind, event_id % 5 = 0 AS side, event_id % 3 = 0 AS used, CASE WHEN user_id % 2 = 0 THEN 'antigravity' ELSE 'claude' END AS provider FROM events)) GROUP BY 1")
 def _(s, d):
-    m = A.messages(s, d)
-    return m.agg(F.count(F.when(board.stats_mode("conversation_only"), 1)).alias("conversation"), F.count(F.when(board.stats_mode("billing_total"), 1)).alias("billing"))
+    i = F.col("event_id")
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("user", "assistant", "system", "summary", "progress", "queue-operation", "other")]), (i % 7).cast("int") + 1)
+    m = A.table(s, d, "events").select(kind.alias("kind"), (i % 5 == 0).alias("is_sidechain"), (i % 3 == 0).alias("has_usage"), F.when(F.col("user_id") % 2 == 0, "antigravity").otherwise("claude").alias("provider"))
+    return m.groupBy("provider").agg(*[F.count(F.when(board.stats_mode(mode), 1)).alias(name) for mode, name in (("conversation_only", "conversation"), ("billing_total", "billing"))])
 
 
 @query("p14_substring", "SELECT doc_id FROM documents WHERE contains(lower(text), 'license')")
@@ -653,7 +652,7 @@ def _(s, d):
 @query("f12_cosine", _COS + "SELECT id, similarity FROM v")
 def _(s, d):
     e = A.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return search.semantic(e, e.where("id = 0").select(F.col("embedding").alias("q")), 2_147_483_647)
+    return search.cosines(e, e.where("id = 0").select(F.col("embedding").alias("q")))
 
 
 @query("f13_normalize", "SELECT vec_id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 5) AS norm FROM embeddings")
@@ -684,9 +683,9 @@ def _(s, d):
     return A.table(s, d, "documents").select("doc_id", T.occurrences(F.col("text"), "The").alias("n"))
 
 
-@query("d19_clamp_bytes", "SELECT doc_id, text AS clamped FROM documents WHERE strlen(text) <= 200")
+@query("d19_clamp_bytes", "SELECT doc_id, CASE WHEN strlen(text) <= 200 THEN text ELSE left(text, list_max(list_filter(range(40, 201), lambda i: strlen(left(text, i)) <= 200))) END AS clamped FROM documents")
 def _(s, d):
-    return A.table(s, d, "documents").where(F.octet_length("text") <= 200).select("doc_id", T.clamp_bytes(F.col("text"), 200).alias("clamped"))
+    return A.table(s, d, "documents").select("doc_id", T.clamp_bytes(F.col("text"), 200).alias("clamped"))
 
 
 # --- ingest

@@ -257,10 +257,10 @@ def _(s, d):
     return refresh.changed_files(f, f.withColumn("size", F.when(F.col("path") % 4 == 0, F.col("size") + 1).otherwise(F.col("size")))).select("path")
 
 
-@query("t10_backoff", "WITH a AS (SELECT user_id AS key, ts AS tm, event_type = 'error' AS failed FROM events), r AS (SELECT key, max(tm) AS reset FROM a WHERE NOT failed GROUP BY 1), f AS (SELECT a.key, count(*) AS failures FROM a LEFT JOIN r USING (key) WHERE failed AND (reset IS NULL OR tm > reset) GROUP BY 1) SELECT key, failures, CAST(CASE WHEN failures <= 1 THEN 0 ELSE least(1440, 15 * pow(2, least(failures - 2, 20))) END AS INTEGER) AS wait_minutes FROM f")
+@query("t10_backoff", "WITH a AS (SELECT user_id AS key, ts AS tm, event_type = 'error' AS failed FROM events), r AS (SELECT key, max(tm) AS reset FROM a WHERE NOT failed GROUP BY 1), f AS (SELECT a.key, count(*) AS failures FROM a LEFT JOIN r USING (key) WHERE failed AND (reset IS NULL OR tm > reset) GROUP BY 1) SELECT key, failures, CAST(CASE WHEN failures < 2 THEN 0 ELSE least(1440, 15 * pow(2, least(failures - 2, 16))) END AS INTEGER) AS wait_minutes FROM f")
 def _(s, d):
     a = A.messages(s, d).select(F.col("session_id").alias("key"), F.when(F.col("provider") == "error", "failed").otherwise("ok").alias("outcome"), F.col("ts").alias("at"))
-    return refresh.retry_after(a, grace=1).drop("retry_at")
+    return refresh.retry_after(a, grace=2).drop("retry_at")
 
 
 @query("g02_keyword_turns", "WITH t AS (SELECT conv_id, turn, role, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS toks FROM conversations), h AS (SELECT *, ' ' || array_to_string(toks, ' ') || ' ' AS said FROM t) SELECT conv_id * 1000 + turn AS id, round(len(list_filter(toks, lambda x: x = 'the')) / (1 + ln(1.0 + len(toks))), 6) AS rank FROM h WHERE contains(said, ' the') ORDER BY rank DESC, id DESC LIMIT 50")
@@ -297,15 +297,21 @@ def _(s, d):
     return A.table(s, d, "pages").select("page_id", F.regexp_replace(bare, r"(\.git)?/*$", "").alias("remote"))
 
 
-@query("f29_tool_kinds", "SELECT p_partkey, CASE WHEN regexp_matches(lower(p_name), 'bash|shell|terminal|exec') THEN 'shell' WHEN regexp_matches(lower(p_name), 'edit|write|patch|replace') THEN 'edit' WHEN regexp_matches(lower(p_name), 'read|cat|view') THEN 'read' WHEN regexp_matches(lower(p_name), 'grep|glob|search|find') THEN 'search' WHEN regexp_matches(lower(p_name), 'web|fetch|http') THEN 'web' WHEN regexp_matches(lower(p_name), 'git') THEN 'git' WHEN regexp_matches(lower(p_name), 'task|agent|todo') THEN 'task' ELSE 'other' END AS kind FROM part")
+_TOOL_NAMES = ["Read", "WebSearch", "default", "read_file", "str_replace_editor", "mcp__server__call", "codebase_search", "list_files", "ls", "create_file", "File", "TodoUpdate", "runCommand", "git_commit", "http_get", "pdf", "thread", "spread_sheet", "Unknown", "fetchUrl"]
+
+
+@query("f29_tool_kinds", "SELECT l_orderkey, l_linenumber, kind FROM (SELECT *, list_extract(['code', 'web', 'info', 'code', 'code', 'mcp', 'search', 'neutral', 'file', 'file', 'file', 'task', 'terminal', 'git', 'web', 'document', 'code', 'code', 'neutral', 'web'], CAST((l_orderkey + l_linenumber) % 20 AS INTEGER) + 1) AS kind FROM lineitem)")
 def _(s, d):
-    return A.table(s, d, "part").select("p_partkey", board.tool_kind("p_name").alias("kind"))
+    names = F.array(*[F.lit(n) for n in _TOOL_NAMES])
+    at = ((F.col("l_orderkey") + F.col("l_linenumber")) % 20).cast("int") + 1
+    return A.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.element_at(names, at).alias("name")).select("l_orderkey", "l_linenumber", board.tool_kind("name").alias("kind"))
 
 
-@query("f31_relevance", "SELECT o_custkey, CASE WHEN n < 3 THEN 0.2 ELSE round(least(0.5 + CASE WHEN n > 15 THEN 0.2 ELSE 0 END + CASE WHEN t > 5 THEN 0.2 ELSE 0 END + CASE WHEN c > 0 THEN 0.2 ELSE 0 END, 1.0), 6) END::DOUBLE AS relevance FROM (SELECT o_custkey, count(*) AS n, count(DISTINCT o_orderpriority) AS t, count(*) FILTER (WHERE o_orderstatus = 'F') AS c FROM orders GROUP BY 1)")
+@query("f31_relevance", "SELECT o_custkey, CASE WHEN n < 3 THEN 0.2::DOUBLE WHEN 5 + CASE WHEN t > 5 THEN 3 ELSE 0 END + CASE WHEN e > 0 THEN 2 ELSE 0 END + CASE WHEN m THEN 2 ELSE 0 END + CASE WHEN c > 0 THEN 3 ELSE 0 END > 10 THEN 1.0::DOUBLE ELSE round((5 + CASE WHEN t > 5 THEN 3 ELSE 0 END + CASE WHEN e > 0 THEN 2 ELSE 0 END + CASE WHEN m THEN 2 ELSE 0 END + CASE WHEN c > 0 THEN 3 ELSE 0 END)::DOUBLE / 10, 6) END AS relevance, CASE WHEN n > 15 OR t > 5 THEN 'deep' ELSE 'shallow' END AS depth FROM (SELECT o_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS t, count(*) FILTER (WHERE o_totalprice > 400000) AS e, bool_or(o_orderpriority = '1-URGENT') AS m, count(*) FILTER (WHERE o_totalprice < 20000) AS c FROM orders GROUP BY 1)")
 def _(s, d):
-    x = A.table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.countDistinct("o_orderpriority").alias("t"), F.count(F.when(F.col("o_orderstatus") == "F", 1)).alias("c"))
-    return x.select("o_custkey", board.relevance(F.col("n"), F.col("t"), F.col("c")).alias("relevance"))
+    n = lambda c: F.count(F.when(c, 1))
+    x = A.table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), n(F.col("o_orderstatus") == "F").alias("t"), n(F.col("o_totalprice") > 400000).alias("e"), F.bool_or(F.col("o_orderpriority") == "1-URGENT").alias("m"), n(F.col("o_totalprice") < 20000).alias("c"))
+    return x.select("o_custkey", board.relevance(*(F.col(c) for c in "ntemc")).alias("relevance"), board.depth(F.col("n"), F.col("t")).alias("depth"))
 
 
 @query("f32_line_counts", "SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS lines FROM documents")
@@ -367,10 +373,11 @@ def _(s, d):
     return A.table(s, d, "pages").select("page_id", T.like_path(F.concat(F.lit("/home/u"), F.col("page_id").cast("string"), F.lit("/x"))).alias("path"))
 
 
-@query("p17_entrypoints", "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN event_type = 'click' THEN 'cli' WHEN event_type = 'view' THEN 'ide' END AS kind FROM events) GROUP BY 1")
+@query("p17_entrypoints", "SELECT kind, count(*) AS n, count(*) FILTER (WHERE kind = 'vscode') AS of_vscode FROM (SELECT list_extract(['cli', 'cli', 'vscode', 'vscode', 'desktop', 'desktop', NULL, NULL], CAST(event_id % 8 AS INTEGER) + 1) AS kind FROM events) GROUP BY 1")
 def _(s, d):
-    raw = F.when(F.col("event_type") == "click", "CLI").when(F.col("event_type") == "view", "vscode").otherwise(F.col("event_type"))
-    return A.table(s, d, "events").select(T.entrypoint_kind(raw).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    raw = F.element_at(F.array(*[F.lit(x) for x in ("cli", "copilot-cli", "claude-vscode", "copilot-vscode", "claude-desktop", "copilot-desktop", "CLI", "sdk-py")]), (F.col("event_id") % 8).cast("int") + 1)
+    rows = A.table(s, d, "events").select(T.entrypoint_kind(raw).alias("kind"), T.entrypoint_matches(raw, "vscode").alias("passes"))
+    return rows.groupBy("kind").agg(F.count("*").alias("n"), F.count(F.when(F.col("passes"), 1)).alias("of_vscode"))
 
 
 @query("d11_alias_upsert", "SELECT n_name AS project_path, CASE WHEN n_nationkey < 10 THEN 'new' ELSE r_name END AS identity_key FROM nation JOIN region ON r_regionkey = n_regionkey")
@@ -388,9 +395,10 @@ def _(s, d):
     return ingest.chunk_by_bytes(rows, 3, 900)
 
 
-@query("d18_replace_nul", "SELECT doc_id, text || chr(65533) AS text FROM documents WHERE doc_id < 50")
+@query("d18_replace_nul", "SELECT doc_id, text || chr(65533) AS text, '{\"a' || chr(65533) || '\": [\"' || source || chr(65533) || '\\\\u0000\"]}' AS json FROM documents")
 def _(s, d):
-    return A.table(s, d, "documents").where("doc_id < 50").select("doc_id", T.replace_nul(F.concat("text", F.lit("\0"))).alias("text"))
+    json = F.concat(F.lit('{"a\\u0000": ["'), "source", F.lit('\\u0000\\\\u0000"]}'))
+    return A.table(s, d, "documents").select("doc_id", T.replace_nul(F.concat("text", F.lit("\0"))).alias("text"), T.replace_nul(json).alias("json"))
 
 
 @query("q03_message_scan", "SELECT o_orderkey FROM orders WHERE o_custkey = 10 ORDER BY o_orderdate, o_orderkey LIMIT 50")

@@ -71,13 +71,13 @@ def changed_files(files: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def retry_after(attempts: DataFrame, grace: int = 3, base_minutes: int = 15, cap_minutes: int = 1440) -> DataFrame:
-    """When a key may be tried again: at once for `grace` failures, then 15 minutes doubled each time, a day at most.
+    """When a key may be tried again: at once for under `grace` failures, then 15 minutes doubled each time, a day at most.
 
     Failures count from the last success or change of the key.
     """
     resets = attempts.where("outcome <> 'failed'").groupBy("key").agg(F.max("at").alias("reset"))
     rows = attempts.where("outcome = 'failed'").join(resets, "key", "left").where("reset is null or at > reset")
     per = rows.groupBy("key").agg(F.count("*").alias("failures"), F.max("at").alias("last"))
-    over = F.greatest(F.col("failures") - grace, F.lit(0))
-    minutes = F.when(over == 0, 0).otherwise(F.least(F.lit(cap_minutes), base_minutes * F.pow(F.lit(2.0), F.least(over - 1, F.lit(20))))).cast("int")
+    over = F.col("failures") - grace
+    minutes = F.when(over < 0, 0).otherwise(F.least(F.lit(cap_minutes), base_minutes * F.pow(F.lit(2.0), F.least(over, F.lit(16))))).cast("int")
     return per.withColumn("wait_minutes", minutes).select("key", "failures", "wait_minutes", F.expr("timestampadd(MINUTE, wait_minutes, last)").alias("retry_at"))

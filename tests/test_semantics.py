@@ -232,4 +232,4 @@ def test_streaming_windows(spark, tmp_path):
 def test_retries(spark):
     fails = [("a", "failed", at(f"2024-01-01 0{h}:00:00")) for h in range(5)] + [("b", "failed", at("2024-01-01 00:00:00")), ("b", "changed", at("2024-01-01 01:00:00")), ("b", "failed", at("2024-01-01 02:00:00"))]
     got = {r.key: (r.failures, r.wait_minutes) for r in refresh.retry_after(spark.createDataFrame(fails, "key string, outcome string, at timestamp")).collect()}
-    assert got == {"a": (5, 30), "b": (1, 0)}
+    assert got == {"a": (5, 60), "b": (1, 0)}
