@@ -185,7 +185,7 @@ def _tile_edges(fp: np.ndarray, rep: np.ndarray, bounds: np.ndarray, radius: int
 
 def runs(batches, columns: list[str], key: list[str], at_least: int = 1 << 14):
     """Numpy columns of sorted Arrow batches, cut only between different keys, with the run bounds."""
-    held, rows = [], 0
+    held, rows, step = [], 0, at_least
 
     def cols(table):
         return {c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in columns}
@@ -196,9 +196,7 @@ def runs(batches, columns: list[str], key: list[str], at_least: int = 1 << 14):
             change |= c[k][1:] != c[k][:-1]
         return np.concatenate(([0], np.flatnonzero(change) + 1, [len(c[key[0]])]))
 
-    for b in batches:
-        if not b.num_rows:
-            continue
+    for b in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
         held.append(b)
         rows += b.num_rows
         if rows >= at_least:

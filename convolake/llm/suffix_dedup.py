@@ -38,6 +38,8 @@ from .winnow import Words
 SPAN, GRAM, GROUP = 400, 64, 4096
 #: Words of a shared passage ("over 50"), and of the grams at which its windows meet.
 PASSAGE, GRAMS = 51, 8
+#: Segments compared at once, where their groups are smaller.
+ROWS = 2048
 #: A longer text is anchored in pieces of so many strings each.
 PIECE = 4 << 20
 _PLACE = np.uint64((1 << 24) - 1)
@@ -220,7 +222,7 @@ def _segments(batches):
 
 def _compare(batches):
     """Covered ranges (relative to the anchor) of each segment, all groups of a run of rows in one suffix array."""
-    for c, at in runs(batches, ["h", "seg", "lo", "data"], ["h"], 4096):
+    for c, at in runs(batches, ["h", "seg", "lo", "data"], ["h"], ROWS):
         rows = len(c["h"])
         texts = c["data"].tolist()
         size = np.array([len(t) for t in texts], dtype=np.int64)
@@ -314,8 +316,8 @@ def _windows(batches):
 def shared_windows(frame: DataFrame) -> DataFrame:
     """(th, n) for the texts of frame (th, text) that share windows of PASSAGE words with another document: how many windows do so."""
     texts = frame.where("text is not null").select("th", "text")
-    copies = cut(texts.groupBy("th").agg(F.count("*").alias("times")))
-    found = cut(texts.dropDuplicates(["th"]).mapInArrow(_window_runs, "th long, h long, seg long, first long, n long"))
+    copies = cut(texts.groupBy("th").agg(F.count("*").alias("times")).where("times > 1"))
+    found = cut(texts.mapInArrow(_window_runs, "th long, h long, seg long, first long, n long"))
     kinds = found.groupBy("h", "seg").agg(F.min("th").alias("a"), F.max("th").alias("b"))
     gram = kinds.groupBy(F.col("h").alias("_h")).agg(F.min("a").alias("low"), F.max("b").alias("high"), F.bool_or(F.col("a") == F.col("b")).alias("mixed")).where("low <> high")
     # written first: a join over the aggregation's own exchange could not be split where one gram is common
@@ -326,8 +328,9 @@ def shared_windows(frame: DataFrame) -> DataFrame:
     single = cut(texts.join(wanted, F.col("th") == F.col("_th")).dropDuplicates(["th"]).select("th", "text", "wanted").mapInArrow(_windows, "th long, window long, settled boolean"))
     twice = cut(single.groupBy(F.col("window").alias("_window")).agg(F.min("th").alias("a"), F.max("th").alias("b"), F.bool_or("settled").alias("settled")).where("a <> b or settled").select("_window"))
     within = met.where("settled").select("th", "n").unionByName(single.where("not settled").join(twice, F.col("window") == F.col("_window"), "left_semi").select("th", F.lit(1).cast("long").alias("n")))
-    whole = found.groupBy("th").agg(F.sum("n").alias("n")).join(copies.where("times > 1").select("th"), "th")
-    return within.groupBy("th").agg(F.sum("n").alias("n")).unionByName(whole).groupBy("th").agg(F.max("n").alias("n"))
+    # texts that occur more than once share all their windows
+    whole = found.join(copies, "th").groupBy("th", "times").agg(F.sum("n").alias("n")).select("th", F.expr("n div times").alias("n"))
+    return within.join(copies.select("th"), "th", "left_anti").groupBy("th").agg(F.sum("n").alias("n")).unionByName(whole)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True, passages: bool = False) -> DataFrame:

@@ -38,6 +38,8 @@ _WORD[48:58] = _WORD[97:123] = _WORD[128:] = True
 _VALUE = np.random.default_rng(9).integers(1, 1 << 63, 256, dtype=np.uint64)
 _M = np.uint64(0x9E3779B97F4A7C15)
 _M_INV = np.uint64(pow(int(_M), -1, 1 << 64))
+#: Bits of a place among the words of a run of texts.
+_PLACE = np.uint64((1 << 28) - 1)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -88,17 +90,22 @@ class Words:
         return _mix(h), self.text[:size] == self.text[n - 1 :]
 
     def anchors(self, k: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each window of span words the place of its least k-gram (of equal ones the last), whether it lies in one text, and all k-grams."""
+        """For each window of span words the place of its least k-gram (of equal ones the last), whether it lies in one text, and all k-grams.
+
+        A k-gram is compared by its hash's upper bits, then by its place: minima of windows by doubling.
+        """
         h, _ = self.grams(k)
         width = span - k + 1
         size = max(len(h) - width + 1, 0)
-        low, place = h[:size].copy(), np.arange(size)
-        for j in range(1, width if size else 1):
-            here = h[j : size + j]
-            less = here <= low
-            place[less] = np.flatnonzero(less) + j
-            np.minimum(low, here, out=low)
-        return place, self.text[:size] == self.text[span - 1 : size + span - 1] if size else np.zeros(0, dtype=bool), h
+        if not size:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool), h
+        low = (h & ~_PLACE) | (_PLACE - np.arange(len(h), dtype=np.uint64))
+        done = 1
+        while done * 2 <= width:
+            low = np.minimum(low[:-done], low[done:])
+            done *= 2
+        low = np.minimum(low[:size], low[width - done : width - done + size])
+        return (_PLACE - (low & _PLACE)).astype(np.int64), self.text[:size] == self.text[span - 1 : size + span - 1], h
 
     def winnowed(self) -> tuple[np.ndarray, np.ndarray]:
         """Positions that are the last minimum of some window, and their hashes."""
