@@ -94,20 +94,24 @@ def anchors(pieces: list[bytes]):
 
 
 def suffix_ranks(data: np.ndarray, most: int):
-    """Ranks of all suffixes by their first 8, 16, ... bytes, up to at least most (zeros follow the end)."""
+    """(length, ranks of all suffixes by their first `length` bytes) for 8, 24, 72, ... bytes, up to at least most (zeros follow the end)."""
     n = len(data)
     word = np.zeros(n + 8, dtype=np.uint64)
     word[:n] = data
     for shift in (1, 2, 4):
         word = (word << np.uint64(8 * shift)) | np.append(word[shift:], np.zeros(shift, dtype=np.uint64))
     rank = np.unique(word[:n], return_inverse=True)[1].astype(np.int64)
-    out, length = [rank], 8
+    out, length = [(8, rank)], 8
+    times = 3 if (n + 1) ** 3 < 1 << 63 else 2  # so many ranks make one number
     while length < most:
-        after = np.zeros(n, dtype=np.int64)
-        after[: n - length] = rank[length:] + 1
-        rank = np.unique(rank * (n + 1) + after, return_inverse=True)[1].astype(np.int64)
-        out.append(rank)
-        length *= 2
+        key = rank
+        for k in range(1, times):
+            after = np.zeros(n, dtype=np.int64)
+            after[: max(n - k * length, 0)] = rank[k * length :] + 1
+            key = key * (n + 1) + after
+        rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        length *= times
+        out.append((length, rank))
     return out
 
 
@@ -115,7 +119,8 @@ def common_prefixes(ranks: list, data: np.ndarray, a: np.ndarray, b: np.ndarray,
     """Lengths of the common prefixes of suffixes a[i] and b[i], up to most[i]."""
     out = np.zeros(len(a), dtype=np.int64)
     n = len(data)
-    steps = [(8 << k, r) for k, r in enumerate(ranks)][::-1] + [(1, data)] * 7
+    # one length fits fewer than three times into the next
+    steps = [x for x in ranks[::-1] for _ in range(2)] + [(1, data)] * 7
     for length, rank in steps:
         at, bt = np.minimum(a + out, n - 1), np.minimum(b + out, n - 1)
         same = (rank[at] == rank[bt]) & (out < most)
@@ -131,7 +136,7 @@ def maximal_repeats(data: np.ndarray, starts: np.ndarray, room: np.ndarray, befo
     length) in their order: all occurrences of a repeat are the suffixes first..last.
     """
     ranks = suffix_ranks(data, int(room.max(initial=0)))
-    order = np.argsort(ranks[-1][starts], kind="stable")
+    order = np.argsort(ranks[-1][1][starts], kind="stable")
     a, b = starts[order[:-1]], starts[order[1:]]
     lcp = common_prefixes(ranks, data, a, b, np.minimum(room[order[:-1]], room[order[1:]]))
     left = before[order]
@@ -304,13 +309,22 @@ def _window_runs(batches):
 
 
 def _windows(batches):
-    """(th, window): hashes of the windows of wanted runs."""
+    """(th, window, settled): hashes of the windows of wanted runs."""
     for b in batches:
-        for th, text, wanted in zip(b.column("th").to_pylist(), b.column("text").to_pylist(), b.column("wanted").to_pylist()):
-            h, _ = _Spaced([text]).grams(PASSAGE)
-            out = np.concatenate([h[w["first"] : w["first"] + w["n"]] for w in wanted])
-            settled = np.repeat([w["settled"] for w in wanted], [w["n"] for w in wanted])
-            yield pa.record_batch([pa.array(np.full(len(out), th)), pa.array(out.view(np.int64)), pa.array(settled)], names=["th", "window", "settled"])
+        done = 0
+        for part in chunks_of(b.column("text").to_pylist(), 1 << 19):
+            here = b.slice(done, len(part))
+            done += len(part)
+            words = _Spaced(part)
+            h, _ = words.grams(PASSAGE)
+            wanted = here.column("wanted")
+            runs_ = wanted.flatten()
+            first, n, settled = (runs_.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            text = np.repeat(np.arange(len(part)), wanted.value_lengths().to_numpy())
+            begin = words.bound[text] + first
+            at = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum())
+            th = here.column("th").to_numpy()[text]
+            yield pa.record_batch([pa.array(np.repeat(th, n)), pa.array(h[at].view(np.int64)), pa.array(np.repeat(settled, n).astype(bool))], names=["th", "window", "settled"])
 
 
 def shared_windows(frame: DataFrame) -> DataFrame:
