@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab as V
+from .common import slices
 
 _START = -1
 
@@ -137,7 +138,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     def run(batches):
         encoder = _encoder(path)  # one a worker, kept between tasks
         labels = encoder.machine.labels
-        for b in batches:
+        for b in slices(batches):
             rows = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
             for text in b.column("text").to_pylist():
                 raw = encoder.encode(text)

@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 
 from convolake.tables import cut, drop, scratch
 
-__all__ = ["components", "cut", "drop", "scratch"]
+__all__ = ["components", "cut", "drop", "scratch", "slices"]
+
+
+def slices(batches, rows: int = 256):
+    """Arrow batches in parts of few rows: texts can be long, and Python objects of a whole batch take many times its bytes."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
 
 
 def components(edges: DataFrame) -> DataFrame:

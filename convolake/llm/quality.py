@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from .common import slices
 from .vocab import chunks_of
 
 TRAIN_DOCS, TRAIN_CHARS, ROUNDS, PENALTY = 2000, 20_000, 100, 1e-3
@@ -232,7 +233,7 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
 
     def run(batches):
         model = shared.value
-        for b in batches:
+        for b in slices(batches):
             scores = [model.scores(part) for part in chunks_of(b.column("text").to_pylist(), 1 << 18)]
             yield pa.record_batch([b.column("id"), pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())], names=["id", "score"])
 
@@ -248,7 +249,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
     def run(batches):
         model = shared.value
-        for b in batches:
+        for b in slices(batches):
             scores = [model.scores(part) for part in chunks_of(b.column("text").to_pylist(), 1 << 18)]
             good = np.concatenate(scores) >= 0.5 if scores else np.zeros(0, dtype=bool)
             yield pa.record_batch([b.column("row").filter(pa.array(good))], names=["row"])

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop
+from .common import components, cut, drop, slices
 
 #: Rows of one comparison tile; larger buckets are cut into tiles of two chunks.
 TILE = 2048
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     frame = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fps = [fingerprint(t, shingle) for t in b.column("text").to_pylist()]
             signed = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
             yield pa.record_batch([b.column("id"), signed, pa.array([f"{x:016x}" for x in fps])], names=["id", "fp", "fingerprint"])
@@ -280,7 +280,7 @@ def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     share = min(1.0, SAMPLE / max(1, texts.count()))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             for t in b.column("text").to_pylist():
                 yield pa.record_batch([pa.array(_hashes(_shingles(t, shingle)).view(np.int64))], names=["h"])
 
@@ -411,7 +411,7 @@ def _verified(pairs: DataFrame, texts_of, similarity: float, shingle: int) -> Da
     both = pairs.join(mine.select(F.col("rep").alias("u"), F.col("text").alias("a")), "u").join(mine.select(F.col("rep").alias("v"), F.col("text").alias("b")), "v")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 64):
             last, left, keep = None, set(), []
             for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist()):
                 if x != last:
@@ -444,7 +444,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     common = docs.sparkSession.sparkContext.broadcast(_common(frame, shingle))
 
     def marked(batches):
-        for b in batches:
+        for b in slices(batches):
             digests, sigs, sizes, keys = [], [], [], []
             for t in b.column("text").to_pylist():
                 digests.append(xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())))

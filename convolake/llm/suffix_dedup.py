@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slices
 from .simhash import runs
 from .vocab import chunks_of
 from .winnow import Words
@@ -189,7 +189,7 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 
 def _anchor_rows(batches):
     """(id, th, h, seg, pos, lo, hi): an anchor, digest of its segment, its place, and its first and last string relative to it."""
-    for b in batches:
+    for b in slices(batches):
         ids, ths, texts = b.column("id"), b.column("th"), b.column("text").to_pylist()
         part, about, size = [], [], 0
 
@@ -217,7 +217,7 @@ def _anchor_rows(batches):
 
 def _segments(batches):
     """Bytes of wanted segments (one row a document) as rows (h, seg, lo, hi, data)."""
-    for b in batches:
+    for b in slices(batches):
         for text, wanted in zip(b.column("text").to_pylist(), b.column("wanted").to_pylist()):
             raw = (text or "").encode()
             data = [raw[w["pos"] + w["lo"] : w["pos"] + w["hi"] + SPAN] for w in wanted]
@@ -253,7 +253,7 @@ def _compare(batches):
 
 def _strings(batches):
     """Every string of a segment by its digest: the way of groups that are too large to gather."""
-    for b in batches:
+    for b in slices(batches):
         for r in b.to_pylist():
             d = r["data"]
             said = [xxhash.xxh3_128_digest(d[i : i + SPAN]) for i in range(len(d) - SPAN + 1)]
@@ -262,7 +262,7 @@ def _strings(batches):
 
 
 def _removed(batches):
-    for b in batches:
+    for b in slices(batches):
         out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
         for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
             raw = (text or "").encode()
@@ -287,7 +287,7 @@ class _Spaced(Words):
 
 def _window_runs(batches):
     """(th, h, seg, first, n): runs of n windows from word `first` on that meet at the gram h, and a hash of the run's words."""
-    for b in batches:
+    for b in slices(batches):
         done = 0
         for part in chunks_of(b.column("text").to_pylist(), 1 << 19):
             th = b.column("th").slice(done, len(part))
@@ -310,7 +310,7 @@ def _window_runs(batches):
 
 def _windows(batches):
     """(th, window, settled): hashes of the windows of wanted runs."""
-    for b in batches:
+    for b in slices(batches):
         done = 0
         for part in chunks_of(b.column("text").to_pylist(), 1 << 19):
             here = b.slice(done, len(part))

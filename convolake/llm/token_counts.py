@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vocab as V
+from .common import slices
 
 _NONE = np.int64(1 << 40)
 
@@ -99,7 +100,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         counter = _counter(path)  # one a worker, kept between tasks
-        for b in batches:
+        for b in slices(batches):
             texts = b.column("text").to_pylist()
             sizes = pa.array([len((t or "").encode()) for t in texts], pa.int64())
             yield pa.record_batch([b.column("id"), sizes, pa.array(counter.count(texts), pa.int64())], names=["id", "n_bytes", "n_tokens"])

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import vocab as V
+from .common import slices
 
 #: Documents of one block, and bytes of payload after which a block ends.
 BLOCK, BLOCK_BYTES = 512, 1 << 20
@@ -117,7 +118,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
                 names=["shard", "block", "doc_ids", "offsets", "n_tokens", "shard_start", "dict_hash", "payload"],
             )
 
-        for b in batches:
+        for b in slices(batches):
             for doc, ids_ in zip(b.column("id").to_pylist(), encoder.encode(b.column("text").to_pylist())):
                 raw = ids_ + end
                 frames.append(squeeze.compress(raw))
@@ -151,7 +152,7 @@ def read(spark: SparkSession, folder: str, keep_ids: bool = True) -> DataFrame:
 
     def run(batches):
         open_ = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words) if words else None)
-        for b in batches:
+        for b in slices(batches, 8):
             for r in b.to_pylist():
                 if r["dict_hash"] != digest:
                     raise ValueError("a block was written with another dictionary")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slices
 from .vocab import chunks_of
 
 SPAN, K = 13, 5
@@ -147,7 +147,7 @@ def _benchmark(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[Data
     texts = cut(rows.select(F.md5("text").alias("th"), "text").groupBy("th").agg(F.any_value("text").alias("text")))
 
     def marks(batches):
-        for b in batches:
+        for b in slices(batches):
             for part in chunks_of(b.column("text").to_pylist(), 1 << 19):
                 words = Words(part)
                 sizes = np.diff(words.bound)
@@ -159,7 +159,7 @@ def _benchmark(benchmark: DataFrame, item_col: str, text_col: str) -> tuple[Data
                         yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(np.full(len(h), n, dtype=np.int32))], names=["fp", "size"])
 
     def windows(batches):
-        for b in batches:
+        for b in slices(batches):
             for th, text in zip(b.column("th").to_pylist(), b.column("text").to_pylist()):
                 words = Words([text])
                 n = min(SPAN, len(words.hash))
@@ -190,7 +190,7 @@ def _judged(frame: DataFrame, benchmark: DataFrame, item_col: str, item_text_col
 
     def marks(batches):
         bits = table.value
-        for b in batches:
+        for b in slices(batches):
             done = 0
             for part in chunks_of(b.column("text").to_pylist(), 1 << 19):
                 words = Words(part)
@@ -218,7 +218,7 @@ def _judged(frame: DataFrame, benchmark: DataFrame, item_col: str, item_text_col
     near = some.select("th", "text").join(met, "th")
 
     def extended(batches):
-        for b in batches:
+        for b in slices(batches):
             for th, text, hits in zip(b.column("th").to_pylist(), b.column("text").to_pylist(), b.column("met").to_pylist()):
                 words = Words([text])
                 at, fp, size = words.fingerprints(sizes)
