@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; only where it is unset, in local mode, a folder of our own."""
     sc = spark.sparkContext
@@ -32,7 +35,13 @@ def cut(df: DataFrame, *watched: Column) -> DataFrame:
     """
     path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"
     seen = Observation() if watched else None
-    (df.observe(seen, *watched) if watched else df).write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")  # what the table was shuffled for is not read again
+    try:
+        (df.observe(seen, *watched) if watched else df).write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to, out.saw = path, seen.get if watched else {}
     return out
