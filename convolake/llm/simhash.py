@@ -254,7 +254,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 # Documents that share most of their word shingles: common rare shingles find the pairs, the shingle sets decide.
 
 #: 64-bit words of a parity bitmap; pairs of a component that are verified at first.
-WORDS, AT_ONCE = 8, 64
+WORDS, AT_ONCE = 8, 8
 #: Documents whose shingles are counted for the order of shingles, and shingles of which the count is kept.
 #: Any order gives the same pairs; with common shingles last fewer documents meet.
 SAMPLE, COMMON = 4096, 1 << 17
@@ -421,7 +421,9 @@ def _verified(pairs: DataFrame, texts_of, similarity: float, shingle: int) -> Da
                 keep.append(shared >= similarity * (len(left) + len(right) - shared))
             yield pa.record_batch([b.column("u"), b.column("v"), pa.array(keep, pa.bool_())], names=["u", "v", "ok"])
 
-    return cut(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long, ok boolean"))
+    out = cut(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long, ok boolean"))
+    drop(mine)
+    return out
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -477,7 +479,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     banded = met.join(known, "rep")
     pairs = _similar_pairs(banded.withColumn("comp", F.col("rep")), similarity, forest=True)
-    judged = _verified(pairs.select("u", "v"), texts_of, similarity, shingle)
+    # each document's closest pair first; then the spanning pairs that these leave between components
+    ends = pairs.select(F.col("u").alias("x"), F.col("v").alias("y"), "d").unionByName(pairs.select(F.col("v").alias("x"), F.col("u").alias("y"), "d"))
+    nearest = ends.groupBy("x").agg(F.min(F.struct("d", "y")).alias("n")).select(F.greatest("x", "n.y").alias("u"), F.least("x", "n.y").alias("v")).distinct()
+    judged = _verified(nearest, texts_of, similarity, shingle)
+    comp = cut(components(judged.where("ok").select("u", "v")))
+    left = _across(pairs.join(judged, ["u", "v"], "left_anti").select("u", "v", "d"), comp)
+    judged = cut(judged.unionByName(_verified(left.select("u", "v"), texts_of, similarity, shingle)))
     edges = judged.where("ok").select("u", "v")
     comp = cut(components(edges))
     # a pair between two components met beside a spanning pair that was refused at each of them
