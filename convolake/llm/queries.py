@@ -81,6 +81,19 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(_table(spark, sf_dir, "documents"), "key of the public tables").select("doc_id", "n_entities", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_suffix_dedup, op4_token_counts, op5_bpe, op6_token_store, op7_embeddings, op8_chat, op9_winnow, op10_pii)}
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import importance
+
+    out = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import repair
+
+    return repair.repaired_report(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_suffix_dedup, op4_token_counts, op5_bpe, op6_token_store, op7_embeddings, op8_chat, op9_winnow, op10_pii, op11_importance, op12_repair)}
 
 ORACLE_SQL: dict[str, str] = {}
