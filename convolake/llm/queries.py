@@ -94,6 +94,12 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired_report(_table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_suffix_dedup, op4_token_counts, op5_bpe, op6_token_store, op7_embeddings, op8_chat, op9_winnow, op10_pii, op11_importance, op12_repair)}
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import neighbours
+
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_quality, op3_suffix_dedup, op4_token_counts, op5_bpe, op6_token_store, op7_embeddings, op8_chat, op9_winnow, op10_pii, op11_importance, op12_repair, op13_neighbours)}
 
 ORACLE_SQL: dict[str, str] = {}

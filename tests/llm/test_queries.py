@@ -21,8 +21,11 @@ COLUMNS = {
     "op8_chat": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
     "op9_winnow": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
     "op10_pii": ["doc_id", "n_entities", "text"],
+    "op11_importance": ["doc_id", "n_features", "weight", "score", "rank"],
+    "op12_repair": ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
+    "op13_neighbours": ["query_id", "rank", "vec_id", "score"],
 }
-TABLE = {"op7_embeddings": "embeddings", "op8_chat": None}
+TABLE = {"op7_embeddings": "embeddings", "op8_chat": None, "op12_repair": None, "op13_neighbours": "embeddings"}
 
 
 @pytest.mark.parametrize("name", list(COLUMNS))
@@ -30,11 +33,14 @@ def test_query(spark, name):
     got = queries.QUERIES[name](spark, SF)
     assert got.columns == COLUMNS[name]
     rows = got.collect()
-    if table := TABLE.get(name, "documents"):
+    if name == "op13_neighbours":
+        vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
+        assert len(rows) == vectors.where("vec_id % 20 = 0").count() * min(20, vectors.count() - 1)
+    elif table := TABLE.get(name, "documents"):
         assert len(rows) == spark.read.parquet(f"{SF}/{table}.parquet").count()
     else:
         convs = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count()
-        assert len(rows) == convs + 1
+        assert len(rows) == convs + (name == "op8_chat")
 
 
 def test_conversation_of_control_strings(spark):
