@@ -7,8 +7,8 @@ of each table in the order of how little its own axes would have to give way for
 1. Distinct vectors are indexed, all of them; copies are counted by their smallest ids, which is exact.
 2. Number of axes, tables and probes are fitted: of at most SAMPLE queries the true neighbours are found by one
    scan, and the cheapest choice that has TARGET of them in the probed buckets is taken.
-3. Candidates and queries of a bucket meet in tiles of at most TILE rows of either. Tiles keep the k + 1 best of each
-   query by the exact inner product of the original vectors, in double precision.
+3. Candidates and queries of a bucket meet in tiles of at most TILE rows of either. Tasks keep the k + 1 best of each
+   query, over all their tiles, by the exact inner product of the original vectors, in double precision.
 4. Queries that found fewer than there are (few tables, rare buckets) are searched again by a scan, in blocks.
 
 Vectors of about one length (within 2^(1/8)) share buckets, others don't, and queries look into all lengths: a bucket
@@ -37,6 +37,8 @@ K, TILE = 20, 4096
 SAMPLE, TARGET, PROBES, TABLES = 64, 0.97, 256, (1, 2, 4, 8, 16)
 #: Vectors up to which all meet in one bucket; queries of one scan; the cost of a shuffled row in inner products.
 FEW, BLOCK, ROW_COST = 1024, 2048, 150
+#: Found rows that a task holds.
+HELD = 1 << 20
 
 
 def hadamard(y: np.ndarray) -> np.ndarray:
@@ -137,6 +139,39 @@ def _found(query, node, rep, times, score):
     return pa.record_batch([pa.array(query), pa.array(node), pa.array(rep), pa.array(times, pa.int32()), pa.array(score)], names=["query", "node", "rep", "times", "score"])
 
 
+class _Best:
+    """Each query's k best rows of what a task found so far, whatever tiles they came from."""
+
+    def __init__(self, k: int):
+        self.k, self.held, self.rows = k, [], 0
+
+    def add(self, *found):
+        """Takes columns of _FOUND; gives batches only where the queries of the task are too many to be held."""
+        self.held.append(found)
+        self.rows += len(found[0])
+        if self.rows > HELD:
+            self._merge()
+            if self.rows > HELD // 2:
+                yield from self.rest()
+
+    def _merge(self):
+        query, node, rep, times, score = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((node, rep, -score, query))
+        query, node = query[order], node[order]
+        # a pair that was found in several tables has the same place in all
+        new = np.concatenate(([True], (query[1:] != query[:-1]) | (node[1:] != node[:-1])))
+        order, query = order[new], query[new]
+        keep = order[np.arange(len(query)) - np.searchsorted(query, query) < self.k]
+        self.held = [tuple(np.concatenate(x)[keep] for x in zip(*self.held))]
+        self.rows = len(keep)
+
+    def rest(self):
+        if self.rows:
+            self._merge()
+            yield _found(*self.held[0])
+        self.held, self.rows = [], 0
+
+
 def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
@@ -146,6 +181,7 @@ def scan(distinct: DataFrame, queries: list, k: int) -> DataFrame:
     nodes, q = np.array([r.node for r in queries], dtype=np.int64), np.array([r.v for r in queries], dtype=np.float64)
 
     def scanned(batches):
+        best = _Best(k)
         for b in batches:
             if not b.num_rows:
                 continue
@@ -153,7 +189,8 @@ def scan(distinct: DataFrame, queries: list, k: int) -> DataFrame:
                 part = b.slice(i, TILE)
                 node, rep, times = (part.column(c).to_numpy() for c in ("node", "rep", "times"))
                 for a, r, score in best_of(q, _matrix(part.column("v")), rep, k):
-                    yield _found(nodes[a], node[r], rep[r], times[r], score)
+                    yield from best.add(nodes[a], node[r], rep[r], times[r], score)
+        yield from best.rest()
 
     rows = distinct.select("node", "rep", "times", "v")
     return _top(rows.mapInArrow(scanned, _FOUND.format(id=rows.schema["rep"].dataType.simpleString())), k)
@@ -199,6 +236,7 @@ def _meet(distinct: DataFrame, bits: int, tables: int, count: int, lengths: list
     tile = ["bucket", "i", "j"]
 
     def scored(batches):
+        best = _Best(k)
         for c, at in runs(batches, [*tile, "side", "node", "rep", "times", "v"], tile, 4096):
             for s, e in zip(at, at[1:]):
                 asks = c["side"][s:e] == 1
@@ -207,7 +245,8 @@ def _meet(distinct: DataFrame, bits: int, tables: int, count: int, lengths: list
                     continue
                 x, q = (np.stack(c["v"][r]).astype(np.float64) for r in (cand, ask))
                 for a, r, score in best_of(q, x, c["rep"][cand], k):
-                    yield _found(c["node"][ask[a]], c["node"][cand[r]], c["rep"][cand[r]], c["times"][cand[r]], score)
+                    yield from best.add(c["node"][ask[a]], c["node"][cand[r]], c["rep"][cand[r]], c["times"][cand[r]], score)
+        yield from best.rest()
 
     met = dealt("own", 0).unionByName(dealt("looked", 1)).repartition(*tile).sortWithinPartitions(*tile)
     return _top(met.mapInArrow(scored, _FOUND.format(id=distinct.schema["rep"].dataType.simpleString())), k)

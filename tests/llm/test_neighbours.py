@@ -68,6 +68,7 @@ def test_dimensions_never_meet(spark):
 @pytest.mark.parametrize("spread,scale", [(0.3, False), (2.0, False), (0.5, True)])
 def test_recall_in_buckets(spark, monkeypatch, spread, scale):
     monkeypatch.setattr(neighbours, "FEW", 100)
+    monkeypatch.setattr(neighbours, "HELD", 2000)  # tasks merge and give way often
     monkeypatch.setattr(neighbours, "TILE", 300)  # buckets of several tiles
     x = vectors(3000, 24, 5, spread)
     if scale:  # lengths from a tenth to ten
