@@ -34,13 +34,13 @@ def query(name: str, sql: str | None = None):
 
 
 def queries() -> dict:
-    from . import more  # noqa: F401  registers its queries here
+    from . import archive, more  # noqa: F401  they register their queries here
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    from . import more  # noqa: F401
+    from . import archive, more  # noqa: F401
 
     return dict(_SQL)
 

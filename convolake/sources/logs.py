@@ -33,7 +33,12 @@ def _finish(rows: DataFrame, provider: str) -> DataFrame:
 
 def canonical(spark: SparkSession, path: str, provider: str = "claude") -> DataFrame:
     """Append-only JSONL: lines that are no JSON are dropped, summaries too, and rows with neither session nor time."""
-    rows = _lines(spark, path).where(_j("$.type").isNotNull() & (_j("$.type") != "summary"))
+    return canonical_lines(_lines(spark, path), provider)
+
+
+def canonical_lines(rows: DataFrame, provider: str = "claude") -> DataFrame:
+    """canonical() of lines (file, block, line, value) that were read before; block and line give their order in a file."""
+    rows = rows.where(_j("$.type").isNotNull() & (_j("$.type") != "summary"))
     rows = rows.where(_j("$.sessionId").isNotNull() | _j("$.timestamp").isNotNull())
     rows = rows.select(
         "block",
