@@ -6,14 +6,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from convolake.operators import edits, trees
+from convolake.functions import text as T
+from convolake.operators import edits, grouping, ranking, search, trees
 from convolake.sources import appended, logs, written
 from convolake.streaming import markers
 from convolake.streaming.snapshots import Snapshots
 from convolake.tables import scratch
 
 from . import adapters as A
-from .catalogue import query
+from .catalogue import _docs, query
 
 
 def _folder(s, name: str) -> str:
@@ -135,3 +136,74 @@ def _(s, d):
     patches = x.where(kind == 3).select("doc_id", F.to_json(F.struct(F.array(use).alias("content"))).alias("raw"), F.lit("/work").alias("cwd"))
     both = edits.edits(rows).unionByName(edits.edits(patches, cwd="cwd").drop("cwd"))
     return both.select("doc_id", "op", "file_path", F.md5("content").alias("content"), "lines_added", "lines_removed")
+
+
+_POSTINGS = "WITH t AS (SELECT doc_id AS id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS toks FROM documents), p AS (SELECT id, unnest(toks) AS token, unnest(range(len(toks))) AS pos, len(toks) AS length FROM t)"
+
+
+@query("f10_positional_rank", _POSTINGS + """, h AS (SELECT * FROM p WHERE token IN ('license', 'version', 'copyright')), full_ AS (SELECT id FROM h GROUP BY id HAVING count(DISTINCT token) = 3),
+s AS (SELECT a.id, sum(ln(1 - 0.1 * sqrt(1 / (1.005 + 0.05 * exp(abs(a.pos - b.pos) / 1.5 - 2))))) AS s FROM h a JOIN h b ON a.id = b.id AND a.token < b.token AND abs(a.pos - b.pos) <= 100 GROUP BY 1)
+SELECT id, round(1 - exp(coalesce(s, 0)), 6) AS rank FROM full_ LEFT JOIN s USING (id)""")
+def _(s, d):
+    return ranking.rank(ranking.positions(_docs(s, d)), ["license", "version", "copyright"])
+
+
+@query("f10_single_word_rank", _POSTINGS + ", h AS (SELECT id, count(*) AS n FROM p WHERE token = 'license' GROUP BY 1) SELECT id, round(0.1 * list_sum(list_transform(range(1, n + 1), lambda j: 1.0::DOUBLE / (j * j))) / (pi() * pi() / 6), 6) AS rank FROM h ORDER BY rank DESC, id DESC LIMIT 50")
+def _(s, d):
+    return ranking.best(ranking.rank(ranking.positions(_docs(s, d)), ["license"]))
+
+
+@query("g01_stored_index", _POSTINGS + ", h AS (SELECT id, length, count(*) AS tf, count(DISTINCT token) AS w FROM p WHERE token IN ('license', 'version') GROUP BY 1, 2) SELECT id, round(tf / (1 + ln(1.0 + length)), 6) AS rank FROM h WHERE w = 2 ORDER BY rank DESC, id DESC LIMIT 50")
+def _(s, d):
+    """The index is written in two increments; the search reads the folders of its two words."""
+    index, docs = ranking.StoredIndex(s, _folder(s, "index")), _docs(s, d)
+    for n in range(2):
+        index.add(docs.where(F.col("id") % 2 == n), n + 1)
+    words = ["license", "version"]
+    return search.by_postings(index.words(words).select("token", "id", F.size("positions").alias("tf"), "length"), words)
+
+
+_FRAGMENTS_SQL = """WITH t AS (SELECT doc_id AS id, regexp_extract_all(text, '[\\p{L}\\p{N}_]+[^\\p{L}\\p{N}_]*') AS pieces, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '') AS toks FROM documents),
+h AS (SELECT * FROM (SELECT id, unnest(toks) AS word, unnest(range(len(toks))) AS pos, len(toks) AS n FROM t) WHERE word IN ('license', 'version')),
+w AS (SELECT id, n, pos AS b, max(pos) OVER r AS e, len(list_distinct(list(word) OVER r)) AS diff, count(*) OVER r AS hits FROM h WINDOW r AS (PARTITION BY id ORDER BY pos RANGE BETWEEN CURRENT ROW AND 13 FOLLOWING)),
+one AS (SELECT id, n, b, e FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY diff DESC, hits DESC, e - b, b) AS r FROM w) WHERE r = 1),
+p1 AS (SELECT id, n, greatest(hi - 13, 0) AS lo, hi FROM (SELECT id, n, least(greatest(b - (14 - (e - b + 1)) // 2, 0) + 13, n - 1) AS hi FROM one)),
+two AS (SELECT id, n, b, e, lo AS lo1, hi AS hi1 FROM (SELECT w.*, lo, hi, row_number() OVER (PARTITION BY w.id ORDER BY diff DESC, hits DESC, e - b, b) AS r FROM w JOIN p1 USING (id) WHERE b > hi OR e < lo) WHERE r = 1),
+lim AS (SELECT *, CASE WHEN hi1 < b THEN hi1 + 1 ELSE 0 END AS low, CASE WHEN lo1 > e THEN lo1 - 1 ELSE n - 1 END AS high FROM two),
+p2 AS (SELECT id, greatest(hi - 13, low) AS lo, hi FROM (SELECT id, low, least(greatest(b - (14 - (e - b + 1)) // 2, low) + 13, high) AS hi FROM lim)),
+parts AS (SELECT id, lo, hi FROM p1 UNION ALL SELECT id, lo, hi FROM p2 WHERE hi - lo + 1 >= 3),
+said AS (SELECT id, lo, array_to_string(list_transform(range(lo, hi + 1), lambda i: CASE WHEN toks[i + 1] IN ('license', 'version') THEN '<b>' || regexp_extract(pieces[i + 1], '^[\\p{L}\\p{N}_]+') || '</b>' ELSE regexp_extract(pieces[i + 1], '^[\\p{L}\\p{N}_]+') END || CASE WHEN i < hi THEN regexp_replace(pieces[i + 1], '^[\\p{L}\\p{N}_]+', '') ELSE '' END), '') AS s FROM parts JOIN t USING (id))
+SELECT id, string_agg(s, ' ... ' ORDER BY lo) AS snippet FROM said GROUP BY 1"""
+
+
+@query("f11_fragments", _FRAGMENTS_SQL)
+def _(s, d):
+    words = ["license", "version"]
+    found = _docs(s, d).where(F.arrays_overlap(T.tokens(F.col("text")), F.array(*[F.lit(w) for w in words])))
+    return ranking.fragments(found, words)
+
+
+def _projects(s, d):
+    """Part types as machines and providers, part names under a few directories as paths, brands as identities."""
+    k = F.col("p_partkey")
+    root = F.when(k % 5 == 0, "/home/a/dev").when(k % 5 == 1, "/home/b/dev").when(k % 5 == 2, "/srv/a/dev").when(k % 5 == 3, "/srv/x/a/dev").otherwise("/opt")
+    path = F.concat(root, F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("/")), F.lit("/r"), (k % 40).cast("string"))
+    return A.table(s, d, "part").select(F.col("p_type").alias("machine"), F.concat(F.lit("p"), (F.col("p_size") % 4).cast("string")).alias("provider"), path.alias("project_path"), F.when(k % 7 == 0, F.concat("p_brand", (k % 3).cast("string"))).alias("identity_key"), (F.col("p_size") > 30).alias("git_worktree"), F.when(k % 11 != 0, F.timestamp_seconds(F.lit(1_700_000_000) + k * 977 % 86_400)).alias("last_modified"))
+
+
+_SUFFIX = "label{0} AS (SELECT g.* EXCLUDE (suffix, label, same), CASE WHEN same > 1 THEN coalesce(nullif(array_to_string(parents[greatest(len(parents) - {0} + 1, 1):], '/'), ''), suffix) ELSE suffix END AS suffix, CASE WHEN (CASE WHEN same > 1 THEN coalesce(nullif(array_to_string(parents[greatest(len(parents) - {0} + 1, 1):], '/'), ''), suffix) ELSE suffix END) IS NULL THEN name ELSE name || ' — ' || (CASE WHEN same > 1 THEN coalesce(nullif(array_to_string(parents[greatest(len(parents) - {0} + 1, 1):], '/'), ''), suffix) ELSE suffix END) END AS label FROM (SELECT *, count(*) OVER (PARTITION BY label) AS same FROM {1}) g)"
+
+
+@query("a33_groups", f"""WITH p AS (SELECT p_type AS machine, 'p' || p_size % 4 AS provider, CASE p_partkey % 5 WHEN 0 THEN '/home/a/dev' WHEN 1 THEN '/home/b/dev' WHEN 2 THEN '/srv/a/dev' WHEN 3 THEN '/srv/x/a/dev' ELSE '/opt' END || '/' || replace(p_name, ' ', '/') || '/r' || p_partkey % 40 AS path,
+  CASE WHEN p_partkey % 7 = 0 THEN p_brand || p_partkey % 3 END AS own, p_size > 30 AS wt, CASE WHEN p_partkey % 11 <> 0 THEN 1700000000 + p_partkey * 977 % 86400 END AS modified FROM part),
+al AS (SELECT path, 'alias' || min(provider) AS a FROM p WHERE ends_with(path, 'r39') GROUP BY 1), r AS (SELECT p.*, coalesce(own, a) AS o FROM p LEFT JOIN al USING (path)),
+c AS (SELECT path, min(o) AS lo, max(o) AS hi FROM r WHERE o IS NOT NULL GROUP BY 1), k AS (SELECT r.*, coalesce(o, CASE WHEN lo = hi THEN lo END, 'path:' || path) AS key FROM r LEFT JOIN c USING (path)),
+f AS (SELECT key, path, bool_and(wt) AS wt, max(modified) AS modified, count(*) AS n FROM k GROUP BY 1, 2), live AS (SELECT * FROM f WHERE NOT wt),
+g AS (SELECT key, first(path ORDER BY modified DESC NULLS LAST, path) AS path, count(*) AS paths, CAST(sum(n) AS BIGINT) AS rows, max(modified) AS modified FROM live GROUP BY 1),
+label0 AS (SELECT *, parts[len(parts)] AS name, parts[:len(parts) - 1] AS parents, CAST(NULL AS VARCHAR) AS suffix, parts[len(parts)] AS label FROM (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM g)),
+{", ".join(_SUFFIX.format(n, f"label{n - 1}") for n in range(1, 7))} SELECT key, path, label, paths, rows, modified FROM label6""")
+def _(s, d):
+    p = _projects(s, d)
+    aliases = p.where("endswith(project_path, 'r39')").groupBy("project_path").agg(F.concat(F.lit("alias"), F.min("provider")).alias("identity_key"))
+    out = grouping.groups(p, aliases, worktrees=False)
+    return out.select("key", "path", "label", "paths", "rows", F.unix_seconds("last_modified").alias("modified"))

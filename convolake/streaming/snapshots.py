@@ -32,10 +32,10 @@ class Pointer:
 
 
 class Snapshots:
-    """A stored table at root (any Hadoop file system)."""
+    """A stored table at root (any Hadoop file system), its rows in folders by the columns `by`."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, by: list[str] = ()):
+        self.spark, self.root, self.by = spark, root.rstrip("/"), list(by)
         self._fs = spark._jvm.org.apache.hadoop.fs
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self._files = self._path(self.root).getFileSystem(self._conf)
@@ -91,7 +91,7 @@ class Snapshots:
         folder = f"v-{last.number + 1 if last else 1}-{uuid.uuid4().hex}"
         batch = last.batch if last else 0
         try:
-            build().write.parquet(f"{self.root}/{folder}/batch={batch}")
+            build().write.partitionBy(*self.by).parquet(f"{self.root}/{folder}/batch={batch}")
             moved = self._move(last, folder, batch)
         except BaseException:
             self._files.delete(self._path(f"{self.root}/{folder}"), True)
@@ -105,7 +105,7 @@ class Snapshots:
         if last and batch <= last.batch:
             return last
         folder = last.folder if last else f"v-1-{uuid.uuid4().hex}"
-        rows.write.mode("overwrite").parquet(f"{self.root}/{folder}/batch={batch}")
+        rows.write.mode("overwrite").partitionBy(*self.by).parquet(f"{self.root}/{folder}/batch={batch}")
         return self._move(last, folder, batch)
 
     def sweep(self, keep: int = 2) -> None:
