@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from convolake.functions import blocks
 from convolake.functions import text as T
 from convolake.operators import edits, grouping, ranking, search, trees
-from convolake.sources import appended, logs, written
+from convolake.sources import appended, directories, logs, written
 from convolake.streaming import markers
 from convolake.streaming.snapshots import Snapshots
 from convolake.tables import scratch
@@ -207,3 +208,82 @@ def _(s, d):
     aliases = p.where("endswith(project_path, 'r39')").groupBy("project_path").agg(F.concat(F.lit("alias"), F.min("provider")).alias("identity_key"))
     out = grouping.groups(p, aliases, worktrees=False)
     return out.select("key", "path", "label", "paths", "rows", F.unix_seconds("last_modified").alias("modified"))
+
+
+def _context_folder(s, d) -> str:
+    """Each conversation as a folder with context.jsonl, wire.jsonl and, for some, state.json."""
+    folder, rows = _folder(s, "folders"), _said(s, d)
+    name = lambda file: F.concat(F.lit("p/s-"), F.col("session_id").cast("string"), F.lit(f"/{file}"))
+    call = F.array(F.struct(F.lit("c").alias("id"), F.struct(F.lit("Shell").alias("name"), F.lit('{"n":1}').alias("arguments")).alias("function")))
+    role = F.when(F.col("role") == "system", "_system_prompt").otherwise(F.col("role"))
+    record = F.to_json(F.struct(role.alias("role"), F.col("text").alias("content"), F.when((F.col("role") == "assistant") & (F.col("session_id") % 2 == 0), call).alias("tool_calls")))
+    written.write_files(rows, folder, name("context"), [F.col("seq")], record)
+    written.write_files(rows, folder, name("wire"), [F.col("seq")], F.to_json(F.struct((F.unix_seconds("ts") + 0.5).alias("timestamp"))))
+    titled = rows.where("session_id % 3 = 0").groupBy("session_id").agg(F.concat(F.lit(" Title "), F.count("*").cast("string")).alias("custom_title"))
+    written.write_files(titled, folder, name("state"), [F.col("session_id")], F.to_json(F.struct("custom_title")), suffix=".json")
+    return folder
+
+
+@query("s10_context_sessions", """WITH c AS (SELECT *, CAST(conv_id AS VARCHAR) AS s FROM conversations), u AS (SELECT conv_id, first(text ORDER BY turn) AS text FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY 1)
+SELECT 's-' || s AS session_id, count(*) FILTER (WHERE role IN ('user', 'assistant', 'tool')) AS message_count, conv_id % 2 = 0 AND bool_or(role = 'assistant') AS has_tool_use, 1700000000500000 + 60000000 * min(turn) AS first_at, 1700000000500000 + 60000000 * max(turn) AS last_at, coalesce(CASE WHEN conv_id % 3 = 0 THEN 'Title ' || count(*) END, any_value(u.text)) AS summary
+FROM c LEFT JOIN u USING (conv_id) GROUP BY conv_id, s HAVING count(*) FILTER (WHERE role IN ('user', 'assistant', 'tool')) > 0""")
+def _(s, d):
+    out = directories.context_sessions(s, _context_folder(s, d))
+    at = lambda c: F.unix_micros(c).alias(c.split("_")[0] + "_at")
+    return out.select("session_id", "message_count", "has_tool_use", at("first_message_time"), at("last_message_time"), "summary")
+
+
+@query("s10_context_messages", """SELECT 's-' || conv_id AS session_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS seq, role, text, 1700000000500000 + 60000000 * min(first) OVER (PARTITION BY conv_id) AS at, CASE WHEN role = 'assistant' AND conv_id % 2 = 0 THEN 'Shell' END AS tool
+FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first FROM conversations) WHERE role IN ('user', 'assistant', 'tool')""")
+def _(s, d):
+    out = directories.context_messages(s, _context_folder(s, d))
+    said = F.get_json_object("content", "$[0].text")
+    return out.select("session_id", "seq", "role", said.alias("text"), F.unix_micros("ts").alias("at"), F.get_json_object("content", "$[1].name").alias("tool"))
+
+
+@query("s13_storage_messages", """SELECT CAST(conv_id AS VARCHAR) AS session_id, 'm' || conv_id || '-' || turn AS uuid, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, 'm' || conv_id || '-' || turn) - 1 AS INTEGER) AS seq, role, text, CASE WHEN turn % 2 = 0 THEN length(text) ELSE 2 * length(text) + 1 END AS input_tokens, CASE WHEN turn % 2 = 0 THEN NULL ELSE 3 END AS output_tokens FROM conversations""")
+def _(s, d):
+    """Messages of their own files, their parts in others: two steps and a text; every second message counts its tokens itself."""
+    folder, rows = _folder(s, "storage"), _said(s, d)
+    key = F.concat(F.lit("m"), F.col("session_id").cast("string"), F.lit("-"), F.col("seq").cast("string"))
+    own = F.when(F.col("seq") % 2 == 0, F.struct(F.length("text").alias("input")))
+    message = F.to_json(F.struct("role", F.struct((F.unix_seconds("ts") * 1000).alias("created")).alias("time"), own.alias("tokens")))
+    written.write_files(rows, f"{folder}/storage/message", F.concat_ws("/", F.col("session_id").cast("string"), key), [F.col("seq")], message, suffix=".json")
+    step = lambda n, out: F.to_json(F.struct(F.lit("step-finish").alias("type"), F.struct(n.alias("input"), out.alias("output")).alias("tokens")))
+    parts = F.array(F.to_json(F.struct(F.lit("text").alias("type"), "text")), step(F.length("text"), F.lit(3)), step(F.length("text") + 1, F.lit(None).cast("int")))
+    each = rows.select(key.alias("key"), F.posexplode(parts).alias("n", "part"))
+    written.write_files(each, f"{folder}/storage/part", F.concat_ws("/", "key", F.col("n").cast("string")), [F.col("n")], F.col("part"), suffix=".json")
+    out = directories.storage_messages(s, folder)
+    return out.select("session_id", "uuid", "seq", "role", F.get_json_object("content", "$[0].text").alias("text"), "input_tokens", "output_tokens")
+
+
+@query("j22_transcripts", """SELECT CAST(conv_id AS VARCHAR) AS agent_id, count(*) AS message_count, min(1700000000 + turn * 60) AS first_at, max(1700000000 + turn * 60) AS last_at, substr(first(text ORDER BY turn) FILTER (WHERE role = 'user' AND text IS NOT NULL), 1, 100) AS summary, CASE WHEN conv_id % 2 = 0 THEN 'toolu_' || conv_id END AS tool_use_id FROM conversations GROUP BY conv_id""")
+def _(s, d):
+    folder, rows = _folder(s, "agents"), _said(s, d)
+    name = F.concat(F.lit("agent-"), F.col("session_id").cast("string"))
+    written.write_files(rows, folder, name, [F.col("seq")], written.canonical_line())
+    known = rows.where("session_id % 2 = 0").select("session_id").distinct()
+    written.write_files(known, folder, name, [F.col("session_id")], F.to_json(F.struct(F.concat(F.lit("toolu_"), F.col("session_id").cast("string")).alias("toolUseId"))), suffix=".meta.json")
+    at = lambda c: F.unix_seconds(F.to_timestamp(c)).alias(c.split("_")[0] + "_at")
+    return directories.transcripts(s, folder).select("agent_id", "message_count", at("first_message_time"), at("last_message_time"), "summary", "tool_use_id")
+
+
+@query("f34_blocks", """WITH x AS (SELECT doc_id, coalesce(text, '') AS text, doc_id % 5 AS k, CASE doc_id % 3 WHEN 0 THEN 'Edit' WHEN 1 THEN 'Read' ELSE 'Bash' END AS tool FROM documents)
+SELECT doc_id, md5(CASE k WHEN 0 THEN text WHEN 1 THEN substr(text, 1, 10000) || ' ' || substr(text, 1, 10000) || ' ' || tool WHEN 2 THEN text || ' ' || substr(text, 1, 5000) WHEN 3 THEN text || ' u' || doc_id ELSE '' END) AS searchable,
+CASE k WHEN 1 THEN 'use' || doc_id WHEN 2 THEN 'use' || doc_id ELSE '' END AS ids, k IN (1, 2) AS tool_calls, contains(lower(text), 'error') AS errors, k = 1 AND tool = 'Edit' AS file_changes FROM x""")
+def _(s, d):
+    """Documents as messages: plain text, text with thoughts and a tool use, a tool's result, a found page, an image."""
+    x = A.table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    k, key = F.col("doc_id") % 5, F.concat(F.lit("use"), F.col("doc_id").cast("string"))
+    tool = F.when(F.col("doc_id") % 3 == 0, "Edit").when(F.col("doc_id") % 3 == 1, "Read").otherwise("Bash")
+    lit = lambda **c: [F.lit(v).alias(n) if isinstance(v, str) else v.alias(n) for n, v in c.items()]
+    block = lambda **c: F.to_json(F.struct(*lit(**c)))
+    text = F.col("text")
+    many = F.concat(F.lit('{"type":"assistant","content":['), F.concat_ws(",", block(type="text", text=text), block(type="thinking", thinking=text), block(type="tool_use", id=key, name=tool)), F.lit("]}"))
+    result = F.concat(F.lit('{"type":"user","content":['), block(type="tool_result", tool_use_id=key, content=text), F.lit('],"toolUseResult":'), block(stdout=text), F.lit("}"))
+    page = F.concat(F.lit('{"content":[{"type":"web_search_tool_result","content":['), block(title=text, url=F.concat(F.lit("u"), F.col("doc_id").cast("string"))), F.lit("]}]}"))
+    image = F.concat(F.lit('{"content":['), block(type="image", text=text), F.lit("]}"))
+    raw = F.when(k == 0, F.to_json(F.struct(F.lit("user").alias("type"), text.alias("content")))).when(k == 1, many).when(k == 2, result).when(k == 3, page).otherwise(image)
+    v = F.col("v")
+    rows = x.select("doc_id", F.parse_json(raw).alias("v"))
+    return rows.select("doc_id", F.md5(blocks.searchable_text(v)).alias("searchable"), blocks.tool_ids(v).alias("ids"), blocks.has_tool_calls(v).alias("tool_calls"), blocks.has_errors(v).alias("errors"), blocks.has_file_changes(v).alias("file_changes"))

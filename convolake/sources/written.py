@@ -13,8 +13,8 @@ def canonical_line() -> Column:
     return F.to_json(F.struct(F.col("role").alias("type"), F.col("session_id").cast("string").alias("sessionId"), key.alias("uuid"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), message.alias("message")))
 
 
-def write_files(rows: DataFrame, folder: str, file: Column, order: list[Column], line: Column, half: Column | None = None) -> int:
-    """Writes each file's lines in order, each file as a stream by one task; returns the number of lines.
+def write_files(rows: DataFrame, folder: str, file: Column, order: list[Column], line: Column, half: Column | None = None, suffix: str = ".jsonl") -> int:
+    """Writes each file's lines in order, each file (its name may have folders) as a stream by one task; returns the number of lines.
 
     Lines for which `half` holds are still being written: of the first of a file only its first half is there, without
     an end, and nothing after it. A task that runs again writes the same bytes over its files.
@@ -27,7 +27,6 @@ def write_files(rows: DataFrame, folder: str, file: Column, order: list[Column],
         from convolake.sources.appended import _open
 
         store, root = _open(folder)
-        store.create_dir(root, recursive=True)
         name, out, broken, lines = None, None, False, 0
         for b in batches:
             for r in b.to_pylist():
@@ -35,7 +34,9 @@ def write_files(rows: DataFrame, folder: str, file: Column, order: list[Column],
                     if out:
                         out.close()
                     name, broken = r["_file"], False
-                    out = store.open_output_stream(f"{root}/{name}.jsonl")
+                    place = f"{root}/{name}{suffix}"
+                    store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                    out = store.open_output_stream(place)
                 if broken:
                     continue
                 raw, broken = r["_line"].encode(), r["_half"]
