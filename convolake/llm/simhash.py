@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, cut, drop, slices
@@ -253,8 +253,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 # Documents that share most of their word shingles: common rare shingles find the pairs, the shingle sets decide.
 
-#: 64-bit words of a parity bitmap; pairs of a component that are verified at first.
-WORDS, AT_ONCE = 8, 8
+#: Least bits of a parity bitmap, and most of one that travels; bits for each shingle where sets are compared.
+LEAST_BITS, MOST_BITS, FINE = 512, 1 << 18, 8
+#: Shingles of a chunk of a family.
+SHINGLES = 1 << 22
 #: Documents whose shingles are counted for the order of shingles, and shingles of which the count is kept.
 #: Any order gives the same pairs; with common shingles last fewer documents meet.
 SAMPLE, COMMON = 4096, 1 << 17
@@ -269,10 +271,22 @@ def _hashes(shingles: set[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(s, 42) for s in shingles], dtype=np.uint64)
 
 
-def _parity(hashes: np.ndarray) -> np.ndarray:
-    """WORDS words, each bit the parity of the hashes that fall on it: sets that differ in n shingles differ in at most n bits."""
-    odd = np.bincount((hashes % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+def _width(n: int, least: int = LEAST_BITS, most: int = MOST_BITS) -> int:
+    """Bits of the bitmap of n shingles: a power of two."""
+    return min(most, max(least, 1 << max(n - 1, 1).bit_length()))
+
+
+def _parity(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Words of a bitmap, each bit the parity of the hashes that fall on it: sets that differ in n shingles differ in at most n bits.
+
+    A bitmap of half the bits is the halves of this one, added without carry.
+    """
+    odd = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def _folded(words: np.ndarray, count: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(words.reshape(-1, count), axis=0)
 
 
 def _common(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -305,10 +319,15 @@ def _prefix(hashes: np.ndarray, common: tuple, similarity: float) -> np.ndarray:
 
 
 def _shared(found: DataFrame) -> DataFrame:
-    """(key, size, rep): rows (key, rep) whose key another document has as well; size of them have it."""
+    """(key, size, rep): rows (key, rep) whose key another document has as well; size of them have it.
+
+    Of keys that just the same documents have one is enough: a digest of 128 bits of its documents tells them.
+    """
     found = cut(found)
+    who = [F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y")]
+    sets = found.groupBy("key").agg(F.count("*").alias("size"), *who).where("size > 1")
     # written first: a join over the aggregation's own exchange could not be split where one key is common
-    sizes = cut(found.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    sizes = cut(sets.groupBy("size", "x", "y").agg(F.min("key").alias("key")).select("key", "size"))
     out = cut(found.join(sizes, "key"))
     drop(found)
     drop(sizes)
@@ -325,24 +344,40 @@ def _may_be_similar(fp: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray,
 
 def _run_pairs(fp: np.ndarray, n: np.ndarray, bounds: np.ndarray, similarity: float):
     """Arrays (a, b, d) of the rows inside each run bounds[i]:bounds[i + 1] that may be similar, block by block."""
-    sizes = np.diff(bounds)
+    sizes, block = np.diff(bounds), max(256, (1 << 21) // fp.shape[1])
     small = sizes <= 64
     for d in range(1, int(sizes[small].max(initial=1))):
         some = small & (sizes > d)
         ends = np.cumsum(sizes[some] - d)
         first = np.repeat(bounds[:-1][some] - ends + sizes[some] - d, sizes[some] - d) + np.arange(ends[-1] if len(ends) else 0)
-        for i in range(0, len(first), 1 << 16):
-            part = first[i : i + (1 << 16)]
+        for i in range(0, len(first), block):
+            part = first[i : i + block]
             may, far = _may_be_similar(fp, n, part, part + d, similarity)
             yield part[may], part[may] + d, far[may]
     for s, e in zip(bounds[:-1][~small], bounds[1:][~small]):
-        for i in range(s, e, 64):
-            a, b = np.arange(i, min(i + 64, e))[:, None], np.arange(s, min(i + 64, e))[None, :]
+        step = int(min(64, max(1, block * 4 // (e - s))))
+        for i in range(s, e, step):
+            a, b = np.arange(i, min(i + step, e))[:, None], np.arange(s, min(i + step, e))[None, :]
             may, far = _may_be_similar(fp, n, a, b, similarity)
             q, r = np.nonzero(may & (b < a))
             yield q + i, r + s, far[q, r]
 
 
+def _candidates(maps: list[np.ndarray], n: np.ndarray, bounds: np.ndarray, similarity: float):
+    """_run_pairs() of rows with bitmaps of several widths: pairs are compared at the smaller width of the two.
+
+    Sizes of similar documents differ by less than a half, so their widths are the same or neighbours.
+    """
+    width, run = np.array([len(m) for m in maps]), np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    for w in np.unique(width):
+        rows = np.flatnonzero((width == w) | (width == 2 * w))
+        fp = np.stack([_folded(maps[r], w) for r in rows])
+        at = np.concatenate(([0], np.cumsum(np.bincount(run[rows], minlength=len(bounds) - 1))))
+        for a, b, d in _run_pairs(fp, n[rows], at, similarity):
+            own = (width[rows[a]] == w) | (width[rows[b]] == w)
+            yield rows[a[own]], rows[b[own]], d[own]
+
+
 def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Which of the edges (a[i], b[i]), best ones first, join different labels without a circle."""
     n, chosen = len(label), [np.zeros(0, dtype=np.int64)]
@@ -358,72 +393,97 @@ def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate(chosen)
 
 
-def _similar_pairs(rows: DataFrame, similarity: float, forest: bool) -> DataFrame:
-    """(u, v, d) of prefix rows (key, size, rep) with columns comp, n and bitmap: pairs that may be similar, with their distance. None is taken unread.
+def _spanning(rows: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) of rows (key, size, rep, n, bits): pairs that may be similar, so many that they span all that may be.
 
-    Pairs inside one comp are left out. With forest, a run of tiles gives of its open pairs only the
-    closest ones that span them, so that a group of near copies gives no more pairs than members.
+    A run of tiles gives no more pairs than members.
     """
-    names = [f"s{i}" for i in range(WORDS)]
     chunks = F.ceil(F.col("size") / TILE).cast("int")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("rep"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    tiles = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "comp", "n", *names)
+    tiles = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "n", "bits")
     tiles = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches):
-        for c, at in runs(batches, ["key", "i", "j", "rep", "comp", "n", *names], ["key", "i", "j"]):
-            fp = np.stack([c[x] for x in names], axis=1).view(np.uint64)
-            node, first, where = np.unique(c["rep"], return_index=True, return_inverse=True)
-            _, head, back = np.unique(c["comp"][first], return_index=True, return_inverse=True)
-            label = head[back]  # members of one comp are linked from the start
+        for c, at in runs(batches, ["key", "i", "j", "rep", "n", "bits"], ["key", "i", "j"], 1 << 13):
+            node, where = np.unique(c["rep"], return_inverse=True)
             held, size = [], 0
-            out = lambda x, y, d: pa.record_batch([pa.array(np.maximum(node[x], node[y])), pa.array(np.minimum(node[x], node[y])), pa.array(d)], names=["u", "v", "d"])
 
-            def still_open():
+            def spanned():
                 a, b, d = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (zip(*held) if held else ([], [], [])))
-                keep = np.flatnonzero(label[a] != label[b])
-                if forest:
-                    keep = keep[np.lexsort((np.minimum(a, b)[keep], np.maximum(a, b)[keep], d[keep]))]
-                    keep = keep[_forest(label, a[keep], b[keep])]
+                order = np.argsort(d, kind="stable")
+                keep = order[_forest(np.arange(len(node)), a[order], b[order])]
                 return a[keep], b[keep], d[keep]
 
-            for a, b, d in _run_pairs(fp, c["n"], at, similarity):
-                a, b = where[a], where[b]
-                across = label[a] != label[b]
-                held.append((a[across], b[across], d[across]))
-                size += int(across.sum())
+            for a, b, d in _candidates([np.frombuffer(x, "<u8") for x in c["bits"]], c["n"], at, similarity):
+                held.append((where[a], where[b], d))
+                size += len(a)
                 if size > 1 << 20:
-                    if forest:
-                        held = [still_open()]
-                        size = len(held[0][0])
-                    else:
-                        yield out(*still_open())
-                        held, size = [], 0
-            yield out(*still_open())
+                    held = [spanned()]
+                    size = len(held[0][0])
+            a, b, _ = spanned()
+            yield pa.record_batch([pa.array(node[a]), pa.array(node[b])], names=["u", "v"])
+
+    return tiles.mapInArrow(run, "u long, v long").where("u <> v")
 
-    return cut(tiles.mapInArrow(run, "u long, v long, d long").where("u <> v").groupBy("u", "v").agg(F.min("d").alias("d")))
 
+def _similar_in(sets: list[np.ndarray], bounds: np.ndarray, similarity: float):
+    """Links (a, b) that span the rows of each run whose shingle sets (sorted hashes) have the similarity.
+
+    Pairs come by the distance of their bitmaps, which are so wide here that few others than similar ones pass; a
+    pair whose rows are linked already isn't looked at.
+    """
+    n = np.array([len(s) for s in sets], dtype=np.int64)
+    maps = [_parity(s, _width(FINE * len(s), most=1 << 30)) for s in sets]
+    root = np.arange(len(sets))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    found, held, size = [], [], 0
+
+    def apart(a, b):
+        label = root.copy()
+        while (label != label[label]).any():
+            label = label[label]
+        return np.flatnonzero(label[a] != label[b])
+
+    def decide():
+        a, b, d = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (zip(*held) if held else ([], [], [])))
+        for i in np.argsort(d, kind="stable").tolist():
+            x, y = find(a[i]), find(b[i])
+            if x != y:
+                left, right = sets[a[i]], sets[b[i]]
+                shared = len(left) + len(right) - len(np.union1d(left, right))
+                if shared >= similarity * (len(left) + len(right) - shared):
+                    root[max(x, y)] = min(x, y)
+                    found.append((a[i], b[i]))
+
+    for a, b, d in _candidates(maps, n, bounds, similarity):
+        some = apart(a, b)
+        held.append((a[some], b[some], d[some]))
+        size += len(some)
+        if size > 1 << 20:
+            decide()
+            held, size = [], 0
+    decide()
+    return np.array(found, dtype=np.int64).reshape(-1, 2)
 
-def _verified(pairs: DataFrame, texts_of, similarity: float, shingle: int) -> DataFrame:
-    """The pairs (u, v) with ok: do their texts' shingle sets have at least the similarity? texts_of: from (rep) to (rep, text)."""
-    pairs = cut(pairs)
-    mine = cut(texts_of(pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct()))
-    both = pairs.join(mine.select(F.col("rep").alias("u"), F.col("text").alias("a")), "u").join(mine.select(F.col("rep").alias("v"), F.col("text").alias("b")), "v")
+
+def _linked(rows: DataFrame, similarity: float) -> DataFrame:
+    """(u, v) of rows (comp, chunks, rep, hashes): links that span the similar documents of each comp, every pair of which is considered."""
+    chunks = F.col("chunks")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("rep"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    tiles = rows.select("comp", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "hashes")
+    tiles = tiles.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
 
     def run(batches):
-        for b in slices(batches, 64):
-            last, left, keep = None, set(), []
-            for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist()):
-                if x != last:
-                    last, left = x, _shingles(x, shingle)
-                right = _shingles(y, shingle)
-                shared = len(left & right)
-                keep.append(shared >= similarity * (len(left) + len(right) - shared))
-            yield pa.record_batch([b.column("u"), b.column("v"), pa.array(keep, pa.bool_())], names=["u", "v", "ok"])
-
-    out = cut(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long, ok boolean"))
-    drop(mine)
-    return out
+        for c, at in runs(batches, ["comp", "i", "j", "rep", "hashes"], ["comp", "i", "j"], 256):
+            links = _similar_in([np.frombuffer(x, "<u8") for x in c["hashes"]], at, similarity)
+            yield pa.record_batch([pa.array(c["rep"][links[:, 0]]), pa.array(c["rep"][links[:, 1]])], names=["u", "v"])
+
+    return tiles.mapInArrow(run, "u long, v long")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -433,94 +493,72 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     smallest th); times is the number of rows that share id and text.
 
     Copies (equal words) are one document. Distinct ones meet where they share one of their rarest
-    shingles (of n all but ceil(similarity * n) - 1, which pairs of the similarity always do), sizes
-    and parity bitmaps leave out pairs that cannot be similar, and every pair that links is decided
-    by its shingles: no pair is lost. Pairs
-    within a component need no decision: the closest pairs that span a tile are decided first. Where
-    some are refused, the tiles of those components are read again for all pairs between components;
-    each component's AT_ONCE closest are decided, then sixteen times as many, until none is open.
+    shingles (of n all but ceil(similarity * n) - 1, which pairs of the similarity always do). Sizes and parity
+    bitmaps leave out pairs that cannot be similar; what is left falls into families, given by spanning pairs, and no
+    similar pair lies across two of them. Only a family's documents are read again: their shingle sets meet in the
+    tiles of the family, where the closest pairs are decided first, by their sets, and a pair whose documents are
+    linked already needs no decision. No pair is lost and none is written but links.
     """
     text = F.col(text_col).cast("string")
     frame = docs.select(F.col(id_col).cast("long").alias("id"), F.md5(text).alias("th"), text.alias("text"))
-    names = [f"s{i}" for i in range(WORDS)]
     common = docs.sparkSession.sparkContext.broadcast(_common(frame, shingle))
 
     def marked(batches):
         for b in slices(batches):
-            digests, sigs, sizes, keys = [], [], [], []
+            digests, maps, sizes, keys = [], [], [], []
             for t in b.column("text").to_pylist():
                 digests.append(xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())))
                 h = _hashes(_shingles(t, shingle))
-                sigs.append(_parity(h))
+                maps.append(_parity(h, _width(len(h))).tobytes())
                 sizes.append(len(h))
                 keys.append(_prefix(h, common.value, similarity).view(np.int64))
-            sigs = np.array(sigs, dtype=np.int64).reshape(-1, WORDS)
-            yield pa.record_batch([b.column("id"), b.column("th"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), *[pa.array(sigs[:, i]) for i in range(WORDS)], pa.array(keys, pa.list_(pa.int64()))], names=["id", "th", "copy", "n", *names, "keys"])
+            yield pa.record_batch([b.column("id"), b.column("th"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "th", "copy", "n", "bits", "keys"])
 
-    rows = cut(frame.mapInArrow(marked, "id long, th string, copy binary, n long, " + ", ".join(f"{c} long" for c in names) + ", keys array<long>"))
-    keyed = cut(rows.groupBy("copy").agg(F.min("id").alias("rep"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "th"))).alias("one"), *[F.any_value(c).alias(c) for c in ("n", *names, "keys")]))
+    rows = cut(frame.mapInArrow(marked, "id long, th string, copy binary, n long, bits binary, keys array<long>"))
+    keyed = cut(rows.groupBy("copy").agg(F.min("id").alias("rep"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "th"))).alias("one"), *[F.any_value(c).alias(c) for c in ("n", "bits", "keys")]))
     # ids of several texts: all but one of the texts are nodes by their digest
     own = cut(keyed.groupBy(F.col("rep").alias("_rep")).agg(F.min("copy").alias("_copy"), F.count("*").alias("texts")).where("texts > 1"))
     named = keyed.join(own, F.col("rep") == F.col("_rep"), "left")
     node = F.when(F.col("_rep").isNotNull() & (F.col("copy") != F.col("_copy")), F.xxhash64("copy")).otherwise(F.col("rep"))
-    distinct = cut(named.select("copy", node.alias("rep"), "one", "n", *names))
+    distinct = cut(named.select("copy", node.alias("rep"), "one", "n", "bits"))
     met = _shared(named.where("rep is not null").select(F.explode("keys").alias("key"), node.alias("rep")))
     # the prefixes are the largest part of both tables
     wide, rows = rows, cut(rows.select("id", "th", "copy"))
     drop(wide)
     drop(keyed)
-    known = distinct.where("rep is not null").select("rep", "n", *names)
-    place = distinct.select("rep", F.col("one.id").alias("_id"), F.col("one.th").alias("_th"))
-
-    def texts_of(reps):
-        where = cut(place.join(reps, "rep", "left_semi"))
-        same = (F.col("id") == F.col("_id")) & F.col("th").eqNullSafe(F.col("_th"))
-        return frame.join(where, same).select("rep", "text").dropDuplicates(["rep"])
-
-    banded = met.join(known, "rep")
-    pairs = _similar_pairs(banded.withColumn("comp", F.col("rep")), similarity, forest=True)
-    # each document's closest pair first; then the spanning pairs that these leave between components
-    ends = pairs.select(F.col("u").alias("x"), F.col("v").alias("y"), "d").unionByName(pairs.select(F.col("v").alias("x"), F.col("u").alias("y"), "d"))
-    nearest = ends.groupBy("x").agg(F.min(F.struct("d", "y")).alias("n")).select(F.greatest("x", "n.y").alias("u"), F.least("x", "n.y").alias("v")).distinct()
-    judged = _verified(nearest, texts_of, similarity, shingle)
-    comp = cut(components(judged.where("ok").select("u", "v")))
-    left = _across(pairs.join(judged, ["u", "v"], "left_anti").select("u", "v", "d"), comp)
-    judged = cut(judged.unionByName(_verified(left.select("u", "v"), texts_of, similarity, shingle)))
-    edges = judged.where("ok").select("u", "v")
-    comp = cut(components(edges))
-    # a pair between two components met beside a spanning pair that was refused at each of them
-    member = distinct.where("rep is not null").join(comp, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("comp"))
-    refused = judged.where("not ok").select(F.explode(F.array("u", "v")).alias("rep")).join(member, "rep").select("comp").distinct()
-    again = cut(member.join(refused, "comp", "left_semi"))
-    if not again.isEmpty():
-        pairs = _similar_pairs(banded.join(again, "rep"), similarity, forest=False)
-        open_, quota = _across(pairs.join(judged, ["u", "v"], "left_anti"), comp), AT_ONCE
-        while not open_.isEmpty():
-            w = Window.partitionBy("cu").orderBy("d", "u", "v")
-            now = open_.withColumn("place", F.row_number().over(w)).where(F.col("place") <= quota).select("u", "v")
-            judged = _verified(now, texts_of, similarity, shingle)
-            open_, quota = open_.join(judged, ["u", "v"], "left_anti").select("u", "v", "d"), quota * 16
-            if not judged.where("ok").isEmpty():
-                edges = cut(edges.unionByName(judged.where("ok").select("u", "v")))
-                comp = cut(components(edges))
-            open_ = _across(open_, comp)
+    pairs = cut(_spanning(met.join(distinct.where("rep is not null").select("rep", "n", "bits"), "rep"), similarity))
+    drop(met)
+    family = cut(components(pairs).select(F.col("node").alias("rep"), F.col("component").alias("comp")))
+    drop(pairs)
+    times = cut(rows.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.count("*").alias("times")).where("times > 1"), F.count("*").alias("n"))
+    stood = distinct.where("rep is not null").select("rep", "n", F.col("one.id").alias("_id"), F.col("one.th").alias("_th"))
+    family_of = cut(stood.join(family, "rep").join(times.select(F.col("_id").alias("_i"), F.col("_th").alias("_t"), "times"), (F.col("_id") == F.col("_i")) & F.col("_th").eqNullSafe(F.col("_t")), "left"))
+    # written first, for the same reason as the sizes of keys
+    sizes = cut(family_of.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("chunks")))
+    members = cut(family_of.join(sizes, "comp").select("rep", "comp", "chunks", "_id", "_th", F.col("times").isNotNull().alias("repeated")))
+    read = lambda some: frame.join(some, (F.col("id") == F.col("_id")) & F.col("th").eqNullSafe(F.col("_th"))).select("comp", "chunks", "rep", "text")
+
+    def hashed(batches):
+        for b in slices(batches):
+            sets = [np.sort(_hashes(_shingles(t, shingle))).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.record_batch([b.column("comp"), b.column("chunks"), b.column("rep"), pa.array(sets, pa.binary())], names=["comp", "chunks", "rep", "hashes"])
+
+    kind = "comp long, chunks int, rep long, hashes binary"
+    sets = read(members.where("not repeated")).mapInArrow(hashed, kind)
+    if times.saw["n"]:
+        sets = sets.unionByName(read(members.where("repeated")).mapInArrow(hashed, kind).dropDuplicates(["rep"]))
+    links = cut(_linked(sets, similarity).where("u <> v"))
+    comp = cut(components(links))
     where = distinct.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("copy").alias("_copy"), F.coalesce("component", "rep").alias("_comp"), "one")
     first = where.groupBy("_comp").agg(F.min("one").alias("first"))
     where = cut(where.join(first.withColumnRenamed("_comp", "_c"), F.col("_comp") == F.col("_c"), "left").select("_copy", "first"))
-    times = cut(rows.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.count("*").alias("times")).where("times > 1"))
+    for table in (own, family, family_of, sizes, members, links, comp, distinct):
+        drop(table)
     out = rows.join(where, F.col("copy") == F.col("_copy")).join(times, F.col("id").eqNullSafe(F.col("_id")) & F.col("th").eqNullSafe(F.col("_th")), "left")
     stands = F.coalesce((F.col("id") == F.col("first.id")) & F.col("th").eqNullSafe(F.col("first.th")), F.lit(False))
     return out.select(F.col("id").alias(id_col), F.col("first.id").alias("component_id"), "th", stands.alias("stands"), F.coalesce("times", F.lit(1)).alias("times"))
 
 
-def _across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs between different components, with u's."""
-    a, b = (comp.select(F.col("node").alias(f"n{x}"), F.col("component").alias(f"c{x}_")) for x in "uv")
-    out = pairs.join(a, F.col("u") == F.col("nu"), "left").join(b, F.col("v") == F.col("nv"), "left")
-    out = out.select("u", "v", "d", F.coalesce("cu_", "u").alias("cu"), F.coalesce("cv_", "v").alias("cv"))
-    return cut(out.where("cu <> cv").drop("cv"))
-
-
 def one_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents that stand for their group, rows alike in id and text once. Rows without id stay: nothing names them."""
     names = ["_id_of_group", "_th_of_group"]

@@ -96,16 +96,18 @@ def test_simhash_tiles_lose_no_link(spark, monkeypatch):
     assert [comp.get(i, i) for i in range(len(fps))] == label
 
 
-def test_similar_groups(spark, docs, none):
+def test_similar_groups(spark, docs, none, monkeypatch):
     rng = random.Random(3)
     words = lambda n: [rng.choice("abcdefghij") + str(rng.randrange(500)) for _ in range(n)]
     texts = []
-    for _ in range(30):
-        w = words(200)
+    for n in [200] * 25 + [500, 520, 1000, 1030, 2100]:  # bitmaps of several widths
+        w = words(n)
         texts.append(" ".join(w))
-        for changes in (1, 2, 8, 30):
+        for changes in (n // 200, n // 100, n // 25, n // 7):
             v = list(w)
-            for at in rng.sample(range(200), changes):
+            if changes % 2:
+                v += words(n // 50)
+            for at in rng.sample(range(n), changes):
                 v[at] = "changed" + str(rng.randrange(9))
             texts.append(" ".join(v))
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -120,12 +122,8 @@ def test_similar_groups(spark, docs, none):
     got = {r.doc_id: r.component_id for r in groups.collect()}
     assert got == dict(enumerate(label))
     assert all(label[got[i]] == label[i] for i in got)  # no link of other documents
-    monkey = simhash.AT_ONCE
-    simhash.AT_ONCE = 1  # many rounds
-    try:
-        again = {r.doc_id: r.component_id for r in simhash.similar_groups(frame).collect()}
-    finally:
-        simhash.AT_ONCE = monkey
+    monkeypatch.setattr(simhash, "TILE", 3)  # many tiles
+    again = {r.doc_id: r.component_id for r in simhash.similar_groups(frame).collect()}
     assert again == got
     # one id for several texts: each text is a document of its own
     shared = spark.createDataFrame([(7, texts[0], "a"), (7, texts[5], "b"), (7, texts[5], "b"), (9, texts[0] + " ", "c"), (3, texts[10], "d"), (None, texts[0], "e")], "doc_id long, text string, x string")
@@ -135,6 +133,32 @@ def test_similar_groups(spark, docs, none):
     assert simhash.one_of_each(none, simhash.similar_groups(none)).count() == 0
 
 
+def test_a_group_around_the_similarity():
+    """Hundreds of versions of one text, most pairs of which are just under or over 0.8."""
+    rng = np.random.default_rng(5)
+    base, fresh, sets = rng.integers(0, 1 << 62, 300).astype(np.uint64), iter(rng.integers(1 << 62, 1 << 63, 100_000).astype(np.uint64)), []
+    for i in range(500):
+        gone = rng.integers(14, 21) if i % 50 else 90
+        sets.append(np.unique(np.concatenate([base[rng.permutation(300)[gone:]], [next(fresh) for _ in range(gone)]]).astype(np.uint64)))
+    plain = [set(s.tolist()) for s in sets]
+    root = list(range(500))
+    near = 0
+    for i in range(500):
+        for j in range(i):
+            both = len(plain[i] & plain[j])
+            union = len(plain[i]) + len(plain[j]) - both
+            near += 0.75 * union <= both < 0.8 * union
+            if both >= 0.8 * union and root[i] != root[j]:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    got = list(range(500))
+    for a, b in simhash._similar_in(sets, np.array([0, 500]), 0.8).tolist():
+        assert got[a] != got[b]
+        x, y = got[a], got[b]
+        got = [min(x, y) if r in (x, y) else r for r in got]
+    assert got == root and near > 10_000 and len(set(root)) > 3
+
+
 def test_quality(spark, docs, none):
     rng = random.Random(1)
     good = lambda: "\n".join(" ".join(rng.choice(["river", "stone", "walks", "under", "light"]) for _ in range(9)) + "." for _ in range(4))

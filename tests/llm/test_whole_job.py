@@ -44,5 +44,8 @@ def test_parity_bitmaps_never_exceed_the_difference():
     for size in (1, 5, 100, 3000):
         a = rng.integers(0, 1 << 63, size, dtype=np.uint64)
         b = np.concatenate((a[: size // 2], rng.integers(0, 1 << 63, size, dtype=np.uint64)))
-        bits = int(np.bitwise_count((simhash._parity(a) ^ simhash._parity(b)).view(np.uint64)).sum())
+        wide = [simhash._parity(x, 4096) for x in (a, b)]
+        assert all((simhash._folded(w, 8) == simhash._parity(x, 512)).all() for w, x in zip(wide, (a, b)))
+        assert int(np.bitwise_count(wide[0] ^ wide[1]).sum()) <= len(set(a.tolist()) ^ set(b.tolist()))
+        bits = int(np.bitwise_count(simhash._parity(a, 512) ^ simhash._parity(b, 512)).sum())
         assert bits <= len(set(a.tolist()) ^ set(b.tolist()))
