@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zoneinfo
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +27,12 @@ class StatsWindow:
         if len(dates) == 2 and dates[0] > dates[1]:
             raise ValueError("the window ends before it starts")
 
+    def instants(self) -> tuple[datetime | None, datetime | None]:
+        """Instants that no message of the window comes before or after. They lie some hours outside it, as clocks are also put back at midnight."""
+        zone, slack = zoneinfo.ZoneInfo(self.tz), timedelta(hours=3)
+        midnight = lambda day, days: datetime.combine(date.fromisoformat(day) + timedelta(days=days), datetime.min.time(), zone).astimezone(timezone.utc)
+        return (midnight(self.from_, 0) - slack if self.from_ else None, midnight(self.to, 1) + slack if self.to else None)
+
 
 def mark_usage_rows(messages: DataFrame) -> DataFrame:
     """usage_row: the row with the lowest id of each (session, group); only it counts towards usage.
@@ -50,7 +56,8 @@ def total_tokens() -> Column:
 def stats_scope(messages: DataFrame, sessions: DataFrame, projects: DataFrame, window: StatsWindow = StatsWindow(), paths: DataFrame | None = None, provider: str | None = None, session_id=None) -> DataFrame:
     """Messages of the window joined to session and (optional) project.
 
-    Filters come first and are written on stored columns; rows without time drop only where a bound is set.
+    Filters come first: those of the window as instants too, which reach the scan of stored messages, before local dates
+    decide; rows without time drop only where a bound is set.
     paths(project_path) restricts by semi join.
     """
     rows = messages
@@ -58,6 +65,11 @@ def stats_scope(messages: DataFrame, sessions: DataFrame, projects: DataFrame, w
         rows = rows.where(F.col("provider") == provider)
     if session_id is not None:
         rows = rows.where(F.col("session_id") == session_id)
+    first, last = window.instants()
+    if first:
+        rows = rows.where(F.col("ts") >= F.lit(first))
+    if last:
+        rows = rows.where(F.col("ts") <= F.lit(last))
     rows = rows.withColumn("ts_local", F.from_utc_timestamp("ts", window.tz))
     if window.from_:
         rows = rows.where(F.to_date("ts_local") >= F.lit(window.from_).cast("date"))

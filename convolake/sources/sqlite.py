@@ -11,11 +11,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def tables(spark: SparkSession, path: str, query: str, schema: str) -> DataFrame:
+def _selected(content: bytes, query: str):
+    """The query's rows from a database. Columns that its tables lack are null: a view with them stands before the table."""
+    import re
+    import sqlite3
+
+    import pandas as pd
+
+    db = sqlite3.connect(":memory:")
+    try:
+        db.deserialize(bytes(content))
+        names = [r[0] for r in db.execute("SELECT name FROM sqlite_master WHERE type IN ('table', 'view')")]
+        read = [n for n in names if re.search(rf"(?i)\b{re.escape(n)}\b", query)]
+        extra: dict[str, list[str]] = {n: [] for n in read}
+        while True:
+            try:
+                return pd.read_sql_query(query, db)
+            except pd.errors.DatabaseError as e:
+                lacks = re.search(r"no such column: (?:\w+\.)?\"?(\w+)", str(e))
+                has = {n: {c[1].lower() for c in db.execute(f'PRAGMA main.table_info("{n}")')} for n in read}
+                where = [n for n in read if lacks and lacks[1].lower() not in has[n] and lacks[1] not in extra[n]]
+                if not where:
+                    raise
+                table = where[0]
+                extra[table].append(lacks[1])
+                nulls = "".join(f', NULL AS "{c}"' for c in extra[table])
+                db.execute(f'DROP VIEW IF EXISTS temp."{table}"')
+                db.execute(f'CREATE TEMP VIEW "{table}" AS SELECT *{nulls} FROM main."{table}"')
+    finally:
+        db.close()
+
+
+def tables(spark: SparkSession, path: str, query: str, schema: str, strict: bool = False) -> DataFrame:
     """Rows of `query` over every database that path matches, with the database's path.
 
-    Spark reads the files, so any of its stores will do, and a task opens its copy in memory. Columns
-    that an older database lacks come as null.
+    Spark reads the files, so any of its stores will do, and a task opens its copy in memory. Columns that an
+    older database lacks come as null. Files that are no database, or lack the tables, have no rows, or fail the
+    job where `strict`; `problems` names them.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     names = [f.strip().split(" ")[0].split(":")[0] for f in schema.split(",")]
@@ -27,20 +59,39 @@ def tables(spark: SparkSession, path: str, query: str, schema: str) -> DataFrame
 
         for pdf in batches:
             for file, content in zip(pdf.path, pdf.content):
-                db = sqlite3.connect(":memory:")
                 try:
-                    db.deserialize(bytes(content))
-                    got = pd.read_sql_query(query, db)
-                except (sqlite3.DatabaseError, pd.errors.DatabaseError):
-                    continue  # no database, or one without these tables
-                finally:
-                    db.close()
+                    got = _selected(content, query)
+                except (sqlite3.DatabaseError, pd.errors.DatabaseError) as e:
+                    if strict:
+                        raise ValueError(f"{file}: {e}") from e
+                    continue
                 got = got.reindex(columns=names)
                 yield got.assign(database=file)[["database", *names]]
 
     return files.repartition("path").mapInPandas(run, f"database string, {schema}")
 
 
+def problems(spark: SparkSession, path: str, query: str) -> DataFrame:
+    """(database, error) of the files that the query has no rows of because they are no database or lack its tables."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(batches) -> Iterator:
+        import sqlite3
+
+        import pandas as pd
+
+        for pdf in batches:
+            found = []
+            for file, content in zip(pdf.path, pdf.content):
+                try:
+                    _selected(content, query)
+                except (sqlite3.DatabaseError, pd.errors.DatabaseError) as e:
+                    found.append((file, str(e).splitlines()[-1]))
+            yield pd.DataFrame(found, columns=["database", "error"])
+
+    return files.repartition("path").mapInPandas(run, "database string, error string")
+
+
 def _known(c: str):
     """A count that is never below zero; an unknown one stays null."""
     return F.when(F.col(c) < 0, 0.0).otherwise(F.col(c)).alias(c)
