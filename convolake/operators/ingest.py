@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convolake.functions import identity
+
 
 def new_messages(archive: DataFrame, batch: DataFrame, sessions: DataFrame) -> DataFrame:
     """Rows of the batch to append: first of each (session_id, message_key) that the archive lacks.
@@ -106,3 +108,36 @@ def export_markdown(turns: DataFrame) -> DataFrame:
 def export_json(turns: DataFrame) -> DataFrame:
     rows = turns.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", "role", "text"))).alias("turns"))
     return rows.select("session_id", F.to_json("turns").alias("json"))
+
+
+def heartbeat(machines: DataFrame, batch: DataFrame, now: str, seconds: int = 60) -> DataFrame:
+    """machines (machine_id, hostname, os, first_seen, last_seen) after a batch of (machine_id, hostname, os).
+
+    A machine that is as it was and was seen within `seconds` keeps its row untouched; `written` tells which rows changed.
+    """
+    at = F.lit(now).cast("timestamp")
+    new = batch.groupBy(F.col("machine_id").alias("_m")).agg(F.max(F.struct("hostname", "os")).alias("_new"))
+    both = machines.join(new, F.col("machine_id") == F.col("_m"), "full_outer")
+    known, said = F.col("machine_id").isNotNull(), F.col("_m").isNotNull()
+    differs = ~F.col("hostname").eqNullSafe(F.col("_new.hostname")) | ~F.col("os").eqNullSafe(F.col("_new.os"))
+    stale = F.coalesce(F.col("last_seen") < at - F.expr(f"interval {int(seconds)} seconds"), F.lit(True))
+    written = said & (~known | differs | stale)
+    pick = lambda new, old: F.when(written, new).otherwise(F.col(old)).alias(old)
+    return both.select(F.coalesce("machine_id", "_m").alias("machine_id"), pick(F.col("_new.hostname"), "hostname"), pick(F.col("_new.os"), "os"), F.coalesce("first_seen", at).alias("first_seen"), pick(at, "last_seen"), written.alias("written"))
+
+
+def upsert_projects(projects: DataFrame, batch: DataFrame) -> DataFrame:
+    """projects with a batch merged in by (machine_id, provider, project_path): facts are validated, an absent fact keeps
+    the stored one, and the identity key is that of the facts which hold afterwards."""
+    clean = batch.withColumn("git_root_commit", identity.root_commit(F.col("git_root_commit"))).withColumn("git_remote_url", identity.remote_url(F.col("git_remote_url")))
+    clean = clean.withColumn("identity_key", F.lit(None).cast("string")).select(projects.columns)
+    merged = upsert(projects, clean, ["machine_id", "provider", "project_path"], keep_if_absent=["git_root_commit", "git_remote_url", "git_worktree", "git_main_path"])
+    return merged.withColumn("identity_key", identity.identity_key(F.col("git_root_commit"), F.col("git_remote_url")))
+
+
+def set_aliases(aliases: DataFrame, batch: DataFrame, projects: DataFrame) -> DataFrame:
+    """aliases (project_path, identity_key) with a batch merged in, one identity a path. A key that no project carries rejects the batch."""
+    unknown = batch.join(projects.select("identity_key").distinct(), "identity_key", "left_anti").select("identity_key").distinct().limit(5).collect()
+    if unknown:
+        raise ValueError("no project carries " + ", ".join(repr(r.identity_key) for r in unknown))
+    return upsert(aliases, batch.dropDuplicates(["project_path"]), ["project_path"])

@@ -6,9 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from convolake.functions import blocks
+from convolake.functions import blocks, identity
 from convolake.functions import text as T
-from convolake.operators import edits, grouping, ranking, search, trees
+from convolake.operators import edits, filters, grouping, ingest, ranking, search, trees
 from convolake.sources import appended, directories, logs, written
 from convolake.streaming import markers
 from convolake.streaming.snapshots import Snapshots
@@ -287,3 +287,129 @@ def _(s, d):
     v = F.col("v")
     rows = x.select("doc_id", F.parse_json(raw).alias("v"))
     return rows.select("doc_id", F.md5(blocks.searchable_text(v)).alias("searchable"), blocks.tool_ids(v).alias("ids"), blocks.has_tool_calls(v).alias("tool_calls"), blocks.has_errors(v).alias("errors"), blocks.has_file_changes(v).alias("file_changes"))
+
+
+# --- filters, names and ingest by the library's functions
+
+_KINDS = ["user", "assistant", "system", "progress", "summary", "pr-link"]
+
+
+def _rows_of_log(s, d):
+    """Events as log rows: type by number, subtype of system rows, meta and side-chain marks, provider, usage."""
+    k = F.col("event_id")
+    kind = F.element_at(F.array(*[F.lit(x) for x in _KINDS]), (k % 6).cast("int") + 1)
+    subtype = F.when(k % 4 == 0, "turn_duration").when(k % 4 == 1, "api_error").when(k % 4 == 2, "stop_hook_summary")
+    return A.table(s, d, "events").select(k.alias("id"), kind.alias("type"), subtype.alias("subtype"), (k % 5 == 0).alias("is_meta"), F.when(k % 7 < 3, k % 7 == 0).alias("is_sidechain"), F.when(k % 3 == 0, "antigravity").otherwise("other").alias("provider"), F.when(k % 11 < 5, k % 11 < 2).alias("has_usage"))
+
+
+_LOG = "WITH r AS (SELECT event_id AS id, ['user', 'assistant', 'system', 'progress', 'summary', 'pr-link'][event_id % 6 + 1] AS type, CASE event_id % 4 WHEN 0 THEN 'turn_duration' WHEN 1 THEN 'api_error' WHEN 2 THEN 'stop_hook_summary' END AS subtype, event_id % 5 = 0 AS meta, event_id % 7 = 0 AS side, event_id % 3 = 0 AS made, event_id % 11 < 2 AS usage FROM events) "
+
+
+@query("p12_viewer_rows", _LOG + "SELECT id, type IN ('user', 'assistant', 'summary') OR type = 'system' AND subtype IS NOT DISTINCT FROM 'api_error' AS shown, type IN ('user', 'assistant', 'system') AND NOT meta AND NOT side AS counted FROM r")
+def _(s, d):
+    r = _rows_of_log(s, d)
+    return r.select("id", filters.visible(F.col("type"), F.col("subtype")).alias("shown"), filters.counted(F.col("type"), F.col("is_meta"), F.col("is_sidechain")).alias("counted"))
+
+
+@query("p10_made_up_prompts", _LOG + "SELECT type, count(*) AS n FROM r WHERE NOT (made AND type = 'user' AND NOT usage) GROUP BY 1")
+def _(s, d):
+    r = _rows_of_log(s, d).where(~filters.synthetic_prompt(F.col("provider"), F.col("type"), F.col("has_usage")))
+    return r.groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("p15_roles_and_contents", _LOG + "SELECT id FROM r WHERE type <> 'assistant' AND CASE WHEN made THEN true ELSE meta OR usage END")
+def _(s, d):
+    r = _rows_of_log(s, d)
+    keep = filters.chosen(F.col("type"), F.col("is_meta"), F.col("is_sidechain"), F.col("has_usage"), F.col("provider") == "antigravity", {"assistant": False}, {"thinking": False})
+    return r.where(keep).select("id")
+
+
+@query("p16_cards", """WITH c AS (SELECT l_orderkey AS k, string_agg(DISTINCT l_returnflag, '') AS model, list_distinct(list('f' || l_linenumber || CASE WHEN l_linenumber = 2 THEN '.MD' ELSE '.py' END)) AS files, bool_or(l_quantity > 45) AS err, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT k, contains(model, 'A') AS by_model, CASE WHEN n % 3 = 0 THEN true ELSE list_contains(files, 'f2.MD') END AS by_document, n % 3 = 1 OR err AS by_code, err AS by_status, list_contains(files, 'f1.py') AS by_file FROM c""")
+def _(s, d):
+    """Orders as cards: flags as models, lines as edited files, the number of lines as the kind of tool."""
+    x = A.table(s, d, "lineitem").select("l_orderkey", "l_returnflag", F.concat(F.lit("f"), F.col("l_linenumber").cast("string"), F.when(F.col("l_linenumber") == 2, ".MD").otherwise(".py")).alias("file"), (F.col("l_quantity") > 45).alias("err"))
+    c = x.groupBy(F.col("l_orderkey").alias("k")).agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), "").alias("model"), F.collect_set("file").alias("edited_files"), F.bool_or("err").alias("is_error"), F.count("*").alias("n"))
+    c = c.withColumn("variant", F.when(F.col("n") % 3 == 0, "document").when(F.col("n") % 3 == 1, "code").otherwise("search"))
+    card = {n: F.col(n) for n in ("model", "variant", "edited_files", "is_error")} | {"is_file_edit": F.col("is_error"), "is_cancelled": F.lit(False), "is_commit": F.lit(False), "is_git": F.lit(False)}
+    by = {"by_model": ("model", "A"), "by_document": ("tool", "document"), "by_code": ("tool", "code"), "by_status": ("status", "error"), "by_file": ("file", "1.py")}
+    return c.select("k", *[filters.brush(*b, card).alias(n) for n, b in by.items()])
+
+
+@query("p23_sub_agents", "SELECT page_id % 3 = 0 AS sub, count(*) AS n FROM pages GROUP BY 1")
+def _(s, d):
+    path = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/p\\subagents/"), "url")).otherwise(F.concat(F.lit("/p/subagents_"), "url"))
+    return A.table(s, d, "pages").groupBy(filters.is_sub_agent(path).alias("sub")).agg(F.count("*").alias("n"))
+
+
+@query("f23_remotes", """WITH u AS (SELECT page_id, page_id % 6 AS k, regexp_extract(url, '^https?://([^/]*)/([^?#]*)', 1) AS host, nullif(trim(regexp_extract(url, '^https?://([^/]*)/([^?#]*)', 2), '/'), '') AS path FROM pages)
+SELECT page_id, CASE WHEN k = 4 OR k = 5 THEN NULL ELSE lower(host) || CASE WHEN k = 2 THEN ':8443' ELSE '' END || '/' || path END AS remote FROM u""")
+def _(s, d):
+    """Pages' addresses as remotes: with a scheme and user, as host:path, with a port, as host/path, as files, and without a dot."""
+    host, path = F.regexp_extract("url", "^https?://([^/]*)/([^?#]*)", 1), F.regexp_extract("url", "^https?://([^/]*)/([^?#]*)", 2)
+    k = F.col("page_id") % 6
+    forms = [F.concat(F.lit("HTTPS://me:pw@"), F.upper(host), F.lit("/"), path, F.lit(".git/")), F.concat(F.lit(" git@"), host, F.lit(":/"), path, F.lit(".git")), F.concat(host, F.lit(":8443/"), path), F.concat(host, F.lit("//"), path, F.lit("/")), F.concat(F.lit("file://"), host, F.lit("/"), path)]
+    raw = F.lit("localhost:x/y")
+    for n, form in enumerate(forms):
+        raw = F.when(k == n, form).otherwise(raw)
+    return A.table(s, d, "pages").select("page_id", identity.remote_url(raw).alias("remote"))
+
+
+@query("f40_blob_checks", "SELECT doc_id % 4 AS k, count(*) AS n, count(*) FILTER (WHERE doc_id % 4 = 0) AS valid FROM documents GROUP BY 1")
+def _(s, d):
+    """Hashes as they are, in capitals, cut, and with one more sign."""
+    h, k = F.sha1(F.col("text").cast("binary")), F.col("doc_id") % 4
+    form = F.when(k == 0, h).when(k == 1, F.concat(F.lit("A"), F.substring(F.upper(h), 2, 39))).when(k == 2, F.substring(h, 1, 39)).otherwise(F.concat(h, F.lit("0")))
+    return A.table(s, d, "documents").groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.count(F.when(identity.is_blob_id(form), 1)).alias("valid"))
+
+
+@query("f17_message_keys", "SELECT conv_id AS session_id, turn AS seq, sha256(encode('p' || chr(0) || conv_id || chr(0) || '2025' || chr(0) || role || chr(0) || chr(CAST(turn AS INTEGER))) || encode(chr(0) || chr(0) || chr(0)) || encode(CAST(to_json(text) AS VARCHAR)) || encode(chr(1))) AS key FROM conversations")
+def _(s, d):
+    t = A.turns(s, d)
+    content = F.regexp_replace(F.to_json(F.array("text")), r"^\[|\]$", "")
+    none = F.lit(None).cast("string")
+    key = identity.message_key(F.lit("p"), F.col("session_id").cast("string"), F.lit("2025"), F.col("role"), F.col("seq"), content, none, none)
+    return t.select("session_id", "seq", key.alias("key"))
+
+
+@query("d01_heartbeat_floor", """SELECT c_custkey AS machine_id, CASE WHEN c_custkey % 4 = 1 THEN 'new' ELSE c_name END AS hostname, c_custkey % 4 = 1 OR c_custkey % 4 = 2 OR c_custkey % 10 = 0 AS written FROM customer WHERE c_custkey % 4 <> 3 OR c_custkey % 10 <> 0 OR c_custkey % 4 = 3""")
+def _(s, d):
+    """Machines that say the same within a minute (0), another name (1), the same after a minute (2), nothing (3); every tenth is new."""
+    c = A.table(s, d, "customer").select(F.col("c_custkey").alias("machine_id"), F.col("c_name").alias("hostname"))
+    k, at = F.col("machine_id") % 4, F.lit("2025-01-01 00:00:00").cast("timestamp")
+    old = c.where("machine_id % 10 <> 0").select("machine_id", "hostname", F.lit("x").alias("os"), at.alias("first_seen"), F.when(k == 2, at).otherwise(at + F.expr("interval 30 seconds")).alias("last_seen"))
+    batch = c.where("machine_id % 4 <> 3 or machine_id % 10 = 0").select("machine_id", F.when(k == 1, "new").otherwise(F.col("hostname")).alias("hostname"), F.lit("x").alias("os"))
+    return ingest.heartbeat(old, batch, "2025-01-01 00:01:10").select("machine_id", "hostname", "written")
+
+
+@query("d02_effective_identity", """SELECT p_partkey AS machine_id, CASE WHEN p_partkey % 2 = 0 THEN sha1(p_name) END AS git_root_commit, CASE WHEN p_partkey % 3 <> 2 THEN 'h.io/' || p_partkey END AS git_remote_url,
+CASE WHEN p_partkey % 2 = 0 THEN 'g:' || sha1(p_name) || CASE WHEN p_partkey % 3 <> 2 THEN '|h.io/' || p_partkey ELSE '' END WHEN p_partkey % 3 <> 2 THEN 'r:h.io/' || p_partkey END AS identity_key FROM part""")
+def _(s, d):
+    """Stored projects know their root, a batch knows remotes of some and says nothing valid of the others."""
+    p = A.table(s, d, "part").select(F.col("p_partkey").alias("machine_id"), F.lit("p").alias("provider"), F.col("p_name").alias("project_path"), F.when(F.col("p_partkey") % 2 == 0, F.sha1(F.col("p_name").cast("binary"))).alias("git_root_commit"))
+    none = F.lit(None).cast("string")
+    k = F.col("machine_id")
+    old = p.select("*", F.when(k % 3 == 0, F.concat(F.lit("h.io/"), k.cast("string"))).alias("git_remote_url"), F.lit(False).alias("git_worktree"), none.alias("git_main_path"), F.lit("stale").alias("identity_key"))
+    new = p.select("machine_id", "provider", "project_path", F.lit("no hash").alias("git_root_commit"), F.when(k % 3 == 1, F.concat(F.lit("git@h.io:"), k.cast("string"))).when(k % 3 == 0, "/local").alias("git_remote_url"), F.lit(None).cast("boolean").alias("git_worktree"), none.alias("git_main_path"))
+    return ingest.upsert_projects(old, new).select("machine_id", "git_root_commit", "git_remote_url", "identity_key")
+
+
+@query("d11_checked_aliases", "SELECT n_name AS project_path, CASE WHEN n_nationkey < 10 THEN 'AMERICA' ELSE r_name END AS identity_key FROM nation JOIN region ON r_regionkey = n_regionkey")
+def _(s, d):
+    """Ten paths get another identity; a batch with a key that no project carries changes nothing."""
+    p = A.projects(s, d)
+    old = p.select(F.col("project_name").alias("project_path"), "identity_key")
+    new = p.where("project_id < 10").select(F.col("project_name").alias("project_path"), F.lit("AMERICA").alias("identity_key"))
+    try:
+        old = ingest.set_aliases(old, new.withColumn("identity_key", F.lit("nobody's")), p)
+    except ValueError:
+        pass
+    return ingest.set_aliases(old, new, p)
+
+
+@query("j14_latest_or_none", "WITH t AS (SELECT o_orderkey AS tick_id, o_orderdate AS done_at, o_orderstatus AS outcome FROM orders) SELECT CAST(k AS INTEGER) AS k, (SELECT tick_id FROM t WHERE outcome = s ORDER BY done_at DESC, tick_id DESC LIMIT 1) AS tick_id FROM (VALUES (0, 'F'), (1, 'none')) v(k, s)")
+def _(s, d):
+    """The latest row of a status, and of one that no row has: one row each."""
+    t = A.table(s, d, "orders")
+    one = lambda k, status: t.where(F.col("o_orderstatus") == status).agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("tick_id")).select(F.lit(k).alias("k"), "tick_id")
+    return one(0, "F").unionByName(one(1, "none"))
