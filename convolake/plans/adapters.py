@@ -2,22 +2,45 @@
 
 messages <- events, sessions <- users of events, projects <- nation, machines <- region,
 tool invocations and outcomes <- lineitem. Every projection is narrow, so that only the named
-columns reach the scan.
+columns reach the scan. Messages (with their usage marker) and sessions are stored once, as an archive has them.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convolake.operators.scope import mark_usage_rows
+from convolake.streaming.snapshots import Snapshots
+from convolake.tables import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(spark: SparkSession, sf_dir: str, name: str, source: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What build() makes of a table, as ingest would store it: made once an application for the source as it is, then read.
+
+    Every rollup needs the usage marker and the sessions; making them is two shuffles of all messages.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{source}.parquet")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    state = f"{path} {files.getFileStatus(path).getModificationTime()} {files.getContentSummary(path).getLength()}"
+    store = Snapshots(spark, f"{scratch(spark)}/stored/{name}-{hashlib.sha256(state.encode()).hexdigest()[:24]}")
+    if store.pointer() is None:
+        store.rebuild(build)
+    return store.read()
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "messages", "events", lambda: _messages(spark, sf_dir))
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     cents = F.round(F.col("value") * 100).cast("long")
     out = table(spark, sf_dir, "events").select(
@@ -38,7 +61,8 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), (F.col("user_id") % 25).cast("int").alias("project_id")).distinct()
+    rows = lambda: table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), (F.col("user_id") % 25).cast("int").alias("project_id")).distinct()
+    return stored(spark, sf_dir, "sessions", "events", rows)
 
 
 def projects(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from convolake.functions import blocks, identity
+from convolake.functions import blocks, extract, identity
 from convolake.functions import text as T
 from convolake.operators import edits, filters, grouping, ingest, ranking, search, trees
 from convolake.sources import appended, directories, logs, written
@@ -413,3 +414,114 @@ def _(s, d):
     t = A.table(s, d, "orders")
     one = lambda k, status: t.where(F.col("o_orderstatus") == status).agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("tick_id")).select(F.lit(k).alias("k"), "tick_id")
     return one(0, "F").unionByName(one(1, "none"))
+
+
+# --- logs of one record a turn, one query a store
+
+_TEXTS = {"uuid": "conv_id || '-' || turn", "ts": "1700000000 + turn * 60", "model": "'big'", "input_tokens": "length(text)", "output_tokens": "CAST(turn AS BIGINT)", "cache_read_tokens": "7"}
+
+
+def _register_records(number: str, store: str) -> None:
+    fields = logs.RECORDS[store]
+    told = [n for n in _TEXTS if n in fields]
+    place = "CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS seq"
+    sql = f"SELECT CAST(conv_id AS VARCHAR) AS session_id, {place}, role, text AS content, " + ", ".join(f"{_TEXTS[n]} AS {n if n != 'ts' else 'at'}" for n in told) + " FROM conversations"
+
+    def run(s, d):
+        rows, folder = _said(s, d), _folder(s, store)
+        key = F.concat_ws("-", F.col("session_id").cast("string"), F.col("seq").cast("string"))
+        values = {"uuid": key, "session_id": F.col("session_id").cast("string"), "ts": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "model": F.lit("big"), "role": F.col("role"), "content": F.col("text"), "input_tokens": F.length("text"), "output_tokens": F.col("seq"), "cache_read_tokens": F.lit(7)}
+        # a file is a session, as some stores name no other
+        written.write_files(rows, folder, F.col("session_id").cast("string"), [F.col("seq")], written.record_line(fields, values))
+        out = logs.chat_records(s, f"{folder}/*.jsonl", store, fields)
+        return out.select("session_id", "seq", "role", "content", *[F.unix_seconds("ts").alias("at") if n == "ts" else F.col(n) for n in told])
+
+    query(f"{number}_{store}_records", sql)(run)
+
+
+for _number, _store in (("s05", "copilot_cli"), ("s07", "gemini"), ("s08", "qwen"), ("s09", "pi"), ("s11", "cursor_agent"), ("s12", "codebuddy")):
+    _register_records(_number, _store)
+
+
+@query("s02_rollout_counters", """WITH x AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations),
+a AS (SELECT conv_id, turn, place - coalesce(lag(place) OVER (PARTITION BY conv_id ORDER BY turn), 0) AS grown FROM x WHERE role = 'assistant')
+SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(place - 1 AS INTEGER) AS seq, role, text AS content, 'big' AS model, 7 * grown AS input_tokens, 2 * grown AS output_tokens, 3 * grown AS cache_read_tokens FROM x LEFT JOIN a USING (conv_id, turn)""")
+def _(s, d):
+    """Rollouts whose counters grow with the place (10 read, of these 3 from the cache, 2 written); counts follow assistants' answers."""
+    rows, folder = _said(s, d), _folder(s, "rollout")
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("seq"))
+    rows = rows.withColumn("place", place)
+    event = lambda kind, payload: F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), F.lit(kind).alias("type"), payload.alias("payload")))
+    start = F.when(F.col("place") == 1, F.array(event("session_meta", F.struct(F.col("session_id").cast("string").alias("id"))), event("turn_context", F.struct(F.lit("big").alias("model"))))).otherwise(F.array().cast("array<string>"))
+    said = event("response_item", F.struct(F.lit("message").alias("type"), "role", F.col("text").alias("content")))
+    total = F.struct(*[(F.col("place") * n).alias(k) for k, n in (("input_tokens", 10), ("cached_input_tokens", 3), ("output_tokens", 2))])
+    count = event("event_msg", F.struct(F.lit("token_count").alias("type"), F.struct(total.alias("total_token_usage")).alias("info")))
+    lines = F.concat(start, F.array(said), F.when(F.col("role") == "assistant", F.array(count)).otherwise(F.array().cast("array<string>")))
+    each = rows.select("session_id", "seq", F.posexplode(lines).alias("n", "line"))
+    written.write_files(each, folder, F.col("session_id").cast("string"), [F.col("seq"), F.col("n")], F.col("line"))
+    out = logs.rollout(s, f"{folder}/*.jsonl")
+    return out.select("session_id", "seq", "role", "content", "model", "input_tokens", "output_tokens", "cache_read_tokens")
+
+
+@query("s27_event_directory", """SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(turn AS INTEGER) AS seq, role, text || CASE WHEN next THEN chr(10) || 'seen ' || turn ELSE '' END AS content
+FROM (SELECT *, turn % 2 = 0 AND EXISTS (SELECT 1 FROM conversations o WHERE o.conv_id = c.conv_id AND o.turn = c.turn) AS next FROM conversations c)""")
+def _(s, d):
+    """Each turn as a file, and for every second one a file of what was observed, which names it as its cause."""
+    rows, folder = _said(s, d), _folder(s, "events")
+    action = F.to_json(F.struct(F.col("seq").alias("id"), F.col("role").alias("source"), F.lit("message").alias("action"), F.col("text").alias("message")))
+    seen = F.to_json(F.struct((F.col("seq") + 100_000).alias("id"), F.lit("environment").alias("source"), F.lit("run").alias("observation"), F.col("seq").alias("cause"), F.concat(F.lit("seen "), F.col("seq").cast("string")).alias("content")))
+    name = lambda n: F.concat(F.col("session_id").cast("string"), F.lit("/events/"), n.cast("string"))
+    written.write_files(rows, folder, name(F.col("seq")), [F.col("seq")], action, suffix=".json")
+    written.write_files(rows.where("seq % 2 = 0"), folder, name(F.col("seq") + 100_000), [F.col("seq")], seen, suffix=".json")
+    out = logs.event_directory(s, f"{folder}/*/events/*.json")
+    return out.where("role <> 'environment'").select("session_id", "seq", "role", "content")
+
+
+def _tool_messages(s, d):
+    """Lines of orders as messages: two tool uses and, in every second, a result; some by the message's own fields."""
+    x = A.table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.max("l_partkey").alias("part"))
+    key = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    own = F.col("l_linenumber") == 1
+    uses = F.array(F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("a"), key).alias("id"), F.lit("Skill").alias("name"), F.struct(F.concat(F.lit("k"), (F.col("part") % 9).cast("string")).alias("skill")).alias("input")).alias("x")).getItem(0)
+    agent = F.to_json(F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("b"), key).alias("id"), F.lit("Agent").alias("name"), F.struct(F.lit("finder").alias("subagent_type")).alias("input")))
+    result = F.to_json(F.struct(F.lit("tool_result").alias("type"), F.concat(F.lit("a"), key).alias("tool_use_id"), (F.col("n") > 1).alias("is_error")))
+    content = F.concat(F.lit("["), F.concat_ws(",", F.to_json(uses), agent, F.when(F.col("l_linenumber") % 2 == 0, result)), F.lit("]"))
+    raw = F.to_json(F.struct(F.lit("assistant").alias("type"), F.when(F.col("part") % 3 == 0, "").otherwise(key).alias("messageId"), F.when(own, F.struct(F.lit("Bash").alias("name"), F.concat(F.lit("c"), key).alias("id"))).alias("toolUse")))
+    return x.select(key.alias("id"), F.col("l_orderkey").alias("session_id"), F.lit("assistant").alias("type"), F.when(own, F.lit("[]")).otherwise(content).alias("content"), raw.alias("raw"))
+
+
+_LINES_SQL = "WITH x AS (SELECT l_orderkey || '-' || l_linenumber AS id, l_orderkey AS session_id, l_linenumber AS line, count(*) AS n, max(l_partkey) AS part FROM lineitem GROUP BY l_orderkey, l_linenumber) "
+
+
+@query("f20_tool_uses", _LINES_SQL + "SELECT id, session_id, 0 AS seq, 'Bash' AS tool_name, 'c' || id AS tool_use_id, NULL AS skill_name, NULL AS subagent_type FROM x WHERE line = 1 UNION ALL SELECT id, session_id, 0, 'Skill', 'a' || id, 'k' || part % 9, NULL FROM x WHERE line <> 1 UNION ALL SELECT id, session_id, 1, 'Agent', 'b' || id, NULL, 'finder' FROM x WHERE line <> 1")
+def _(s, d):
+    return extract.tool_uses(_tool_messages(s, d)).drop("is_error")
+
+
+@query("f21_tool_results", _LINES_SQL + "SELECT id, session_id, 'a' || id AS tool_use_id, n > 1 AS is_error FROM x WHERE line % 2 = 0")
+def _(s, d):
+    return extract.tool_results(_tool_messages(s, d)).drop("seq")
+
+
+@query("f19_message_ids", _LINES_SQL + "SELECT id, CASE WHEN part % 3 <> 0 THEN id END AS message_id FROM x")
+def _(s, d):
+    return _tool_messages(s, d).select("id", extract.message_id(F.col("raw")).alias("message_id"))
+
+
+@query("f18_search_texts", "SELECT conv_id AS session_id, turn AS seq, trim(regexp_replace('note ' || text || ' deep ' || text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS found FROM conversations")
+def _(s, d):
+    """Strings of nested values, not those of keys that only structure a message."""
+    inner = F.struct(F.lit("no").alias("type"), F.lit("no").alias("id"), F.array(F.struct(F.lit("deep").alias("a"), F.col("text").alias("b"))).alias("list"))
+    said = F.to_json(F.struct(F.lit("no").alias("role"), F.lit("note").alias("k"), F.col("text").alias("t"), F.lit(5).alias("n"), inner.alias("x")))
+    return extract.search_text(A.turns(s, d).withColumn("json", said), "json", "found").select("session_id", "seq", "found")
+
+
+@query("f27_usage", "SELECT l_orderkey AS k, l_linenumber AS line, CASE l_linenumber % 4 WHEN 0 THEN 5 WHEN 1 THEN 6 WHEN 2 THEN NULL ELSE 8 END AS input_tokens, CASE l_linenumber % 4 WHEN 0 THEN NULL WHEN 1 THEN 1 WHEN 2 THEN 9 ELSE NULL END AS output_tokens, count(*) AS n FROM lineitem GROUP BY ALL")
+def _(s, d):
+    """Usage of the message itself (of which one count is missing), of its tool's result, as a total of an assistant's, of its content."""
+    k = F.col("l_linenumber") % 4
+    of = lambda t: F.lit(t)
+    raw = F.when(k == 0, of('{"type":"user","message":{"usage":{"input_tokens":5}},"toolUseResult":{"usage":{"output_tokens":99}}}')).when(k == 1, of('{"toolUseResult":{"usage":{"input_tokens":6}},"content":{"usage":{"input_tokens":77,"output_tokens":1}}}')).when(k == 2, of('{"type":"assistant","toolUseResult":{"totalTokens":9}}')).otherwise(of('{"type":"user","toolUseResult":{"totalTokens":8}}'))
+    u = extract.usage(raw)
+    x = A.table(s, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), u["input_tokens"].alias("input_tokens"), u["output_tokens"].alias("output_tokens"))
+    return x.groupBy("k", "line", "input_tokens", "output_tokens").agg(F.count("*").alias("n"))

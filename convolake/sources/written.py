@@ -13,6 +13,21 @@ def canonical_line() -> Column:
     return F.to_json(F.struct(F.col("role").alias("type"), F.col("session_id").cast("string").alias("sessionId"), key.alias("uuid"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), message.alias("message")))
 
 
+def record_line(fields: dict[str, str], values: dict[str, Column]) -> Column:
+    """The JSON line that holds each of values where fields (name -> path, as $.a.b) says."""
+    tree: dict = {}
+    for name, path in fields.items():
+        if name not in values:
+            continue
+        *above, last = path.removeprefix("$.").split(".")
+        node = tree
+        for key in above:
+            node = node.setdefault(key, {})
+        node[last] = values[name]
+    struct = lambda t: F.struct(*[(struct(v) if isinstance(v, dict) else v).alias(k) for k, v in t.items()])
+    return F.to_json(struct(tree))
+
+
 def write_files(rows: DataFrame, folder: str, file: Column, order: list[Column], line: Column, half: Column | None = None, suffix: str = ".jsonl") -> int:
     """Writes each file's lines in order, each file (its name may have folders) as a stream by one task; returns the number of lines.
 
