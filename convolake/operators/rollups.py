@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scope import TOKENS, active_minutes
+from convolake.tables import cut
 
+from .scope import TOKENS, active_minutes
 
 
 def _if(cond: Column, value: Column) -> Column:
@@ -156,13 +157,29 @@ def session_comparison(scope: DataFrame) -> DataFrame:
     one = scope.where("usage_row").groupBy("project_id", "session_id").agg(
         F.sum("tokens").alias("tokens"), F.count("role").alias("messages"), (F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))).alias("span")
     )
-    w = Window.partitionBy("project_id")
-    return one.select(
+    sums = one.groupBy(F.col("project_id").alias("_p")).agg(F.sum("tokens").alias("_tokens"), F.sum("messages").alias("_messages"), F.count("*").alias("_n"))
+    placed = places_within(one, "project_id", [F.desc("tokens"), F.asc("session_id")], "token_rank")
+    placed = places_within(placed, "project_id", [F.desc("span"), F.asc("session_id")], "duration_rank")
+    return placed.join(sums, F.col("project_id").eqNullSafe(F.col("_p"))).select(
         "project_id",
         "session_id",
-        F.round(100.0 * F.col("tokens") / F.sum("tokens").over(w), 6).alias("tokens_percent"),
-        F.round(100.0 * F.col("messages") / F.sum("messages").over(w), 6).alias("messages_percent"),
-        F.row_number().over(w.orderBy(F.desc("tokens"), "session_id")).alias("token_rank"),
-        F.row_number().over(w.orderBy(F.desc("span"), "session_id")).alias("duration_rank"),
-        (F.col("tokens") > F.floor(F.sum("tokens").over(w) / F.count("*").over(w))).alias("above_average"),
+        F.round(100.0 * F.col("tokens") / F.col("_tokens"), 6).alias("tokens_percent"),
+        F.round(100.0 * F.col("messages") / F.col("_messages"), 6).alias("messages_percent"),
+        "token_rank",
+        "duration_rank",
+        (F.col("tokens") > F.floor(F.col("_tokens") / F.col("_n"))).alias("above_average"),
     )
+
+
+def places_within(rows: DataFrame, key: str, order: list[Column], name: str) -> DataFrame:
+    """rows with their place (from 1) among those of one key, in the given order.
+
+    Rows are dealt by ranges of key and order, so that a key's rows lie in as many ranges as they need; each range
+    numbers its own, and the rows of the key in the ranges before are added (one row a key and range).
+    """
+    dealt = cut(rows.repartitionByRange(F.asc(key), *order).withColumn("_range", F.spark_partition_id()))
+    local = F.row_number().over(Window.partitionBy("_range", key).orderBy(*order))
+    sizes = dealt.groupBy(F.col("_range").alias("_r"), F.col(key).alias("_k")).agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy("_k").orderBy("_r")) - F.col("_n")).drop("_n")
+    numbered = dealt.withColumn(name, local).join(before, (F.col("_range") == F.col("_r")) & F.col(key).eqNullSafe(F.col("_k")))
+    return numbered.withColumn(name, (F.col(name) + F.col("_before")).cast("int")).drop("_range", "_r", "_k", "_before")
