@@ -31,7 +31,9 @@ from .common import components, cut
 from .simhash import local_forest, runs
 
 #: Chance to meet for a pair at the threshold; rows of a tile; standard deviations of the confidence bound; least bits of a code.
-FOUND, TILE, SIGMAS, CODE_BITS = 0.97, 1024, 4.0, 128
+FOUND, TILE, SIGMAS, CODE_BITS = 0.99, 1024, 4.0, 128
+#: Most bits of a band: beyond some 10^5 vectors buckets grow instead of the number of bands, and with it what travels.
+BAND_BITS = 16
 
 
 @lru_cache(maxsize=8)
@@ -43,7 +45,7 @@ def rotations(dim: int, count: int) -> np.ndarray:
 
 def bands(n: int, threshold: float) -> tuple[int, int]:
     """(bits of a band, number of bands) for n distinct vectors."""
-    bits = min(24, max(8, math.ceil(math.log2(max(n, 2))) - 2))
+    bits = min(BAND_BITS, max(8, math.ceil(math.log2(max(n, 2))) - 2))
     alike = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - FOUND) / math.log(1 - alike))
 
