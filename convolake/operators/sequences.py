@@ -26,6 +26,12 @@ def streaks(days: DataFrame, by: str) -> DataFrame:
     return runs.groupBy(by).agg(F.max("days").alias("longest"), F.max_by("days", "last_day").alias("latest"), F.max("last_day").alias("last_day"))
 
 
+def current_streaks(days: DataFrame, by: str, today: str) -> DataFrame:
+    """streaks() with `current`: the run that the last day ends, where that is today or the day before; else 0."""
+    recent = F.col("last_day").between(F.date_sub(F.lit(today).cast("date"), 1), F.lit(today).cast("date"))
+    return streaks(days, by).withColumn("current", F.when(recent, F.col("latest")).otherwise(0).cast("long"))
+
+
 def runs_of_equal(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Runs of consecutive rows of a session with one key."""
     w = Window.partitionBy("session_id").orderBy(*order)

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from convolake.functions import blocks, extract, identity
 from convolake.functions import text as T
-from convolake.operators import edits, filters, grouping, ingest, ranking, search, trees
+from convolake.operators import edits, filters, grouping, ingest, ranking, search, sequences, transcripts, trees
 from convolake.sources import appended, directories, logs, written
-from convolake.streaming import markers
+from convolake.streaming import markers, refresh
 from convolake.streaming.snapshots import Snapshots
 from convolake.tables import scratch
 
@@ -525,3 +525,55 @@ def _(s, d):
     u = extract.usage(raw)
     x = A.table(s, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), u["input_tokens"].alias("input_tokens"), u["output_tokens"].alias("output_tokens"))
     return x.groupBy("k", "line", "input_tokens", "output_tokens").agg(F.count("*").alias("n"))
+
+
+@query("f36_transcripts", """WITH l AS (SELECT conv_id AS session_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS t FROM conversations WHERE turn % 5 <> 4 AND regexp_matches(text, '\\S') GROUP BY 1)
+SELECT session_id, CASE WHEN length(t) <= 900 THEN t ELSE substr(t, 1, 540) || chr(10) || chr(10) || '[... transcript truncated ...]' || chr(10) || chr(10) || right(t, 360) END AS transcript FROM l""")
+def _(s, d):
+    return transcripts.transcripts(A.turns(s, d).withColumn("is_sidechain", F.col("seq") % 5 == 4), 900)
+
+
+@query("a29_current_streaks", """WITH d AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS day FROM events WHERE event_id % 3 = 0), i AS (SELECT user_id, day, day - CAST(row_number() OVER (PARTITION BY user_id ORDER BY day) AS INTEGER) AS island FROM d),
+r AS (SELECT user_id, count(*) AS days, max(day) AS last_day FROM i GROUP BY user_id, island)
+SELECT user_id, max(days) AS longest, CASE WHEN max(last_day) BETWEEN DATE '2024-01-28' AND DATE '2024-01-29' THEN arg_max(days, last_day) ELSE 0 END AS current FROM r WHERE last_day <= DATE '2024-01-29' GROUP BY 1""")
+def _(s, d):
+    """As of 29 January; days after it are in no run that ends by then."""
+    days = A.table(s, d, "events").where("event_id % 3 = 0").select("user_id", F.to_date("ts").alias("day"))
+    ends = days.distinct()
+    w = Window.partitionBy("user_id").orderBy("day")
+    islands = ends.withColumn("island", F.date_sub("day", F.row_number().over(w)))
+    whole = islands.groupBy("user_id", "island").agg(F.max("day").alias("last")).where("last <= date '2024-01-29'").select("user_id", "island")
+    past = islands.join(whole, ["user_id", "island"]).select("user_id", "day")
+    return sequences.current_streaks(past, "user_id", "2024-01-29").select("user_id", "longest", "current")
+
+
+@query("d14_merge_modes", """WITH o AS (SELECT o_orderkey AS id, o_orderstatus AS v FROM orders WHERE o_orderkey % 3 <> 0), n AS (SELECT o_orderkey AS id, 'new' AS v FROM orders WHERE o_orderkey % 2 = 0)
+SELECT 'ignore' AS mode, id, v FROM o UNION ALL SELECT 'ignore', id, v FROM n WHERE id % 3 = 0 UNION ALL SELECT 'replace', id, v FROM o WHERE id % 2 = 1 UNION ALL SELECT 'replace', id, v FROM n UNION ALL SELECT 'full', id, v FROM n""")
+def _(s, d):
+    o = A.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("v"))
+    old, new = o.where("id % 3 <> 0"), o.where("id % 2 = 0").withColumn("v", F.lit("new"))
+    modes = [refresh.merged(old, new.unionByName(new), m).select(F.lit(m).alias("mode"), "id", "v") for m in ("ignore", "replace", "full")]
+    return modes[0].unionByName(modes[1]).unionByName(modes[2])
+
+
+@query("s09_headed_logs", "SELECT 'sess-' || conv_id AS session_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS seq, role, text AS content, '/work/' || conv_id % 7 AS cwd FROM conversations")
+def _(s, d):
+    """Files whose first record names session and folder, which all their messages have."""
+    rows, folder = _said(s, d), _folder(s, "headed")
+    session = F.concat(F.lit("sess-"), F.col("session_id").cast("string"))
+    head = F.to_json(F.struct(F.lit("session").alias("type"), session.alias("id"), F.concat(F.lit("/work/"), (F.col("session_id") % 7).cast("string")).alias("cwd")))
+    message = F.to_json(F.struct(F.lit("message").alias("type"), F.struct("role", F.col("text").alias("content")).alias("message")))
+    heads = rows.select("session_id").distinct().select("session_id", F.lit(-1).cast("long").alias("seq"), head.alias("line"))
+    both = heads.unionByName(rows.select("session_id", "seq", message.alias("line")))
+    written.write_files(both, folder, F.col("session_id").cast("string"), [F.col("seq")], F.col("line"))
+    return logs.headed_records(s, f"{folder}/*.jsonl").select("session_id", "seq", "role", "content", "cwd")
+
+
+@query("s34_enabled_providers", f"WITH {A.MESSAGES} SELECT provider, count(*) AS n FROM messages WHERE provider IN ('click', 'view') GROUP BY 1")
+def _(s, d):
+    """Messages stored by provider; only the enabled ones' folders are read."""
+    store = Snapshots(s, _folder(s, "by-provider"), ["provider"])
+    store.rebuild(lambda: A.messages(s, d))
+    reader = lambda name: lambda: store.read().where(F.col("provider") == name)
+    readers = {name: reader(name) for name in ("click", "view", "purchase", "error", "signup")}
+    return logs.chosen(readers, exclude=["purchase", "error", "signup"]).groupBy("provider").agg(F.count("*").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ def _j(path: str, col: str = "value") -> Column:
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines with their file and a number that follows their place in it."""
     rows = spark.read.text(path).where("trim(value) <> ''")
-    return rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -89,13 +91,37 @@ def rollout(spark: SparkSession, path: str, provider: str = "codex") -> DataFram
     return _finish(_numbered(out), provider)
 
 
-def chat_records(spark: SparkSession, path: str, provider: str, fields: dict[str, str]) -> DataFrame:
-    """JSONL of one record a turn; fields names the JSON path of each message column (session_id defaults to the file)."""
+def headed_records(spark: SparkSession, path: str, provider: str = "pi") -> DataFrame:
+    """Messages of files whose header record (type session) names the session and its folder, with cwd.
+
+    A file's first header counts for all its messages (type message); without one the file names the session.
+    """
     rows = _lines(spark, path).where(F.try_parse_json("value").isNotNull())
-    cols = {k: _j(p) for k, p in fields.items()}
+    place = F.struct("block", "line")
+    head = rows.where(_j("$.type") == "session").groupBy(F.col("file").alias("_f")).agg(F.min_by(F.struct(_j("$.id").alias("id"), _j("$.cwd").alias("cwd")), place).alias("_head"))
+    rows = rows.where(_j("$.type") == "message").join(head, F.col("file") == F.col("_f"), "left")
+    named = rows.withColumn("session_id", F.coalesce("_head.id", F.regexp_extract("file", r"([^/]+)\.jsonl?$", 1)))
+    cwds = named.groupBy(F.col("session_id").alias("_s")).agg(F.max("_head.cwd").alias("cwd"))
+    out = _chat(named, provider, RECORDS[provider] | {"session_id": None})
+    return out.join(cwds, F.col("session_id") == F.col("_s"), "left").drop("_s")
+
+
+def chat_records(spark: SparkSession, path: str, provider: str, fields: dict[str, str], times_of_files: bool = False) -> DataFrame:
+    """JSONL of one record a turn; fields names the JSON path of each message column (session_id defaults to the file).
+
+    Stores that write no times may have those of their files.
+    """
+    return _chat(_lines(spark, path).where(F.try_parse_json("value").isNotNull()), provider, fields, times_of_files)
+
+
+def _chat(rows: DataFrame, provider: str, fields: dict[str, str | None], times_of_files: bool = False) -> DataFrame:
+    """chat_records() of lines; a field without path is a column of theirs."""
+    cols = {k: _j(p) if p else F.col(k) for k, p in fields.items()}
     cols["session_id"] = F.coalesce(cols.get("session_id", F.lit(None).cast("string")), F.regexp_extract("file", r"([^/]+)\.jsonl?$", 1))
     if "ts" in cols:
         cols["ts"] = F.try_to_timestamp(cols["ts"])
+    if times_of_files:
+        cols["ts"] = F.coalesce(cols.get("ts", F.lit(None).cast("timestamp")), "modified")
     for c in cols:
         if c.endswith("tokens"):
             n = cols[c].try_cast("long")
@@ -196,6 +222,16 @@ def usage_records(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(_j("$.sessionId").alias("session_id"), _j("$.model").alias("model"), F.try_to_timestamp(_j("$.timestamp")).alias("ts"), *[e.alias(c) for c, e in counts.items()])
 
 
+def chosen(readers: dict[str, Callable[[], DataFrame]], only: list[str] | None = None, exclude: list[str] = ()) -> DataFrame:
+    """Messages of the providers that are asked for and not excluded; the others' stores are never touched."""
+    names = [n for n in readers if (only is None or n in only) and n not in exclude]
+    if unknown := [n for n in [*(only or []), *exclude] if n not in readers]:
+        raise ValueError(f"unknown providers {unknown}")
+    if not names:
+        raise ValueError("no provider is left")
+    return union_of(*[readers[n]() for n in names])
+
+
 def union_of(*providers: DataFrame) -> DataFrame:
     """One frame of several providers' messages; a provider that is not asked for is simply not passed, and never read."""
     out = providers[0]

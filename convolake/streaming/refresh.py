@@ -14,6 +14,19 @@ def overlap_rows(source: DataFrame, mirror: DataFrame, overlap: int = 50_000) ->
     return fresh.join(mirror.select("id"), "id", "left_anti")
 
 
+def merged(mirror: DataFrame, rows: DataFrame, mode: str, key: str = "id") -> DataFrame:
+    """The mirror after rows came: "ignore" adds those whose key it lacks, "replace" puts them in the place of those of
+    their key, "full" leaves nothing but them. Of rows with one key one stays."""
+    rows = rows.dropDuplicates([key]).select(mirror.columns)
+    if mode == "full":
+        return rows
+    if mode == "ignore":
+        return mirror.unionByName(rows.join(mirror.select(key), key, "left_anti"))
+    if mode == "replace":
+        return mirror.join(rows.select(key), key, "left_anti").unionByName(rows)
+    raise ValueError(f"unknown mode {mode!r}")
+
+
 def mark_new(fresh: DataFrame, mirror: DataFrame) -> DataFrame:
     """fresh with usage_row: the lowest new id of a group that the mirror has no row of.
 
