@@ -40,14 +40,14 @@ def transcripts(rows: DataFrame, budget: int) -> DataFrame:
     line = F.concat(F.coalesce(F.nullif(F.col("role"), F.lit("")), F.lit("?")), F.lit(": "), "text")
     lines = rows.where(~F.coalesce("is_sidechain", F.lit(False)) & F.col("text").rlike(r"\S")).select("session_id", "seq", line.alias("line"))
     order = Window.partitionBy("session_id").orderBy("seq")
-    # with the end of line before each but the first
-    size = F.length("line") + F.when(F.row_number().over(order) > 1, 1).otherwise(0)
-    sized = lines.withColumn("n", size).withColumn("end", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # each but the first with the end of line before it
+    joined = F.concat(F.when(F.row_number().over(order) > 1, "\n").otherwise(""), "line")
+    sized = lines.withColumn("line", joined).withColumn("n", F.length("line")).withColumn("end", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     whole = sized.groupBy(F.col("session_id").alias("_s")).agg(F.sum("n").alias("whole"))
     sized = sized.join(whole, F.col("session_id").eqNullSafe(F.col("_s"))).withColumn("start", F.col("end") - F.col("n"))
     fits = F.col("whole") <= budget
     first, last = fits | (F.col("start") < head), fits | (F.col("end") > F.col("whole") - tail)
-    said = lambda which: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(which, F.struct("seq", "line")))), lambda x: x["line"]), "\n")
+    said = lambda which: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(which, F.struct("seq", "line")))), lambda x: x["line"]), "")
     texts = sized.where(first | last).groupBy("session_id").agg(F.max("whole").alias("whole"), said(first).alias("a"), said(last).alias("b"))
     cut = F.concat(F.substring("a", 1, head), F.lit(CUT), F.right("b", F.lit(tail)))
     return texts.select("session_id", F.when(fits, F.col("a")).otherwise(cut).alias("transcript"))
