@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from convolake.tables import cut, drop, scratch
 
-__all__ = ["components", "cut", "drop", "scratch", "slices"]
+__all__ = ["bit_table", "components", "cut", "drop", "in_table", "scratch", "slices"]
+
+#: 64-bit words of a bit table (8 MB), whatever the number of hashes in it.
+WORDS = 1 << 20
 
 
 def slices(batches, rows: int = 256):
@@ -17,6 +21,21 @@ def slices(batches, rows: int = 256):
             yield b.slice(i, rows)
 
 
+def bit_table(hashes: DataFrame) -> np.ndarray:
+    """A table of bits for hashes (column h, long): a hash that it lacks is not among them. At most WORDS rows reach the driver."""
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(WORDS - 1)).alias("w")
+    rows = hashes.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(WORDS, dtype=np.uint64)
+    out[rows.column("w").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def in_table(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which of the hashes may be in the table."""
+    h = h.view(np.uint64)
+    return (table[(h >> np.uint64(6)) & np.uint64(WORDS - 1)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over undirected edges (u, v).
 

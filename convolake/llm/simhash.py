@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, drop, slices
+from .common import bit_table, components, cut, drop, in_table, slices
 
 #: Rows of one comparison tile; larger buckets are cut into tiles of two chunks.
 TILE = 2048
@@ -318,12 +318,25 @@ def _prefix(hashes: np.ndarray, common: tuple, similarity: float) -> np.ndarray:
     return hashes[np.lexsort((hashes, rank))[: n - math.ceil(similarity * n - 1e-6) + 1]]
 
 
-def _shared(found: DataFrame) -> DataFrame:
-    """(key, size, rep): rows (key, rep) whose key another document has as well; size of them have it.
+def _shared(keyed: DataFrame) -> DataFrame:
+    """(key, size, rep) of rows (rep, keys): each key that another document has as well; size of them have it.
 
-    Of keys that just the same documents have one is enough: a digest of 128 bits of its documents tells them.
+    Keys are counted first; those of one document alone, nearly all of them, then stay behind where a bit table of the
+    others lacks them. Of keys that just the same documents have one is enough: a digest of 128 bits of its
+    documents tells them.
     """
-    found = cut(found)
+    counted = keyed.select(F.explode("keys").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    table = keyed.sparkSession.sparkContext.broadcast(bit_table(counted.where("n > 1")))
+
+    def repeated(batches):
+        for b in batches:
+            keys = b.column("keys")
+            rep = np.repeat(b.column("rep").to_numpy(), keys.value_lengths().to_numpy())
+            flat = keys.flatten().to_numpy()
+            some = in_table(table.value, flat)
+            yield pa.record_batch([pa.array(flat[some]), pa.array(rep[some])], names=["key", "rep"])
+
+    found = cut(keyed.select("rep", "keys").mapInArrow(repeated, "key long, rep long"))
     who = [F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y")]
     sets = found.groupBy("key").agg(F.count("*").alias("size"), *who).where("size > 1")
     # written first: a join over the aggregation's own exchange could not be split where one key is common
@@ -514,17 +527,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 keys.append(_prefix(h, common.value, similarity).view(np.int64))
             yield pa.record_batch([b.column("id"), b.column("th"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "th", "copy", "n", "bits", "keys"])
 
-    rows = cut(frame.mapInArrow(marked, "id long, th string, copy binary, n long, bits binary, keys array<long>"))
-    keyed = cut(rows.groupBy("copy").agg(F.min("id").alias("rep"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "th"))).alias("one"), *[F.any_value(c).alias(c) for c in ("n", "bits", "keys")]))
-    # ids of several texts: all but one of the texts are nodes by their digest
-    own = cut(keyed.groupBy(F.col("rep").alias("_rep")).agg(F.min("copy").alias("_copy"), F.count("*").alias("texts")).where("texts > 1"))
-    named = keyed.join(own, F.col("rep") == F.col("_rep"), "left")
-    node = F.when(F.col("_rep").isNotNull() & (F.col("copy") != F.col("_copy")), F.xxhash64("copy")).otherwise(F.col("rep"))
-    distinct = cut(named.select("copy", node.alias("rep"), "one", "n", "bits"))
-    met = _shared(named.where("rep is not null").select(F.explode("keys").alias("key"), node.alias("rep")))
+    wide = cut(frame.mapInArrow(marked, "id long, th string, copy binary, n long, bits binary, keys array<long>"))
+    keyed = cut(wide.groupBy("copy").agg(F.min("id").alias("rep"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "th"))).alias("one"), *[F.any_value(c).alias(c) for c in ("n", "bits", "keys")]))
     # the prefixes are the largest part of both tables
-    wide, rows = rows, cut(rows.select("id", "th", "copy"))
+    rows = cut(wide.select("id", "th", "copy"))
     drop(wide)
+    # ids of several texts: all but one of the texts are nodes by their digest
+    own = cut(keyed.groupBy(F.col("rep").alias("_rep")).agg(F.min("copy").alias("_copy"), F.count("*").alias("texts")).where("texts > 1"), F.count("*").alias("n"))
+    named = keyed
+    if own.saw["n"]:
+        node = F.when(F.col("_rep").isNotNull() & (F.col("copy") != F.col("_copy")), F.xxhash64("copy")).otherwise(F.col("rep"))
+        named = keyed.join(own, F.col("rep") == F.col("_rep"), "left").withColumn("rep", node).drop("_rep", "_copy", "texts")
+    distinct = cut(named.select("copy", "rep", "one", "n", "bits"))
+    met = _shared(named.where("rep is not null").select("rep", "keys"))
     drop(keyed)
     pairs = cut(_spanning(met.join(distinct.where("rep is not null").select("rep", "n", "bits"), "rep"), similarity))
     drop(met)
@@ -536,17 +551,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # written first, for the same reason as the sizes of keys
     sizes = cut(family_of.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / SHINGLES)).cast("int").alias("chunks")))
     members = cut(family_of.join(sizes, "comp").select("rep", "comp", "chunks", "_id", "_th", F.col("times").isNotNull().alias("repeated")))
-    read = lambda some: frame.join(some, (F.col("id") == F.col("_id")) & F.col("th").eqNullSafe(F.col("_th"))).select("comp", "chunks", "rep", "text")
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(members.select(F.xxhash64("_id", "_th").alias("h"))))
 
     def hashed(batches):
         for b in slices(batches):
+            b = b.filter(pa.array(in_table(table.value, b.column("h").to_numpy())))
             sets = [np.sort(_hashes(_shingles(t, shingle))).tobytes() for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("comp"), b.column("chunks"), b.column("rep"), pa.array(sets, pa.binary())], names=["comp", "chunks", "rep", "hashes"])
+            yield pa.record_batch([b.column("id"), b.column("th"), pa.array(sets, pa.binary())], names=["id", "th", "hashes"])
 
-    kind = "comp long, chunks int, rep long, hashes binary"
-    sets = read(members.where("not repeated")).mapInArrow(hashed, kind)
-    if times.saw["n"]:
-        sets = sets.unionByName(read(members.where("repeated")).mapInArrow(hashed, kind).dropDuplicates(["rep"]))
+    # only families' documents leave the scan, and as hashes
+    sets = frame.where("id is not null").select(F.xxhash64("id", "th").alias("h"), "id", "th", "text").mapInArrow(hashed, "id long, th string, hashes binary")
+    same = (F.col("id") == F.col("_id")) & F.col("th").eqNullSafe(F.col("_th"))
+    of = lambda some: sets.join(members.where(some), same).select("comp", "chunks", "rep", "hashes")
+    sets = of("not repeated").unionByName(of("repeated").dropDuplicates(["rep"])) if times.saw["n"] else of("not repeated")
     links = cut(_linked(sets, similarity).where("u <> v"))
     comp = cut(components(links))
     where = distinct.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("copy").alias("_copy"), F.coalesce("component", "rep").alias("_comp"), "one")
