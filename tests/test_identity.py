@@ -74,7 +74,7 @@ def test_filters(spark):
     rows = spark.createDataFrame([("user", None, None, None), ("progress", None, None, None), ("system", None, None, None), ("system", "turn_duration", None, None), ("system", "api_error", True, None), (None, None, None, None), ("summary", None, None, None), ("assistant", "turn_duration", False, True)], "k string, sub string, meta boolean, side boolean")
     got = rows.select(filters.visible(F.col("k"), F.col("sub")), filters.counted(F.col("k"), F.col("meta"), F.col("side")), filters.counted(F.col("k"), F.col("meta"), F.col("side"), True)).collect()
     assert [tuple(r) for r in got] == [(True, True, True), (False, False, False), (False, True, True), (False, True, True), (True, False, False), (True, False, False), (True, False, False), (True, False, True)]
-    cards = spark.createDataFrame([("claude-x", "code", ["/a/b.MD"], ["ls"], ["s1"], False, True, False, True, False, False), (None, "git", [], None, [], True, False, True, False, True, None)], "model string, variant string, edited_files array<string>, shell_commands array<string>, mcp_servers array<string>, is_file_edit boolean, is_git boolean, is_error boolean, is_cancelled boolean, is_commit boolean, has_hook boolean")
+    cards = spark.createDataFrame([("mode-x", "code", ["/a/b.MD"], ["ls"], ["s1"], False, True, False, True, False, False), (None, "git", [], None, [], True, False, True, False, True, None)], "model string, variant string, edited_files array<string>, shell_commands array<string>, mcp_servers array<string>, is_file_edit boolean, is_git boolean, is_error boolean, is_cancelled boolean, is_commit boolean, has_hook boolean")
     card = {c: F.col(c) for c in cards.columns}
     want = {("model", "de-x"): (True, False), ("tool", "document"): (True, False), ("tool", "code"): (True, True), ("tool", "git"): (True, True), ("tool", "search"): (False, False), ("status", "error"): (False, True), ("status", "cancelled"): (True, False), ("status", "commit"): (False, True), ("status", "x"): (False, False), ("file", "b.MD"): (True, False), ("hook", ""): (False, False), ("command", "ls"): (True, False), ("mcp", "all"): (True, False), ("mcp", "s1"): (True, False), ("x", "y"): (False, False)}
     got = cards.select(*[filters.brush(k, v, card).alias(f"{k}-{v}") for k, v in want]).collect()
