@@ -8,7 +8,8 @@ a row whose value is null.
     spark.dataSource.register(AppendedLines)
     spark.readStream.format("appended_lines").load(folder)     # file, at (the line's first byte; -1: taken back), value
 
-Files are reached by pyarrow's file systems, so a folder may be local, in HDFS or in an object store.
+Files are reached by pyarrow's file systems, so a folder may be local, in HDFS or in an object store. An offset names
+every file of the folder, some hundred bytes each: a store of very many files is followed folder by folder.
 """
 
 from __future__ import annotations

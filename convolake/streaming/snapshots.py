@@ -1,7 +1,7 @@
 """Stored tables under a pointer: versions are built beside the live one, and one rename makes the next one live.
 
     root/v-<n>-<id>/batch=<k>/…   the rows of a version, in the batches that brought them
-    root/_pointer/<n>             which version is live, and up to which batch; the highest n counts
+    root/_pointer/<n>             which version is live, up to which batch, and its schema; the highest n counts
 
 A pointer's file is put in place by a rename that fails where the file exists, so of two writers one wins and the other
 starts anew. A reader keeps the version that it opened; a version is removed no sooner than when another two have
@@ -18,6 +18,7 @@ from dataclasses import asdict, dataclass
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 class Conflict(RuntimeError):
@@ -29,6 +30,7 @@ class Pointer:
     number: int
     folder: str
     batch: int
+    schema: str
 
 
 class Snapshots:
@@ -58,9 +60,9 @@ class Snapshots:
         finally:
             stream.close()
 
-    def _move(self, last: Pointer | None, folder: str, batch: int) -> Pointer:
+    def _move(self, last: Pointer | None, folder: str, batch: int, schema: str) -> Pointer:
         """Makes (folder, batch) live, if `last` still is."""
-        new = Pointer(last.number + 1 if last else 1, folder, batch)
+        new = Pointer(last.number + 1 if last else 1, folder, batch, schema)
         target, fresh = self._path(f"{self.root}/_pointer/{new.number:020d}"), self._path(f"{self.root}/_pointer/.{uuid.uuid4().hex}")
         out = self._files.create(fresh, False)
         out.write(bytearray(json.dumps(asdict(new)).encode()))
@@ -80,7 +82,9 @@ class Snapshots:
         p = self.pointer()
         if p is None:
             raise ValueError(f"{self.root} has no version yet")
-        return self.spark.read.parquet(f"{self.root}/{p.folder}").where(F.col("batch") <= p.batch).drop("batch")
+        schema = StructType.fromJson(json.loads(p.schema))
+        rows = self.spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(f"{self.root}/{p.folder}")
+        return rows.where(F.col("batch") <= p.batch).select(schema.names)
 
     def rebuild(self, build: Callable[[], DataFrame]) -> Pointer:
         """Builds a version beside the live one and swaps it in; the live one is read from until then.
@@ -91,8 +95,9 @@ class Snapshots:
         folder = f"v-{last.number + 1 if last else 1}-{uuid.uuid4().hex}"
         batch = last.batch if last else 0
         try:
-            build().write.partitionBy(*self.by).parquet(f"{self.root}/{folder}/batch={batch}")
-            moved = self._move(last, folder, batch)
+            rows = build()
+            rows.write.partitionBy(*self.by).parquet(f"{self.root}/{folder}/batch={batch}")
+            moved = self._move(last, folder, batch, rows.schema.json())
         except BaseException:
             self._files.delete(self._path(f"{self.root}/{folder}"), True)
             raise
@@ -106,7 +111,7 @@ class Snapshots:
             return last
         folder = last.folder if last else f"v-1-{uuid.uuid4().hex}"
         rows.write.mode("overwrite").partitionBy(*self.by).parquet(f"{self.root}/{folder}/batch={batch}")
-        return self._move(last, folder, batch)
+        return self._move(last, folder, batch, last.schema if last else rows.schema.json())
 
     def sweep(self, keep: int = 2) -> None:
         """Removes versions but the live one and the `keep` before it, and pointers but the last 100."""
