@@ -406,7 +406,7 @@ def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate(chosen)
 
 
-def _spanning(rows: DataFrame, similarity: float) -> DataFrame:
+def _spanning_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     """(u, v) of rows (key, size, rep, n, bits): pairs that may be similar, so many that they span all that may be.
 
     A run of tiles gives no more pairs than members.
@@ -541,7 +541,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     distinct = cut(named.select("copy", "rep", "one", "n", "bits"))
     met = _shared(named.where("rep is not null").select("rep", "keys"))
     drop(keyed)
-    pairs = cut(_spanning(met.join(distinct.where("rep is not null").select("rep", "n", "bits"), "rep"), similarity))
+    pairs = cut(_spanning_pairs(met.join(distinct.where("rep is not null").select("rep", "n", "bits"), "rep"), similarity))
     drop(met)
     family = cut(components(pairs).select(F.col("node").alias("rep"), F.col("component").alias("comp")))
     drop(pairs)
