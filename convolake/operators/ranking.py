@@ -21,8 +21,9 @@ PIECE = r"[\p{L}\p{N}_]+[^\p{L}\p{N}_]*"
 
 def positions(rows: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Inverted index with places: token, id, length (words of the text), positions (from 0, ascending)."""
-    toks = T.tokens(F.col(text_col))
-    each = rows.select(F.col(id_col).alias("id"), F.size(toks).alias("length"), F.posexplode(toks).alias("pos", "token"))
+    # the length is known before the words are dealt out: beside them each word's row would split its whole text again
+    texts = rows.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("toks")).select("id", F.size("toks").alias("length"), "toks")
+    each = texts.select("id", "length", F.posexplode("toks").alias("pos", "token"))
     return each.groupBy("token", "id", "length").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 

@@ -22,8 +22,9 @@ def keyword(rows: DataFrame, query: str, text_col: str = "text", limit: int = 50
 
 def postings(rows: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Inverted index (token, id, tf, length), to be written bucketed by token where it is used often."""
-    toks = T.tokens(F.col(text_col))
-    each = rows.select(F.col(id_col).alias("id"), F.size(toks).alias("length"), F.explode(toks).alias("token"))
+    # the length is known before the words are dealt out: beside them each word's row would split its whole text again
+    texts = rows.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("toks")).select("id", F.size("toks").alias("length"), "toks")
+    each = texts.select("id", "length", F.explode("toks").alias("token"))
     return each.groupBy("token", "id", "length").agg(F.count("*").alias("tf"))
 
 
