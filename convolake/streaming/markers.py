@@ -1,73 +1,62 @@
 """The usage marker kept as state: which row of a (session, group) counts is decided when the group is first seen.
 
-State of a group: the ids that came. A micro-batch asks the state for its own groups and ids only, so its work
-doesn't grow with what is stored. Rows that come again (sources deliver at least once) add nothing; rows without a
-group are messages of their own. A batch that is replayed finds the state as it was and gives the same rows.
+State: the ids that came, and the groups. A micro-batch asks the state for its own groups and ids only, so its work
+doesn't grow with what is stored, and no group is gathered. Rows that come again (sources deliver at least once) add
+nothing; rows without a group are messages of their own. A batch that is replayed finds the state as it was and gives
+the same rows.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming import StreamingQuery
 
-from .snapshots import Snapshots
-
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-class FirstOfGroup(StatefulProcessor):
-    """New rows of a group with usage_row: true for the lowest id of the batch that brought the group."""
-
-    def __init__(self, columns: list[str]):
-        self.columns = columns
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ids = handle.getMapState("ids", "id long", "seen boolean")
+from convolake.tables import cut, drop
 
-    def handleInputRows(self, key, rows, timerValues):
-        known = self.ids.exists()
-        held = None  # only the lowest row so far waits: a lower one may follow
-        for part in rows:
-            fresh = [not self.ids.containsKey((int(i),)) for i in part["id"]]
-            part = part[fresh].drop_duplicates("id")
-            for i in part["id"]:
-                self.ids.updateValue((int(i),), (True,))
-            if known or part.empty:
-                yield self._said(part, key, False)
-                continue
-            both = part if held is None else pd.concat([held, part], ignore_index=True)
-            first = both["id"].idxmin()
-            held = both.loc[[first]]
-            yield self._said(both.drop(first), key, False)
-        if held is not None:
-            yield self._said(held, key, True)
-
-    def _said(self, part: pd.DataFrame, key: tuple, marker: bool) -> pd.DataFrame:
-        return part.assign(session_id=key[0], usage_row=marker)[self.columns]
+from .snapshots import Snapshots
 
-    def close(self) -> None:
-        pass
+#: How state is kept: on the executors' disks, by its changes. Its partitions are fixed once a checkpoint exists; a state that is on
+#: disk needs few, and each costs a file a batch.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.shuffle.partitions": "32",
+}
+GROUP = ["session_id", "_group"]
 
 
-def marked(stream: DataFrame) -> DataFrame:
-    """A stream of messages (id, session_id, group_key, …) without repetitions, with usage_row."""
-    schema = StructType(stream.schema.fields).add("usage_row", "boolean")
+def fresh(stream: DataFrame) -> DataFrame:
+    """A stream of messages (id, session_id, group_key, …) without repetitions, and of its new groups (_new; one row of each)."""
     own = F.coalesce(F.col("group_key"), F.concat(F.lit("\0"), F.col("id").cast("string")))
     rows = stream.withColumn("_group", own)
-    return rows.groupBy("session_id", "_group").transformWithStateInPandas(FirstOfGroup(schema.names), schema, "append", "None")
+    groups = rows.select(*GROUP).dropDuplicates(GROUP)
+    return rows.dropDuplicates([*GROUP, "id"]).withColumn("_new", F.lit(False)).unionByName(groups.withColumn("_new", F.lit(True)), allowMissingColumns=True)
+
+
+def marked(batch: DataFrame) -> DataFrame:
+    """The messages of a batch of fresh(), with usage_row: true for the lowest id of each new group."""
+    first = batch.groupBy(*GROUP).agg(F.min(F.when(~F.col("_new"), F.col("id"))).alias("_first"), F.bool_or("_new").alias("_is_new")).where("_is_new")
+    first = first.select(F.col("session_id").alias("_s"), F.col("_group").alias("_g"), "_first")
+    same = F.col("session_id").eqNullSafe(F.col("_s")) & (F.col("_group") == F.col("_g"))
+    out = batch.where(~F.col("_new")).join(first, same, "left")
+    return out.withColumn("usage_row", F.coalesce(F.col("id") == F.col("_first"), F.lit(False))).drop(*[c for c in out.columns if c in ("_group", "_new", "_s", "_g", "_first")])
 
 
 def mirror(stream: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
     """Adds a stream's messages to the stored table at root, marked, each once."""
     spark = stream.sparkSession
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)  # read when the query starts
+
+    def add(batch: DataFrame, n: int) -> None:
+        held = cut(batch)  # the state is asked once
+        Snapshots(batch.sparkSession, root).append(marked(held), n + 1)
+        drop(held)
+
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)  # read when the query starts
     try:
-        out = marked(stream).writeStream.foreachBatch(lambda batch, n: Snapshots(batch.sparkSession, root).append(batch, n + 1))
-        return out.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        return fresh(stream).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
