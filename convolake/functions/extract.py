@@ -26,8 +26,15 @@ def tool_uses(messages: DataFrame) -> DataFrame:
 
     The message's own toolUse counts only where its content has no invocation.
     """
-    rows = messages.where("type = 'assistant'").withColumn("b", F.coalesce(F.filter(blocks(F.col("content")), lambda b: b["type"] == "tool_use"), F.array().cast(BLOCKS)))
-    listed = rows.select("id", "session_id", F.posexplode("b").alias("seq", "b")).select(
+    listed = F.coalesce(F.filter(blocks(F.col("content")), lambda b: b["type"] == "tool_use"), F.array().cast(BLOCKS))
+    at = lambda path: F.get_json_object("raw", path)
+    none = F.lit(None).cast("string")
+    fields = {"type": F.lit("own"), "text": none, "id": at("$.toolUse.id"), "name": at("$.toolUse.name"), "input": none, "tool_use_id": none, "is_error": at("$.toolUseResult.is_error").cast("boolean"), "content": none}
+    own = F.when(at("$.toolUse.name").isNotNull(), F.array(F.struct(*[c.alias(k) for k, c in fields.items()])))
+    rows = messages.where("type = 'assistant'").select("id", "session_id", "raw", listed.alias("b"))
+    rows = rows.select("id", "session_id", F.when(F.size("b") == 0, own).otherwise(F.col("b")).alias("b"))
+    # outer: the filter that is inferred for an inner one would parse each message again
+    return rows.select("id", "session_id", F.posexplode_outer("b").alias("seq", "b")).where("seq is not null").select(
         "id",
         "session_id",
         "seq",
@@ -35,19 +42,8 @@ def tool_uses(messages: DataFrame) -> DataFrame:
         F.col("b.id").alias("tool_use_id"),
         F.when(F.col("b.name") == "Skill", F.get_json_object("b.input", "$.skill")).alias("skill_name"),
         F.when(F.col("b.name").isin("Agent", "Task"), F.get_json_object("b.input", "$.subagent_type")).alias("subagent_type"),
-        F.lit(None).cast("boolean").alias("is_error"),
+        F.when(F.col("b.type") == "own", F.col("b.is_error")).alias("is_error"),
     )
-    own = rows.where((F.size("b") == 0) & F.get_json_object("raw", "$.toolUse.name").isNotNull()).select(
-        "id",
-        "session_id",
-        F.lit(0).alias("seq"),
-        F.get_json_object("raw", "$.toolUse.name").alias("tool_name"),
-        F.get_json_object("raw", "$.toolUse.id").alias("tool_use_id"),
-        F.lit(None).cast("string").alias("skill_name"),
-        F.lit(None).cast("string").alias("subagent_type"),
-        F.get_json_object("raw", "$.toolUseResult.is_error").cast("boolean").alias("is_error"),
-    )
-    return listed.unionByName(own)
 
 
 def tool_results(messages: DataFrame) -> DataFrame:
