@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from convolake.functions import blocks as B
 
-from .logs import _finish, _lines
+from .logs import _finish
+from .small import small_files
 
 
 def _folder(depth: int = 1, col: str = "file") -> Column:
@@ -22,15 +23,13 @@ def _named(path: Column) -> Column:
 
 def _files(spark: SparkSession, path: str, name: str) -> DataFrame:
     """Documents (folder, file, value) called name below path."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(path, wholetext=True)
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), "value").withColumn("folder", _folder())
+    return small_files(spark, f"{path}/**/{name}").select("file", "modified", "value").withColumn("folder", _folder())
 
 
 def _records(spark: SparkSession, path: str, name: str) -> DataFrame:
     """JSON lines (folder, block, line, v) of files called name below path; other lines are left out."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(path).where("trim(value) <> ''")
-    rows = rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    return rows.select(_folder().alias("folder"), "file", "modified", "block", "line", "value", F.try_parse_json("value").alias("v")).where("v is not null")
+    rows = small_files(spark, f"{path}/**/{name}", lines=True).where("trim(value) <> ''")
+    return rows.select(_folder().alias("folder"), "file", "modified", F.lit(0).alias("block"), "line", "value", F.try_parse_json("value").alias("v")).where("v is not null")
 
 
 def _wire_times(spark: SparkSession, path: str) -> DataFrame:
@@ -147,7 +146,8 @@ def storage_messages(spark: SparkSession, base: str, provider: str = "opencode")
         F.coalesce(F.try_variant_get("v", "$.cost", "double"), "_cost").alias("cost_usd"),
     )
     out = out.withColumn("seq", (F.row_number().over(order) - 1).cast("int"))
-    return _finish(out, provider).join(out.select(F.col("session_id").alias("_s"), F.col("uuid").alias("_u"), "cost_usd"), (F.col("session_id") == F.col("_s")) & (F.col("uuid") == F.col("_u"))).drop("_s", "_u")
+    # cost is no column of MESSAGE; beside it the rows pass once
+    return _finish(out, provider, "cost_usd")
 
 
 def transcripts(spark: SparkSession, path: str) -> DataFrame:

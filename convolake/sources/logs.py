@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from convolake.functions import extract
 
+from .small import small_files
+
 MESSAGE = ["provider", "session_id", "seq", "uuid", "parent_uuid", "ts", "type", "role", "model", "input_tokens", "output_tokens", "cache_creation_tokens", "cache_read_tokens", "content", "raw"]
 
 
@@ -27,10 +29,10 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("seq", (F.row_number().over(Window.partitionBy("session_id").orderBy("block", "line")) - 1).cast("int"))
 
 
-def _finish(rows: DataFrame, provider: str) -> DataFrame:
+def _finish(rows: DataFrame, provider: str, *more: str) -> DataFrame:
     have = {"provider": F.lit(provider)} | {c: F.col(c) for c in rows.columns}
     kinds = {"seq": "int", "ts": "timestamp"} | {c: "long" for c in MESSAGE if c.endswith("tokens")}
-    return rows.select(*[have.get(c, F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in MESSAGE])
+    return rows.select(*[have.get(c, F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in MESSAGE], *more)
 
 
 def canonical(spark: SparkSession, path: str, provider: str = "claude") -> DataFrame:
@@ -164,7 +166,7 @@ def markdown(spark: SparkSession, path: str, provider: str = "aider") -> DataFra
 
 def event_directory(spark: SparkSession, path: str, provider: str = "openhands") -> DataFrame:
     """One JSON file an event; an observation is joined to the action that it names as its cause."""
-    rows = spark.read.text(path, wholetext=True).select("value", F.regexp_extract("_metadata.file_path", r"([^/]+)/events/[^/]+$", 1).alias("session_id"))
+    rows = small_files(spark, path).select("value", F.regexp_extract("file", r"([^/]+)/events/[^/]+$", 1).alias("session_id"))
     rows = rows.select("session_id", _j("$.id").cast("long").alias("seq"), F.try_to_timestamp(_j("$.timestamp")).alias("ts"), _j("$.source").alias("role"), F.coalesce(_j("$.action"), _j("$.observation")).alias("type"), _j("$.cause").cast("long").alias("cause"), F.coalesce(_j("$.message"), _j("$.content")).alias("content"), F.col("value").alias("raw"))
     seen = rows.where("cause is not null").groupBy(F.col("session_id").alias("_s"), F.col("cause").alias("_c")).agg(F.min_by("content", "seq").alias("observed"))
     out = rows.join(seen, (F.col("session_id") == F.col("_s")) & (F.col("seq") == F.col("_c")), "left")

@@ -42,7 +42,7 @@ def write_files(rows: DataFrame, folder: str, file: Column, order: list[Column],
         from convolake.sources.appended import _open
 
         store, root = _open(folder)
-        name, out, broken, lines = None, None, False, 0
+        name, out, broken, lines, made = None, None, False, 0, None
         for b in batches:
             for r in b.to_pylist():
                 if r["_file"] != name:
@@ -50,7 +50,9 @@ def write_files(rows: DataFrame, folder: str, file: Column, order: list[Column],
                         out.close()
                     name, broken = r["_file"], False
                     place = f"{root}/{name}{suffix}"
-                    store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                    if (above := place.rsplit("/", 1)[0]) != made:
+                        store.create_dir(above, recursive=True)
+                        made = above
                     out = store.open_output_stream(place)
                 if broken:
                     continue
