@@ -28,6 +28,15 @@ from .common import bit_table, components, cut, drop, in_table, slices
 TILE = 2048
 
 
+def _majority(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes: a bit is 1 if set in over half of them."""
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), 1 << 15):
+        part = hashes[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """64-bit SimHash of a text's word shingles: a bit is 1 if set in over half the hashes."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -39,11 +48,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     k = min(shingle, len(words))
     digest, pairs = xxhash.xxh64_intdigest, zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())
     hashes = np.array([digest(joined[a:b], 42) for a, b in pairs], dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(hashes), 1 << 15):
-        part = hashes[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return _majority(hashes)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -406,29 +411,39 @@ def _forest(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate(chosen)
 
 
-def _spanning_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """(u, v) of rows (key, size, rep, n, bits): pairs that may be similar, so many that they span all that may be.
+def _spanning_pairs(rows: DataFrame, similarity: float, radius: int = 2) -> DataFrame:
+    """(u, v) of rows (key, size, rep, n, bits, fp): pairs that may be similar, so many that with the links of fingerprints they span all that may be.
 
-    A run of tiles gives no more pairs than members.
+    Rows of a large run whose fingerprints are within the radius, which links() joins, count as joined here. A run of
+    tiles gives no more pairs than members.
     """
     chunks = F.ceil(F.col("size") / TILE).cast("int")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("rep"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    tiles = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "n", "bits")
+    tiles = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "rep", "n", "bits", "fp")
     tiles = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def run(batches):
-        for c, at in runs(batches, ["key", "i", "j", "rep", "n", "bits"], ["key", "i", "j"], 1 << 13):
+        for c, at in runs(batches, ["key", "i", "j", "rep", "n", "bits", "fp"], ["key", "i", "j"], 1 << 13):
             node, where = np.unique(c["rep"], return_inverse=True)
+            run = np.repeat(np.arange(len(at) - 1), np.diff(at))
+            # of small runs the sizes and bitmaps are compared as quickly; runs that fingerprints join whole need no other comparison
+            large = np.flatnonzero((np.diff(at) > 64)[run])
+            ends = np.concatenate(([0], np.flatnonzero(np.diff(run[large])) + 1, [len(large)] if len(large) else []))
+            near = _spanning(len(node), ((where[large[a]], where[large[b]]) for a, b in _tile_pairs(c["fp"][large].view(np.uint64), ends.astype(np.int64), radius)))
+            group = near[where]
+            rows = np.flatnonzero((np.minimum.reduceat(group, at[:-1]) < np.maximum.reduceat(group, at[:-1]))[run])
+            part, n = where[rows], c["n"][rows]
+            at = np.concatenate(([0], np.cumsum(np.bincount(run[rows], minlength=len(at) - 1))))
             held, size = [], 0
 
             def spanned():
                 a, b, d = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (zip(*held) if held else ([], [], [])))
                 order = np.argsort(d, kind="stable")
-                keep = order[_forest(np.arange(len(node)), a[order], b[order])]
+                keep = order[_forest(near, a[order], b[order])]
                 return a[keep], b[keep], d[keep]
 
-            for a, b, d in _candidates([np.frombuffer(x, "<u8") for x in c["bits"]], c["n"], at, similarity):
-                held.append((where[a], where[b], d))
+            for a, b, d in _candidates([np.frombuffer(x, "<u8") for x in c["bits"][rows]], n, at, similarity):
+                held.append((part[a], part[b], d))
                 size += len(a)
                 if size > 1 << 20:
                     held = [spanned()]
@@ -505,9 +520,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     th is the MD5 of the text; stands marks the rows that stand for their group (of its smallest id, the
     smallest th); times is the number of rows that share id and text.
 
-    Copies (equal words) are one document. Distinct ones meet where they share one of their rarest
+    Copies (equal words) are one document. Distinct ones are linked by their SimHash fingerprints first, as near_dedup()
+    links them (links(), bit-sliced). For what these miss, documents meet where they share one of their rarest
     shingles (of n all but ceil(similarity * n) - 1, which pairs of the similarity always do). Sizes and parity
-    bitmaps leave out pairs that cannot be similar; what is left falls into families, given by spanning pairs, and no
+    bitmaps leave out pairs that cannot be similar; what is left falls with the
+    fingerprints' links into families, given by spanning pairs, and no
     similar pair lies across two of them. Only a family's documents are read again: their shingle sets meet in the
     tiles of the family, where the closest pairs are decided first, by their sets, and a pair whose documents are
     linked already needs no decision. No pair is lost and none is written but links.
@@ -518,17 +535,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def marked(batches):
         for b in slices(batches):
-            digests, maps, sizes, keys = [], [], [], []
+            digests, maps, sizes, keys, fps = [], [], [], [], []
             for t in b.column("text").to_pylist():
                 digests.append(xxhash.xxh3_128_digest(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split())))
                 h = _hashes(_shingles(t, shingle))
                 maps.append(_parity(h, _width(len(h))).tobytes())
                 sizes.append(len(h))
                 keys.append(_prefix(h, common.value, similarity).view(np.int64))
-            yield pa.record_batch([b.column("id"), b.column("th"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "th", "copy", "n", "bits", "keys"])
+                fps.append(_majority(h))
+            fps = pa.array(np.array(fps, dtype=np.uint64).view(np.int64))
+            yield pa.record_batch([b.column("id"), b.column("th"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(maps, pa.binary()), pa.array(keys, pa.list_(pa.int64())), fps], names=["id", "th", "copy", "n", "bits", "keys", "fp"])
 
-    wide = cut(frame.mapInArrow(marked, "id long, th string, copy binary, n long, bits binary, keys array<long>"))
-    keyed = cut(wide.groupBy("copy").agg(F.min("id").alias("rep"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "th"))).alias("one"), *[F.any_value(c).alias(c) for c in ("n", "bits", "keys")]))
+    wide = cut(frame.mapInArrow(marked, "id long, th string, copy binary, n long, bits binary, keys array<long>, fp long"))
+    keyed = cut(wide.groupBy("copy").agg(F.min("id").alias("rep"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "th"))).alias("one"), *[F.any_value(c).alias(c) for c in ("n", "bits", "keys", "fp")]))
     # the prefixes are the largest part of both tables
     rows = cut(wide.select("id", "th", "copy"))
     drop(wide)
@@ -538,11 +557,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if own.saw["n"]:
         node = F.when(F.col("_rep").isNotNull() & (F.col("copy") != F.col("_copy")), F.xxhash64("copy")).otherwise(F.col("rep"))
         named = keyed.join(own, F.col("rep") == F.col("_rep"), "left").withColumn("rep", node).drop("_rep", "_copy", "texts")
-    distinct = cut(named.select("copy", "rep", "one", "n", "bits"))
+    distinct = cut(named.select("copy", "rep", "one", "n", "bits", "fp"))
+    prints = cut(distinct.where("rep is not null").groupBy("fp").agg(F.min("rep").alias("rep"), F.count("*").alias("texts")))
+    equal = distinct.select("fp", F.col("rep").alias("u")).join(prints.where("texts > 1").select("fp", F.col("rep").alias("v")), "fp").where("u <> v").select("u", "v")
+    near = cut(links(prints).unionByName(equal))
+    drop(prints)
     met = _shared(named.where("rep is not null").select("rep", "keys"))
     drop(keyed)
-    pairs = cut(_spanning_pairs(met.join(distinct.where("rep is not null").select("rep", "n", "bits"), "rep"), similarity))
+    pairs = cut(_spanning_pairs(met.join(distinct.where("rep is not null").select("rep", "n", "bits", "fp"), "rep"), similarity).unionByName(near))
     drop(met)
+    drop(near)
     family = cut(components(pairs).select(F.col("node").alias("rep"), F.col("component").alias("comp")))
     drop(pairs)
     times = cut(rows.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.count("*").alias("times")).where("times > 1"), F.count("*").alias("n"))
@@ -564,12 +588,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     same = (F.col("id") == F.col("_id")) & F.col("th").eqNullSafe(F.col("_th"))
     of = lambda some: sets.join(members.where(some), same).select("comp", "chunks", "rep", "hashes")
     sets = of("not repeated").unionByName(of("repeated").dropDuplicates(["rep"])) if times.saw["n"] else of("not repeated")
-    links = cut(_linked(sets, similarity).where("u <> v"))
-    comp = cut(components(links))
+    found = cut(_linked(sets, similarity).where("u <> v"))
+    comp = cut(components(found))
     where = distinct.join(comp, F.col("rep") == F.col("node"), "left").select(F.col("copy").alias("_copy"), F.coalesce("component", "rep").alias("_comp"), "one")
     first = where.groupBy("_comp").agg(F.min("one").alias("first"))
     where = cut(where.join(first.withColumnRenamed("_comp", "_c"), F.col("_comp") == F.col("_c"), "left").select("_copy", "first"))
-    for table in (own, family, family_of, sizes, members, links, comp, distinct):
+    for table in (own, family, family_of, sizes, members, found, comp, distinct):
         drop(table)
     out = rows.join(where, F.col("copy") == F.col("_copy")).join(times, F.col("id").eqNullSafe(F.col("_id")) & F.col("th").eqNullSafe(F.col("_th")), "left")
     stands = F.coalesce((F.col("id") == F.col("first.id")) & F.col("th").eqNullSafe(F.col("first.th")), F.lit(False))
