@@ -57,25 +57,40 @@ def tool_results(messages: DataFrame) -> DataFrame:
 USAGE_KEYS = {"input_tokens": "input_tokens", "output_tokens": "output_tokens", "cache_creation_tokens": "cache_creation_input_tokens", "cache_read_tokens": "cache_read_input_tokens"}
 
 
-def usage(raw: Column) -> dict[str, Column]:
-    """The four token counts of a message.
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def usage_struct(raw: Column, counts=tuple(USAGE_KEYS)) -> Column:
+    """Token counts of a message as one struct, for which no path is read twice and none that isn't needed.
 
     A usage object of the message itself counts whole, whatever it leaves out. Else each count is that of the
     tool's result, or of the content; where both input and output are unknown, the tool result's totalTokens is
     the output of an assistant's message and the input of another.
     """
     at = lambda path: F.get_json_object(raw, f"$.{path}")
-    count = lambda path: F.when(at(path).try_cast("long") >= 0, at(path).try_cast("long"))
+    count = lambda path: _let(at(path).try_cast("long"), lambda n: F.when(n >= 0, n))
     own = F.when(at("message.usage").startswith("{"), "message").when(at("usage").startswith("{"), "top")
-    out = {}
-    for name, key in USAGE_KEYS.items():
-        whole = F.when(own == "message", count(f"message.usage.{key}")).otherwise(count(f"usage.{key}"))
-        out[name] = F.when(own.isNotNull(), whole).otherwise(F.coalesce(count(f"toolUseResult.usage.{key}"), count(f"content.usage.{key}")))
-    total = F.when(own.isNull() & out["input_tokens"].isNull() & out["output_tokens"].isNull(), count("toolUseResult.totalTokens"))
-    assistant = F.coalesce(at("type") == "assistant", F.lit(False))
-    out["output_tokens"] = F.coalesce(out["output_tokens"], F.when(assistant, total))
-    out["input_tokens"] = F.coalesce(out["input_tokens"], F.when(~assistant, total))
-    return out
+    names = list(dict.fromkeys([*counts, "input_tokens", "output_tokens"]))
+
+    def found(own):
+        of = lambda key: F.when(own == "message", count(f"message.usage.{key}")).when(own == "top", count(f"usage.{key}")).otherwise(F.coalesce(count(f"toolUseResult.usage.{key}"), count(f"content.usage.{key}")))
+        return F.struct(own.alias("own"), *[of(USAGE_KEYS[n]).alias(n) for n in names])
+
+    def whole(u):
+        total = count("toolUseResult.totalTokens")
+        assistant = F.coalesce(at("type") == "assistant", F.lit(False))
+        rest = {"input_tokens": F.when(~assistant, total), "output_tokens": F.when(assistant, total)}
+        rest = {n: F.when(u["own"].isNull() & u["input_tokens"].isNull() & u["output_tokens"].isNull(), x) for n, x in rest.items()}
+        return F.struct(*[(F.coalesce(u[n], rest[n]) if n in rest else u[n]).alias(n) for n in counts])
+
+    return _let(_let(own, found), whole)
+
+
+def usage(raw: Column) -> dict[str, Column]:
+    """The four token counts of a message, each as a column; usage_struct() has them together."""
+    return {n: usage_struct(raw, (n,))[n] for n in USAGE_KEYS}
 
 
 def _walk(value, out: list[str]) -> None:

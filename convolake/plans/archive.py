@@ -522,9 +522,10 @@ def _(s, d):
     k = F.col("l_linenumber") % 4
     of = lambda t: F.lit(t)
     raw = F.when(k == 0, of('{"type":"user","message":{"usage":{"input_tokens":5}},"toolUseResult":{"usage":{"output_tokens":99}}}')).when(k == 1, of('{"toolUseResult":{"usage":{"input_tokens":6}},"content":{"usage":{"input_tokens":77,"output_tokens":1}}}')).when(k == 2, of('{"type":"assistant","toolUseResult":{"totalTokens":9}}')).otherwise(of('{"type":"user","toolUseResult":{"totalTokens":8}}'))
-    u = extract.usage(raw)
-    x = A.table(s, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), u["input_tokens"].alias("input_tokens"), u["output_tokens"].alias("output_tokens"))
-    return x.groupBy("k", "line", "input_tokens", "output_tokens").agg(F.count("*").alias("n"))
+    # lines alike say the same, so they are counted before their message is read
+    x = A.table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"))
+    x = x.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), extract.usage_struct(raw, ("input_tokens", "output_tokens")).alias("u"), "n")
+    return x.select("k", "line", "u.input_tokens", "u.output_tokens", "n")
 
 
 @query("f36_transcripts", """WITH l AS (SELECT conv_id AS session_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS t FROM conversations WHERE turn % 5 <> 4 AND regexp_matches(text, '\\S') GROUP BY 1)
