@@ -20,6 +20,7 @@ import sys
 import zlib
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +36,19 @@ from .common import slices
 BLOCK, BLOCK_BYTES = 512, 1 << 20
 #: The dictionary is trained on at most this many documents of at most this many characters.
 TRAIN_DOCS, TRAIN_CHARS, DICT_BYTES = 1000, 20_000, 32 << 10
+#: Bytes of texts that are cut into words together (a longer text is taken alone), and words of one string for the library.
+RUN_BYTES, LINES = 8 << 20, 64
 
 _BLOCKS = "shard int, block int, doc_ids array<long>, offsets array<long>, n_tokens array<long>, shard_start array<long>, dict_hash string, payload binary"
 
 
 class LibraryEncoder:
-    """Ids as the tokenizers library gives them; each pre-token goes to the library once and is remembered."""
+    """Ids as the tokenizers library gives them; each pre-token goes to the library once and is remembered.
+
+    Texts of ASCII and Latin letters are cut into pre-tokens as arrays of bytes, and of the pre-tokens of a run
+    of texts only the different ones become Python strings; other texts, and those with special strings, are
+    split one by one.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -49,18 +57,83 @@ class LibraryEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.split, self.known = V.splitter(V.load(path).special), V.Memory()
-
-    def encode(self, texts: list):
-        """The ids of each text as little-endian uint32 bytes, new words of a run of texts in one call."""
-        for part in V.chunks_of(texts):
-            words = [self.split(t) for t in part]
-            known = self.known
-            known.make_room()
-            new = [w for w in {w for ws in words for w in ws} if w not in known]
-            known.keep((w, _bytes(e.ids)) for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)))
-            for ws in words:
-                yield b"".join(map(known.__getitem__, ws))
+        self.special = V.load(path).special
+        self.split, self.known = V.splitter(self.special), V.Memory()
+        self.quick = min(self.special, key=len).encode()[:2] if self.special else None
+        self.line = self.library.encode("\n", add_special_tokens=False).ids
+
+    def encode(self, texts):
+        """The ids of each text (a list, or an Arrow array of strings) as little-endian uint32 bytes, run by run of texts."""
+        column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        if not len(column):
+            return
+        column = column.fill_null("")
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        at = 0
+        while at < len(column):
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + RUN_BYTES, side="right")) - 1)
+            yield from self._run(column.buffers()[2], offsets[at : end + 1])
+            at = end
+
+    def _run(self, buffer, offsets: np.ndarray):
+        size = int(offsets[-1] - offsets[0])
+        if not size:
+            yield from [b""] * (len(offsets) - 1)
+            return
+        data, texts = np.frombuffer(buffer, np.uint8, size, int(offsets[0])), offsets - offsets[0]
+        odd = V.not_latin(data)
+        if self.quick:
+            odd = np.concatenate((odd, _found(data, self.quick)))
+        odd = np.unique(np.searchsorted(texts, odd, side="right") - 1).tolist()
+        apart = {i: self.split(data[texts[i] : texts[i + 1]].tobytes().decode()) for i in odd}
+        if odd:
+            sizes = np.diff(texts)
+            keep = np.ones(len(sizes), dtype=bool)
+            keep[odd] = False
+            data, sizes = data[np.repeat(keep, sizes)], np.where(keep, sizes, 0)
+            texts = np.append(0, np.cumsum(sizes))
+        starts = V.word_starts(data, texts)
+        cuts = np.append(starts, len(data)).astype(np.int32)
+        met = pa.StringArray.from_buffers(len(starts), pa.py_buffer(cuts), pa.py_buffer(data)).dictionary_encode()
+        known, words = self.known, met.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known.make_room(words)
+        self._learn([w for w in (dict.fromkeys(chain(words, *apart.values())) if apart else words) if w not in known])
+        parts = list(map(known.__getitem__, words))
+        flat = np.frombuffer(b"".join(parts), "<u4")
+        # the ids of a word lie in flat from begin on; those of all words in their order are gathered at once
+        lengths = np.fromiter(map(len, parts), np.int32, len(parts)) // 4
+        begin = np.cumsum(lengths, dtype=np.int32) - lengths
+        codes = met.indices.to_numpy()
+        each = lengths[codes]
+        done = np.append(0, np.cumsum(each, dtype=np.int64))
+        at = np.repeat((begin[codes] - done[:-1]).astype(np.int32), each)
+        at += np.arange(len(at), dtype=np.int32)
+        ids, ends = flat[at], done[np.searchsorted(starts, texts)].tolist()
+        for i, (s, e) in enumerate(zip(ends, ends[1:])):
+            yield b"".join(map(known.__getitem__, apart[i])) if i in apart else ids[s:e].tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        """Remember the ids of words; a call of the library has many, one a line, since a call has a price of its own."""
+        alone, lines = [], []
+        for w in new:
+            (alone if len(self.line) != 1 or w in self.special or w[-1].isspace() else lines).append(w)
+        runs = [lines[i : i + LINES] for i in range(0, len(lines), LINES)]
+        for run, e in zip(runs, self.library.encode_batch_fast(["\n".join(r) for r in runs], add_special_tokens=False)):
+            # no word but white space holds a line's end, so its id parts the words
+            ids = np.array(e.ids, dtype="<u4")
+            ends = np.append(np.flatnonzero(ids == self.line[0]), len(ids)).tolist()
+            if len(ends) != len(run):
+                alone += run
+                continue
+            raw = ids.tobytes()
+            self.known.keep((w, raw[4 * s : 4 * e]) for w, s, e in zip(run, [0, *[e + 1 for e in ends]], ends))
+        self.known.keep((w, _bytes(e.ids)) for w, e in zip(alone, self.library.encode_batch_fast(alone, add_special_tokens=False)))
+
+
+def _found(data: np.ndarray, pair: bytes) -> np.ndarray:
+    """Where the first two bytes of a special string lie (or its only one)."""
+    hit = data[: len(data) - len(pair) + 1] == pair[0]
+    return np.flatnonzero(hit & (data[1:] == pair[1]) if len(pair) > 1 else hit)
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -118,8 +191,8 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
                 names=["shard", "block", "doc_ids", "offsets", "n_tokens", "shard_start", "dict_hash", "payload"],
             )
 
-        for b in slices(batches):
-            for doc, ids_ in zip(b.column("id").to_pylist(), encoder.encode(b.column("text").to_pylist())):
+        for b in batches:
+            for doc, ids_ in zip(b.column("id").to_pylist(), encoder.encode(b.column("text"))):
                 raw = ids_ + end
                 frames.append(squeeze.compress(raw))
                 ids.append(doc)

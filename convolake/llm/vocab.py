@@ -7,6 +7,7 @@ import re
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import regex
 
 #: The pattern that splits text into pre-tokens.
@@ -16,6 +17,16 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _LATIN = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
 _NOT_LATIN = re.compile("[\x1c-\x1f\x80-\xbf\u0250-\U0010ffff]").search
 
+#: Kinds of the bytes of such texts: letters (all bytes of Latin letters too), digits, white space, the rest.
+_LETTER, _DIGIT, _WHITE = 1, 2, 3
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[[b for b in range(128) if chr(b).isalpha()] + list(range(128, 256))] = _LETTER
+_KIND[list(b"0123456789")] = _DIGIT
+_KIND[list(b" \t\n\r\f\v")] = _WHITE
+#: Bytes that only other texts have; U+0250 to U+027F begin with a byte of Latin letters (0xC9) and are looked for apart.
+_OTHER = np.zeros(256, dtype=bool)
+_OTHER[[*range(0x1C, 0x20), 0xC2, *range(0xCA, 0x100)]] = True
+
 #: Words, and characters of words, that a worker remembers; beyond either the memory is emptied, so it stays bounded.
 REMEMBERED, REMEMBERED_CHARS = 500_000, 1 << 23
 
@@ -30,10 +41,13 @@ class Memory(dict):
             self[word] = value
             self.chars += len(word)
 
-    def make_room(self) -> None:
+    def make_room(self, needed=()) -> None:
+        """Empty the memory if it is over its bound, but for the words needed next."""
         if len(self) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+            kept = [(w, self[w]) for w in needed if w in self]
             self.clear()
             self.chars = 0
+            self.keep(kept)
 
 
 def default_path() -> str:
@@ -91,6 +105,44 @@ def splitter(special: dict):
     return split
 
 
+def not_latin(data: np.ndarray) -> np.ndarray:
+    """Positions in UTF-8 bytes of which none is in a text of ASCII and Latin letters alone."""
+    high = np.flatnonzero(data[:-1] == 0xC9)
+    return np.concatenate((np.flatnonzero(_OTHER[data]), high[data[high + 1] >= 0x90]))
+
+
+def word_starts(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """Where the pre-tokens begin that splitter() finds in texts of ASCII and Latin letters alone, without special strings.
+
+    data holds the texts' UTF-8 bytes one after another, texts where each begins and, last, the end of data.
+    """
+    n = len(data)
+    kind = _KIND[data]
+    signs = np.flatnonzero(data[:-1] == 0xC3)
+    signs = signs[np.isin(data[signs + 1], (0x97, 0xB7))]  # of multiplication and division
+    kind[signs] = kind[signs + 1] = 0
+    begins = np.zeros(n, dtype=bool)
+    begins[texts[texts < n]] = True
+    first = begins.copy()
+    first[1:] |= kind[1:] != kind[:-1]
+    # the last of a run of white space goes with what follows if it is a space, and is a word of its own if not
+    after = np.flatnonzero(first & ~begins & (kind != _WHITE))
+    after = after[kind[after - 1] == _WHITE]
+    first[after - 1] = True
+    first[after[data[after - 1] == 0x20]] = False
+    # 's 't 'm 'd 're 've 'll
+    mark = np.flatnonzero((data == 0x27) & first)
+    if len(mark):
+        left = texts[np.searchsorted(texts, mark, side="right")] - mark
+        one, two = data[np.minimum(mark + 1, n - 1)], data[np.minimum(mark + 2, n - 1)]
+        short = (left > 1) & np.isin(one, list(b"stmd"))
+        long = (left > 2) & (((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l")))
+        first[mark[short | long] + 1] = False
+        ends = np.concatenate((mark[short] + 2, mark[long] + 3))
+        first[ends[ends < n]] = True
+    return np.flatnonzero(first)
+
+
 def chunks_of(texts: list, size: int = 1 << 20):
     """Runs of texts of about size characters together."""
     part, n = [], 0
