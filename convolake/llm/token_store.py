@@ -81,10 +81,10 @@ class LibraryEncoder:
             yield from [b""] * (len(offsets) - 1)
             return
         data, texts = np.frombuffer(buffer, np.uint8, size, int(offsets[0])), offsets - offsets[0]
-        odd = V.not_latin(data)
+        odd = np.diff(np.searchsorted(V.not_latin(data), texts))
         if self.quick:
-            odd = np.concatenate((odd, _found(data, self.quick)))
-        odd = np.unique(np.searchsorted(texts, odd, side="right") - 1).tolist()
+            odd += np.diff(np.searchsorted(_found(data, self.quick), texts))
+        odd = np.flatnonzero(odd).tolist()
         apart = {i: self.split(data[texts[i] : texts[i + 1]].tobytes().decode()) for i in odd}
         if odd:
             sizes = np.diff(texts)

@@ -106,9 +106,11 @@ def splitter(special: dict):
 
 
 def not_latin(data: np.ndarray) -> np.ndarray:
-    """Positions in UTF-8 bytes of which none is in a text of ASCII and Latin letters alone."""
+    """Positions, ascending, in UTF-8 bytes of which none is in a text of ASCII and Latin letters alone."""
+    other = _OTHER[data]
     high = np.flatnonzero(data[:-1] == 0xC9)
-    return np.concatenate((np.flatnonzero(_OTHER[data]), high[data[high + 1] >= 0x90]))
+    other[high[data[high + 1] >= 0x90]] = True
+    return np.flatnonzero(other)
 
 
 def word_starts(data: np.ndarray, texts: np.ndarray) -> np.ndarray:
