@@ -17,6 +17,8 @@ whole; repeated rows come back as often as given; other columns are kept, whatev
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase, digits, hexdigits
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,27 +144,48 @@ def _same_gender(found: DataFrame) -> DataFrame:
     return told.withColumn("canon", F.when(F.col("_g").isNotNull(), F.concat_ws("|", "_g", "_who")).otherwise(F.col("canon"))).select(found.columns)
 
 
-def _draw(of: str, place: str, below: int, key: str) -> str:
+def _draw(of: str, place: str, below: int | str, key: str) -> str:
     """SQL for a number under `below`, keyed by kind, attempt, a string and a place in it."""
     return f"pmod(cast(conv(substr(sha2(concat_ws('|', {_sql(key)}, kind, attempt, {of}, {place}), 256), 1, 12), 16, 10) as bigint), {below})"
 
 
-def _pick(values: list[str], of: str, place: str, key: str) -> str:
-    return f"element_at(array({', '.join(map(_sql, values))}), cast({_draw(of, place, len(values), key)} + 1 as int))"
+def _array(values: list[str]) -> str:
+    return f"array({', '.join(map(_sql, values))})"
+
+
+def _pick(values: str, many: int | str, of: str, place: str, key: str) -> str:
+    """SQL for one of `many` values, which are an array in SQL."""
+    return f"element_at({values}, cast({_draw(of, place, many, key)} + 1 as int))"
+
+
+def _part(value: str, of: str, keep: int | str = 0) -> str:
+    return f"named_struct('value', {value}, 'of', {of}, 'keep', {keep})"
 
 
-def _alike(value: str, of: str, key: str, keep: int = 0) -> str:
-    """SQL for value with letters and digits drawn anew after the first `keep` characters."""
-    c = f"substr({value}, i, 1)"
-    drawn = f"""case when i <= {keep} then {c}
-        when {c} between '0' and '9' and kind in ('key', 'secret', 'ipv6') and {value} rlike '^[0-9a-f]+$' then substr('0123456789abcdef', cast({_draw(of, 'i', 16, key)} + 1 as int), 1)
-        when {c} between '0' and 'F' and kind in ('key', 'secret') and {value} rlike '^[0-9A-F]+$' then substr('0123456789ABCDEF', cast({_draw(of, 'i', 16, key)} + 1 as int), 1)
-        when {c} between 'a' and 'f' and kind in ('key', 'secret', 'ipv6') and {value} rlike '^[0-9a-f]+$' then substr('0123456789abcdef', cast({_draw(of, 'i', 16, key)} + 1 as int), 1)
-        when {c} between '0' and '9' then cast({_draw(of, 'i', 10, key)} as string)
-        when {c} between 'a' and 'z' then chr(97 + {_draw(of, 'i', 26, key)})
-        when {c} between 'A' and 'Z' then chr(65 + {_draw(of, 'i', 26, key)})
-        else {c} end"""
-    return f"case when length({value}) = 0 then '' else array_join(transform(sequence(1, length({value})), i -> {drawn}), '') end"
+def _parts() -> str:
+    """SQL for the strings of an entity that are drawn anew, what each draw is keyed by, and the characters that it keeps at the start."""
+    keep = "case when kind in ('phone', 'iban') then 2 when kind = 'card' then 1 when kind = 'key' and (canon like 'AKIA%' or canon like 'gh%') then 4 when kind = 'key' and canon like 'sk-%' then 3 else 0 end"
+    return f"""case when kind in ('ip', 'birth', 'han', 'name') then null
+        when kind = 'email' then array({_part('local', 'canon')}, {_part('host', 'domain')})
+        when kind = 'ipv6' then transform(split(canon, ':'), (g, n) -> {_part('g', 'concat(canon, n)')})
+        when kind = 'street' then array({_part("substring_index(canon, ' ', 1)", 'canon')})
+        else array({_part('canon', 'canon', keep)}) end"""
+
+
+def _alike(key: str) -> str:
+    """SQL for the values of `parts` with letters and digits drawn anew after the first `keep` characters.
+
+    All kinds share this one expression: the driver parses, plans and prints each expression many times.
+    """
+    hex_ = f"""case when kind in ('key', 'secret', 'ipv6') and p.value rlike '^[0-9a-f]+$' then '{hexdigits[:16]}'
+        when kind in ('key', 'secret') and p.value rlike '^[0-9A-F]+$' then '{hexdigits[:10] + hexdigits[16:]}' end"""
+    c = "substr(p.value, i, 1)"
+    among = f"""case when i <= p.keep then null when instr(p.hex, {c}) > 0 then p.hex
+        when {c} between '0' and '9' then '{digits}' when {c} between 'a' and 'z' then '{ascii_lowercase}' when {c} between 'A' and 'Z' then '{ascii_uppercase}' end"""
+    told = f"transform(parts, p -> named_struct('value', p.value, 'of', p.of, 'keep', p.keep, 'hex', {hex_}))"
+    marked = f"transform(sequence(1, length(p.value)), i -> named_struct('i', i, 'c', {c}, 'among', {among}))"
+    drawn = f"transform({marked}, x -> case when x.among is null then x.c else substr(x.among, cast({_draw('p.of', 'x.i', 'length(x.among)', key)} + 1 as int), 1) end)"
+    return f"transform({told}, p -> case when length(p.value) = 0 then '' else array_join({drawn}, '') end)"
 
 
 def _luhn(value: str, upto: str) -> str:
@@ -178,31 +201,27 @@ def _surrogates(keys: DataFrame, key: str) -> DataFrame:
     rows = rows.withColumn("tld", tail).withColumn("host", F.expr("substr(domain, 1, length(domain) - length(tld) - 1)")).withColumn("local", F.expr("substr(canon, 1, length(canon) - length(domain) - 1)"))
     rows = rows.withColumn("gender", F.expr("substr(canon, 1, 1)")).withColumn("person", F.expr("substr(canon, 3)"))
     rows = rows.withColumn("last", F.expr("case when kind = 'street' then canon else substring_index(person, ' ', -1) end"))
-    rows = rows.withColumn("cyrillic", F.col("last").rlike(r"\p{IsCyrillic}"))
-    card = _alike("canon", "canon", key, 1)
+    rows = rows.withColumn("cyrillic", F.col("last").rlike(r"\p{IsCyrillic}")).withColumn("parts", F.expr(_parts())).withColumn("alike", F.expr(_alike(key))).withColumn("drawn", F.expr("get(alike, 0)"))
     octets = ", ".join(f"1 + {_draw('canon', str(n), 254, key)}" for n in range(4))
     by_gender = (("true", "m", MALE_CYRILLIC), ("true", "f", FEMALE_CYRILLIC), ("true", "n", MALE_CYRILLIC + FEMALE_CYRILLIC), ("false", "m", MALE), ("false", "f", FEMALE), ("false", "n", MALE + FEMALE))
-    firsts = "case " + " ".join(f"when cyrillic = {c} and gender = '{g}' then {_pick(v, _sql('first') + ', person', '0', key)}" for c, g, v in by_gender) + " end"
+    firsts = "case " + " ".join(f"when kind = 'name' and cyrillic = {c} and gender = '{g}' then {_array(v)}" for c, g, v in by_gender) + " end"
     # a surname depends on the surname alone, so that "Mr. Orr" and "Paul Orr" stay one person; later draws are longer
-    lasts = "initcap(array_join(transform(sequence(1, 3 + cast(attempt / 4 as int)), i -> case when cyrillic then " + _pick(SYLLABLES_CYRILLIC, "last", "i", key) + " else " + _pick(SYLLABLES, "last", "i", key) + " end), ''))"
+    syllable = _pick(f"case when cyrillic then {_array(SYLLABLES_CYRILLIC)} else {_array(SYLLABLES)} end", len(SYLLABLES), "last", "i", key)
+    lasts = f"case when kind in ('street', 'name') then initcap(array_join(transform(sequence(1, 3 + cast(attempt / 4 as int)), i -> {syllable}), '')) end"
+    rows = rows.withColumn("firsts", F.expr(firsts)).withColumn("surname", F.expr(lasts))
     month, day = (f"lpad(cast(1 + {_draw('canon', _sql(n), most, key)} as string), 2, '0')" for n, most in (("month", 12), ("day", 28)))
-    number = _alike("substring_index(canon, ' ', 1)", "canon", key)
-    rows = rows.withColumn("drawn", F.expr(f"case when kind = 'card' then {card} end"))
     made = f"""case kind
-        when 'email' then concat({_alike('local', 'canon', key)}, '@', {_alike('host', 'domain', key)}, '.', tld)
+        when 'email' then concat(drawn, '@', get(alike, 1), '.', tld)
         when 'ip' then concat_ws('.', {octets})
         when 'birth' then case when canon rlike '^[0-9]{{4}}' then concat(substr(canon, 1, 3), {_draw('canon', '0', 10, key)}, substr(canon, 5, 1), {month}, substr(canon, 8, 1), {day})
             else concat({day}, substr(canon, 3, 1), {month}, substr(canon, 6, 4), {_draw('canon', '0', 10, key)}) end
-        when 'street' then concat(1 + {_draw('canon', _sql('number'), 9, key)}, substr({number}, 2), ' ', {lasts}, ' ', substring_index(canon, ' ', -1))
-        when 'han' then concat({_pick(SURNAMES_HAN, 'canon', '0', key)}, array_join(transform(sequence(2, length(canon)), i -> {_pick(GIVEN_HAN, 'canon', 'i', key)}), ''))
-        when 'ipv6' then array_join(transform(split(canon, ':'), (g, n) -> case when g = '' then '' else {_alike('g', 'concat(canon, n)', key)} end), ':')
-        when 'name' then concat(case when person like '% %' then concat({firsts}, ' ') else '' end, {lasts})
+        when 'street' then concat(1 + {_draw('canon', _sql('number'), 9, key)}, substr(drawn, 2), ' ', surname, ' ', substring_index(canon, ' ', -1))
+        when 'han' then concat({_pick(_array(SURNAMES_HAN), len(SURNAMES_HAN), 'canon', '0', key)}, array_join(transform(sequence(2, length(canon)), i -> {_pick(_array(GIVEN_HAN), len(GIVEN_HAN), 'canon', 'i', key)}), ''))
+        when 'ipv6' then array_join(alike, ':')
+        when 'name' then concat(case when person like '% %' then concat({_pick('firsts', 'size(firsts)', _sql('first') + ', person', '0', key)}, ' ') else '' end, surname)
         when 'card' then case when ({_luhn('canon', 'length(canon) - 1')} + cast(right(canon, 1) as int)) % 10 = 0
             then concat(left(drawn, length(drawn) - 1), cast((10 - {_luhn('drawn', 'length(drawn) - 1')} % 10) % 10 as string)) else drawn end
-        when 'phone' then {_alike('canon', 'canon', key, 2)}
-        when 'iban' then {_alike('canon', 'canon', key, 2)}
-        when 'key' then case when canon like 'AKIA%' then {_alike('canon', 'canon', key, 4)} when canon like 'gh%' then {_alike('canon', 'canon', key, 4)} when canon like 'sk-%' then {_alike('canon', 'canon', key, 3)} else {_alike('canon', 'canon', key)} end
-        else {_alike('canon', 'canon', key)} end"""
+        else drawn end"""
     longer = F.when((F.col("attempt") >= DRAWS) & F.col("kind").isin(FREE), F.concat(F.col("made"), F.col("attempt").cast("string"))).otherwise(F.col("made"))
     return rows.withColumn("made", F.expr(made)).select("kind", "canon", "attempt", longer.alias("surrogate"))
 
@@ -217,13 +236,15 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     real = entities.select(F.col("kind").alias("_kind"), F.expr("case when kind = 'name' then substr(canon, 3) else canon end").alias("_canon"))
     settled, open_, written = None, entities.withColumn("attempt", F.lit(0)), []
     while True:
-        drawn = _surrogates(open_, key)
+        # written first: both sides of the next join read it
+        drawn = cut(_surrogates(open_, key))
         all_ = drawn.withColumn("fresh", F.lit(True)) if settled is None else drawn.withColumn("fresh", F.lit(True)).unionByName(settled.withColumn("fresh", F.lit(False)))
         # settled rows come first, then the smallest canonical form
         owner = all_.groupBy("kind", "surrogate").agg(F.min(F.struct("fresh", "canon")).alias("o")).select(F.col("kind").alias("_k"), F.col("surrogate").alias("_s"), F.col("o.canon").alias("_o"))
         judged = all_.join(owner, (F.col("kind") == F.col("_k")) & (F.col("surrogate") == F.col("_s")))
         judged = judged.join(real, (F.col("kind") == F.col("_kind")) & (F.col("surrogate") == F.col("_canon")), "left")
         judged = cut(judged.select("kind", "canon", "attempt", "surrogate", ((F.col("_o") == F.col("canon")) & F.col("_canon").isNull()).alias("ok")).distinct())
+        drop(drawn)
         written.append(judged)
         settled = judged.where("ok").drop("ok")
         if judged.where("not ok").isEmpty():
@@ -290,8 +311,9 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text", count_col: st
     table = surrogates(found.select("kind", "canon").distinct(), key)
     pairs = found.join(table, ["kind", "canon"]).select("h", "kind", "entity", _render("kind", "entity", "surrogate").alias("said"))
     last = lambda c: F.substring_index(c, " ", -1)
-    alone = pairs.where("kind = 'name'").select("h", last("entity").alias("entity"), last("said").alias("said"), F.lit(True).alias("alone"))
-    pairs = pairs.select("h", "entity", "said", F.lit(False).alias("alone")).unionByName(alone).groupBy("h", "entity").agg(F.min("said").alias("said"), F.max("alone").alias("alone"))
+    one = F.struct("entity", "said", F.lit(False).alias("alone"))
+    alone = F.when(F.col("kind") == "name", F.struct(last("entity").alias("entity"), last("said").alias("said"), F.lit(True).alias("alone")))
+    pairs = pairs.select("h", F.explode(F.array_compact(F.array(one, alone))).alias("x")).select("h", "x.*").groupBy("h", "entity").agg(F.min("said").alias("said"), F.max("alone").alias("alone"))
     names = [f"{n}_of_pii" for n in ("_h", "_map", "_pattern")]
     while set(names) & set(docs.columns):
         names = ["_" + n for n in names]
